@@ -36,7 +36,7 @@ KERAS_TOKEN = r'[^!"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~\t\n ]+'
 
 # Cleaning rule (P5): characters kept after collapsing blanks.
 CLEAN_DROP = r'[^\p{L}\p{N}_,.:;\[\]()/!@#$%^&*+{}<>=?~|" \-]'
-BLANK_RUN = r"\s+"
+BLANK_RUN = r"[ \t\n\r\f\x{0B}]+"
 
 
 @functools.lru_cache(maxsize=1)
