@@ -251,29 +251,68 @@ def quantile_normal_expr(x: Column, probs: list[float], refs: list[float]) -> Co
     return _qn(x)
 
 
-def quantile_normal(df: DataFrame, cols: list[str], fit_on: DataFrame | None = None, n_quantiles=1000):
+def fit_quantile_normal(src: DataFrame, cols: list[str], n_quantiles: int = 1000) -> dict:
+    """References for several columns from one ranked pass: the columns are
+    stacked in long form (column, value) and ranked once by (column, value)."""
+    stacked = src.select(
+        F.explode(F.array(*[F.struct(F.lit(c).alias("_c"), F.col(c).cast("double").alias("_x")) for c in cols])).alias("_s")
+    ).select("_s._c", "_s._x")
+    counts = {r["_c"]: r["n"] for r in stacked.filter(F.col("_x").isNotNull()).groupBy("_c").agg(F.count(F.lit(1)).alias("n")).collect()}
+    shared = [c for c in cols if counts.get(c, 0) >= n_quantiles]
+    fitted = {}
+    if shared:
+        probs = quantile_probs(n_quantiles, n_quantiles)
+        rows = exact_percentiles(stacked.filter(F.col("_c").isin(shared)), "_x", probs, by="_c").collect()
+        for c in shared:
+            refs = [v for _, v in sorted((r["p_idx"], r["value"]) for r in rows if r["_c"] == c)]
+            fitted[c] = (probs, refs)
+    for c in cols:
+        if c not in fitted and counts.get(c, 0) > 0:
+            fitted[c] = fit_quantiles(src, c, n_quantiles)
+    return fitted
+
+
+def quantile_normal(df: DataFrame, cols: list[str], fit_on: DataFrame | None = None, n_quantiles=1000, fitted=None):
     """Fit on ``fit_on`` (train), transform ``df``."""
     src = fit_on if fit_on is not None else df
+    fitted = fitted if fitted is not None else fit_quantile_normal(src, cols, n_quantiles)
     out = df
     for c in cols:
-        probs, refs = fit_quantiles(src, c, n_quantiles)
-        out = out.withColumn(c, quantile_normal_expr(F.col(c).cast("double"), probs, refs))
+        if c in fitted:
+            probs, refs = fitted[c]
+            out = out.withColumn(c, quantile_normal_expr(F.col(c).cast("double"), probs, refs))
     return out
 
 
-def numeric_transform(df, cols, method="quantile_normal", fit_on=None):
-    """Dispatch of the loader's ``numerical_transformer_method``."""
+def fit_numeric(src: DataFrame, cols: list[str], method: str = "quantile_normal"):
+    """Fit the loader's ``numerical_transformer_method`` once (on train)."""
     if method in (None, "none"):
-        return df
-    if method == "yeo_johnson":
-        return power_transform(df, cols, "yeo-johnson", fit_on)
-    if method == "box_cox":
-        return power_transform(df, cols, "box-cox", fit_on)
+        return {"method": "none"}
+    if method in ("yeo_johnson", "box_cox"):
+        name = "yeo-johnson" if method == "yeo_johnson" else "box-cox"
+        return {"method": method, "fits": {c: fit_power(src, c, name) for c in cols}}
     if method == "quantile_normal":
-        return quantile_normal(df, cols, fit_on)
+        return {"method": method, "fits": fit_quantile_normal(src, cols)}
     raise ValueError(f"unknown numerical transform {method}")
 
 
+def apply_numeric(df: DataFrame, fitted: dict) -> DataFrame:
+    if fitted["method"] == "none":
+        return df
+    out = df
+    for c, fit in fitted["fits"].items():
+        if fitted["method"] == "quantile_normal":
+            out = out.withColumn(c, quantile_normal_expr(F.col(c).cast("double"), *fit))
+        else:
+            out = apply_power(out, c, fit)
+    return out
+
+
+def numeric_transform(df, cols, method="quantile_normal", fit_on=None):
+    """Dispatch of the loader's ``numerical_transformer_method``."""
+    return apply_numeric(df, fit_numeric(fit_on if fit_on is not None else df, cols, method))
+
+
 # ---------------------------------------------------------------- batch norm
 
 

@@ -1 +1,56 @@
-"""placeholder"""
+"""K7-K9: rubric attention over essays x phrases.
+
+The pair count is essays x phrases x words^2, too heavy for an oracle SQL on
+the whole tables; the queries are rows-only here and
+``tests/test_attention.py`` checks them against a brute-force computation
+on a small fixture.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gradeflow.operators import attention as A
+from gradeflow.operators import vocab as V
+from gradeflow.plans import bindings as B
+from gradeflow.plans.registry import register
+
+CAP, DIM = 10000, 64
+
+
+def inputs(spark, d):
+    vocab = B.corpus_vocab(spark, d)
+    essays = B.essays(spark, d).select("essay_id", "essay")
+    seqs = V.texts_to_sequences(essays, vocab, num_words=CAP).select("essay_id", "seq")
+    ph = B.phrases(spark, d)
+    pseq = V.texts_to_sequences(ph, vocab, id_col="key_id", text_col="phrase", num_words=CAP).select("key_id", "seq")
+    vectors = B.vectors_from(vocab, B.table(spark, d, "embeddings"))
+    return seqs, pseq, vocab, vectors
+
+
+def keyword_attention_query(spark, d):
+    seqs, pseq, vocab, vectors = inputs(spark, d)
+    att = A.keyword_attention(seqs, pseq, vocab, vectors, DIM, CAP)
+    return att.select("essay_id", "key_id", F.transform("f", lambda x: F.round(x, 6)).alias("f"))
+
+
+register("K7_keyword_attention")(keyword_attention_query)
+
+
+def keyword_features_query(spark, d):
+    seqs, pseq, vocab, vectors = inputs(spark, d)
+    feats = A.keyword_features(A.keyword_attention(seqs, pseq, vocab, vectors, DIM, CAP))
+    return feats.select("essay_id", F.transform("keyword_features", lambda x: F.round(x, 6)).alias("keyword_features"))
+
+
+register("K8_keyword_features")(keyword_features_query)
+
+
+def top_words_query(spark, d):
+    seqs, pseq, vocab, vectors = inputs(spark, d)
+    top = A.attention_top_words(seqs, pseq, vocab, vectors, DIM, CAP)
+    words = vocab.select(F.col("index").cast("int").alias("word_id"), "word")
+    return top.join(words, "word_id", "left")
+
+
+register("K9_attention_top_words")(top_words_query)

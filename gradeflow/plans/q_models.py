@@ -1 +1,79 @@
-"""placeholder"""
+"""M1-M4, X2, X3 (model fits: rows-only checks; tests hold quality floors)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gradeflow.operators import experiment as X
+from gradeflow.operators import features as FT
+from gradeflow.operators import models as MD
+from gradeflow.operators import splits as D
+from gradeflow.plans import bindings as B
+from gradeflow.plans.q_attention import inputs as attention_inputs
+from gradeflow.plans.q_features import word_lists
+from gradeflow.plans.registry import register
+
+FEATS = list(FT.FEATURE_COLUMNS)
+
+
+def scored_features(spark, d):
+    feats = FT.generate_features(B.scored(spark, d), word_lists(spark, d))
+    return feats.withColumn("label", F.col("domain1_score").cast("double")).fillna(0.0, subset=FEATS)
+
+
+def _split(spark, d):
+    data = scored_features(spark, d)
+    roles = D.rotate_folds(data.select("essay_id")).filter(F.col("fold") == 0)
+    part = data.join(roles, "essay_id")
+    return part.filter(F.col("split") != "test"), part.filter(F.col("split") == "test")
+
+
+def m1(spark, d):
+    train, test = _split(spark, d)
+    model = MD.train_score_classifier(train, FEATS, "label", head="linear")
+    return MD.predict(model, test, ["essay_id", F.col("label").cast("int").alias("label")])
+
+
+def m2(spark, d):
+    train, test = _split(spark, d)
+    model = MD.train_score_classifier(train, FEATS, "label", head="mlp", seed=42)
+    return MD.predict(model, test, ["essay_id", F.col("label").cast("int").alias("label")])
+
+
+def m3(spark, d):
+    reg = B.regress(spark, d).withColumn("log_pred", F.log1p("pred"))
+    roles = D.rotate_folds(reg.select(F.col("row_id").alias("essay_id"))).filter(F.col("fold") == 0)
+    part = reg.join(roles.withColumnRenamed("essay_id", "row_id"), "row_id")
+    model = MD.train_score_regressor(part.filter(F.col("split") != "test"), ["pred", "log_pred"], "label")
+    out = model.transform(part.filter(F.col("split") == "test"))
+    return out.select("row_id", "label", F.col("prediction").alias("pred"))
+
+
+def m4(spark, d):
+    return MD.select_features_rfe(scored_features(spark, d), FEATS, "label", k=16, step=2, max_iter=25)
+
+
+register("M1_train_score_classifier")(m1)
+register("M2_train_score_classifier_mlp")(m2)
+register("M3_train_score_regressor")(m3)
+register("M4_select_features_rfe")(m4)
+
+
+def x2(spark, d):
+    seqs, pseq, vocab, vectors = attention_inputs(spark, d)
+    from gradeflow.operators.attention import keyword_attention, keyword_features
+
+    kf = keyword_features(keyword_attention(seqs, pseq, vocab, vectors, 64, 10000))
+    return X.run_folds(scored_features(spark, d), k=5, keyword_features=kf, train_share=1.0)
+
+
+def x3(spark, d):
+    feats = scored_features(spark, d).select("essay_id", "essay_set", "label", *FEATS)
+    cfg = X.RunConfig(
+        mode="kfold", task="classification", k=5, cat_cols=["essay_set"], num_cols=FEATS[:8], label_col="label"
+    )
+    return X.run_config(cfg, data=feats)
+
+
+register("X2_run_folds")(x2)
+register("X3_run_folder_or_folds")(x3)
