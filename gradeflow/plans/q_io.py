@@ -1 +1,136 @@
-"""placeholder"""
+"""Each query writes data derived from the given tables to
+the scratch folder with our sink and reads it back with our source."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gradeflow.functions.text import num_sentences, num_words
+from gradeflow.operators import metrics as M
+from gradeflow.operators import splits as D
+from gradeflow.plans import bindings as B
+from gradeflow.plans import sql as S
+from gradeflow.plans.q_metrics import FOLD_SQL, fold_metrics, lp
+from gradeflow.plans.registry import register
+from gradeflow.sources import io as IO
+
+
+def s1(spark, d):
+    path = IO.scratch_path(spark, "essays_tsv")
+    IO.write_delimited(B.essays(spark, d), path, "\t", "ISO-8859-1")
+    return IO.read_essays(spark, path, "\t", "ISO-8859-1")
+
+
+register("S1_read_essays", S.with_(S.ESSAYS) + "SELECT essay_id, essay_set, essay, domain1_score FROM essays")(s1)
+
+
+def s2(spark, d):
+    folder = IO.scratch_path(spark, "split_folder")
+    e = B.essays(spark, d)
+    roles = D.rotate_folds(e.select("essay_id")).filter(F.col("fold") == 0)
+    j = e.join(roles, "essay_id")
+    for name, role in (("train", "train"), ("val", "dev"), ("test", "test")):
+        IO.write_delimited(j.filter(F.col("split") == role).select(*e.columns), f"{folder}/{name}.csv", ",", "UTF-8")
+    return IO.union_splits(IO.read_split_folder(spark, folder)).select("essay_id", "split")
+
+
+register(
+    "S2_read_split_folder",
+    S.with_(S.ESSAYS)
+    + f"""SELECT essay_id, CASE {S.bucket_of('essay_id')} WHEN 0 THEN 'test' WHEN 4 THEN 'val' ELSE 'train' END AS split
+FROM essays""",
+)(s2)
+
+
+def s3(spark, d):
+    folder = IO.scratch_path(spark, "fold_ids")
+    IO.write_fold_ids(B.fold_ids(spark, d), folder)
+    return IO.read_fold_ids(spark, folder)
+
+
+register("S3_read_fold_ids", S.with_(S.FOLD_IDS) + "SELECT CAST(fold AS INTEGER) AS fold, role, essay_id FROM fold_ids")(s3)
+
+
+def s4(spark, d):
+    path = IO.scratch_path(spark, "vectors_txt")
+    vocab = B.corpus_vocab(spark, d)
+    IO.write_word_vectors(B.vectors_from(vocab, B.table(spark, d, "embeddings")), path)
+    v = IO.read_word_vectors(spark, path)
+    return v.select("word", F.transform("vec", lambda x: F.round(x.cast("double"), 6)).alias("vec"))
+
+
+register(
+    "S4_read_word_vectors",
+    S.with_(S.ESSAYS, S.PHRASES, S.VOCAB, S.VECTORS)
+    + "SELECT word, list_transform(vec, lambda x: round(CAST(x AS DOUBLE), 6)) AS vec FROM vectors",
+)(s4)
+
+
+def s6(spark, d):
+    path = IO.scratch_path(spark, "features")
+    e = B.essays(spark, d)
+    feats = e.select("essay_id", "essay_set", num_words("essay").alias("num_words"), num_sentences("essay").alias("num_sentences"))
+    IO.write_features(feats, path)
+    back = spark.read.parquet(path)
+    return back.select("essay_id", "essay_set", "num_words", "num_sentences")
+
+
+register(
+    "S6_write_features",
+    S.with_(S.ESSAYS)
+    + f"SELECT essay_id, essay_set, {S.num_words('essay')} AS num_words, {S.num_sentences('essay')} AS num_sentences FROM essays",
+)(s6)
+
+
+def s7(spark, d):
+    path = IO.scratch_path(spark, "splits")
+    IO.write_splits(D.rotate_folds(B.essays(spark, d).select("essay_id")), path)
+    back = spark.read.parquet(path)
+    return back.select(F.col("fold").cast("int").alias("fold"), "split", "essay_id")
+
+
+register(
+    "S7_write_splits",
+    S.with_(S.ESSAYS)
+    + f""", pf AS (SELECT essay_id, {S.bucket_of('essay_id')} AS b, unnest(range(0, 5)) AS fold FROM essays)
+SELECT CAST(fold AS INTEGER) AS fold,
+  CASE WHEN b = fold THEN 'test' WHEN b = (fold + 4) % 5 THEN 'dev' ELSE 'train' END AS split, essay_id FROM pf""",
+)(s7)
+
+
+def s8(spark, d):
+    path = IO.scratch_path(spark, "predictions")
+    IO.write_predictions(lp(spark, d), path, "classification", "row_id", "pred")
+    return spark.read.text(path)
+
+
+register(
+    "S8_write_predictions",
+    S.with_(S.LOGITS)
+    + """SELECT 'index' || chr(9) || 'prediction' AS value
+UNION ALL SELECT CAST(row_id AS VARCHAR) || chr(9) || CAST(list_position(logits, list_max(logits)) - 1 AS VARCHAR) FROM logits""",
+)(s8)
+
+
+def s9(spark, d):
+    path = IO.scratch_path(spark, "metrics")
+    agg = M.aggregate_folds(fold_metrics(spark, d)).select("metric", F.col("mean").alias("value"))
+    IO.write_metrics(agg, path)
+    return spark.read.text(path)
+
+
+register(
+    "S9_write_metrics",
+    FOLD_SQL + " SELECT printf('%s = %.6f', metric, avg(value)) AS value FROM fm GROUP BY metric",
+)(s9)
+
+
+def s10(spark, d):
+    from gradeflow.plans.q_attention import keyword_attention_query
+
+    path = IO.scratch_path(spark, "attention")
+    IO.write_attention(keyword_attention_query(spark, d), path)
+    return spark.read.parquet(path)
+
+
+register("S10_write_attention")(s10)
