@@ -40,7 +40,8 @@ def syllables(word: Column) -> Column:
 
 # ---------------------------------------------------------------- F1-F8
 def num_words(text) -> Column:
-    return F.size(ws_tokens(text)).cast("long")
+    # a count of matches: no token array is built
+    return F.regexp_count(_c(text), F.lit(P.WS_TOKEN)).cast("long")
 
 
 def num_sentences(text) -> Column:
@@ -48,7 +49,16 @@ def num_sentences(text) -> Column:
 
 
 def num_lemmas(text) -> Column:
-    return F.size(lemma_tokens(text)).cast("long")
+    return F.regexp_count(_c(text), F.lit(P.LEMMA_TOKEN)).cast("long")
+
+
+def num_stopwords(text) -> Column:
+    """Lemma tokens that are stop words: one regex pass over the lower-cased
+    text (a stop word must be a whole letter run; words with an apostrophe
+    can never be a letter-run token)."""
+    words = sorted((w for w in P.english_stop_words() if w.isalpha()), key=lambda w: (-len(w), w))
+    pattern = r"(?<!\p{L})(?:" + "|".join(words) + r")(?!\p{L})"
+    return F.regexp_count(F.lower(_c(text)), F.lit(pattern)).cast("long")
 
 
 def count_char(text, ch: str) -> Column:
@@ -71,7 +81,7 @@ def num_question_marks(text) -> Column:
 def average_word_length(text) -> Column:
     """Characters of the whitespace tokens / their number (null for no token)."""
     t = _c(text)
-    chars = F.length(F.regexp_replace(t, F.lit(P.WS_CLASS), F.lit("")))
+    chars = F.length(t) - F.regexp_count(t, F.lit(P.WS_CLASS))
     return F.try_divide(chars.cast("double"), num_words(t))
 
 

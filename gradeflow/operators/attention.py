@@ -113,9 +113,12 @@ def attend_all(A, K_all, starts, sizes, op="dp", pool="mean", merge="concat"):
         u = v = np.zeros((P, d))
     else:
         z = _scores(A, K_all, op)  # (m, n)
-        U = _softmax(z, axis=1) @ A  # (m, d)
-        block_max = np.maximum.reduceat(z, starts, axis=0)  # (P, n)
-        e = np.exp(z - np.repeat(block_max, sizes, axis=0))
+        row_max = z.max(axis=1, keepdims=True)
+        e = np.exp(z - row_max)  # the one exp over the (m, n) scores
+        U = (e / e.sum(axis=1, keepdims=True)) @ A  # (m, d)
+        # block softmax over key words: re-shift each row to its block max
+        block_max = np.maximum.reduceat(row_max[:, 0], starts)
+        e = e * np.exp(row_max[:, 0] - np.repeat(block_max, sizes))[:, None]
         w = e / np.repeat(np.add.reduceat(e, starts, axis=0), sizes, axis=0)
         u = np.add.reduceat(U, starts, axis=0)
         v = np.add.reduceat(w.sum(axis=1)[:, None] * K_all, starts, axis=0)
@@ -168,20 +171,19 @@ def keyword_attention(
                 if fast:
                     if full:
                         fs = attend_all(A, K_all, starts, sizes, op, pool, merge)
-                        for (k, _), f in zip(full, fs):
-                            out_id.append(eid)
-                            out_key.append(k)
-                            out_f.append(f.tolist())
+                        out_id.extend([eid] * len(full))
+                        out_key.extend(k for k, _ in full)
+                        out_f.extend(fs)  # numpy rows go to Arrow without Python floats
                     for k in empty_keys:
                         out_id.append(eid)
                         out_key.append(k)
-                        out_f.append([0.0] * width)
+                        out_f.append(np.zeros(width))
                     continue
                 for k, K in mats:
                     f, _ = attend(A, K, op, pool, merge, beta)
                     out_id.append(eid)
                     out_key.append(k)
-                    out_f.append(f.tolist())
+                    out_f.append(f)
             yield pd.DataFrame({id_col: out_id, "key_id": out_key, "f": out_f})
 
     schema = f"{id_col} long, key_id long, f array<double>"

@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradeflow.functions import text as T
-from gradeflow.functions.patterns import english_stop_words
 from gradeflow.plans.joins import lookup_join
 
 FEATURE_COLUMNS = [
@@ -61,13 +60,9 @@ class WordLists:
 
 def row_features(df: DataFrame, text_col: str = "essay") -> DataFrame:
     """One select, no shuffle."""
-    stop = F.array(*[F.lit(w) for w in english_stop_words()])
     parts = T.readability_parts(text_col)
     out = df.withColumns({k: f(text_col) for k, f in ROW_LOCAL.items()})
-    out = out.withColumn(
-        "num_stopwords",
-        F.size(F.filter(T.lemma_tokens(text_col), lambda x: F.array_contains(stop, F.lower(x)))).cast("long"),
-    )
+    out = out.withColumn("num_stopwords", T.num_stopwords(text_col))
     out = out.withColumns(parts).withColumns(T.readability_from_parts())
     return out
 
@@ -89,33 +84,40 @@ def word_list_features(df: DataFrame, lists: WordLists, id_col="essay_id", text_
         .join(dic.withColumn("in_dict", F.lit(True)), "word", "full")
         .join(easy.withColumn("is_easy", F.lit(True)), "word", "full")
     )
-    src = df.select(id_col, text_col)
-    # kind 1: V1 tokens for the tag lookup; 2: lower-case blank tokens for
-    # spelling; 3: lower-case letter words for the easy-word rules
-    toks = src.select(
+    # kind 1: V1 tokens (every occurrence) for the tags; 2: distinct
+    # lower-case blank tokens for spelling; 3: lower-case letter words (every
+    # occurrence) for Dale-Chall; 4: distinct letter words for difficult
+    # words.  Distinct sets are taken inside the row, so after the (size
+    # checked) broadcast lookup every aggregate is a plain sum: the partial
+    # aggregation collapses each text to one row before the shuffle.
+    low = F.lower(F.col(text_col))
+    words = T.letter_words(low)
+
+    def tagged(kind, arr):
+        return F.arrays_zip(F.array_repeat(F.lit(kind), F.size(arr)).alias("kind"), arr.alias("word"))
+
+    toks = df.select(
         F.col(id_col),
         F.explode(
             F.concat(
-                F.transform(T.keras_tokens(text_col), lambda w: F.struct(F.lit(1).alias("kind"), w.alias("word"))),
-                F.transform(T.ws_tokens(text_col), lambda w: F.struct(F.lit(2).alias("kind"), F.lower(w).alias("word"))),
-                F.transform(T.letter_words(text_col), lambda w: F.struct(F.lit(3).alias("kind"), F.lower(w).alias("word"))),
+                tagged(1, T.keras_tokens(text_col)),
+                tagged(2, F.array_distinct(T.ws_tokens(low))),
+                tagged(3, words),
+                tagged(4, F.array_distinct(words)),
             )
         ).alias("t"),
     ).select(id_col, "t.kind", "t.word")
-    # repeated words of one text collapse before the lookup join
-    per_word = toks.groupBy(id_col, "kind", "word").agg(F.count(F.lit(1)).alias("n"))
-    j = lookup_join(per_word, facts, ["word"], "left", salt_by=[F.col(id_col)])
-    k1, k2, k3 = F.col("kind") == 1, F.col("kind") == 2, F.col("kind") == 3
+    j = lookup_join(toks, facts, ["word"], "left", salt_by=[F.col(id_col), F.col("word")])
+    kind = F.col("kind")
     easy_flag = F.coalesce(F.col("is_easy"), F.lit(False))
     aggs = {
-        name: F.sum(F.when(k1 & F.arrays_overlap(F.col("tags"), F.array(*[F.lit(t) for t in tags])), F.col("n")).otherwise(0))
+        name: F.count_if((kind == 1) & F.arrays_overlap(F.col("tags"), F.array(*[F.lit(t) for t in tags])))
         for name, tags in POS_FEATURES.items()
     }
-    aggs["num_spelling_errors"] = F.count_if(k2 & F.col("in_dict").isNull())
-    aggs["_not_easy"] = F.sum(F.when(k3 & ~easy_flag, F.col("n")).otherwise(0))
-    aggs["difficult_word_count"] = F.count_if(k3 & ~easy_flag & (T.syllables(F.col("word")) >= 2))
-    got = j.groupBy(id_col).agg(*[v.cast("long").alias(k) for k, v in aggs.items()])
-    return got
+    aggs["num_spelling_errors"] = F.count_if((kind == 2) & F.col("in_dict").isNull())
+    aggs["_not_easy"] = F.count_if((kind == 3) & ~easy_flag)
+    aggs["difficult_word_count"] = F.count_if((kind == 4) & ~easy_flag & (T.syllables(F.col("word")) >= 2))
+    return j.groupBy(id_col).agg(*[v.cast("long").alias(k) for k, v in aggs.items()])
 
 
 def generate_features(df: DataFrame, lists: WordLists, id_col="essay_id", text_col="essay") -> DataFrame:

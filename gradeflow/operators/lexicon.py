@@ -3,6 +3,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import NGram
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,9 +52,17 @@ def ngrams(tokens, n: int):
 
 
 def _doc_ngrams(df, id_col, text_col, n_values):
+    """Blank-joined n-grams of the V1 tokens for each n (Spark ML's NGram
+    transformer: JVM code, no per-position lambda)."""
     toks = df.select(F.col(id_col), T.keras_tokens(text_col).alias("t"))
-    grams = [F.when(F.size("t") >= n, ngrams(F.col("t"), n)).otherwise(F.array().cast("array<string>")) for n in n_values]
-    return toks.select(id_col, F.explode(F.concat(*grams)).alias("ngram"))
+    cols = []
+    for n in n_values:
+        if n == 1:
+            cols.append(F.col("t"))
+            continue
+        toks = NGram(n=n, inputCol="t", outputCol=f"_g{n}").transform(toks)
+        cols.append(F.col(f"_g{n}"))
+    return toks.select(id_col, F.explode(F.concat(*cols)).alias("ngram"))
 
 
 def top_ngrams_tfidf(df: DataFrame, n_max: int = 3, k: int = 30, id_col="essay_id", text_col="essay") -> DataFrame:
