@@ -43,14 +43,6 @@ def lexicon_count(
     return out.select(id_col, *[F.coalesce(F.col(t), F.lit(0)).cast("long").alias(t) for t in tags])
 
 
-def ngrams(tokens, n: int):
-    """Blank-joined n-grams of an array column."""
-    return F.transform(
-        F.sequence(F.lit(0), F.size(tokens) - n),
-        lambda i: F.array_join(F.slice(tokens, i + 1, n), " "),
-    )
-
-
 def _doc_ngrams(df, id_col, text_col, n_values):
     """Blank-joined n-grams of the V1 tokens for each n (Spark ML's NGram
     transformer: JVM code, no per-position lambda)."""

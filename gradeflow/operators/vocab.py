@@ -98,9 +98,16 @@ def token_mask(df, col="padded", out="mask"):
     return df.withColumn(out, F.transform(F.col(col), lambda x: F.when(x == 0, 0).otherwise(1)))
 
 
-def build_embedding_matrix(vocab: DataFrame, vectors: DataFrame, dim: int, vocab_size: int | None = None):
-    """V6: one row per word id with its vector, zero vector when none."""
+def build_embedding_matrix(
+    vocab: DataFrame, vectors: DataFrame, dim: int, vocab_size: int | None = None, skip_last: bool = False
+):
+    """V6: one row per word id with its vector, zero vector when none.
+    ``skip_last`` reproduces the reference loop that leaves the last
+    vocabulary word without a row (off by default)."""
     voc = vocab if vocab_size is None else vocab.filter(F.col("index") < vocab_size)
+    if skip_last:
+        last = voc.agg(F.max("index")).first()[0]
+        voc = voc.filter(F.col("index") < F.lit(last))
     joined = voc.join(vectors.select("word", "vec"), "word", "left")
     zero = F.array_repeat(F.lit(0.0).cast("float"), dim)
     return joined.select("index", "word", F.coalesce("vec", zero).alias("vec"))

@@ -147,13 +147,12 @@ def regress(spark, sf_dir) -> DataFrame:
 def num(spark, sf_dir) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     return li.select(
-        F.struct("l_orderkey", "l_linenumber").alias("_k"),
         F.col("l_orderkey"),
         F.col("l_linenumber"),
         F.nullif(F.col("l_quantity"), F.lit(1.0)).alias("l_quantity"),
         F.col("l_extendedprice"),
         F.when(F.col("l_orderkey") % 5 == 0, "test").when(F.col("l_orderkey") % 5 == 1, "val").otherwise("train").alias("split"),
-    ).drop("_k")
+    )
 
 
 def cat(spark, sf_dir) -> DataFrame:

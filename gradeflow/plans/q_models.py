@@ -63,6 +63,8 @@ def x2(spark, d):
     seqs, pseq, vocab, vectors = attention_inputs(spark, d)
     from gradeflow.operators.attention import keyword_attention, keyword_features
 
+    # attention only for the essays that carry a score (the ones scored per fold)
+    seqs = seqs.join(B.scored(spark, d).select("essay_id"), "essay_id", "left_semi")
     kf = keyword_features(keyword_attention(seqs, pseq, vocab, vectors, 64, 10000))
     return X.run_folds(scored_features(spark, d), k=5, keyword_features=kf, train_share=1.0)
 
