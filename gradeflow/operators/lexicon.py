@@ -21,7 +21,7 @@ def quote_set(df: DataFrame, set_col="essay_set", text_col="essay") -> DataFrame
     set.  The count is a per-set aggregate joined back (sets are few)."""
     q = df.select(set_col, F.explode(T.quotes(T.normalize_quotes(text_col))).alias("quote")).distinct()
     n = q.groupBy(set_col).agg(F.count(F.lit(1)).cast("long").alias("n_quotes"))
-    return q.join(F.broadcast(n), set_col)
+    return lookup_join(q, n, [set_col])
 
 
 def phrase_union(a: DataFrame, b: DataFrame, col="phrase") -> DataFrame:

@@ -145,7 +145,7 @@ def qwk(df: DataFrame, label="label", pred="pred", by=()) -> DataFrame:
     ranked = global_rank(classes, [*(F.col(k) for k in by), F.col("c")], name="_g")
     if by:
         starts = ranked.groupBy(*by).agg(F.min("_g").alias("_s"))
-        ranked = ranked.join(F.broadcast(starts), by).withColumn("_g", F.col("_g") - F.col("_s") + 1)
+        ranked = lookup_join(ranked, starts, by).withColumn("_g", F.col("_g") - F.col("_s") + 1)
     idx = ranked.select(*by, "c", (F.col("_g") - 1).cast("double").alias("i"))
     li = idx.select(*by, F.col("c").alias("_l"), F.col("i").alias("ti"))
     pi = idx.select(*by, F.col("c").alias("_p"), F.col("i").alias("pj"))

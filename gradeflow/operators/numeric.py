@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gradeflow.plans.joins import lookup_join
 from gradeflow.plans.rank import global_rank
 
 # ---------------------------------------------------------------- order statistics
@@ -51,10 +52,10 @@ def exact_percentiles(df: DataFrame, col: str, probs: list[float], by: str | Non
         "_frac": F.col("_pos") - F.floor("_pos"),
     })
     need = pairs.select(F.col("_lo").alias("_r")).union(pairs.select(F.col("_hi").alias("_r"))).distinct()
-    picked = ranked.join(F.broadcast(need), "_r", "left_semi").select("_r", "_v")
+    picked = lookup_join(ranked, need, ["_r"], "left_semi").select("_r", "_v")
     lo = picked.select(F.col("_r").alias("_lo"), F.col("_v").alias("_vlo"))
     hi = picked.select(F.col("_r").alias("_hi"), F.col("_v").alias("_vhi"))
-    out = pairs.join(F.broadcast(lo), "_lo").join(F.broadcast(hi), "_hi")
+    out = lookup_join(lookup_join(pairs, lo, ["_lo"]), hi, ["_hi"])
     value = F.col("_vlo") + F.col("_frac") * (F.col("_vhi") - F.col("_vlo"))
     return out.select(*keys, "p_idx", value.alias("value"))
 
@@ -71,7 +72,7 @@ def impute_median(df: DataFrame, cols: list[str], by: str | None = "split") -> D
         med = medians(df, c, by)
         if by:
             # one row per split: a proven-small broadcast
-            out = out.join(F.broadcast(med), by, "left")
+            out = lookup_join(out, med, [by], "left")
             fill = F.col(f"_med_{c}")
         else:
             got = med.first()

@@ -75,7 +75,7 @@ def _rank_in_class(df: DataFrame, label: str, id_col: str, seed) -> DataFrame:
     r = global_rank(df, [F.col(label), hash_key(id_col, seed), F.col(id_col)], name="_g")
     starts = r.groupBy(label).agg(F.min("_g").alias("_start"), F.count(F.lit(1)).alias("_n_class"))
     # one row per class: a small broadcast
-    return r.join(F.broadcast(starts), label).withColumn("_pos", F.col("_g") - F.col("_start") + 1)
+    return lookup_join(r, starts, [label]).withColumn("_pos", F.col("_g") - F.col("_start") + 1)
 
 
 def drop_quotas(counts: dict, p: float) -> dict:
