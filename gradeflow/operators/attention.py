@@ -153,41 +153,58 @@ def keyword_attention(
     Ks = [(k, ids) for k, ids in phrases]
 
     fast = pool in ("mean", "sum") and not beta
+    width = (2 if merge == "concat" else 1) * dim
+    keys = np.array([k for k, _ in Ks], dtype="int64")
+    rows_per_chunk = 20_000  # output rows per Arrow batch (bounded memory)
+
+    def per_answer(A, mats, full_pos, K_all, starts, sizes):
+        """(n_phrases, width) in key order; empty phrases stay zero."""
+        out = np.zeros((len(mats), width))
+        if fast:
+            if len(full_pos):
+                out[full_pos] = attend_all(A, K_all, starts, sizes, op, pool, merge)
+            return out
+        for p, (_, K) in enumerate(mats):
+            out[p] = attend(A, K, op, pool, merge, beta)[0]
+        return out
+
+    def emit(ids, blocks):
+        import pyarrow as pa
+
+        flat = np.concatenate([b.reshape(-1) for b in blocks]) if blocks else np.zeros(0)
+        n = len(ids) * len(keys)
+        offsets = pa.array(np.arange(0, n * width + 1, width, dtype="int32"))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(np.asarray(ids, dtype="int64"), len(keys))), pa.array(np.tile(keys, len(ids))),
+             pa.ListArray.from_arrays(offsets, pa.array(flat))],
+            names=[id_col, "key_id", "f"],
+        )
 
     def run(batches):
         emb = bE.value
         mats = [(k, emb[ids]) for k, ids in Ks]
-        full = [(k, K) for k, K in mats if K.shape[0] > 0]
-        empty_keys = [k for k, K in mats if K.shape[0] == 0]
-        if full:
-            K_all = np.vstack([K for _, K in full])
-            sizes = np.array([K.shape[0] for _, K in full])
+        full_pos = np.array([p for p, (_, K) in enumerate(mats) if K.shape[0] > 0], dtype="int64")
+        K_all = starts = sizes = None
+        if len(full_pos):
+            K_all = np.vstack([mats[p][1] for p in full_pos])
+            sizes = np.array([mats[p][1].shape[0] for p in full_pos])
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        width = (2 if merge == "concat" else 1) * dim
-        for pdf in batches:
-            out_id, out_key, out_f = [], [], []
-            for eid, seq in zip(pdf[id_col], pdf["seq"]):
+        for rb in batches:
+            eids = rb.column(id_col).to_numpy(zero_copy_only=False)
+            seqs = rb.column("seq").to_pylist()
+            ids, blocks = [], []
+            for eid, seq in zip(eids, seqs):
                 A = emb[np.asarray(seq if seq is not None else [], dtype="int64")]
-                if fast:
-                    if full:
-                        fs = attend_all(A, K_all, starts, sizes, op, pool, merge)
-                        out_id.extend([eid] * len(full))
-                        out_key.extend(k for k, _ in full)
-                        out_f.extend(fs)  # numpy rows go to Arrow without Python floats
-                    for k in empty_keys:
-                        out_id.append(eid)
-                        out_key.append(k)
-                        out_f.append(np.zeros(width))
-                    continue
-                for k, K in mats:
-                    f, _ = attend(A, K, op, pool, merge, beta)
-                    out_id.append(eid)
-                    out_key.append(k)
-                    out_f.append(f)
-            yield pd.DataFrame({id_col: out_id, "key_id": out_key, "f": out_f})
+                ids.append(eid)
+                blocks.append(per_answer(A, mats, full_pos, K_all, starts, sizes))
+                if len(ids) * len(keys) >= rows_per_chunk:
+                    yield emit(ids, blocks)
+                    ids, blocks = [], []
+            if ids:
+                yield emit(ids, blocks)
 
     schema = f"{id_col} long, key_id long, f array<double>"
-    return answer_seqs.select(id_col, "seq").mapInPandas(run, schema)
+    return answer_seqs.select(id_col, "seq").mapInArrow(run, schema)
 
 
 def keyword_features(att: DataFrame, id_col: str = "essay_id") -> DataFrame:
