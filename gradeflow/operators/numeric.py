@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeflow.plans.joins import lookup_join
-from gradeflow.plans.rank import global_rank
+from gradeflow.plans.rank import global_running_sum
 
 # ---------------------------------------------------------------- order statistics
 
@@ -29,12 +29,20 @@ def exact_percentiles(df: DataFrame, col: str, probs: list[float], by: str | Non
     non-null values of ``col``, per group ``by`` (optional).
 
     Returns ``(by?, p_idx, value)``: one row per group and probability.
+
+    Values are counted first, so a value held by a third of all rows is one
+    row; the distinct values (unique order keys, so range partitioning can
+    split them evenly) get distributed running counts, i.e. each covers the
+    positions ``[_cum - _c + 1, _cum]`` of the total order.  A wanted position
+    finds its value by an equi-join on a position bucket.
     """
     keys = [by] if by else []
     nn = df.filter(F.col(col).isNotNull()).select(*keys, F.col(col).cast("double").alias("_v"))
-    ranked = global_rank(nn, [*(F.col(k) for k in keys), F.col("_v")], name="_r")
-    # per group: start rank and size (a few rows)
-    sizes = ranked.groupBy(*keys).agg(F.min("_r").alias("_start"), F.count(F.lit(1)).alias("_n"))
+    counts = nn.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_cnt"))
+    cum = global_running_sum(counts, [*(F.col(k) for k in keys), F.col("_v")], {"_cum": F.col("_cnt")})
+    cum = cum.withColumn("_first", F.col("_cum") - F.col("_cnt") + 1)
+    # per group: first global position and size (one row per group)
+    sizes = cum.groupBy(*keys).agg(F.min("_first").alias("_start"), F.sum("_cnt").alias("_n"))
     # wanted positions per group: lower and upper neighbour of p*(n-1); each
     # group row expands into its probabilities with a generator (groups x
     # probabilities is small: probabilities are at most ~1000)
@@ -52,7 +60,17 @@ def exact_percentiles(df: DataFrame, col: str, probs: list[float], by: str | Non
         "_frac": F.col("_pos") - F.floor("_pos"),
     })
     need = pairs.select(F.col("_lo").alias("_r")).union(pairs.select(F.col("_hi").alias("_r"))).distinct()
-    picked = lookup_join(ranked, need, ["_r"], "left_semi").select("_r", "_v")
+    # bucket width: value rows expand into the buckets their range touches,
+    # at most (#distinct values + 100k) rows in total
+    total = cum.select(F.max("_cum_total")).first()[0] or 0
+    width = max(1, -(-total // 100_000))
+    spans = cum.select(
+        "_v", "_first", "_cum",
+        F.explode(F.sequence(F.floor((F.col("_first") - 1) / width), F.floor((F.col("_cum") - 1) / width))).alias("_b"),
+    )
+    need_b = need.withColumn("_b", F.floor((F.col("_r") - 1) / width))
+    hit = lookup_join(spans, need_b, ["_b"], "inner")
+    picked = hit.filter((F.col("_r") >= F.col("_first")) & (F.col("_r") <= F.col("_cum"))).select("_r", "_v")
     lo = picked.select(F.col("_r").alias("_lo"), F.col("_v").alias("_vlo"))
     hi = picked.select(F.col("_r").alias("_hi"), F.col("_v").alias("_vhi"))
     out = lookup_join(lookup_join(pairs, lo, ["_lo"]), hi, ["_hi"])

@@ -83,16 +83,52 @@ def global_running_sum(
         staged = staged.withColumn(f"_v_{name}", value)
     numbered = _numbered(staged, order, n_parts)
     pid = F.shiftright("_mid", _LOCAL_BITS)
-    within = Window.partitionBy(pid).orderBy("_mid").rowsBetween(Window.unboundedPreceding, 0)
-    out = numbered
+    # the checkpointed partitions hold their rows in order: the running sum
+    # inside a partition is a narrow scan (no second shuffle)
+    out = _within_partition_cumsum(numbered, list(sums))
     for name in sums:
         offsets = _offsets(numbered, F.col(f"_v_{name}"), name)
         out = out.join(F.broadcast(offsets), pid == F.col("_pid")).drop("_pid")
-        out = out.withColumn(name, F.col(f"_{name}_before") + F.sum(f"_v_{name}").over(within))
-        out = out.withColumnRenamed(f"_{name}_total", f"{name}_total").drop(f"_{name}_before", f"_v_{name}")
+        out = out.withColumn(name, F.col(f"_{name}_before") + F.col(f"_w_{name}"))
+        out = out.withColumnRenamed(f"_{name}_total", f"{name}_total").drop(
+            f"_{name}_before", f"_v_{name}", f"_w_{name}"
+        )
     return out.drop("_mid")
 
 
+def _within_partition_cumsum(numbered: DataFrame, names: list[str]) -> DataFrame:
+    """``_w_{name}``: inclusive cumulative sum of ``_v_{name}`` inside each
+    partition, in row order (Arrow batches, numpy cumsum)."""
+    from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+
+    fields = list(numbered.schema.fields)
+    integral = {}
+    for n in names:
+        t = numbered.schema[f"_v_{n}"].dataType.typeName()
+        integral[n] = t in ("long", "integer", "short", "byte")
+        fields.append(StructField(f"_w_{n}", LongType() if integral[n] else DoubleType()))
+    schema = StructType(fields)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        acc = {n: 0 for n in names}
+        for rb in batches:
+            cols = list(rb.columns)
+            for n in names:
+                v = rb.column(f"_v_{n}").fill_null(0).to_numpy(zero_copy_only=False)
+                c = np.cumsum(v.astype("int64" if integral[n] else "float64")) + acc[n]
+                if len(c):
+                    acc[n] = c[-1]
+                cols.append(pa.array(c))
+            yield pa.RecordBatch.from_arrays(cols, schema=pa.schema(
+                list(rb.schema) + [pa.field(f"_w_{n}", pa.int64() if integral[n] else pa.float64()) for n in names]
+            ))
+
+    return numbered.mapInArrow(run, schema)
+
+
 def global_ntile(df: DataFrame, order: list[Column], k: int, name: str = "tile") -> DataFrame:
     """``ntile(k) OVER (ORDER BY order)`` computed from H1 ranks: the first
     ``n mod k`` tiles hold one row more, as SQL's ntile does."""
