@@ -40,7 +40,8 @@ def exact_percentiles(df: DataFrame, col: str, probs: list[float], by: str | Non
     nn = df.filter(F.col(col).isNotNull()).select(*keys, F.col(col).cast("double").alias("_v"))
     counts = nn.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_cnt"))
     cum = global_running_sum(counts, [*(F.col(k) for k in keys), F.col("_v")], {"_cum": F.col("_cnt")})
-    cum = cum.withColumn("_first", F.col("_cum") - F.col("_cnt") + 1)
+    # read by the size checks, the bucket spans and the final join: written once
+    cum = cum.withColumn("_first", F.col("_cum") - F.col("_cnt") + 1).checkpoint(eager=True)
     # per group: first global position and size (one row per group)
     sizes = cum.groupBy(*keys).agg(F.min("_first").alias("_start"), F.sum("_cnt").alias("_n"))
     # wanted positions per group: lower and upper neighbour of p*(n-1); each
