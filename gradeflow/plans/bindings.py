@@ -50,6 +50,15 @@ def essays(spark, sf_dir) -> DataFrame:
     )
 
 
+def texts(spark, sf_dir) -> DataFrame:
+    """``essays`` without the score: no join with labels, so queries that
+    only read the text never shuffle it for a join."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(
+        F.col("doc_id").alias("essay_id"), F.col("lang").alias("essay_set"), F.col("text").alias("essay")
+    )
+
+
 def scored(spark, sf_dir) -> DataFrame:
     return essays(spark, sf_dir).filter(F.col("domain1_score").isNotNull())
 
@@ -65,7 +74,7 @@ def corpus_vocab(spark, sf_dir) -> DataFrame:
     its keywords)."""
     from gradeflow.operators.vocab import fit_vocab
 
-    return fit_vocab(essays(spark, sf_dir), extra=phrases(spark, sf_dir))
+    return fit_vocab(texts(spark, sf_dir), extra=phrases(spark, sf_dir))
 
 
 def vectors_from(vocab: DataFrame, embeddings: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ CAP, DIM = 10000, 64
 
 def inputs(spark, d):
     vocab = B.corpus_vocab(spark, d)
-    essays = B.essays(spark, d).select("essay_id", "essay")
+    essays = B.texts(spark, d).select("essay_id", "essay")
     seqs = V.texts_to_sequences(essays, vocab, num_words=CAP).select("essay_id", "seq")
     ph = B.phrases(spark, d)
     pseq = V.texts_to_sequences(ph, vocab, id_col="key_id", text_col="phrase", num_words=CAP).select("key_id", "seq")

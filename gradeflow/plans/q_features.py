@@ -30,7 +30,7 @@ def word_lists(spark, sf_dir) -> FT.WordLists:
 
 def _row_query(name):
     def q(spark, sf_dir):
-        out = FT.row_features(B.essays(spark, sf_dir))
+        out = FT.row_features(B.texts(spark, sf_dir))
         return out.select("essay_id", _r6(name))
 
     return q
@@ -98,7 +98,7 @@ _WL_IDS = {
 
 def _wl_query(name):
     def q(spark, sf_dir):
-        e = B.essays(spark, sf_dir)
+        e = B.texts(spark, sf_dir)
         got = FT.word_list_features(e, word_lists(spark, sf_dir))
         j = e.select("essay_id").join(got, "essay_id", "left")
         return j.select("essay_id", F.coalesce(F.col(name), F.lit(0)).cast("long").alias(name))
@@ -143,7 +143,7 @@ def _full_select():
 
 
 register("F18_dale_chall_index", _FULL_SQL + "SELECT essay_id, " + S.r6(_dale) + " AS dale_chall_index FROM fj")(
-    lambda spark, sf_dir: FT.generate_features(B.essays(spark, sf_dir), word_lists(spark, sf_dir)).select(
+    lambda spark, sf_dir: FT.generate_features(B.texts(spark, sf_dir), word_lists(spark, sf_dir)).select(
         "essay_id", F.round("dale_chall_index", 6).alias("dale_chall_index")
     )
 )

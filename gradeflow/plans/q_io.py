@@ -68,7 +68,7 @@ register(
 
 def s6(spark, d):
     path = IO.scratch_path(spark, "features")
-    e = B.essays(spark, d)
+    e = B.texts(spark, d)
     feats = e.select("essay_id", "essay_set", num_words("essay").alias("num_words"), num_sentences("essay").alias("num_sentences"))
     IO.write_features(feats, path)
     back = spark.read.parquet(path)
@@ -84,7 +84,7 @@ register(
 
 def s7(spark, d):
     path = IO.scratch_path(spark, "splits")
-    IO.write_splits(D.rotate_folds(B.essays(spark, d).select("essay_id")), path)
+    IO.write_splits(D.rotate_folds(B.texts(spark, d).select("essay_id")), path)
     back = spark.read.parquet(path)
     return back.select(F.col("fold").cast("int").alias("fold"), "split", "essay_id")
 

@@ -201,7 +201,7 @@ register("N13_assemble_row")(_n13)
 def _n14(spark, d):
     from gradeflow.plans.q_vocab import DIM
 
-    e = B.essays(spark, d)
+    e = B.texts(spark, d)
     vocab = B.corpus_vocab(spark, d)
     mv = V.mean_embedding(e, B.vectors_from(vocab, B.table(spark, d, "embeddings")), DIM)
     j = e.join(mv, "essay_id").withColumn("num_words", num_words("essay"))

@@ -24,7 +24,7 @@ register(
     + """, pf AS (SELECT essay_id, unnest(range(0, 5)) AS fold FROM essays)
 SELECT CAST(pf.fold AS INTEGER) AS fold, coalesce(f.role, 'train') AS split, pf.essay_id
 FROM pf LEFT JOIN fold_ids f ON pf.fold = f.fold AND pf.essay_id = f.essay_id""",
-)(lambda spark, d: D.apply_folds(B.essays(spark, d).select("essay_id"), B.fold_ids(spark, d)))
+)(lambda spark, d: D.apply_folds(B.texts(spark, d).select("essay_id"), B.fold_ids(spark, d)))
 
 register(
     "D2_rotate_folds",
@@ -32,12 +32,12 @@ register(
     + f""", pf AS (SELECT essay_id, {S.bucket_of('essay_id')} AS b, unnest(range(0, 5)) AS fold FROM essays)
 SELECT CAST(fold AS INTEGER) AS fold,
   CASE WHEN b = fold THEN 'test' WHEN b = (fold + 4) % 5 THEN 'dev' ELSE 'train' END AS split, essay_id FROM pf""",
-)(lambda spark, d: D.rotate_folds(B.essays(spark, d).select("essay_id")))
+)(lambda spark, d: D.rotate_folds(B.texts(spark, d).select("essay_id")))
 
 register(
     "D3_kfold_split",
     E + f"SELECT essay_id, CAST(ntile(5) OVER (ORDER BY {_h()}, essay_id) - 1 AS INTEGER) AS fold FROM essays",
-)(lambda spark, d: D.kfold_split(B.essays(spark, d).select("essay_id"), 5, SEED))
+)(lambda spark, d: D.kfold_split(B.texts(spark, d).select("essay_id"), 5, SEED))
 
 register(
     "D4_holdout_then_kfold",
@@ -46,7 +46,7 @@ register(
 v AS (SELECT *, CAST(ceil(n * 0.2::DOUBLE) AS BIGINT) AS nv FROM r)
 SELECT essay_id, CASE WHEN rn <= nv THEN 'val' ELSE 'cv' END AS role,
   CASE WHEN rn > nv THEN CAST(ntile(5) OVER (PARTITION BY rn > nv ORDER BY rn) - 1 AS INTEGER) END AS fold FROM v""",
-)(lambda spark, d: D.holdout_then_kfold(B.essays(spark, d).select("essay_id"), 0.2, 5, SEED))
+)(lambda spark, d: D.holdout_then_kfold(B.texts(spark, d).select("essay_id"), 0.2, 5, SEED))
 
 register(
     "D5_stratified_downsample",
@@ -97,6 +97,6 @@ tx AS (SELECT essay_id, string_agg(out, ' ' ORDER BY pos) AS essay FROM rp GROUP
 SELECT e.essay_id, coalesce(tx.essay, '') AS essay FROM essays e LEFT JOIN tx ON e.essay_id = tx.essay_id""",
 )(
     lambda spark, d: D.synonym_substitute(
-        B.essays(spark, d).select("essay_id", "essay"), B.synonyms_from(B.corpus_vocab(spark, d))
+        B.texts(spark, d).select("essay_id", "essay"), B.synonyms_from(B.corpus_vocab(spark, d))
     ).select("essay_id", "essay")
 )

@@ -40,13 +40,13 @@ register(
 )
 
 register("P5_clean_text", E + f"SELECT essay_id, {S.clean_text('essay')} AS essay FROM essays")(
-    lambda spark, d: C.clean_text(B.essays(spark, d)).select("essay_id", "essay")
+    lambda spark, d: C.clean_text(B.texts(spark, d)).select("essay_id", "essay")
 )
 
 register(
     "P6_normalize_quotes",
     E + "SELECT essay_id, translate(essay, chr(147) || chr(148) || chr(133), '\"\"') AS essay FROM essays",
-)(lambda spark, d: C.normalize_quotes(B.essays(spark, d)).select("essay_id", "essay"))
+)(lambda spark, d: C.normalize_quotes(B.texts(spark, d)).select("essay_id", "essay"))
 
 register(
     "P7_combine_text_columns",
@@ -61,11 +61,11 @@ register(
 )
 
 register("P8_add_constants", E + "SELECT essay_id, 1 AS temp_cat, essay AS lemmatized FROM essays")(
-    lambda spark, d: C.add_constants(B.essays(spark, d)).select("essay_id", "temp_cat", "lemmatized")
+    lambda spark, d: C.add_constants(B.texts(spark, d)).select("essay_id", "temp_cat", "lemmatized")
 )
 
 register("P9_debug_limit", E + "SELECT essay_id, essay_set FROM essays ORDER BY essay_id LIMIT 500")(
-    lambda spark, d: C.debug_limit(B.essays(spark, d).select("essay_id", "essay_set"), 500)
+    lambda spark, d: C.debug_limit(B.texts(spark, d).select("essay_id", "essay_set"), 500)
 )
 
 _NAMES = ["zero", "one", "two", "three"]
@@ -109,12 +109,12 @@ register(
 register(
     "G3_mean_words",
     E + f"SELECT essay_set, {S.r6('avg(' + S.num_words('essay') + ')')} AS mean_words FROM essays GROUP BY essay_set",
-)(lambda spark, d: G.mean_words(B.essays(spark, d)).withColumn("mean_words", F.round("mean_words", 6)))
+)(lambda spark, d: G.mean_words(B.texts(spark, d)).withColumn("mean_words", F.round("mean_words", 6)))
 
 register(
     "G4_max_words",
     E + f"SELECT essay_set, max({S.num_words('essay')}) AS max_words FROM essays GROUP BY essay_set",
-)(lambda spark, d: G.max_words(B.essays(spark, d)))
+)(lambda spark, d: G.max_words(B.texts(spark, d)))
 
 register(
     "G5_max_phrase_words",
@@ -129,7 +129,7 @@ register(
 # ---------------------------------------------------------------- K1-K6
 _NQ = "translate(essay, chr(147) || chr(148) || chr(133), '\"\"')"
 register("K1_extract_quotes", E + f"SELECT essay_id, {S.quotes(_NQ)} AS quotes FROM essays")(
-    lambda spark, d: L.extract_quotes(B.essays(spark, d)).select("essay_id", "quotes")
+    lambda spark, d: L.extract_quotes(B.texts(spark, d)).select("essay_id", "quotes")
 )
 
 register(
@@ -138,7 +138,7 @@ register(
     + f""", q AS (SELECT DISTINCT essay_set, unnest({S.quotes(_NQ)}) AS quote FROM essays)
 SELECT q.essay_set, q.quote, n.n_quotes FROM q
 JOIN (SELECT essay_set, CAST(count(*) AS BIGINT) AS n_quotes FROM q GROUP BY essay_set) n ON q.essay_set = n.essay_set""",
-)(lambda spark, d: L.quote_set(B.essays(spark, d)).select("essay_set", "quote", "n_quotes"))
+)(lambda spark, d: L.quote_set(B.texts(spark, d)).select("essay_set", "quote", "n_quotes"))
 
 register(
     "K3_phrase_union",
@@ -146,7 +146,7 @@ register(
 )(
     lambda spark, d: L.phrase_union(
         B.phrases(spark, d),
-        B.essays(spark, d).select(F.explode(T.quotes(T.normalize_quotes("essay"))).alias("phrase")),
+        B.texts(spark, d).select(F.explode(T.quotes(T.normalize_quotes("essay"))).alias("phrase")),
     )
 )
 
@@ -161,7 +161,7 @@ LEFT JOIN gazetteer g ON t.word = g.word
 GROUP BY e.essay_id""",
 )(
     lambda spark, d: L.lexicon_count(
-        B.essays(spark, d), B.gazetteer_from(B.corpus_vocab(spark, d)), list(B.GAZETTEER_FAMILIES.values())
+        B.texts(spark, d), B.gazetteer_from(B.corpus_vocab(spark, d)), list(B.GAZETTEER_FAMILIES.values())
     )
 )
 
@@ -183,7 +183,7 @@ pg AS (SELECT ngram, sum(tf) AS total, count(*) AS df FROM pd GROUP BY ngram)
 SELECT ngram, CAST(total AS BIGINT) AS total,
   round((ln((1 + (SELECT count(*) FROM essays)) / (1 + df)) + 1) * total, 6) AS score
 FROM pg ORDER BY score DESC, ngram LIMIT 30""",
-)(lambda spark, d: L.top_ngrams_tfidf(B.essays(spark, d)))
+)(lambda spark, d: L.top_ngrams_tfidf(B.texts(spark, d)))
 
 _PH_TOK = S.keras_tokens("phrase")
 register(
@@ -195,4 +195,4 @@ g AS (SELECT et.essay_id, ph.key_id, ph.ngram, array_to_string(et.t[i + 1:i + ph
       FROM et JOIN (SELECT DISTINCT n FROM ph) ln ON len(et.t) >= ln.n
       JOIN ph ON ph.n = ln.n, unnest(range(0, len(et.t) - ln.n + 1)) AS r(i))
 SELECT DISTINCT essay_id, key_id, 1 AS present FROM g WHERE gram = ngram""",
-)(lambda spark, d: L.phrase_presence(B.essays(spark, d), B.phrases(spark, d)))
+)(lambda spark, d: L.phrase_presence(B.texts(spark, d), B.phrases(spark, d)))

@@ -28,12 +28,12 @@ seqs AS (
 
 
 def _seqs(spark, d, cap=CAP):
-    e = B.essays(spark, d)
+    e = B.texts(spark, d)
     return V.texts_to_sequences(e.select("essay_id", "essay"), B.corpus_vocab(spark, d), num_words=cap)
 
 
 register("V1_tokenize", S.with_(S.ESSAYS) + f"SELECT essay_id, {S.keras_tokens('essay')} AS tokens FROM essays")(
-    lambda spark, d: V.tokenize(B.essays(spark, d)).select("essay_id", "tokens")
+    lambda spark, d: V.tokenize(B.texts(spark, d)).select("essay_id", "tokens")
 )
 
 register("V2_fit_vocab", EV + 'SELECT word, count, "index" FROM vocab')(
@@ -103,7 +103,7 @@ bc AS (SELECT word, count(*) AS cnt FROM bw GROUP BY word ORDER BY cnt DESC, wor
 SELECT '<unk>' AS word, CAST(NULL AS BIGINT) AS count, CAST(0 AS BIGINT) AS "index"
 UNION ALL SELECT '<pad>', NULL, 1
 UNION ALL SELECT word, CAST(cnt AS BIGINT), CAST(row_number() OVER (ORDER BY cnt DESC, word) + 1 AS BIGINT) FROM bc""",
-)(lambda spark, d: V.basic_english_vocab(B.essays(spark, d), max_size=CAP))
+)(lambda spark, d: V.basic_english_vocab(B.texts(spark, d), max_size=CAP))
 
 register(
     "V9_clean_oov",
@@ -133,7 +133,7 @@ SELECT essay_id, list_resize(list(r ORDER BY sp), {MAX_SENTS}, list_resize(CAST(
 FROM rows_ GROUP BY essay_id""",
 )(
     lambda spark, d: V.encode_hierarchical(
-        B.essays(spark, d).select("essay_id", "essay"), B.corpus_vocab(spark, d), max_sents=MAX_SENTS, max_words=MAX_WORDS
+        B.texts(spark, d).select("essay_id", "essay"), B.corpus_vocab(spark, d), max_sents=MAX_SENTS, max_words=MAX_WORDS
     )
 )
 
@@ -150,7 +150,7 @@ FROM essays e LEFT JOIN mv ON e.essay_id = mv.essay_id""",
 )(
     lambda spark, d: (
         lambda vocab: V.mean_embedding(
-            B.essays(spark, d), B.vectors_from(vocab, B.table(spark, d, "embeddings")), DIM
+            B.texts(spark, d), B.vectors_from(vocab, B.table(spark, d, "embeddings")), DIM
         ).select("essay_id", _r6_vec("mean_vec"))
     )(B.corpus_vocab(spark, d))
 )
