@@ -24,6 +24,18 @@ def test_rank_matches_row_number(spark):
         assert got == want
 
 
+def test_rank_with_many_coalesced_partitions(spark):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        df = _data(spark, 3)
+        got = [r["id"] for r in global_rank(df, [F.col("k").desc(), F.col("id")]).orderBy("rank").collect()]
+        want = [r["id"] for r in df.orderBy(F.col("k").desc(), F.col("id")).collect()]
+        assert got == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
 def test_running_sum_and_ntile(spark):
     df = _data(spark, 4)
     rs = global_running_sum(df, [F.col("id")], {"s": F.col("k")}).orderBy("id").collect()
