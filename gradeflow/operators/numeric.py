@@ -24,11 +24,15 @@ from gradeflow.plans.rank import global_running_sum
 # ---------------------------------------------------------------- order statistics
 
 
-def exact_percentiles(df: DataFrame, col: str, probs: list[float], by: str | None = None) -> DataFrame:
+def exact_percentiles(
+    df: DataFrame, col: str, probs: list[float] | None = None, by: str | None = None, grid: int | None = None
+) -> DataFrame:
     """Exact linear-interpolated percentiles (SQL ``percentile_cont``) of the
-    non-null values of ``col``, per group ``by`` (optional).
+    non-null values of ``col``, per group ``by`` (optional).  Either fixed
+    ``probs``, or ``grid``: per group the probabilities i/(q-1), q =
+    min(grid, n) (the quantile transform's references).
 
-    Returns ``(by?, p_idx, value)``: one row per group and probability.
+    Returns ``(by?, p_idx, value, n)``: one row per group and probability.
 
     Values are counted first, so a value held by a third of all rows is one
     row; the distinct values (unique order keys, so range partitioning can
@@ -47,13 +51,21 @@ def exact_percentiles(df: DataFrame, col: str, probs: list[float], by: str | Non
     # wanted positions per group: lower and upper neighbour of p*(n-1); each
     # group row expands into its probabilities with a generator (groups x
     # probabilities is small: probabilities are at most ~1000)
-    pairs = sizes.select(
-        *keys, "_start", "_n",
-        F.explode(F.arrays_zip(
-            F.sequence(F.lit(0), F.lit(len(probs) - 1)).alias("i"),
-            F.array(*[F.lit(float(p)) for p in probs]).alias("p"),
-        )).alias("_ip"),
-    ).select(*keys, "_start", "_n", F.col("_ip.i").alias("p_idx"), F.col("_ip.p").alias("p"))
+    if grid is not None:
+        q = F.least(F.lit(grid).cast("long"), F.col("_n"))
+        pairs = sizes.select(*keys, "_start", "_n", F.explode(F.sequence(F.lit(0).cast("long"), q - 1)).alias("p_idx"))
+        q = F.least(F.lit(grid).cast("long"), F.col("_n"))
+        pairs = pairs.withColumn(
+            "p", F.when(q > 1, F.col("p_idx").cast("double") / (q - 1).cast("double")).otherwise(F.lit(0.0))
+        )
+    else:
+        pairs = sizes.select(
+            *keys, "_start", "_n",
+            F.explode(F.arrays_zip(
+                F.sequence(F.lit(0), F.lit(len(probs) - 1)).alias("i"),
+                F.array(*[F.lit(float(p)) for p in probs]).alias("p"),
+            )).alias("_ip"),
+        ).select(*keys, "_start", "_n", F.col("_ip.i").alias("p_idx"), F.col("_ip.p").alias("p"))
     pairs = pairs.withColumn("_pos", F.col("p") * (F.col("_n") - 1))
     pairs = pairs.withColumns({
         "_lo": F.floor("_pos").cast("long") + F.col("_start"),
@@ -76,11 +88,11 @@ def exact_percentiles(df: DataFrame, col: str, probs: list[float], by: str | Non
     hi = picked.select(F.col("_r").alias("_hi"), F.col("_v").alias("_vhi"))
     out = lookup_join(lookup_join(pairs, lo, ["_lo"]), hi, ["_hi"])
     value = F.col("_vlo") + F.col("_frac") * (F.col("_vhi") - F.col("_vlo"))
-    return out.select(*keys, "p_idx", value.alias("value"))
+    return out.select(*keys, F.col("p_idx").cast("int").alias("p_idx"), value.alias("value"), F.col("_n").alias("n"))
 
 
 def medians(df: DataFrame, col: str, by: str | None = None) -> DataFrame:
-    return exact_percentiles(df, col, [0.5], by).drop("p_idx").withColumnRenamed("value", f"_med_{col}")
+    return exact_percentiles(df, col, [0.5], by).drop("p_idx", "n").withColumnRenamed("value", f"_med_{col}")
 
 
 def impute_median(df: DataFrame, cols: list[str], by: str | None = "split") -> DataFrame:
@@ -204,11 +216,11 @@ def quantile_probs(n_train: int, n_quantiles: int = 1000) -> list[float]:
 def fit_quantiles(df: DataFrame, col: str, n_quantiles: int = 1000) -> tuple[list[float], list[float]]:
     """References: exact percentiles at i/(n_q-1), n_q = min(n_quantiles, n).
     At most n_quantiles numbers reach the driver (the fitted model)."""
-    n = df.filter(F.col(col).isNotNull()).count()
-    probs = quantile_probs(n, n_quantiles)
-    rows = exact_percentiles(df, col, probs).collect()
+    rows = exact_percentiles(df, col, grid=n_quantiles).collect()
+    if not rows:
+        return [], []
     refs = [v for _, v in sorted((r["p_idx"], r["value"]) for r in rows)]
-    return probs, refs
+    return quantile_probs(rows[0]["n"], n_quantiles), refs
 
 
 def _np_horner(coefs, x):
@@ -277,18 +289,13 @@ def fit_quantile_normal(src: DataFrame, cols: list[str], n_quantiles: int = 1000
     stacked = src.select(
         F.explode(F.array(*[F.struct(F.lit(c).alias("_c"), F.col(c).cast("double").alias("_x")) for c in cols])).alias("_s")
     ).select("_s._c", "_s._x")
-    counts = {r["_c"]: r["n"] for r in stacked.filter(F.col("_x").isNotNull()).groupBy("_c").agg(F.count(F.lit(1)).alias("n")).collect()}
-    shared = [c for c in cols if counts.get(c, 0) >= n_quantiles]
+    # each column gets its own grid min(n_quantiles, n) inside the same pass
+    rows = exact_percentiles(stacked, "_x", by="_c", grid=n_quantiles).collect()
     fitted = {}
-    if shared:
-        probs = quantile_probs(n_quantiles, n_quantiles)
-        rows = exact_percentiles(stacked.filter(F.col("_c").isin(shared)), "_x", probs, by="_c").collect()
-        for c in shared:
-            refs = [v for _, v in sorted((r["p_idx"], r["value"]) for r in rows if r["_c"] == c)]
-            fitted[c] = (probs, refs)
     for c in cols:
-        if c not in fitted and counts.get(c, 0) > 0:
-            fitted[c] = fit_quantiles(src, c, n_quantiles)
+        mine = sorted((r["p_idx"], r["value"], r["n"]) for r in rows if r["_c"] == c)
+        if mine:  # an all-null column has no references and stays null
+            fitted[c] = (quantile_probs(mine[0][2], n_quantiles), [v for _, v, _ in mine])
     return fitted
 
 
