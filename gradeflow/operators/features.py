@@ -79,10 +79,18 @@ def word_list_features(df: DataFrame, lists: WordLists, id_col="essay_id", text_
     lex = _need(lists.lexicon, "lexicon").select("word", "tag")
     dic = _need(lists.dictionary, "dictionary").select("word").distinct()
     easy = _need(lists.easy_words, "easy_words").select("word").distinct()
+    # one row per word from a union and one aggregation (no outer joins)
+    none_s, none_b = F.lit(None).cast("string"), F.lit(None).cast("boolean")
     facts = (
-        lex.groupBy("word").agg(F.collect_set("tag").alias("tags"))
-        .join(dic.withColumn("in_dict", F.lit(True)), "word", "full")
-        .join(easy.withColumn("is_easy", F.lit(True)), "word", "full")
+        lex.select("word", F.col("tag"), none_b.alias("d"), none_b.alias("e"))
+        .unionByName(dic.select("word", none_s.alias("tag"), F.lit(True).alias("d"), none_b.alias("e")))
+        .unionByName(easy.select("word", none_s.alias("tag"), none_b.alias("d"), F.lit(True).alias("e")))
+        .groupBy("word")
+        .agg(
+            F.collect_set("tag").alias("tags"),
+            F.max("d").alias("in_dict"),
+            F.max("e").alias("is_easy"),
+        )
     )
     # kind 1: V1 tokens (every occurrence) for the tags; 2: distinct
     # lower-case blank tokens for spelling; 3: lower-case letter words (every
