@@ -239,11 +239,18 @@ def attention_top_words(
                 s = np.asarray(seq if seq is not None else [], dtype="int64")
                 if s.size == 0:
                     continue
-                A = emb[s]
+                # score each distinct word once, in order of first position:
+                # repeated words then tie exactly and the first max is the
+                # lowest position (a product over repeated columns may differ
+                # in the last bit)
+                uniq, first = np.unique(s, return_index=True)
+                order = np.argsort(first)
+                uniq, first = uniq[order], first[order]
+                A = emb[uniq]
                 for k, ids, K in mats:
                     if ids.size == 0:
                         continue
-                    best = np.argmax(_scores(A, K, op), axis=1)  # first max = lowest position
+                    best = first[np.argmax(_scores(A, K, op), axis=1)]
                     for i, j in enumerate(best):
                         rows[id_col].append(eid)
                         rows["key_id"].append(k)

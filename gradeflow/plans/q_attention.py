@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from gradeflow.operators import attention as A
 from gradeflow.operators import vocab as V
 from gradeflow.plans import bindings as B
+from gradeflow.plans import sql as S
 from gradeflow.plans.registry import register
 
 CAP, DIM = 10000, 64
@@ -53,4 +54,35 @@ def top_words_query(spark, d):
     return top.join(words, "word_id", "left")
 
 
-register("K9_attention_top_words")(top_words_query)
+def _seq_sql(src, id_col, text_col, pos_name):
+    """Capped V3 token ids with their position inside the id sequence."""
+    return f"""SELECT t.{id_col}, CAST(v."index" AS INTEGER) AS wid,
+    CAST(row_number() OVER (PARTITION BY t.{id_col} ORDER BY t.p) - 1 AS INTEGER) AS {pos_name}
+  FROM (SELECT {id_col}, unnest(tk) AS word, generate_subscripts(tk, 1) AS p
+        FROM (SELECT {id_col}, {S.keras_tokens(text_col)} AS tk FROM {src})) t
+  JOIN vocab v ON t.word = v.word WHERE v."index" < {CAP}"""
+
+
+# The argmax over answer positions only needs, per essay, the first
+# position of each distinct word that has a vector, plus the earliest word
+# without one (all of those score exactly 0).
+K9_SQL = S.with_(S.ESSAYS, S.PHRASES, S.VOCAB, S.VECTORS) + f""", vv AS (
+  SELECT CAST(v."index" AS INTEGER) AS wid, list_transform(x.vec, lambda y: CAST(y AS DOUBLE)) AS vec
+  FROM vocab v JOIN vectors x ON v.word = x.word WHERE v."index" < {CAP}),
+es AS ({_seq_sql('essays', 'essay_id', 'essay', 'apos')}),
+pt AS ({_seq_sql('phrases', 'key_id', 'phrase', 'kpos')}),
+cand AS (
+  SELECT es.essay_id, es.wid, min(es.apos) AS apos FROM es JOIN vv ON es.wid = vv.wid GROUP BY es.essay_id, es.wid
+  UNION ALL
+  SELECT es.essay_id, NULL AS wid, min(es.apos) AS apos FROM es LEFT JOIN vv ON es.wid = vv.wid
+  WHERE vv.wid IS NULL GROUP BY es.essay_id),
+pairs AS (
+  SELECT c.essay_id, p.key_id, p.kpos, c.apos,
+         CASE WHEN kv.vec IS NULL OR av.vec IS NULL THEN 0.0 ELSE list_dot_product(kv.vec, av.vec) END AS z
+  FROM cand c CROSS JOIN pt p LEFT JOIN vv kv ON p.wid = kv.wid LEFT JOIN vv av ON c.wid = av.wid),
+best AS (SELECT essay_id, key_id, kpos, first(apos ORDER BY z DESC, apos) AS apos FROM pairs GROUP BY essay_id, key_id, kpos)
+SELECT b.essay_id, b.key_id, b.kpos, b.apos, es.wid AS word_id, v.word
+FROM best b JOIN es ON b.essay_id = es.essay_id AND b.apos = es.apos
+LEFT JOIN vocab v ON es.wid = v."index\""""
+
+register("K9_attention_top_words", K9_SQL)(top_words_query)
