@@ -19,6 +19,15 @@ from gradeflow.plans.registry import register
 CAP, DIM = 10000, 64
 
 
+def _seq_sql(src, id_col, text_col, pos_name):
+    """Capped V3 token ids with their position inside the id sequence (SQL)."""
+    return f"""SELECT t.{id_col}, CAST(v."index" AS INTEGER) AS wid,
+    CAST(row_number() OVER (PARTITION BY t.{id_col} ORDER BY t.p) - 1 AS INTEGER) AS {pos_name}
+  FROM (SELECT {id_col}, unnest(tk) AS word, generate_subscripts(tk, 1) AS p
+        FROM (SELECT {id_col}, {S.keras_tokens(text_col)} AS tk FROM {src})) t
+  JOIN vocab v ON t.word = v.word WHERE v."index" < {CAP}"""
+
+
 def inputs(spark, d):
     vocab = B.corpus_vocab(spark, d)
     essays = B.texts(spark, d).select("essay_id", "essay")
@@ -35,7 +44,57 @@ def keyword_attention_query(spark, d):
     return att.select("essay_id", "key_id", F.transform("f", lambda x: F.round(x, 6)).alias("f"))
 
 
-register("K7_keyword_attention")(keyword_attention_query)
+def _k7_sql():
+    """dp / mean / concat attention from distinct words.  With c_w the count
+    of word w in the essay, u = sum_w beta_w a_w with beta_w = mean over key
+    words i of the softmax weight c_w e^{z_iw} / sum_w' c_w' e^{z_iw'}, and
+    v = sum_i delta_i k_i with delta_i = sum_w c_w softmax_i(z_iw) / n.
+    Words without a vector are folded into one zero word per essay."""
+    dims = range(1, DIM + 1)
+    u_vec = ", ".join(f"sum(b.b * av.vec[{d}])" for d in dims)
+    v_vec = ", ".join(f"sum(dl.dlt * coalesce(p.kvec[{d}], 0.0))" for d in dims)
+    zeros = f"list_resize(CAST([] AS DOUBLE[]), {DIM}, 0.0)"
+    return S.with_(S.ESSAYS, S.PHRASES, S.VOCAB, S.VECTORS) + f""", vv AS (
+  SELECT CAST(v."index" AS INTEGER) AS wid, list_transform(x.vec, lambda y: CAST(y AS DOUBLE)) AS vec
+  FROM vocab v JOIN vectors x ON v.word = x.word WHERE v."index" < {CAP}),
+es AS ({_seq_sql('essays', 'essay_id', 'essay', 'apos')}),
+pt AS ({_seq_sql('phrases', 'key_id', 'phrase', 'kpos')}),
+ne AS (SELECT essay_id, count(*) AS n FROM es GROUP BY essay_id),
+cand AS (
+  SELECT es.essay_id, es.wid, count(*) AS c FROM es JOIN vv ON es.wid = vv.wid GROUP BY es.essay_id, es.wid
+  UNION ALL
+  SELECT es.essay_id, -1 AS wid, count(*) AS c FROM es LEFT JOIN vv ON es.wid = vv.wid
+  WHERE vv.wid IS NULL GROUP BY es.essay_id),
+pk AS (SELECT pt.key_id, pt.kpos, vv.vec AS kvec FROM pt LEFT JOIN vv ON pt.wid = vv.wid),
+psize AS (SELECT key_id, count(*) AS m FROM pt GROUP BY key_id),
+z AS (
+  SELECT c.essay_id, p.key_id, p.kpos, c.wid, c.c,
+         CASE WHEN p.kvec IS NULL OR av.vec IS NULL THEN 0.0 ELSE list_dot_product(p.kvec, av.vec) END AS z
+  FROM cand c CROSS JOIN pk p LEFT JOIN vv av ON c.wid = av.wid),
+zm AS (SELECT *, max(z) OVER (PARTITION BY essay_id, key_id, kpos) AS mi,
+                 max(z) OVER (PARTITION BY essay_id, key_id, wid) AS mw FROM z),
+ze AS (SELECT *, c * exp(z - mi) AS an, exp(z - mw) AS gn FROM zm),
+zs AS (SELECT *, sum(an) OVER (PARTITION BY essay_id, key_id, kpos) AS ad,
+                 sum(gn) OVER (PARTITION BY essay_id, key_id, wid) AS gd FROM ze),
+beta AS (SELECT zs.essay_id, zs.key_id, zs.wid, sum(an / ad) / ps.m AS b
+  FROM zs JOIN psize ps ON zs.key_id = ps.key_id WHERE zs.wid >= 0 GROUP BY zs.essay_id, zs.key_id, zs.wid, ps.m),
+delta AS (SELECT zs.essay_id, zs.key_id, zs.kpos, sum(zs.c * gn / gd) / ne.n AS dlt
+  FROM zs JOIN ne ON zs.essay_id = ne.essay_id GROUP BY zs.essay_id, zs.key_id, zs.kpos, ne.n),
+u AS (SELECT b.essay_id, b.key_id, [{u_vec}] AS u FROM beta b JOIN vv av ON b.wid = av.wid GROUP BY b.essay_id, b.key_id),
+v AS (SELECT dl.essay_id, dl.key_id, [{v_vec}] AS v
+  FROM delta dl JOIN pk p ON dl.key_id = p.key_id AND dl.kpos = p.kpos GROUP BY dl.essay_id, dl.key_id),
+k7 AS (SELECT e.essay_id, k.item_id AS key_id,
+  list_transform(list_concat(coalesce(u.u, {zeros}), coalesce(v.v, {zeros})), lambda x: round(x, 6)) AS f
+FROM essays e CROSS JOIN benchmark k
+LEFT JOIN u ON u.essay_id = e.essay_id AND u.key_id = k.item_id
+LEFT JOIN v ON v.essay_id = e.essay_id AND v.key_id = k.item_id)
+"""
+
+
+K7_SQL = _k7_sql() + "SELECT essay_id, key_id, f FROM k7"
+K8_SQL = _k7_sql() + "SELECT essay_id, flatten(list(f ORDER BY key_id)) AS keyword_features FROM k7 GROUP BY essay_id"
+
+register("K7_keyword_attention", K7_SQL)(keyword_attention_query)
 
 
 def keyword_features_query(spark, d):
@@ -44,7 +103,7 @@ def keyword_features_query(spark, d):
     return feats.select("essay_id", F.transform("keyword_features", lambda x: F.round(x, 6)).alias("keyword_features"))
 
 
-register("K8_keyword_features")(keyword_features_query)
+register("K8_keyword_features", K8_SQL)(keyword_features_query)
 
 
 def top_words_query(spark, d):
@@ -54,15 +113,6 @@ def top_words_query(spark, d):
     return top.join(words, "word_id", "left")
 
 
-def _seq_sql(src, id_col, text_col, pos_name):
-    """Capped V3 token ids with their position inside the id sequence."""
-    return f"""SELECT t.{id_col}, CAST(v."index" AS INTEGER) AS wid,
-    CAST(row_number() OVER (PARTITION BY t.{id_col} ORDER BY t.p) - 1 AS INTEGER) AS {pos_name}
-  FROM (SELECT {id_col}, unnest(tk) AS word, generate_subscripts(tk, 1) AS p
-        FROM (SELECT {id_col}, {S.keras_tokens(text_col)} AS tk FROM {src})) t
-  JOIN vocab v ON t.word = v.word WHERE v."index" < {CAP}"""
-
-
 # The argmax over answer positions only needs, per essay, the first
 # position of each distinct word that has a vector, plus the earliest word
 # without one (all of those score exactly 0).

@@ -133,4 +133,10 @@ def s10(spark, d):
     return spark.read.parquet(path)
 
 
-register("S10_write_attention")(s10)
+def _k7_sql():
+    from gradeflow.plans.q_attention import K7_SQL
+
+    return K7_SQL
+
+
+register("S10_write_attention", _k7_sql())(s10)

@@ -195,7 +195,24 @@ def _n13(spark, d):
     return CT.assemble_row(e, "domain1_score", cats, ["num_words"], "padded", "mask", "essay", extra=["essay_id"])
 
 
-register("N13_assemble_row")(_n13)
+def _n13_sql():
+    from gradeflow.plans.q_vocab import SEQ_SQL
+
+    return (
+        S.with_(S.ESSAYS, S.SCORED, S.PHRASES, S.VOCAB)
+        + SEQ_SQL
+        + f""", cats AS (SELECT list(DISTINCT essay_set ORDER BY essay_set) AS c FROM scored)
+SELECT s.essay_id, s.domain1_score AS labels,
+  list_transform(cats.c, lambda v: CASE WHEN v = s.essay_set THEN 1.0 ELSE 0.0 END) AS cat_feats,
+  [CAST({S.num_words('s.essay')} AS DOUBLE)] AS numerical_feats,
+  list_resize(q.seq, 100, 0) AS input_ids,
+  list_transform(list_resize(q.seq, 100, 0), lambda x: CASE WHEN x = 0 THEN 0 ELSE 1 END) AS attention_mask,
+  s.essay AS text
+FROM scored s JOIN seqs q ON s.essay_id = q.essay_id, cats"""
+    )
+
+
+register("N13_assemble_row", _n13_sql())(_n13)
 
 
 def _n14(spark, d):
