@@ -16,6 +16,7 @@ from gradeflow.operators import models as MD
 from gradeflow.operators import numeric as NU
 from gradeflow.operators import splits as D
 from gradeflow.operators.features import FEATURE_COLUMNS
+from gradeflow.sources import io as IO
 
 REPORT = {"acc": "eval_acc", "f1": "eval_f1", "acc_and_f1": "eval_acc_and_f1", "mcc": "eval_mcc", "qwk": "eval_QWK"}
 
@@ -86,6 +87,7 @@ class RunConfig:
     id_col: str = "essay_id"
     head: str = "linear"
     seed: int = 42
+    output_dir: str | None = None  # when set: predictions (S8), metrics (S9), summary JSON
 
 
 def run_config(cfg: RunConfig, data: DataFrame | None = None, splits: dict | None = None) -> DataFrame:
@@ -115,15 +117,21 @@ def run_config(cfg: RunConfig, data: DataFrame | None = None, splits: dict | Non
         va = va.fillna(0.0, subset=feats)
         if cfg.task == "regression":
             model = MD.train_score_regressor(tr, feats, cfg.label_col)
-            pred = model.transform(va).select(F.col("prediction").alias("pred"), F.col(cfg.label_col).alias("label"))
+            pred = model.transform(va).select(
+                cfg.id_col, F.col("prediction").alias("pred"), F.col(cfg.label_col).alias("label")
+            )
             rep = M.regression_metrics(pred)
             pairs = F.array(*[F.struct(F.lit(f"eval_{c}").alias("metric"), F.col(c).alias("value")) for c in rep.columns])
         else:
             model = MD.train_score_classifier(tr, feats, cfg.label_col, head=cfg.head, seed=cfg.seed)
-            pred = MD.predict(model, va, [F.col(cfg.label_col).cast("int").alias("label")])
+            pred = MD.predict(model, va, [cfg.id_col, F.col(cfg.label_col).cast("int").alias("label")])
             rep = M.benchmark_report(pred, "label", "pred")
             pairs = F.array(*[F.struct(F.lit(v).alias("metric"), F.col(k).alias("value")) for k, v in REPORT.items()])
-        rows.append(rep.select(F.explode(pairs).alias("x")).select(F.lit(name).alias("fold"), "x.metric", "x.value"))
+        fold_rows = rep.select(F.explode(pairs).alias("x")).select(F.lit(name).alias("fold"), "x.metric", "x.value")
+        if cfg.output_dir:
+            IO.write_predictions(pred, f"{cfg.output_dir}/{name}/predictions", cfg.task, cfg.id_col, "pred", "label")
+            IO.write_metrics(fold_rows, f"{cfg.output_dir}/{name}/metrics")
+        rows.append(fold_rows)
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)
@@ -131,4 +139,7 @@ def run_config(cfg: RunConfig, data: DataFrame | None = None, splits: dict | Non
     summary = agg.select(F.lit("mean").alias("fold"), "metric", F.col("mean").alias("value")).unionByName(
         agg.select(F.lit("stdev").alias("fold"), "metric", F.col("stdev").alias("value"))
     )
+    if cfg.output_dir:
+        named = summary.select(F.concat_ws("_", "fold", "metric").alias("metric"), "value")
+        IO.write_metrics(named, f"{cfg.output_dir}/summary", as_json=True)
     return out.unionByName(summary)

@@ -131,22 +131,29 @@ def write_splits(splits: DataFrame, path: str) -> None:
     splits.write.mode("overwrite").partitionBy("fold", "split").parquet(path)
 
 
-def prediction_lines(df: DataFrame, task: str, index_col: str, pred_col: str, label_col: str | None = None):
+def prediction_lines(
+    df: DataFrame, task: str, index_col: str, pred_col: str, label_col: str | None = None, keep: tuple = ()
+):
     """S8 rows: classification ``index\\tlabel``; regression
     ``index\\tpred(%3.3f)\\tlabel``."""
     if task == "regression":
         line = F.format_string("%d\t%3.3f\t%d", F.col(index_col), F.col(pred_col), F.col(label_col).cast("long"))
     else:
         line = F.format_string("%d\t%s", F.col(index_col), F.col(pred_col).cast("string"))
-    return df.select(line.alias("value"))
+    return df.select(line.alias("value"), *keep)
 
 
 def write_predictions(df: DataFrame, path: str, task: str, index_col: str, pred_col: str, label_col=None) -> None:
     """One text file set with a header line ``index\\tprediction``."""
     spark = df.sparkSession
-    header = spark.createDataFrame([("index\tprediction", 0)], "value string, _o int")
-    body = prediction_lines(df, task, index_col, pred_col, label_col).withColumn("_o", F.lit(1))
-    header.unionByName(body).orderBy("_o").drop("_o").write.mode("overwrite").text(path)
+    header = spark.createDataFrame([("index\tprediction", 0, None)], "value string, _o int, _i long")
+    body = prediction_lines(
+        df.withColumn("_i", F.col(index_col).cast("long")), task, index_col, pred_col, label_col, keep=("_i",)
+    )
+    body = body.withColumn("_o", F.lit(1))
+    # sorted by (header first, index): the index spreads the range sort
+    # evenly, the header lands in the first file
+    header.unionByName(body).orderBy("_o", "_i").drop("_o", "_i").write.mode("overwrite").text(path)
 
 
 def metric_lines(metrics: DataFrame) -> DataFrame:

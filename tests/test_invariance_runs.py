@@ -34,10 +34,15 @@ def test_run_config_folder_regression(spark):
         "val": df.filter((F.col("essay_id") >= 80) & (F.col("essay_id") < 100)),
         "test": df.filter(F.col("essay_id") >= 100),
     }
+    out_dir = IO.scratch_path(spark, "run")
     cfg = X.RunConfig(mode="folder", task="regression", cat_cols=["essay_set"], num_cols=["a", "b"],
-                      numerical_transformer="yeo_johnson")
+                      numerical_transformer="yeo_johnson", output_dir=out_dir)
     out = {(r["fold"], r["metric"]): r["value"] for r in X.run_config(cfg, splits=splits).collect()}
     assert ("folder", "eval_mse") in out and out[("stdev", "eval_mse")] == 0.0
+    lines = [r["value"] for r in spark.read.text(f"{out_dir}/folder/predictions").collect()]
+    assert lines[0] == "index\tprediction" and len(lines) == 21
+    summary = json.loads(spark.read.text(f"{out_dir}/summary").first()["value"])
+    assert "mean_eval_mse" in summary
 
 
 def test_metrics_json(spark):
