@@ -22,8 +22,18 @@ def category_na(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("nan")) for c in cols})
 
 
+MAX_CATEGORIES = 10_000  # one output column each: beyond this use label_encode
+
+
+def _bounded(values: list, col: str) -> list:
+    if len(values) > MAX_CATEGORIES:
+        raise ValueError(f"{col} has more than {MAX_CATEGORIES} categories; use label_encode")
+    return values
+
+
 def _sorted_categories(df: DataFrame, col: str) -> list[str]:
-    return [r[0] for r in df.select(F.col(col).cast("string")).distinct().orderBy(1).collect()]
+    distinct = df.select(F.col(col).cast("string")).distinct().orderBy(1).limit(MAX_CATEGORIES + 1)
+    return _bounded([r[0] for r in distinct.collect()], col)
 
 
 def one_hot(df: DataFrame, cols: list[str], fit_on: DataFrame | None = None) -> DataFrame:
@@ -66,9 +76,10 @@ def binary_encode(df: DataFrame, cols: list[str], id_col: str, fit_on: DataFrame
             src.groupBy(F.col(c).cast("string").alias("v"))
             .agg(F.min(id_col).alias("first"))
             .orderBy("first")
+            .limit(MAX_CATEGORIES + 1)
             .collect()
         )
-        classes = [r["v"] for r in firsts]
+        classes = _bounded([r["v"] for r in firsts], c)
         val = F.col(c).cast("string")
         if len(classes) == 1:
             out = out.withColumn(f"{c}_binary", F.lit(0))
