@@ -55,7 +55,6 @@ class WordLists:
     lexicon: DataFrame | None = None
     dictionary: DataFrame | None = None
     easy_words: DataFrame | None = None
-    stop_words: tuple[str, ...] | None = None
 
 
 def row_features(df: DataFrame, text_col: str = "essay") -> DataFrame:
