@@ -84,7 +84,8 @@ u AS (SELECT b.essay_id, b.key_id, [{u_vec}] AS u FROM beta b JOIN vv av ON b.wi
 v AS (SELECT dl.essay_id, dl.key_id, [{v_vec}] AS v
   FROM delta dl JOIN pk p ON dl.key_id = p.key_id AND dl.kpos = p.kpos GROUP BY dl.essay_id, dl.key_id),
 k7 AS (SELECT e.essay_id, k.item_id AS key_id,
-  list_transform(list_concat(coalesce(u.u, {zeros}), coalesce(v.v, {zeros})), lambda x: round(x, 6)) AS f
+  list_transform(list_concat(coalesce(u.u, {zeros}), coalesce(v.v, {zeros})),
+                 lambda x: CASE WHEN round(x, 6) = 0 THEN 0.0 ELSE round(x, 6) END) AS f
 FROM essays e CROSS JOIN benchmark k
 LEFT JOIN u ON u.essay_id = e.essay_id AND u.key_id = k.item_id
 LEFT JOIN v ON v.essay_id = e.essay_id AND v.key_id = k.item_id)

@@ -12,7 +12,9 @@ q = P.sql_str
 
 
 def r6(e: str) -> str:
-    return f"round(CAST({e} AS DOUBLE), 6)"
+    """Round to 6 places like Spark's ``round``: DuckDB can return -0.0 where
+    Spark's decimal rounding gives 0.0, so zero is normalised."""
+    return f"(CASE WHEN round(CAST({e} AS DOUBLE), 6) = 0 THEN 0.0 ELSE round(CAST({e} AS DOUBLE), 6) END)"
 
 
 # ---------------------------------------------------------------- text rules
