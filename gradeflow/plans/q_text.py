@@ -8,6 +8,7 @@ from gradeflow.functions import text as T
 from gradeflow.operators import clean as C
 from gradeflow.operators import lexicon as L
 from gradeflow.operators import stats as G
+from gradeflow.operators import validate as VAL
 from gradeflow.plans import bindings as B
 from gradeflow.plans import sql as S
 from gradeflow.plans.registry import register
@@ -196,3 +197,25 @@ g AS (SELECT et.essay_id, ph.key_id, ph.ngram, array_to_string(et.t[i + 1:i + ph
       JOIN ph ON ph.n = ln.n, unnest(range(0, len(et.t) - ln.n + 1)) AS r(i))
 SELECT DISTINCT essay_id, key_id, 1 AS present FROM g WHERE gram = ngram""",
 )(lambda spark, d: L.phrase_presence(B.texts(spark, d), B.phrases(spark, d)))
+
+
+# ---------------------------------------------------------------- Q17 (validation before a fit)
+_Q17_FEATS = ["num_exclamation_marks", "num_question_marks"]
+register(
+    "Q17_validate_inputs",
+    E
+    + f"""SELECT CAST(count(*) AS BIGINT) AS n_rows,
+  CAST(count(*) FILTER (WHERE domain1_score IS NULL) AS BIGINT) AS n_null_labels,
+  CAST(count(*) FILTER (WHERE {S.count_char('essay', '!')} = 0 AND {S.count_char('essay', '?')} = 0) AS BIGINT) AS n_all_zero_rows
+FROM essays""",
+)(
+    lambda spark, d: VAL.validate_inputs(
+        B.essays(spark, d).select(
+            "domain1_score",
+            T.num_exclamation_marks("essay").alias("num_exclamation_marks"),
+            T.num_question_marks("essay").alias("num_question_marks"),
+        ),
+        "domain1_score",
+        _Q17_FEATS,
+    )
+)
