@@ -188,17 +188,23 @@ def mean_embedding(
     df: DataFrame, vectors: DataFrame, dim: int, id_col="essay_id", text_col="essay"
 ) -> DataFrame:
     """Per text, the mean of its tokens' vectors (tokens without a
-    vector count as zero vectors); zero vector when no token."""
+    vector count as zero vectors); zero vector when no token.
+
+    Repeated words collapse per text, the vectors join once per (text,
+    word), and Spark ML's weighted ``Summarizer.mean`` (a partial
+    aggregation over vectors) averages them: no per-dimension rows."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
     toks = df.select(F.col(id_col), F.explode(keras_tokens(text_col)).alias("word"))
     per_word = toks.groupBy(id_col, "word").agg(F.count(F.lit(1)).alias("n"))
     j = lookup_join(per_word, vectors.select("word", "vec"), ["word"], "left", salt_by=[F.col(id_col)])
-    elems = j.select(
-        id_col, "n", F.posexplode(F.coalesce("vec", F.array_repeat(F.lit(0.0).cast("float"), dim))).alias("d", "x")
-    )
-    sums = elems.groupBy(id_col, "d").agg(
-        (F.sum(F.col("x").cast("double") * F.col("n")) / F.sum("n")).alias("m")
-    )
-    vec = sums.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("d", "m"))).alias("_v"))
-    vec = vec.select(id_col, F.col("_v.m").alias("mean_vec"))
     zero = F.array_repeat(F.lit(0.0).cast("double"), dim)
+    j = j.select(
+        id_col,
+        array_to_vector(F.coalesce(F.col("vec").cast("array<double>"), zero)).alias("_v"),
+        F.col("n").cast("double").alias("_w"),
+    )
+    vec = j.groupBy(id_col).agg(Summarizer.mean(F.col("_v"), F.col("_w")).alias("_m"))
+    vec = vec.select(id_col, vector_to_array("_m").alias("mean_vec"))
     return df.select(id_col).join(vec, id_col, "left").select(id_col, F.coalesce("mean_vec", zero).alias("mean_vec"))
