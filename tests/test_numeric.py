@@ -20,6 +20,15 @@ def test_exact_percentiles_and_median(spark):
     assert imp[3] == float(np.median(a))
 
 
+def test_percentiles_with_a_hot_value(spark):
+    # a third of the rows hold one value: it becomes one counted row
+    vals = [7.0] * 300 + [float(i) for i in range(600)]
+    df = spark.createDataFrame([(v,) for v in vals], "x double").repartition(8)
+    probs = [0.0, 0.1, 1 / 3, 0.5, 0.9, 1.0]
+    got = [v for _, v in sorted((r["p_idx"], r["value"]) for r in NU.exact_percentiles(df, "x", probs).collect())]
+    assert got == [float(np.quantile(np.array(vals), q)) for q in probs]
+
+
 def test_all_null_and_constant(spark):
     df = spark.createDataFrame([(1, None, 2.0), (2, None, 2.0)], "id int, x double, c double")
     out = NU.impute_median(df, ["x"], by=None).collect()
