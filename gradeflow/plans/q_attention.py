@@ -28,8 +28,8 @@ def _seq_sql(src, id_col, text_col, pos_name):
   JOIN vocab v ON t.word = v.word WHERE v."index" < {CAP}"""
 
 
-def inputs(spark, d):
-    vocab = B.corpus_vocab(spark, d)
+def inputs(spark, d, vocab=None):
+    vocab = vocab if vocab is not None else B.corpus_vocab(spark, d)
     essays = B.texts(spark, d).select("essay_id", "essay")
     seqs = V.texts_to_sequences(essays, vocab, num_words=CAP).select("essay_id", "seq")
     ph = B.phrases(spark, d)

@@ -21,8 +21,8 @@ def _r6(name):
     return F.round(F.col(name), 6).alias(name) if name in DOUBLE_FEATURES else F.col(name).cast("long").alias(name)
 
 
-def word_lists(spark, sf_dir) -> FT.WordLists:
-    vocab = B.corpus_vocab(spark, sf_dir)
+def word_lists(spark, sf_dir, vocab=None) -> FT.WordLists:
+    vocab = vocab if vocab is not None else B.corpus_vocab(spark, sf_dir)
     return FT.WordLists(
         lexicon=B.lexicon_from(vocab), dictionary=B.dictionary_from(vocab), easy_words=B.easy_words_from(vocab)
     )

@@ -16,8 +16,8 @@ from gradeflow.plans.registry import register
 FEATS = list(FT.FEATURE_COLUMNS)
 
 
-def scored_features(spark, d):
-    feats = FT.generate_features(B.scored(spark, d), word_lists(spark, d))
+def scored_features(spark, d, vocab=None):
+    feats = FT.generate_features(B.scored(spark, d), word_lists(spark, d, vocab))
     return feats.withColumn("label", F.col("domain1_score").cast("double")).fillna(0.0, subset=FEATS)
 
 
@@ -60,13 +60,14 @@ register("M4_select_features_rfe")(m4)
 
 
 def x2(spark, d):
-    seqs, pseq, vocab, vectors = attention_inputs(spark, d)
+    vocab = B.corpus_vocab(spark, d)  # fitted once, shared by the word lists and the attention
+    seqs, pseq, vocab, vectors = attention_inputs(spark, d, vocab)
     from gradeflow.operators.attention import keyword_attention, keyword_features
 
     # attention only for the essays that carry a score (the ones scored per fold)
     seqs = seqs.join(B.scored(spark, d).select("essay_id"), "essay_id", "left_semi")
     kf = keyword_features(keyword_attention(seqs, pseq, vocab, vectors, 64, 10000))
-    return X.run_folds(scored_features(spark, d), k=5, keyword_features=kf, train_share=1.0)
+    return X.run_folds(scored_features(spark, d, vocab), k=5, keyword_features=kf, train_share=1.0)
 
 
 def x3(spark, d):
