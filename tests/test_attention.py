@@ -58,3 +58,22 @@ def test_attention_matches_brute_force(spark):
     r = top.filter((F.col("essay_id") == 1) & (F.col("key_id") == 11)).first()
     z = [float(E[4] @ E[i]) for i in [1, 2, 5, 2]]
     assert r["apos"] == int(np.argmax(z))
+
+
+def test_attention_options_loop_path(spark):
+    rng = np.random.default_rng(2)
+    dim = 3
+    vocab = spark.createDataFrame([(f"w{i}", 1, i) for i in range(1, 5)], "word string, count long, index long")
+    vecs = {f"w{i}": rng.normal(size=dim).tolist() for i in range(1, 5)}
+    vectors = spark.createDataFrame(list(vecs.items()), "word string, vec array<double>")
+    answers = spark.createDataFrame([(1, [1, 2, 3]), (2, [4])], "essay_id long, seq array<int>")
+    phrases = spark.createDataFrame([(10, [2, 4])], "key_id long, seq array<int>")
+    E = np.zeros((10, dim))
+    for w, v in vecs.items():
+        E[int(w[1:])] = v
+    for op, pool, merge, beta in [("cos", "max", "concat", True), ("sdp", "sum", "mean", False), ("dp", "mean", "key", True)]:
+        got = {r["essay_id"]: r["f"] for r in A.keyword_attention(
+            answers, phrases, vocab, vectors, dim, 10, op=op, pool=pool, merge=merge, beta=beta).collect()}
+        for eid, seq in [(1, [1, 2, 3]), (2, [4])]:
+            want, _ = A.attend(E[seq], E[[2, 4]], op, pool, merge, beta)
+            assert np.allclose(got[eid], want), (op, pool, merge, beta, eid)
