@@ -8,6 +8,7 @@ a scratch checkpoint folder because nothing set one.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -23,7 +24,7 @@ LOCAL_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
-    "spark.driver.memory": "16g",
+    "spark.driver.memory": "8g",
 }
 
 
@@ -38,8 +39,9 @@ def local_session(cores: str | int = "*", app: str = "gradeflow") -> SparkSessio
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the reliable checkpoint folder, creating a scratch one only when
-    the session names none (local tests)."""
+    """Return the checkpoint folder that the session names.  A scratch folder is
+    made only for a session whose tasks run in this process (``local[n]``);
+    elsewhere a missing setting is an error, as no other folder is shared."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -47,6 +49,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None
     )
+    if not configured and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not configured:
         configured = tempfile.mkdtemp(prefix="gradeflow-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
