@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 
 from gradeflow.llm import blocks as B
 from gradeflow.llm.components import components
-from gradeflow.llm.words import Ranges, Words, mix
+from gradeflow.llm.words import Ranges, Words, mix, slices
 from gradeflow.session import ensure_checkpoint_dir
 
 SHINGLE = 5
@@ -188,7 +188,7 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, size: int, small:
     thin = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("row_key"), F.col(text_col).alias("text"))
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             sets = Sets(batch.column("text"), size)
             little = np.where((sets.n > 0) & (sets.n <= small), sets.n, 0)
             bounds = np.r_[0, np.cumsum(little)]

@@ -117,3 +117,21 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     offsets = offsets.astype(np.int64)
     data = np.frombuffer(body, dtype=np.uint8) if body is not None else np.empty(0, dtype=np.uint8)
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def slices(batch: pa.RecordBatch, text: str, limit: int = 2 << 20):
+    """Slices of a batch with about ``limit`` bytes of text each, or one row."""
+    if not batch.num_rows:
+        return
+    column = batch.column(text)
+    if pa.types.is_null(column.type):
+        yield batch
+        return
+    wide = pa.types.is_large_string(column.type)
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64 if wide else np.int32)
+    offsets = offsets[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    at = 0
+    while at < len(column):
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
+        yield batch.slice(at, to - at)
+        at = to
