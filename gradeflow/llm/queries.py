@@ -8,6 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gradeflow.llm import merkle, source_mix
 from gradeflow.llm.jaccard_join import jaccard_components
 from gradeflow.llm.substring_dedup import kept_digests
 
@@ -39,3 +40,13 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = jaccard_components(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_shingles", "component_id")
+
+
+@query("op8_source_mix", source_mix.oracle_sql())
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.mix_report(table(spark, sf_dir, "documents"))
+
+
+@query("op7_merkle_fingerprint", merkle.oracle_sql())
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.fingerprints(table(spark, sf_dir, "documents"))
