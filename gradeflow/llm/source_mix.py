@@ -37,6 +37,7 @@ WEIGHTS = (1, 2, 3)
 MOST = 3
 ROUNDS = 5
 BUCKETS = 4096
+SALT = 64
 SEED = "mix-1"
 
 
@@ -114,7 +115,9 @@ def choose_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     for _ in range(rounds):
         gap = rows.groupBy("sid").agg(
             (F.first("target") - F.sum(F.col("words") * (F.col("whole") + F.col("extra")))).alias("left"))
-        offered = rows.join(gap, "sid").withColumn(
+        # salted by rank, so that a large source is not one task
+        salted = gap.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        offered = rows.withColumn("salt", F.pmod("bucket", F.lit(SALT))).join(salted, ["sid", "salt"]).drop("salt").withColumn(
             "open", (F.col("extra") == 0) & F.col("q").isNotNull() & (F.col("words") > 0) & (F.col("words") <= F.col("left")))
         chosen = _fit(offered.filter("open"), F.col("left")).filter("take").select("row_key", "sid", F.lit(1).cast("long").alias("_one"))
         rows = rows.join(chosen, ["row_key", "sid"], "left").withColumn(
