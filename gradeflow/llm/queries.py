@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradeflow.llm import merkle, source_mix
+from gradeflow.llm import merkle, quality, source_mix, warc
 from gradeflow.llm.jaccard_join import jaccard_components
 from gradeflow.llm.substring_dedup import kept_digests
 
@@ -50,3 +50,14 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_merkle_fingerprint", merkle.oracle_sql())
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op6_warc", warc.SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.round_trip(spark, table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digests_match")
+
+
+@query("op5_quality")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
