@@ -4,13 +4,16 @@ SQL can express the result."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gradeflow.llm import merkle, quality, source_mix, warc
+from gradeflow.llm import merkle, quality, sentence_pieces, source_mix, token_rollup, warc
 from gradeflow.llm.jaccard_join import jaccard_components
 from gradeflow.llm.substring_dedup import kept_digests
+from gradeflow.session import ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -61,3 +64,18 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_quality")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op10_token_rollup", token_rollup.SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = f"{ensure_checkpoint_dir(spark)}/rollup-{uuid.uuid4().hex}"
+    return token_rollup.corpus_history(table(spark, sf_dir, "documents"), token_rollup.Rollup(spark, root))
+
+
+@query("op9_sentence_pieces")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = sentence_pieces.Pieces.load()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    back = sentence_pieces.decode_documents(sentence_pieces.encode_documents(docs, pieces), pieces)
+    return back.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"),
+                       F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"), "piece_ids")
