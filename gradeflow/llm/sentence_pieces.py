@@ -43,16 +43,12 @@ from gradeflow.llm.words import Ranges, mix, powers, slices, text_bytes
 MARK = 0x2581
 KEPT_MARK = 0x110000  # stands for a mark that was in the text; no piece has it
 BYTE_PENALTY = 10.0
-CACHE_WORDS = 300_000
+CACHE_WORDS = 1_000_000
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 _BASE = 0xC2B2AE3D27D4EB4F
 
 
-def _key(sums: np.ndarray, length: int) -> np.ndarray:
-    return mix(sums + np.uint64(length))
-
-
 @dataclass
 class Pieces:
     """A vocabulary as arrays: ``keys`` ascending with ``ids`` and ``scores``
@@ -96,7 +92,7 @@ class Pieces:
             raise ValueError("a piece has a mark after another character; its texts can't be cut into words")
         longest = max(map(len, pieces))
         up, _ = powers(_BASE, longest)
-        keys = np.array([_key(np.array([_sum(p, up)], dtype=np.uint64), len(p))[0] for p in pieces], dtype=np.uint64)
+        keys = mix(np.array([_sum(p, up) for p in pieces], dtype=np.uint64) + np.array([len(p) for p in pieces], dtype=np.uint64))
         order = np.argsort(keys)
         ids = np.array([i for i, _ in pieces.values()], dtype=np.int32)[order]
         scores = np.array([s for _, s in pieces.values()])[order]
@@ -141,12 +137,13 @@ def segment(codes: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     used = np.zeros((n + 1, w), dtype=np.int32)
     for j in range(1, n + 1):
         low = max(0, j - pieces.longest)
-        total = np.full((j - low, w), -np.inf)
-        which = np.zeros((j - low, w), dtype=np.int32)
-        for i in range(low, j):
-            row, at = pieces.find(_key((sums[j] - sums[i]) * down[i], j - i))
-            total[i - low, row] = best[i, row] + pieces.scores[at]
-            which[i - low, row] = pieces.ids[at]
+        lengths = np.arange(j - low, 0, -1, dtype=np.uint64)[:, None]
+        hit, at = pieces.find(mix((sums[j] - sums[low:j]) * down[low:j, None] + lengths).ravel())
+        total = np.full((j - low) * w, -np.inf)
+        which = np.zeros((j - low) * w, dtype=np.int32)
+        total[hit] = best[low:j].ravel()[hit] + pieces.scores[at]
+        which[hit] = pieces.ids[at]
+        total, which = total.reshape(-1, w), which.reshape(-1, w)
         last = total[-1]
         bare = np.isneginf(last)
         if bare.any():
@@ -214,7 +211,7 @@ class Encoder:
         cuts = np.flatnonzero(np.diff(size[by_size])) + 1
         for group in np.split(by_size, cuts):
             n = int(size[group[0]])
-            for part in np.array_split(group, max(1, len(group) * n >> 19)):
+            for part in np.array_split(group, max(1, len(group) * n >> 17)):
                 flat, count = segment(codes[start[part][:, None] + np.arange(n)], self.pieces)
                 flat, count = spell_bytes(flat, count, self.pieces)
                 flats.append(flat)
