@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeflow.llm import merkle, quality, sentence_pieces, source_mix, token_rollup, warc
+from gradeflow.llm import hnsw, merkle, quality, sentence_pieces, source_mix, token_rollup, warc
 from gradeflow.llm.jaccard_join import jaccard_components
 from gradeflow.llm.substring_dedup import kept_digests
 from gradeflow.session import ensure_checkpoint_dir
@@ -79,3 +79,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = sentence_pieces.decode_documents(sentence_pieces.encode_documents(docs, pieces), pieces)
     return back.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"),
                        F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"), "piece_ids")
+
+
+@query("op1_hnsw")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.self_search(table(spark, sf_dir, "embeddings"))
