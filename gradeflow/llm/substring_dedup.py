@@ -40,6 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from gradeflow.llm import blocks as B
 from gradeflow.llm.words import Ranges, Words
@@ -174,7 +175,7 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one space (``kept``), ``n_words``, ``n_removed`` and the ``spans`` as
     (start, length) in words."""
     return _parse(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")),
-                  window, gram, block_bytes, None, "kept string").withColumnRenamed("id", id_col)
+                  window, gram, block_bytes, None, "kept").withColumnRenamed("id", id_col)
 
 
 def remove_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
@@ -184,7 +185,7 @@ def remove_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     cols = docs.columns
     rest = F.struct(F.col(text_col).isNull().alias("_null"), *[F.col(c) for c in cols if c != text_col])
     packed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), rest.alias("rest"))
-    out = _parse(packed, window, gram, block_bytes, "rest", "text string")
+    out = _parse(packed, window, gram, block_bytes, "rest", "text")
     text = F.when(~F.col("rest._null"), F.col("text"))
     return out.select(*[text.alias(c) if c == text_col else F.col(f"rest.{c}").alias(c) for c in cols])
 
@@ -193,15 +194,14 @@ def kept_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                  gram: int = GRAM, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
     """``duplicate_spans`` with the SHA-256 of the kept text in its place."""
     out = _parse(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")),
-                 window, gram, block_bytes, None, "kept_sha256 string")
+                 window, gram, block_bytes, None, "kept_sha256")
     return out.withColumnRenamed("id", id_col)
 
 
-def _parse(docs, window, gram, block_bytes, carry, kept):
+def _parse(docs, window, gram, block_bytes, carry, kept_as):
     bits = B.shard_bits(docs)
     spread = ["id", "text"]
     dealt = B.blocked(docs, "text", spread, block_bytes)
-    kept_as = kept.split()[0]
 
     def send_segments(block, table):
         seg = Segments(Words(table["text"]), window, gram)
@@ -238,9 +238,11 @@ def _parse(docs, window, gram, block_bytes, carry, kept):
     first = B.ask(dealt, send_segments, _merge_segments)
     asked = B.with_answers(dealt, first, send_windows, B.ASKED)
     second = B.answers(asked, _merge_windows)
-    schema = "id " + docs.schema["id"].dataType.simpleString() + f", n_words long, n_removed long, {kept}, spans array<struct<start:long,length:long>>"
-    if carry:
-        schema += f", {carry} " + docs.schema[carry].dataType.simpleString()
+    span = StructType([StructField("start", LongType()), StructField("length", LongType())])
+    schema = StructType([StructField("id", docs.schema["id"].dataType), StructField("n_words", LongType()),
+                         StructField("n_removed", LongType()), StructField(kept_as, StringType()), StructField("spans", ArrayType(span))])
+    if carry:  # as it is, down to what may be null in it
+        schema = schema.add(carry, docs.schema[carry].dataType)
     return B.with_answers(dealt, first.unionAll(second), finish, schema)
 
 
