@@ -72,23 +72,24 @@ def ask_rows(block: int, kind: int, bits: int, keys: np.ndarray, a: np.ndarray,
     )
 
 
-def ask(blocks: DataFrame, send: Callable, merge: Callable) -> DataFrame:
+def ask(blocks: DataFrame, send: Callable, merge: Callable, summary: bool = False) -> DataFrame:
     """``send(block, table) -> pa.Table`` of messages; ``merge(keys, a, b)``
     gets bytes objects of all messages of one shard, a list for each column,
-    and returns a list of answer arrays, one for each message."""
+    and returns a list of answer arrays, one for each message.  With
+    ``summary`` it returns one array more, which is kept with block -1."""
     asked = blocks.groupBy("block").applyInArrow(lambda t: send(t["block"][0].as_py(), t), ASKED)
-    return answers(asked, merge)
+    return answers(asked, merge, summary)
 
 
-def answers(asked: DataFrame, merge: Callable) -> DataFrame:
+def answers(asked: DataFrame, merge: Callable, summary: bool = False) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         order = np.argsort(table["block"].to_numpy(), kind="stable")
         table = table.take(pa.array(order))
         out = merge(*(table[c].to_pylist() for c in ("keys", "a", "b")))
-        return pa.table(
-            [table["block"], table["shard"], table["kind"], pa.array([x.tobytes() for x in out], pa.binary())],
-            schema=_ANSWERED,
-        )
+        cols = [table[c].to_pylist() for c in ("block", "shard", "kind")]
+        if summary:
+            cols = [x + [y] for x, y in zip(cols, (-1, cols[1][0], -1))]
+        return pa.table([*map(pa.array, cols), pa.array([x.tobytes() for x in out], pa.binary())], names=_ANSWERED.names).cast(_ANSWERED)
 
     return asked.groupBy("shard").applyInArrow(run, ANSWERED)
 

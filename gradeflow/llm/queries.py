@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeflow.llm import hnsw, merkle, quality, sentence_pieces, source_mix, token_rollup, warc
+from gradeflow.llm import gru_lm, hnsw, merkle, quality, sentence_pieces, source_mix, token_rollup, warc
 from gradeflow.llm.jaccard_join import jaccard_components
 from gradeflow.llm.substring_dedup import kept_digests
 from gradeflow.session import ensure_checkpoint_dir
@@ -84,3 +84,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_hnsw")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.self_search(table(spark, sf_dir, "embeddings"))
+
+
+@query("op3_gru_lm")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gru_lm.score_texts(table(spark, sf_dir, "documents"))

@@ -9,6 +9,8 @@ ranges share a hash with a chance of about 2**-64.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 import pyarrow as pa
 
@@ -59,12 +61,13 @@ class Words:
         self.start, self.end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
         self.first = np.searchsorted(self.start, offsets)
         self.doc = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
+        self.lower = lower
+
+    @cached_property
+    def hash(self) -> np.ndarray:
         value = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        if lower:
+        if self.lower:
             value[65:91] = value[97:123]
-        self.hash = self._hashes(value)
-
-    def _hashes(self, value: np.ndarray) -> np.ndarray:
         out = np.empty(len(self.start), dtype=np.uint64)
         i = 0
         longest = int((self.end - self.start).max()) if len(self.start) else 0
