@@ -313,7 +313,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         yield pa.RecordBatch.from_arrays([pa.array([tally.tobytes()], pa.binary())], ["answer"])
 
     sums = counts.filter(F.col("block") == -1).select("answer").repartition(4).mapInArrow(total, "answer binary").collect()
-    tally = sum(np.frombuffer(bytes(r["answer"]), dtype=np.int64) for r in sums).reshape(2, CLASSES)
+    tally = sum((np.frombuffer(bytes(r["answer"]), dtype=np.int64) for r in sums), np.zeros(2 * CLASSES, np.int64)).reshape(2, CLASSES)
     ends = thin.filter(~F.col("held_out")).count()  # an end is a token of its own
     n_train, distinct_train = int(tally[0].sum()) + ends, int(tally[1].sum()) + (ends > 0)
     in_class = np.log10(tally[0] + tally[1] + 1.0)

@@ -381,7 +381,8 @@ def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     words all stay."""
     found = jaccard_components(docs, id_col, text_col, **kw)
     keep = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy("row_key").agg(
-        F.max(F.col("class").isNull()).alias("_empty"))
-    kept = docs.withColumn("_row_key", F.xxhash64(id_col, text_col)).join(keep, F.col("_row_key") == F.col("row_key"))
-    copy = F.when(F.col("_empty"), F.monotonically_increasing_id())
-    return kept.withColumn("_copy", copy).dropDuplicates(["_row_key", "_copy"]).select(*docs.columns)
+        F.max(F.col("class").isNull()).alias("empty"))
+    whole = docs.select(F.xxhash64(id_col, text_col).alias("row_key"), F.struct("*").alias("whole"))
+    copy = F.when(F.col("empty"), F.monotonically_increasing_id())
+    kept = whole.join(keep, "row_key").withColumn("copy", copy).dropDuplicates(["row_key", "copy"])
+    return kept.select(*[F.col("whole")[c].alias(c) for c in docs.columns])

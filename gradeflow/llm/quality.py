@@ -209,5 +209,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: float = KEEP, **kw) -> DataFrame:
     """The rows that score at least ``keep``, with the columns of ``docs``."""
-    name = "_score"
+    name = "score"
+    while name in docs.columns:
+        name += "_"
     return score(docs, fit(docs, labels, id_col, text_col, **kw), text_col, name).filter(F.col(name) >= keep).drop(name)

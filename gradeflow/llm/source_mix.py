@@ -19,9 +19,8 @@ one range.
 
 Cases.  Null or empty text has size 0 and is taken 0 times.  A null source is a
 source of its own and comes last.  Rows that repeat id, text and source are
-decided together.  Null ids are ranked like an id of their own.  Other columns
-are kept; their names may clash with nothing that is added but ``copies``.
-With no words at all every target is 0.  An empty table gives an empty result.
+decided together.  Null ids are ranked like an id of their own.  ``mix_sources``
+keeps other columns, whatever their names.  With no words at all every target is 0.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -136,12 +135,10 @@ def mix_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **kw) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as it is taken."""
-    cols = docs.columns
-    chosen = choose_copies(docs, id_col, text_col, source_col, **kw).filter(F.col("copies") > 0).select(
-        F.col("row_key").alias("_row_key"), F.col("copies").alias("_copies"))
-    keyed = docs.withColumn("_key", row_key(id_col, text_col, source_col))
-    taken = keyed.join(chosen, F.col("_key") == F.col("_row_key"))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*cols)
+    chosen = choose_copies(docs, id_col, text_col, source_col, **kw).filter(F.col("copies") > 0).select("row_key", "copies")
+    whole = docs.select(row_key(id_col, text_col, source_col).alias("row_key"), F.struct("*").alias("whole"))
+    taken = whole.join(chosen, "row_key").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return taken.select(*[F.col("whole")[c].alias(c) for c in docs.columns])
 
 
 SQL = r"""

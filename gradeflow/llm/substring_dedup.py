@@ -48,7 +48,8 @@ from gradeflow.llm.words import Ranges, Words
 WINDOW = 35
 GRAM = 16
 
-REPEATED, SEND, NEITHER = 1, 2, 0  # bits of an answer about a segment
+REPEATED, SEND = 1, 2  # bits of an answer about a segment
+_NULL = "text was null"
 
 
 def sliding_min(x: np.ndarray, span: int) -> np.ndarray:
@@ -183,11 +184,11 @@ def remove_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """The same rows and columns; a text that holds duplicate words becomes its
     kept words joined by one space, other texts stay as they are."""
     cols = docs.columns
-    rest = F.struct(F.col(text_col).isNull().alias("_null"), *[F.col(c) for c in cols if c != text_col])
+    rest = F.struct(F.col(text_col).isNull().alias(_NULL), *[F.col(c) for c in cols if c != text_col])
     packed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), rest.alias("rest"))
     out = _parse(packed, window, gram, block_bytes, "rest", "text")
-    text = F.when(~F.col("rest._null"), F.col("text"))
-    return out.select(*[text.alias(c) if c == text_col else F.col(f"rest.{c}").alias(c) for c in cols])
+    text = F.when(~F.col("rest")[_NULL], F.col("text"))
+    return out.select(*[text.alias(c) if c == text_col else F.col("rest")[c].alias(c) for c in cols])
 
 
 def kept_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
