@@ -148,7 +148,3 @@ def normalize_quotes(text, keep_ellipsis: bool = False) -> Column:
 def quotes(text) -> Column:
     """K1: every ``"..."`` span, inner text."""
     return F.regexp_extract_all(_c(text), F.lit(P.QUOTE), 1)
-
-
-def first_ws_words(text, n: int) -> Column:
-    return F.array_join(F.slice(ws_tokens(text), 1, n), " ")

@@ -8,45 +8,77 @@ words for ``u`` and answer words for ``v``; merged (concat / mean / ans /
 key).  Words without a vector are zero vectors and take part in the
 softmax; an answer or phrase with no token gives a zero vector.
 
-Plan: answers travel as their capped token-id sequence (V3), never as
-vectors.  The vector table (at most ``num_words`` rows) and the phrase id
-lists are bounded lookup tables: both are size-checked and shipped to the
-Python workers once; ``mapInPandas`` then does one BLAS product per answer
-against all phrase words (Arrow batches, no per-pair rows).
+Plan: a rubric belongs to an essay set.  Its phrases are packed into blocks
+of ``BLOCK_PHRASES`` token-id lists, and an answer meets the blocks of its own
+set by an equi-join (a table of measured size is broadcast, a larger one
+salted).  Answers travel as their capped token-id sequence (V3), never as
+vectors; the vector table has at most ``num_words`` rows.  In the tasks, one
+product per (answer, block) scores the answer's *distinct* words, with their
+counts as weights, so memory follows the distinct words of one answer and the
+words of one block.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradeflow.plans.joins import fits_broadcast
+from gradeflow.plans.joins import lookup_join
 
 MASK_FLOOR = np.sqrt(1e-7)
-
-
-def _bounded_collect(df: DataFrame, max_rows: int, what: str):
-    if not fits_broadcast(df, max_rows):
-        raise ValueError(f"{what} exceeds {max_rows} rows; it must stay a bounded lookup table")
-    return df.collect()
+BLOCK_PHRASES = 16
+ROWS_PER_BATCH = 20_000  # output rows per Arrow batch
 
 
 def vector_matrix(vocab: DataFrame, vectors: DataFrame, dim: int, num_words: int) -> np.ndarray:
     """Row i = vector of the word with index i (zero when none), i < num_words."""
-    rows = _bounded_collect(
-        vocab.filter(F.col("index") < num_words).join(vectors, "word").select("index", "vec"), num_words, "vectors"
-    )
+    rows = vocab.filter(F.col("index") < num_words).join(vectors, "word").select("index", "vec").collect()
     mat = np.zeros((num_words, dim), dtype="float64")
     for r in rows:
         mat[int(r["index"])] = np.asarray(r["vec"], dtype="float64")
     return mat
 
 
-def phrase_ids(phrase_seqs: DataFrame, max_rows: int = 100_000):
-    rows = _bounded_collect(phrase_seqs.select("key_id", "seq"), max_rows, "phrase list")
-    return [(int(r["key_id"]), np.asarray(r["seq"] or [], dtype="int64")) for r in sorted(rows, key=lambda r: r[0])]
+def phrase_blocks(phrase_seqs: DataFrame, set_col: str = "essay_set") -> DataFrame:
+    """``phrase_seqs`` (set, key_id, seq) as (set, block, rubric): up to
+    ``BLOCK_PHRASES`` phrases of one set in key order."""
+    place = F.row_number().over(Window.partitionBy(set_col).orderBy("key_id")) - 1
+    placed = phrase_seqs.select(set_col, "key_id", "seq").withColumn("block", F.floor(place / BLOCK_PHRASES).cast("int"))
+    return placed.groupBy(set_col, "block").agg(F.sort_array(F.collect_list(F.struct("key_id", "seq"))).alias("rubric"))
+
+
+def _with_blocks(answer_seqs: DataFrame, phrase_seqs: DataFrame, id_col: str, set_col: str) -> DataFrame:
+    answers = answer_seqs.select(id_col, set_col, "seq")
+    return lookup_join(answers, phrase_blocks(phrase_seqs, set_col), [set_col], "inner", salt_by=[F.col(id_col)])
+
+
+class _Rubrics:
+    """Decoded phrase blocks of one task, kept by set and block."""
+
+    def __init__(self, emb):
+        self.emb, self.held = emb, {}
+
+    def get(self, batch, i, set_col):
+        name = (batch.column(set_col)[i].as_py(), batch.column("block")[i].as_py())
+        if name not in self.held:
+            if len(self.held) >= 64:
+                self.held.clear()
+            rows = batch.column("rubric")[i].as_py()
+            keys = np.array([r["key_id"] for r in rows], dtype="int64")
+            ids = [np.asarray(r["seq"] or [], dtype="int64") for r in rows]
+            full = np.array([j for j, x in enumerate(ids) if len(x)], dtype="int64")
+            sizes = np.array([len(ids[j]) for j in full], dtype="int64")
+            starts = np.cumsum(sizes) - sizes
+            stacked = self.emb[np.concatenate([ids[j] for j in full])] if len(full) else None
+            self.held[name] = (keys, ids, full, stacked, starts, sizes)
+        return self.held[name]
+
+
+def _sequence(batch, i):
+    seq = batch.column("seq")[i]
+    return seq.values.to_numpy(zero_copy_only=False).astype("int64") if seq.is_valid else np.empty(0, "int64")
 
 
 def _scores(A, K, op):
@@ -103,25 +135,25 @@ def attend(A, K, op="dp", pool="mean", merge="concat", beta=False):
     return f, z
 
 
-def attend_all(A, K_all, starts, sizes, op="dp", pool="mean", merge="concat"):
-    """``attend`` for every phrase at once (mean/sum pooling, no beta): one
-    product ``K_all @ A.T`` and segment sums over the phrase blocks.
-    ``K_all`` stacks the non-empty phrases; returns (n_phrases, width)."""
-    P, d = len(starts), K_all.shape[1]
-    n = A.shape[0]
+def attend_words(A, counts, K_all, starts, sizes, op="dp", pool="mean", merge="concat"):
+    """``attend`` for every phrase of a block at once (mean/sum pooling, no
+    beta).  ``A`` has a row per distinct answer word, ``counts`` how often it
+    occurs; ``K_all`` stacks the non-empty phrases.  Returns (n_phrases, width)."""
+    n = counts.sum()
     if n == 0:
-        u = v = np.zeros((P, d))
+        u = v = np.zeros((len(starts), K_all.shape[1]))
     else:
-        z = _scores(A, K_all, op)  # (m, n)
+        z = _scores(A, K_all, op)  # (key words, distinct words)
         row_max = z.max(axis=1, keepdims=True)
-        e = np.exp(z - row_max)  # the one exp over the (m, n) scores
-        U = (e / e.sum(axis=1, keepdims=True)) @ A  # (m, d)
+        e = np.exp(z - row_max)  # the one exp over the scores
+        weighted = e * counts
+        U = (weighted / weighted.sum(axis=1, keepdims=True)) @ A
         # block softmax over key words: re-shift each row to its block max
         block_max = np.maximum.reduceat(row_max[:, 0], starts)
         e = e * np.exp(row_max[:, 0] - np.repeat(block_max, sizes))[:, None]
         w = e / np.repeat(np.add.reduceat(e, starts, axis=0), sizes, axis=0)
         u = np.add.reduceat(U, starts, axis=0)
-        v = np.add.reduceat(w.sum(axis=1)[:, None] * K_all, starts, axis=0)
+        v = np.add.reduceat((w @ counts)[:, None] * K_all, starts, axis=0)
         if pool == "mean":
             u = u / sizes[:, None]
             v = v / n
@@ -144,72 +176,54 @@ def keyword_attention(
     merge: str = "concat",
     beta: bool = False,
     id_col: str = "essay_id",
+    set_col: str = "essay_set",
 ) -> DataFrame:
-    """K7: one row per (answer, phrase) with the merged vector ``f``."""
-    E = vector_matrix(vocab, vectors, dim, num_words)
-    phrases = phrase_ids(phrase_seqs)
-    ctx = answer_seqs.sparkSession.sparkContext
-    bE = ctx.broadcast(E)
-    Ks = [(k, ids) for k, ids in phrases]
-
+    """K7: one row per answer and phrase of its set, with the merged vector ``f``."""
+    shared = answer_seqs.sparkSession.sparkContext.broadcast(vector_matrix(vocab, vectors, dim, num_words))
     fast = pool in ("mean", "sum") and not beta
     width = (2 if merge == "concat" else 1) * dim
-    keys = np.array([k for k, _ in Ks], dtype="int64")
-    rows_per_chunk = 20_000  # output rows per Arrow batch (bounded memory)
-
-    def per_answer(A, mats, full_pos, K_all, starts, sizes):
-        """(n_phrases, width) in key order; empty phrases stay zero."""
-        out = np.zeros((len(mats), width))
-        if fast:
-            if len(full_pos):
-                out[full_pos] = attend_all(A, K_all, starts, sizes, op, pool, merge)
-            return out
-        for p, (_, K) in enumerate(mats):
-            out[p] = attend(A, K, op, pool, merge, beta)[0]
-        return out
-
-    def emit(ids, blocks):
-        import pyarrow as pa
-
-        flat = np.concatenate([b.reshape(-1) for b in blocks]) if blocks else np.zeros(0)
-        n = len(ids) * len(keys)
-        offsets = pa.array(np.arange(0, n * width + 1, width, dtype="int32"))
+    batch_rows = ROWS_PER_BATCH
+
+    def emit(ids, keys, blocks):
+        flat = np.concatenate([x.reshape(-1) for x in blocks])
+        sizes = [len(k) for k in keys]
+        offsets = pa.array(np.arange(0, sum(sizes) * width + 1, width, dtype="int32"))
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(np.asarray(ids, dtype="int64"), len(keys))), pa.array(np.tile(keys, len(ids))),
-             pa.ListArray.from_arrays(offsets, pa.array(flat))],
-            names=[id_col, "key_id", "f"],
-        )
+            [pa.array(np.repeat(np.asarray(ids, dtype="int64"), sizes)), pa.array(np.concatenate(keys)),
+             pa.ListArray.from_arrays(offsets, pa.array(flat))], names=[id_col, "key_id", "f"])
 
     def run(batches):
-        emb = bE.value
-        mats = [(k, emb[ids]) for k, ids in Ks]
-        full_pos = np.array([p for p, (_, K) in enumerate(mats) if K.shape[0] > 0], dtype="int64")
-        K_all = starts = sizes = None
-        if len(full_pos):
-            K_all = np.vstack([mats[p][1] for p in full_pos])
-            sizes = np.array([mats[p][1].shape[0] for p in full_pos])
-            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        for rb in batches:
-            eids = rb.column(id_col).to_numpy(zero_copy_only=False)
-            seqs = rb.column("seq").to_pylist()
-            ids, blocks = [], []
-            for eid, seq in zip(eids, seqs):
-                A = emb[np.asarray(seq if seq is not None else [], dtype="int64")]
-                ids.append(eid)
-                blocks.append(per_answer(A, mats, full_pos, K_all, starts, sizes))
-                if len(ids) * len(keys) >= rows_per_chunk:
-                    yield emit(ids, blocks)
-                    ids, blocks = [], []
-            if ids:
-                yield emit(ids, blocks)
-
-    schema = f"{id_col} long, key_id long, f array<double>"
-    return answer_seqs.select(id_col, "seq").mapInArrow(run, schema)
+        emb = shared.value
+        rubrics = _Rubrics(emb)
+        ids, keys, blocks, n = [], [], [], 0
+        for batch in batches:
+            for i in range(batch.num_rows):
+                key, phrases, full, stacked, starts, sizes = rubrics.get(batch, i, set_col)
+                seq = _sequence(batch, i)
+                out = np.zeros((len(key), width))
+                if fast and len(full):
+                    words, counts = np.unique(seq, return_counts=True)
+                    out[full] = attend_words(emb[words], counts, stacked, starts, sizes, op, pool, merge)
+                elif not fast:
+                    for p, x in enumerate(phrases):
+                        out[p] = attend(emb[seq], emb[x], op, pool, merge, beta)[0]
+                ids.append(batch.column(id_col)[i].as_py())
+                keys.append(key)
+                blocks.append(out)
+                n += len(key)
+                if n >= batch_rows:
+                    yield emit(ids, keys, blocks)
+                    ids, keys, blocks, n = [], [], [], 0
+        if n:
+            yield emit(ids, keys, blocks)
+
+    joined = _with_blocks(answer_seqs, phrase_seqs, id_col, set_col)
+    return joined.mapInArrow(run, f"{id_col} long, key_id long, f array<double>")
 
 
 def keyword_features(att: DataFrame, id_col: str = "essay_id") -> DataFrame:
-    """K8: per answer the per-phrase vectors concatenated in key order
-    (length 2*dim*k for concat); bounded by the phrase list per answer."""
+    """K8: per answer the vectors of its set's phrases concatenated in key
+    order (length 2*dim*k for concat, k the phrases of the set's rubric)."""
     g = att.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("key_id", "f"))).alias("_kf"))
     return g.select(id_col, F.flatten(F.col("_kf.f")).alias("keyword_features"))
 
@@ -223,41 +237,45 @@ def attention_top_words(
     num_words: int = 10000,
     op: str = "dp",
     id_col: str = "essay_id",
+    set_col: str = "essay_set",
 ) -> DataFrame:
-    """K9: per answer, phrase and key-word position, the answer position the
-    key word attends to most (lowest position on ties) and its word id."""
-    E = vector_matrix(vocab, vectors, dim, num_words)
-    phrases = phrase_ids(phrase_seqs)
-    bE = answer_seqs.sparkSession.sparkContext.broadcast(E)
+    """K9: per answer, phrase of its set and key-word position, the answer
+    position the key word attends to most (lowest position on ties) and its
+    word id."""
+    shared = answer_seqs.sparkSession.sparkContext.broadcast(vector_matrix(vocab, vectors, dim, num_words))
+    names = [id_col, "key_id", "kpos", "apos", "word_id"]
+    types = ["int64", "int64", "int32", "int32", "int32"]
+    batch_rows = ROWS_PER_BATCH
+
+    def emit(parts):
+        cols = [np.concatenate(x).astype(t) for x, t in zip(zip(*parts), types)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
 
     def run(batches):
-        emb = bE.value
-        mats = [(k, ids, emb[ids]) for k, ids in phrases]
-        for pdf in batches:
-            rows = {id_col: [], "key_id": [], "kpos": [], "apos": [], "word_id": []}
-            for eid, seq in zip(pdf[id_col], pdf["seq"]):
-                s = np.asarray(seq if seq is not None else [], dtype="int64")
-                if s.size == 0:
+        emb = shared.value
+        rubrics = _Rubrics(emb)
+        parts, n = [], 0
+        for batch in batches:
+            for i in range(batch.num_rows):
+                key, _, full, stacked, starts, sizes = rubrics.get(batch, i, set_col)
+                seq = _sequence(batch, i)
+                if not len(seq) or not len(full):
                     continue
-                # score each distinct word once, in order of first position:
-                # repeated words then tie exactly and the first max is the
-                # lowest position (a product over repeated columns may differ
-                # in the last bit)
-                uniq, first = np.unique(s, return_index=True)
+                # distinct words in order of first position: repeated words
+                # then tie exactly and the first maximum is the lowest position
+                words, first = np.unique(seq, return_index=True)
                 order = np.argsort(first)
-                uniq, first = uniq[order], first[order]
-                A = emb[uniq]
-                for k, ids, K in mats:
-                    if ids.size == 0:
-                        continue
-                    best = first[np.argmax(_scores(A, K, op), axis=1)]
-                    for i, j in enumerate(best):
-                        rows[id_col].append(eid)
-                        rows["key_id"].append(k)
-                        rows["kpos"].append(i)
-                        rows["apos"].append(int(j))
-                        rows["word_id"].append(int(s[j]))
-            yield pd.DataFrame(rows)
-
-    schema = f"{id_col} long, key_id long, kpos int, apos int, word_id int"
-    return answer_seqs.select(id_col, "seq").mapInPandas(run, schema)
+                words, first = words[order], first[order]
+                best = first[np.argmax(_scores(emb[words], stacked, op), axis=1)]
+                m = len(best)
+                essay = np.full(m, batch.column(id_col)[i].as_py(), dtype="int64")
+                parts.append((essay, np.repeat(key[full], sizes), np.arange(m) - np.repeat(starts, sizes), best, seq[best]))
+                n += m
+                if n >= batch_rows:
+                    yield emit(parts)
+                    parts, n = [], 0
+        if parts:
+            yield emit(parts)
+
+    joined = _with_blocks(answer_seqs, phrase_seqs, id_col, set_col)
+    return joined.mapInArrow(run, f"{id_col} long, key_id long, kpos int, apos int, word_id int")

@@ -22,23 +22,27 @@ def category_na(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("nan")) for c in cols})
 
 
-MAX_CATEGORIES = 10_000  # one output column each: beyond this use label_encode
-
-
-def _bounded(values: list, col: str) -> list:
-    if len(values) > MAX_CATEGORIES:
-        raise ValueError(f"{col} has more than {MAX_CATEGORIES} categories; use label_encode")
-    return values
+def _sorted_categories(df: DataFrame, col: str) -> list[str]:
+    return [r[0] for r in df.select(F.col(col).cast("string")).distinct().orderBy(1).collect()]
 
 
-def _sorted_categories(df: DataFrame, col: str) -> list[str]:
-    distinct = df.select(F.col(col).cast("string")).distinct().orderBy(1).limit(MAX_CATEGORIES + 1)
-    return _bounded([r[0] for r in distinct.collect()], col)
+def one_hot_sparse(df: DataFrame, cols: list[str], fit_on: DataFrame | None = None) -> DataFrame:
+    """N6 for columns with very many categories: ``col_onehot`` holds (index,
+    size) in place of ``size`` columns; nothing comes to the driver but the
+    number of categories."""
+    src = fit_on if fit_on is not None else df
+    out = label_encode(df, cols, src)
+    for c in cols:
+        size = src.select(F.col(c).cast("string")).distinct().count()
+        out = out.withColumn(f"{c}_onehot", F.struct(F.col(f"{c}_label").alias("index"), F.lit(size).cast("long").alias("size")))
+        out = out.drop(c, f"{c}_label")
+    return out
 
 
 def one_hot(df: DataFrame, cols: list[str], fit_on: DataFrame | None = None) -> DataFrame:
     """Sorted categories, one 0/1 column ``col_value`` each; the input
-    columns are replaced."""
+    columns are replaced.  The names of the columns are the output's schema;
+    ``one_hot_sparse`` is the form for more categories than columns should be."""
     src = fit_on if fit_on is not None else df
     out = df
     for c in cols:
@@ -76,10 +80,9 @@ def binary_encode(df: DataFrame, cols: list[str], id_col: str, fit_on: DataFrame
             src.groupBy(F.col(c).cast("string").alias("v"))
             .agg(F.min(id_col).alias("first"))
             .orderBy("first")
-            .limit(MAX_CATEGORIES + 1)
             .collect()
         )
-        classes = _bounded([r["v"] for r in firsts], c)
+        classes = [r["v"] for r in firsts]
         val = F.col(c).cast("string")
         if len(classes) == 1:
             out = out.withColumn(f"{c}_binary", F.lit(0))

@@ -60,31 +60,49 @@ def _doc_ngrams(df, id_col, text_col, n_values):
 
 def top_ngrams_tfidf(df: DataFrame, n_max: int = 3, k: int = 30, id_col="essay_id", text_col="essay") -> DataFrame:
     """K5: n-grams (1..n_max) by summed tf-idf, the k best;
-    idf = ln((1+N)/(1+df)) + 1, score = idf * total count."""
-    grams = _doc_ngrams(df, id_col, text_col, range(1, n_max + 1))
-    per_doc = grams.groupBy(id_col, "ngram").agg(F.count(F.lit(1)).alias("tf"))
-    per_gram = per_doc.groupBy("ngram").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
+    idf = ln((1+N)/(1+df)) + 1, score = idf * total count.
+
+    A document is one row, so it emits its n-grams with a mark on the first
+    of each; one aggregation by n-gram then has both counts, and the number
+    of documents is counted on the same scan."""
+    toks = df.select(F.col(id_col), F.coalesce(T.keras_tokens(text_col), F.array().cast("array<string>")).alias("t"))
+    grams = [F.col("t")]
+    for n in range(2, n_max + 1):
+        toks = NGram(n=n, inputCol="t", outputCol=f"_g{n}").transform(toks)
+        grams.append(F.col(f"_g{n}"))
+    total = F.concat(*grams)
+    # a document's distinct n-grams count 1 for df, all of them 1 for the total
+    marked = toks.select(F.explode(F.array(F.struct(total.alias("g"), F.lit(0).alias("d")), F.struct(F.array_distinct(total).alias("g"), F.lit(1).alias("d")))).alias("x"))
+    rows = marked.select(F.explode("x.g").alias("ngram"), F.col("x.d").alias("d"))
+    per_gram = rows.groupBy("ngram").agg(F.sum(1 - F.col("d")).alias("total"), F.sum("d").alias("df"))
     n_docs = df.count()  # one scalar to the driver
     idf = F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1
     scored = per_gram.select("ngram", F.col("total").cast("long").alias("total"), F.round(idf * F.col("total"), 6).alias("score"))
     return scored.orderBy(F.col("score").desc(), F.col("ngram")).limit(k)
 
 
+HEAD_TOKENS = 4
+
+
 def phrase_presence(
-    df: DataFrame, phrases: DataFrame, id_col="essay_id", text_col="essay", key_col="key_id", phrase_col="phrase"
+    df: DataFrame, phrases: DataFrame, id_col="essay_id", text_col="essay", key_col="key_id", phrase_col="phrase", set_col="essay_set"
 ) -> DataFrame:
-    """K6: (essay, phrase) pairs where the phrase's tokens occur contiguously
-    in the essay's tokens (sparse 0/1: absent pairs are 0).
+    """K6: (essay, phrase of its set) pairs where the phrase's tokens occur
+    contiguously in the essay's tokens (sparse 0/1: absent pairs are 0).
 
-    Only the n-gram lengths that some phrase has are generated, and the
-    n-grams are equi-joined to the phrase table (broadcast behind a size check).
+    The n-grams of at most ``HEAD_TOKENS`` tokens that begin a phrase are
+    equi-joined with the essays' n-grams; only the essays that have one are
+    then searched for the whole phrase.
     """
-    ph = phrases.select(key_col, F.array_join(T.keras_tokens(phrase_col), " ").alias("ngram"),
-                        F.size(T.keras_tokens(phrase_col)).alias("len")).filter(F.col("len") > 0)
-    lengths = [r[0] for r in ph.select("len").distinct().collect()]  # distinct phrase lengths: a handful
-    if not lengths:
-        return df.sparkSession.createDataFrame([], f"{id_col} long, {key_col} long, present int")
-    # join first (map-side when broadcast), deduplicate only the hits
-    grams = _doc_ngrams(df, id_col, text_col, sorted(lengths))
-    hit = lookup_join(grams, ph.select(key_col, "ngram"), ["ngram"], "inner", salt_by=[F.col(id_col)])
-    return hit.select(id_col, key_col).distinct().withColumn("present", F.lit(1))
+    toks = T.keras_tokens(phrase_col)
+    ph = phrases.select(
+        key_col, F.col(set_col).alias("_set"), F.array_join(toks, " ").alias("_whole"), F.size(toks).alias("_n"),
+        F.array_join(F.slice(toks, 1, HEAD_TOKENS), " ").alias("ngram"),
+    ).filter(F.col("_n") > 0)
+    grams = _doc_ngrams(df, id_col, text_col, range(1, HEAD_TOKENS + 1))
+    hit = lookup_join(grams, ph.drop("_n"), ["ngram"], "inner", salt_by=[F.col(id_col)])
+    hit = hit.select(id_col, key_col, "_set", "_whole").distinct()
+    spaced = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    text = df.select(id_col, set_col, spaced(F.array_join(T.keras_tokens(text_col), " ")).alias("_text"))
+    found = hit.join(text, id_col).filter((F.col(set_col) == F.col("_set")) & F.col("_text").contains(spaced(F.col("_whole"))))
+    return found.select(id_col, key_col).distinct().withColumn("present", F.lit(1))

@@ -6,6 +6,8 @@ are distributed (tree aggregation over partitions)."""
 
 from __future__ import annotations
 
+from itertools import count, takewhile
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (
     LinearSVC,
@@ -20,14 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def calc_mlp_dims(input_dim: int, division: int = 2, output_dim: int = 1) -> list[int]:
-    """Hidden sizes: divide by ``division`` while above the output size,
-    dropping the last one (the reference's helper)."""
-    dim, dims = input_dim, []
-    while dim > output_dim:
-        dim = dim // division
-        dims.append(int(dim))
-    return dims[:-1]
+def hidden_layer_sizes(inputs: int, shrink: int = 2, outputs: int = 1) -> list[int]:
+    """Sizes between the input and output layers: ``inputs`` divided by the
+    powers of ``shrink``, as far as they stay above ``outputs``."""
+    sizes = (inputs // shrink**power for power in count(1))
+    return list(takewhile(lambda size: size > outputs, sizes))
 
 
 def _assemble(cols: list[str]):
@@ -59,7 +58,7 @@ def train_score_classifier(
         if num_classes is None:
             num_classes = train.select(label_col).distinct().count()
         n_in = len(feature_cols)
-        layers = [n_in, *calc_mlp_dims(n_in, division, num_classes), num_classes]
+        layers = [n_in, *hidden_layer_sizes(n_in, division, num_classes), num_classes]
         clf = MultilayerPerceptronClassifier(
             featuresCol="features", labelCol=label_col, layers=layers, seed=seed, maxIter=max_iter
         )

@@ -88,8 +88,10 @@ def pad_column(arr, maxlen: int, padding: str = "post", truncating: str = "post"
     return F.concat(cut, fill) if padding == "post" else F.concat(fill, cut)
 
 
-def pad_sequences(df, col="seq", maxlen=100, padding="post", truncating="post", out="padded"):
-    """V4."""
+def pad_sequences(df, col="seq", maxlen=None, padding="post", truncating="post", out="padded"):
+    """V4.  Without ``maxlen`` the length is that of the longest sequence."""
+    if maxlen is None:
+        maxlen = df.agg(F.max(F.size(col))).first()[0] or 0
     return df.withColumn(out, pad_column(col, maxlen, padding, truncating))
 
 

@@ -7,8 +7,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeflow.functions.text import first_ws_words
-
 
 TABLE_KEYS = {
     "documents": "doc_id",
@@ -63,10 +61,20 @@ def scored(spark, sf_dir) -> DataFrame:
     return essays(spark, sf_dir).filter(F.col("domain1_score").isNotNull())
 
 
+# The essay set whose rubric holds an item, by item_id % 4
+# (FIXTURES.md, "rubric").
+RUBRIC_SETS = ("de", "en", "es", "fr")
+
+
 def phrases(spark, sf_dir) -> DataFrame:
-    """Rubric key phrases: first 8 blank-separated words of each benchmark text."""
+    """Rubric key phrases by essay set: the whole text of each benchmark item."""
     b = table(spark, sf_dir, "benchmark")
-    return b.select(F.col("item_id").alias("key_id"), first_ws_words("text", 8).alias("phrase"))
+    place = (F.pmod(F.col("item_id"), F.lit(len(RUBRIC_SETS))) + 1).cast("int")
+    return b.select(
+        F.col("item_id").alias("key_id"),
+        F.element_at(F.array(*[F.lit(x) for x in RUBRIC_SETS]), place).alias("essay_set"),
+        F.col("text").alias("phrase"),
+    )
 
 
 def corpus_vocab(spark, sf_dir) -> DataFrame:

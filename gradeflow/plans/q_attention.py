@@ -1,9 +1,8 @@
-"""K7-K9: rubric attention over essays x phrases.
+"""K7-K9: attention between each essay and the rubric of its set.
 
-The pair count is essays x phrases x words^2, too heavy for an oracle SQL on
-the whole tables; the queries are rows-only here and
-``tests/test_attention.py`` checks them against a brute-force computation
-on a small fixture.
+The oracles score each essay's distinct words with their counts;
+``tests/test_attention.py`` also checks the operators against a loop over
+all word pairs on a small fixture.
 """
 
 from __future__ import annotations
@@ -30,10 +29,10 @@ def _seq_sql(src, id_col, text_col, pos_name):
 
 def inputs(spark, d, vocab=None):
     vocab = vocab if vocab is not None else B.corpus_vocab(spark, d)
-    essays = B.texts(spark, d).select("essay_id", "essay")
-    seqs = V.texts_to_sequences(essays, vocab, num_words=CAP).select("essay_id", "seq")
+    essays = B.texts(spark, d)
+    seqs = V.texts_to_sequences(essays, vocab, num_words=CAP).select("essay_id", "essay_set", "seq")
     ph = B.phrases(spark, d)
-    pseq = V.texts_to_sequences(ph, vocab, id_col="key_id", text_col="phrase", num_words=CAP).select("key_id", "seq")
+    pseq = V.texts_to_sequences(ph, vocab, id_col="key_id", text_col="phrase", num_words=CAP).select("key_id", "essay_set", "seq")
     vectors = B.vectors_from(vocab, B.table(spark, d, "embeddings"))
     return seqs, pseq, vocab, vectors
 
@@ -65,12 +64,12 @@ cand AS (
   UNION ALL
   SELECT es.essay_id, -1 AS wid, count(*) AS c FROM es LEFT JOIN vv ON es.wid = vv.wid
   WHERE vv.wid IS NULL GROUP BY es.essay_id),
-pk AS (SELECT pt.key_id, pt.kpos, vv.vec AS kvec FROM pt LEFT JOIN vv ON pt.wid = vv.wid),
+pk AS (SELECT pt.key_id, ph.essay_set, pt.kpos, vv.vec AS kvec FROM pt JOIN phrases ph ON pt.key_id = ph.key_id LEFT JOIN vv ON pt.wid = vv.wid),
 psize AS (SELECT key_id, count(*) AS m FROM pt GROUP BY key_id),
 z AS (
   SELECT c.essay_id, p.key_id, p.kpos, c.wid, c.c,
          CASE WHEN p.kvec IS NULL OR av.vec IS NULL THEN 0.0 ELSE list_dot_product(p.kvec, av.vec) END AS z
-  FROM cand c CROSS JOIN pk p LEFT JOIN vv av ON c.wid = av.wid),
+  FROM cand c JOIN essays e ON c.essay_id = e.essay_id JOIN pk p ON e.essay_set = p.essay_set LEFT JOIN vv av ON c.wid = av.wid),
 zm AS (SELECT *, max(z) OVER (PARTITION BY essay_id, key_id, kpos) AS mi,
                  max(z) OVER (PARTITION BY essay_id, key_id, wid) AS mw FROM z),
 ze AS (SELECT *, c * exp(z - mi) AS an, exp(z - mw) AS gn FROM zm),
@@ -83,12 +82,12 @@ delta AS (SELECT zs.essay_id, zs.key_id, zs.kpos, sum(zs.c * gn / gd) / ne.n AS
 u AS (SELECT b.essay_id, b.key_id, [{u_vec}] AS u FROM beta b JOIN vv av ON b.wid = av.wid GROUP BY b.essay_id, b.key_id),
 v AS (SELECT dl.essay_id, dl.key_id, [{v_vec}] AS v
   FROM delta dl JOIN pk p ON dl.key_id = p.key_id AND dl.kpos = p.kpos GROUP BY dl.essay_id, dl.key_id),
-k7 AS (SELECT e.essay_id, k.item_id AS key_id,
+k7 AS (SELECT e.essay_id, k.key_id,
   list_transform(list_concat(coalesce(u.u, {zeros}), coalesce(v.v, {zeros})),
                  lambda x: CASE WHEN round(x, 6) = 0 THEN 0.0 ELSE round(x, 6) END) AS f
-FROM essays e CROSS JOIN benchmark k
-LEFT JOIN u ON u.essay_id = e.essay_id AND u.key_id = k.item_id
-LEFT JOIN v ON v.essay_id = e.essay_id AND v.key_id = k.item_id)
+FROM essays e JOIN phrases k ON e.essay_set = k.essay_set
+LEFT JOIN u ON u.essay_id = e.essay_id AND u.key_id = k.key_id
+LEFT JOIN v ON v.essay_id = e.essay_id AND v.key_id = k.key_id)
 """
 
 
@@ -130,7 +129,8 @@ cand AS (
 pairs AS (
   SELECT c.essay_id, p.key_id, p.kpos, c.apos,
          CASE WHEN kv.vec IS NULL OR av.vec IS NULL THEN 0.0 ELSE list_dot_product(kv.vec, av.vec) END AS z
-  FROM cand c CROSS JOIN pt p LEFT JOIN vv kv ON p.wid = kv.wid LEFT JOIN vv av ON c.wid = av.wid),
+  FROM cand c JOIN essays e ON c.essay_id = e.essay_id JOIN phrases ph ON e.essay_set = ph.essay_set
+  JOIN pt p ON p.key_id = ph.key_id LEFT JOIN vv kv ON p.wid = kv.wid LEFT JOIN vv av ON c.wid = av.wid),
 best AS (SELECT essay_id, key_id, kpos, first(apos ORDER BY z DESC, apos) AS apos FROM pairs GROUP BY essay_id, key_id, kpos)
 SELECT b.essay_id, b.key_id, b.kpos, b.apos, es.wid AS word_id, v.word
 FROM best b JOIN es ON b.essay_id = es.essay_id AND b.apos = es.apos

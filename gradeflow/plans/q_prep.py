@@ -189,7 +189,7 @@ def _n13(spark, d):
     e = B.scored(spark, d)
     e = e.withColumn("num_words", num_words("essay"))
     e = V.texts_to_sequences(e, B.corpus_vocab(spark, d))
-    e = V.token_mask(V.pad_sequences(e, "seq", 100))
+    e = V.token_mask(V.pad_sequences(e, "seq"))
     e = CT.one_hot(e, ["essay_set"])
     cats = sorted(c for c in e.columns if c.startswith("essay_set_"))
     return CT.assemble_row(e, "domain1_score", cats, ["num_words"], "padded", "mask", "essay", extra=["essay_id"])
@@ -205,8 +205,8 @@ def _n13_sql():
 SELECT s.essay_id, s.domain1_score AS labels,
   list_transform(cats.c, lambda v: CASE WHEN v = s.essay_set THEN 1.0 ELSE 0.0 END) AS cat_feats,
   [CAST({S.num_words('s.essay')} AS DOUBLE)] AS numerical_feats,
-  list_resize(q.seq, 100, 0) AS input_ids,
-  list_transform(list_resize(q.seq, 100, 0), lambda x: CASE WHEN x = 0 THEN 0 ELSE 1 END) AS attention_mask,
+  list_resize(q.seq, (SELECT max(len(x.seq)) FROM seqs x JOIN scored y ON x.essay_id = y.essay_id), 0) AS input_ids,
+  list_transform(list_resize(q.seq, (SELECT max(len(x.seq)) FROM seqs x JOIN scored y ON x.essay_id = y.essay_id), 0), lambda x: CASE WHEN x = 0 THEN 0 ELSE 1 END) AS attention_mask,
   s.essay AS text
 FROM scored s JOIN seqs q ON s.essay_id = q.essay_id, cats"""
     )

@@ -26,19 +26,11 @@ register("P2_filter_score", E + "SELECT essay_id, domain1_score FROM essays WHER
 )
 
 _P3_COLS = ["essay_id", "essay_set", "essay", "domain1_score"]
+# the columns that hold a null (scores of unlabelled essays) are gone
 register(
     "P3_drop_null_columns",
-    E
-    + " UNION ALL ".join(
-        f"SELECT '{c}' AS column_name, CAST(count(*) FILTER (WHERE {c} IS NULL) AS BIGINT) AS n_null, "
-        f"count(*) FILTER (WHERE {c} IS NULL) = 0 AS kept FROM essays WHERE essay_set = 'en'"
-        for c in _P3_COLS
-    ),
-)(
-    lambda spark, d: C.null_counts(C.filter_set(B.essays(spark, d), "en").select(*_P3_COLS)).withColumn(
-        "kept", F.col("n_null") == 0
-    )
-)
+    E + "SELECT essay_id, essay_set, essay FROM essays",
+)(lambda spark, d: C.drop_null_columns(B.essays(spark, d)))
 
 register("P5_clean_text", E + f"SELECT essay_id, {S.clean_text('essay')} AS essay FROM essays")(
     lambda spark, d: C.clean_text(B.texts(spark, d)).select("essay_id", "essay")
@@ -190,12 +182,10 @@ _PH_TOK = S.keras_tokens("phrase")
 register(
     "K6_phrase_presence",
     EP
-    + f""", ph AS (SELECT key_id, array_to_string({_PH_TOK}, ' ') AS ngram, len({_PH_TOK}) AS n FROM phrases WHERE len({_PH_TOK}) > 0),
-et AS (SELECT essay_id, {S.keras_tokens('essay')} AS t FROM essays),
-g AS (SELECT et.essay_id, ph.key_id, ph.ngram, array_to_string(et.t[i + 1:i + ph.n], ' ') AS gram
-      FROM et JOIN (SELECT DISTINCT n FROM ph) ln ON len(et.t) >= ln.n
-      JOIN ph ON ph.n = ln.n, unnest(range(0, len(et.t) - ln.n + 1)) AS r(i))
-SELECT DISTINCT essay_id, key_id, 1 AS present FROM g WHERE gram = ngram""",
+    + f""", ph AS (SELECT key_id, essay_set, array_to_string({_PH_TOK}, ' ') AS ngram FROM phrases WHERE len({_PH_TOK}) > 0),
+et AS (SELECT essay_id, essay_set, array_to_string({S.keras_tokens('essay')}, ' ') AS t FROM essays)
+SELECT DISTINCT essay_id, key_id, 1 AS present FROM et JOIN ph ON et.essay_set = ph.essay_set
+WHERE contains(' ' || t || ' ', ' ' || ngram || ' ')""",
 )(lambda spark, d: L.phrase_presence(B.texts(spark, d), B.phrases(spark, d)))
 
 

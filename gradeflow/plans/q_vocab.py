@@ -10,7 +10,6 @@ from gradeflow.plans import sql as S
 from gradeflow.plans.registry import register
 
 CAP = 10000  # num_words of the reference's tokenizer
-PAD = 100
 DIM = 64
 
 EV = S.with_(S.ESSAYS, S.PHRASES, S.VOCAB)
@@ -44,14 +43,14 @@ register("V3_texts_to_sequences", EV + SEQ_SQL + "SELECT essay_id, seq FROM seqs
     lambda spark, d: _seqs(spark, d).select("essay_id", "seq")
 )
 
-register("V4_pad_sequences", EV + SEQ_SQL + f"SELECT essay_id, list_resize(seq, {PAD}, 0) AS padded FROM seqs")(
-    lambda spark, d: V.pad_sequences(_seqs(spark, d), "seq", PAD).select("essay_id", "padded")
+register("V4_pad_sequences", EV + SEQ_SQL + f"SELECT essay_id, list_resize(seq, (SELECT max(len(seq)) FROM seqs), 0) AS padded FROM seqs")(
+    lambda spark, d: V.pad_sequences(_seqs(spark, d), "seq").select("essay_id", "padded")
 )
 
 register(
     "V5_token_mask",
-    EV + SEQ_SQL + f"SELECT essay_id, list_transform(list_resize(seq, {PAD}, 0), lambda x: CASE WHEN x = 0 THEN 0 ELSE 1 END) AS mask FROM seqs",
-)(lambda spark, d: V.token_mask(V.pad_sequences(_seqs(spark, d), "seq", PAD)).select("essay_id", "mask"))
+    EV + SEQ_SQL + f"SELECT essay_id, list_transform(list_resize(seq, (SELECT max(len(seq)) FROM seqs), 0), lambda x: CASE WHEN x = 0 THEN 0 ELSE 1 END) AS mask FROM seqs",
+)(lambda spark, d: V.token_mask(V.pad_sequences(_seqs(spark, d), "seq")).select("essay_id", "mask"))
 
 
 def _r6_vec(c):

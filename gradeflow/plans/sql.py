@@ -6,9 +6,10 @@ syntax (``lambda x: ...``)."""
 from __future__ import annotations
 
 from gradeflow.functions import patterns as P
-from gradeflow.plans.bindings import GAZETTEER_FAMILIES, LEXICON_TAGS
+from gradeflow.plans.bindings import GAZETTEER_FAMILIES, LEXICON_TAGS, RUBRIC_SETS
 
 q = P.sql_str
+q_list = P.sql_str_list
 
 
 def r6(e: str) -> str:
@@ -80,10 +81,6 @@ def quotes(e):
     return f"regexp_extract_all({e}, {q(P.QUOTE)}, 1)"
 
 
-def first_ws_words(e, n):
-    return f"array_to_string({ws_tokens(e)}[1:{n}], ' ')"
-
-
 def readability_cte(src: str, text: str = "essay") -> str:
     """SELECT over ``src`` adding _words, _syl, _s, _s100 (like readability_parts)."""
     return (
@@ -121,7 +118,7 @@ ESSAYS = """essays AS (
 SCORED = "scored AS (SELECT * FROM essays WHERE domain1_score IS NOT NULL)"
 
 PHRASES = f"""phrases AS (
-  SELECT item_id AS key_id, {first_ws_words('text', 8)} AS phrase FROM benchmark)"""
+  SELECT item_id AS key_id, {q_list(RUBRIC_SETS)}[item_id % {len(RUBRIC_SETS)} + 1] AS essay_set, text AS phrase FROM benchmark)"""
 
 VOCAB = f"""vtok AS (
   SELECT 0 AS src, essay_id AS tid, unnest(t) AS word, generate_subscripts(t, 1) AS pos

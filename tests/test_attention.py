@@ -37,9 +37,10 @@ def test_attention_matches_brute_force(spark):
     vocab = spark.createDataFrame([(f"w{i}", 1, i) for i in range(1, n_words)], "word string, count long, index long")
     vecs = {f"w{i}": rng.normal(size=dim).tolist() for i in range(1, n_words - 1)}  # w5 has no vector
     vectors = spark.createDataFrame(list(vecs.items()), "word string, vec array<double>")
-    answers = spark.createDataFrame([(1, [1, 2, 5, 2]), (2, []), (3, [3])], "essay_id long, seq array<int>")
-    phrases = spark.createDataFrame([(10, [2, 3]), (11, [4]), (12, [])], "key_id long, seq array<int>")
+    answers = spark.createDataFrame([(1, "x", [1, 2, 5, 2]), (2, "x", []), (3, "x", [3]), (4, "y", [1]), (5, None, [1])], "essay_id long, essay_set string, seq array<int>")
+    phrases = spark.createDataFrame([(10, "x", [2, 3]), (11, "x", [4]), (12, "x", []), (13, "y", [2])], "key_id long, essay_set string, seq array<int>")
     got = {(r["essay_id"], r["key_id"]): r["f"] for r in A.keyword_attention(answers, phrases, vocab, vectors, dim, 10).collect()}
+    assert {k for k in got if k[0] > 3} == {(4, 13)}  # another set's rubric; no set, no rubric
     E = np.zeros((10, dim))
     for w, v in vecs.items():
         E[int(w[1:])] = v
@@ -50,10 +51,10 @@ def test_attention_matches_brute_force(spark):
     # the loop path (max pooling) and the vectorised path agree on mean pooling
     a = E[[1, 2, 5, 2]]
     K_all, sizes = E[[2, 3, 4]], np.array([2, 1])
-    fast = A.attend_all(a, K_all, np.array([0, 2]), sizes)
+    fast = A.attend_words(E[[1, 2, 5]], np.array([1, 2, 1]), K_all, np.array([0, 2]), sizes)
     assert np.allclose(fast[0], A.attend(a, E[[2, 3]])[0]) and np.allclose(fast[1], A.attend(a, E[[4]])[0])
     feats = A.keyword_features(A.keyword_attention(answers, phrases, vocab, vectors, dim, 10)).collect()
-    assert all(len(r["keyword_features"]) == 3 * 2 * dim for r in feats)
+    assert {r["essay_id"]: len(r["keyword_features"]) for r in feats} == {1: 6 * dim, 2: 6 * dim, 3: 6 * dim, 4: 2 * dim}
     top = A.attention_top_words(answers, phrases, vocab, vectors, dim, 10)
     r = top.filter((F.col("essay_id") == 1) & (F.col("key_id") == 11)).first()
     z = [float(E[4] @ E[i]) for i in [1, 2, 5, 2]]
@@ -66,8 +67,8 @@ def test_attention_options_loop_path(spark):
     vocab = spark.createDataFrame([(f"w{i}", 1, i) for i in range(1, 5)], "word string, count long, index long")
     vecs = {f"w{i}": rng.normal(size=dim).tolist() for i in range(1, 5)}
     vectors = spark.createDataFrame(list(vecs.items()), "word string, vec array<double>")
-    answers = spark.createDataFrame([(1, [1, 2, 3]), (2, [4])], "essay_id long, seq array<int>")
-    phrases = spark.createDataFrame([(10, [2, 4])], "key_id long, seq array<int>")
+    answers = spark.createDataFrame([(1, "x", [1, 2, 3]), (2, "x", [4])], "essay_id long, essay_set string, seq array<int>")
+    phrases = spark.createDataFrame([(10, "x", [2, 4])], "key_id long, essay_set string, seq array<int>")
     E = np.zeros((10, dim))
     for w, v in vecs.items():
         E[int(w[1:])] = v

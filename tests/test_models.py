@@ -11,9 +11,10 @@ def _fixture(spark):
     return spark.createDataFrame(rows, "id long, label double, noise double, signal double")
 
 
-def test_calc_mlp_dims():
-    assert MD.calc_mlp_dims(24, 2, 4) == [12, 6]
-    assert MD.calc_mlp_dims(5, 2, 4) == []
+def test_hidden_layer_sizes():
+    assert MD.hidden_layer_sizes(24, 2, 4) == [12, 6]
+    assert MD.hidden_layer_sizes(5, 2, 4) == []
+    assert MD.hidden_layer_sizes(16, 2, 4) == [8] and MD.hidden_layer_sizes(24, 2, 1) == [12, 6, 3]
 
 
 def test_linear_head_deterministic_and_learns(spark):
