@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeflow.plans.joins import lookup_join
@@ -99,7 +99,10 @@ def _f1_col():
 def classification_scores(df: DataFrame, label="label", pred="pred", by=()) -> DataFrame:
     """E6, E7, E8 in one row (per group ``by``): acc, f1_micro, f1_macro,
     f1_weighted, mcc."""
-    conf = confusion(df, label, pred, by)
+    return _scores_of(confusion(df, label, pred, by), by)
+
+
+def _scores_of(conf: DataFrame, by=()) -> DataFrame:
     pc = per_class(conf, by).withColumn("f1", _f1_col())
     agg = pc.groupBy(*by).agg(
         F.sum("tp").alias("tp"),
@@ -136,38 +139,43 @@ def mcc(df: DataFrame, label="label", pred="pred") -> DataFrame:
     return classification_scores(df, label, pred).select("mcc")
 
 
-def qwk(df: DataFrame, label="label", pred="pred", by=()) -> DataFrame:
-    """Quadratic weighted kappa with class index = position in the sorted
-    union of labels and predictions (per group); null when the expected
-    disagreement is 0."""
+def _qwk_of(conf: DataFrame, by=()) -> DataFrame:
+    """E9 from a confusion table (one row per class pair)."""
     by = list(by)
-    classes = df.select(*by, F.col(label).alias("c")).union(df.select(*by, F.col(pred).alias("c"))).distinct()
-    ranked = global_rank(classes, [*(F.col(k) for k in by), F.col("c")], name="_g")
-    if by:
-        starts = ranked.groupBy(*by).agg(F.min("_g").alias("_s"))
-        ranked = lookup_join(ranked, starts, by).withColumn("_g", F.col("_g") - F.col("_s") + 1)
-    idx = ranked.select(*by, "c", (F.col("_g") - 1).cast("double").alias("i"))
-    li = idx.select(*by, F.col("c").alias("_l"), F.col("i").alias("ti"))
-    pi = idx.select(*by, F.col("c").alias("_p"), F.col("i").alias("pj"))
-    x = df.select(*by, F.col(label).alias("_l"), F.col(pred).alias("_p"))
-    x = lookup_join(lookup_join(x, li, [*by, "_l"], "inner"), pi, [*by, "_p"], "inner")
+    classes = conf.select(*by, F.col("label").alias("c")).union(conf.select(*by, F.col("pred").alias("c"))).distinct()
+    # one row per class and group: the window never holds data rows
+    place = Window.partitionBy(*(by or [F.lit(0)])).orderBy("c")
+    idx = classes.withColumn("i", (F.row_number().over(place) - 1).cast("double"))
+    x = conf.join(idx.withColumnsRenamed({"c": "label", "i": "ti"}), [*by, "label"]).join(
+        idx.withColumnsRenamed({"c": "pred", "i": "pj"}), [*by, "pred"])
+    n = F.col("count")
     s = x.groupBy(*by).agg(
-        F.count(F.lit(1)).cast("double").alias("n"),
-        F.sum(F.pow(F.col("ti") - F.col("pj"), 2)).alias("obs"),
-        F.sum(F.col("ti") * F.col("ti")).alias("t2"),
-        F.sum(F.col("pj") * F.col("pj")).alias("p2"),
-        F.sum("ti").alias("t1"),
-        F.sum("pj").alias("p1"),
+        F.sum(n).cast("double").alias("n"),
+        F.sum(n * F.pow(F.col("ti") - F.col("pj"), 2)).alias("obs"),
+        F.sum(n * F.col("ti") * F.col("ti")).alias("t2"),
+        F.sum(n * F.col("pj") * F.col("pj")).alias("p2"),
+        F.sum(n * F.col("ti")).alias("t1"),
+        F.sum(n * F.col("pj")).alias("p1"),
     )
     expected = F.col("t2") + F.col("p2") - 2 * F.col("t1") * F.col("p1") / F.col("n")
     kappa = F.when(expected == 0, F.lit(None)).otherwise(1 - F.col("obs") / expected).cast("double")
     return s.select(*by, kappa.alias("qwk"))
 
 
+def qwk(df: DataFrame, label="label", pred="pred", by=()) -> DataFrame:
+    """Quadratic weighted kappa with class index = position in the sorted
+    union of labels and predictions (per group); null when the expected
+    disagreement is 0.  Rows with a null label or prediction do not count."""
+    fine = df.filter(F.col(label).isNotNull() & F.col(pred).isNotNull())
+    return _qwk_of(confusion(fine, label, pred, by).checkpoint(), by)
+
+
 def benchmark_report(df: DataFrame, label="label", pred="pred", by=()) -> DataFrame:
-    """E13 (and E10): acc, f1 (weighted), acc_and_f1, mcc, qwk in one row per group."""
-    cs = classification_scores(df, label, pred, by)
-    k = qwk(df, label, pred, by)
+    """E13 (and E10): acc, f1 (weighted), acc_and_f1, mcc, qwk in one row per
+    group, all from one confusion table."""
+    conf = confusion(df, label, pred, by).checkpoint()
+    cs = _scores_of(conf, by)
+    k = _qwk_of(conf.filter(F.col("label").isNotNull() & F.col("pred").isNotNull()), by)
     row = cs.select(*by, "acc", F.col("f1_weighted").alias("f1"), "mcc")
     j = _zip_rows(row, k, by=by)
     return j.select(*by, "acc", "f1", ((F.col("acc") + F.col("f1")) / 2).alias("acc_and_f1"), "mcc", "qwk")
@@ -190,47 +198,51 @@ def _cumulative(df: DataFrame, score="score", label="label") -> DataFrame:
     return global_running_sum(sc, [F.col("score").desc()], {"tp": F.col("pos"), "fp": F.col("neg")})
 
 
-def roc_auc(df: DataFrame, score="score", label="label") -> DataFrame:
-    """Tie-aware ROC AUC (trapezoid over distinct scores)."""
+def _curve(df: DataFrame, score="score", label="label") -> DataFrame:
+    """One row per distinct score, highest first: threshold, precision,
+    recall, F, the slice of the ROC area, and the slice of the PR area from
+    the point before, which is this one without its own counts."""
     c = _cumulative(df, score, label)
-    area = F.col("neg") * (F.col("tp") - F.col("pos") / 2.0)
-    return c.agg(
-        (F.sum(area) / (F.max("tp_total") * F.max("fp_total"))).alias("roc_auc")
+    tp, fp, pos, neg = (F.col(x) for x in ("tp", "fp", "pos", "neg"))
+    total = F.col("tp_total")
+    c = c.withColumns({"precision": tp / (tp + fp), "recall": tp / total})
+    before = tp - pos + fp - neg
+    p0 = F.when(before == 0, F.lit(1.0)).otherwise((tp - pos) / F.nullif(before, F.lit(0)))
+    den = F.col("precision") + F.col("recall")
+    f = F.try_divide(2 * F.col("precision") * F.col("recall"), den)
+    return c.select(
+        F.col("score").alias("threshold"), "precision", "recall", "tp_total", "fp_total",
+        F.when((den == 0) | f.isNull() | F.isnan(f), F.lit(0.0)).otherwise(f).alias("f1"),
+        (neg * (tp - pos / 2.0)).alias("roc_part"),
+        ((F.col("recall") - (tp - pos) / total) * (F.col("precision") + p0) / 2).alias("pr_part"),
     )
 
 
+def _roc():
+    return F.sum("roc_part") / (F.max("tp_total") * F.max("fp_total"))
+
+
+def roc_auc(df: DataFrame, score="score", label="label") -> DataFrame:
+    """Tie-aware ROC AUC (trapezoid over distinct scores)."""
+    return _curve(df, score, label).agg(_roc().alias("roc_auc"))
+
+
 def pr_curve(df: DataFrame, score="score", label="label") -> DataFrame:
     """Precision, recall per distinct score as threshold (predict >= t)."""
-    c = _cumulative(df, score, label)
-    return c.select(
-        F.col("score").alias("threshold"),
-        (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
-        (F.col("tp") / F.col("tp_total")).alias("recall"),
-    )
+    return _curve(df, score, label).select("threshold", "precision", "recall")
 
 
 def best_f1_threshold(df: DataFrame, score="score", label="label") -> DataFrame:
     """The threshold with the highest F (NaN -> 0), lowest threshold on
-    ties; null row values when every F is 0."""
-    pr = pr_curve(df, score, label)
-    den = F.col("precision") + F.col("recall")
-    f = F.try_divide(2 * F.col("precision") * F.col("recall"), den)
-    pr = pr.withColumn("f1", F.when((den == 0) | f.isNull() | F.isnan(f), F.lit(0.0)).otherwise(f))
-    best = pr.filter(F.col("f1") > 0).orderBy(F.col("f1").desc(), F.col("threshold")).limit(1)
+    ties; no row when every F is 0."""
+    best = _curve(df, score, label).filter(F.col("f1") > 0).orderBy(F.col("f1").desc(), F.col("threshold")).limit(1)
     return best.select("threshold", "precision", "recall", "f1")
 
 
 def pr_auc(df: DataFrame, score="score", label="label") -> DataFrame:
     """E5: trapezoid over (recall, precision) from the point (0, 1) through
-    the thresholds in descending order; previous point by an equi-join on
-    the rank."""
-    pr = pr_curve(df, score, label)
-    r = global_rank(pr, [F.col("threshold").desc()], name="k")
-    prev = r.select((F.col("k") + 1).alias("k"), F.col("precision").alias("p0"), F.col("recall").alias("r0"))
-    j = r.join(prev, "k", "left").select(
-        F.coalesce("p0", F.lit(1.0)).alias("p0"), F.coalesce("r0", F.lit(0.0)).alias("r0"), "precision", "recall"
-    )
-    return j.agg(F.sum((F.col("recall") - F.col("r0")) * (F.col("precision") + F.col("p0")) / 2).alias("pr_auc"))
+    the thresholds in descending order."""
+    return _curve(df, score, label).agg(F.sum("pr_part").alias("pr_auc"))
 
 
 def regression_metrics(df: DataFrame, pred="pred", label="label") -> DataFrame:
@@ -261,14 +273,14 @@ def classification_report(df: DataFrame, score="score", label="label", pred="pre
     """Binary branch when there are exactly two distinct labels (AUCs,
     best-F threshold, confusion), else the multiclass scores."""
     n_labels = df.select(label).distinct().limit(3).count()
-    if n_labels == 2:
-        return _zip_rows(
-            roc_auc(df, score, label),
-            best_f1_threshold(df, score, label),
-            pr_auc(df, score, label),
-            binary_confusion(df, label, pred),
-        )
-    return classification_scores(df, label, pred)
+    if n_labels != 2:
+        return classification_scores(df, label, pred)
+    best = F.when(F.col("f1") > 0, F.struct("f1", (-F.col("threshold")).alias("low"), "precision", "recall"))
+    curve = _curve(df, score, label).agg(
+        _roc().alias("roc_auc"), F.sum("pr_part").alias("pr_auc"), F.max(best).alias("b"))
+    curve = curve.select("roc_auc", (-F.col("b.low")).alias("threshold"), F.col("b.precision").alias("precision"),
+                         F.col("b.recall").alias("recall"), F.col("b.f1").alias("f1"), "pr_auc")
+    return _zip_rows(curve, binary_confusion(df, label, pred))
 
 
 def aggregate_folds(metrics: DataFrame) -> DataFrame:

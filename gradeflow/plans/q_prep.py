@@ -140,15 +140,18 @@ register(
 register(
     "N8_binary_encode",
     WC
-    + """, two AS (SELECT * FROM cat WHERE o_orderstatus IN ('F', 'O')),
-second AS (SELECT o_orderstatus AS v FROM two GROUP BY o_orderstatus ORDER BY min(o_orderkey) LIMIT 1 OFFSET 1),
-b AS (SELECT o_orderkey, CASE WHEN o_orderstatus = (SELECT v FROM second) THEN 1 ELSE 0 END AS o_orderstatus_binary FROM two)
-SELECT * FROM b JOIN (PIVOT (SELECT o_orderkey, 'o_orderpriority_' || replace(replace(lower(o_orderpriority), ', ', '_'), ' ', '_') AS k, 1 AS one
-      FROM cat WHERE o_orderstatus IN ('F', 'O')) ON k USING coalesce(max(one), 0) GROUP BY o_orderkey) p USING (o_orderkey)""",
+    + """, b AS (SELECT o_orderkey, CASE WHEN u = (SELECT u FROM (SELECT CASE WHEN o_orderpriority = '1-URGENT' THEN 'yes' ELSE 'no' END AS u, o_orderkey FROM cat)
+      GROUP BY u ORDER BY min(o_orderkey) LIMIT 1 OFFSET 1) THEN 1 ELSE 0 END AS urgent_binary
+  FROM (SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 'yes' ELSE 'no' END AS u FROM cat)),
+k AS (SELECT o_orderkey, 'o_orderpriority_' || replace(replace(lower(o_orderpriority), ', ', '_'), ' ', '_') AS k, 1 AS one FROM cat
+      UNION ALL SELECT o_orderkey, 'o_orderstatus_' || lower(o_orderstatus), 1 FROM cat)
+SELECT * FROM b JOIN (PIVOT k ON k USING coalesce(max(one), 0) GROUP BY o_orderkey) p USING (o_orderkey)""",
 )(
-    lambda spark, d: (
-        lambda two: CT.binary_encode(two, ["o_orderstatus", "o_orderpriority"], id_col="o_orderkey")
-    )(B.cat(spark, d).filter(F.col("o_orderstatus").isin("F", "O")).select("o_orderkey", "o_orderstatus", "o_orderpriority"))
+    lambda spark, d: CT.binary_encode(
+        B.cat(spark, d).select(
+            "o_orderkey", "o_orderstatus", "o_orderpriority",
+            F.when(F.col("o_orderpriority") == "1-URGENT", "yes").otherwise("no").alias("urgent")),
+        ["urgent", "o_orderstatus", "o_orderpriority"], id_col="o_orderkey")
 )
 
 register(
