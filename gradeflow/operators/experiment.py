@@ -5,9 +5,10 @@ table keyed by (fold, split); only the model fit is per fold."""
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeflow.operators import categorical as CT
@@ -26,48 +27,109 @@ def _long(report: DataFrame, by: list[str]) -> DataFrame:
     return report.select(*by, F.explode(pairs).alias("x")).select(*by, "x.metric", "x.value")
 
 
+@dataclass
+class Prepared:
+    """Fitted preparation of every fold: medians by (fold, split, column) and
+    the train split's quantile references by (fold, column)."""
+
+    medians: dict
+    references: dict
+
+
+def _key(*parts):
+    return F.concat_ws("\x1f", *[F.col(p) if isinstance(p, str) else p for p in parts])
+
+
+def prepare(rows: DataFrame, num_cols: list[str], transform: str = "quantile_normal") -> Prepared:
+    """Fit N1 and N4 for all folds in two ranked passes.  ``rows`` has
+    ``fold``, ``split`` and the columns; medians are those of the same split,
+    references those of the imputed train split.  What comes to the driver is
+    a median per fold, split and column and at most 1000 references per fold
+    and column."""
+    cells = rows.select(_key("fold", "split").alias("_fs"), "fold", "split", F.explode(F.array(
+        *[F.struct(F.lit(c).alias("_c"), F.col(c).cast("double").alias("_x")) for c in num_cols])).alias("_s"))
+    cells = cells.select(_key("_fs", "_s._c").alias("_k"), _key("fold", "_s._c").alias("_f"), "split", "_s._x").checkpoint()
+    found = NU.exact_percentiles(cells.filter(F.col("_x").isNotNull()), "_x", [0.5], by="_k").collect()
+    medians = {r["_k"]: r["value"] for r in found}
+    if transform != "quantile_normal":
+        return Prepared(medians, {})
+    filler = F.element_at(F.create_map(*[F.lit(x) for kv in medians.items() for x in kv]), F.col("_k")) if medians else F.lit(None)
+    train = cells.filter(F.col("split") == "train").withColumn("_x", F.coalesce("_x", filler)).filter(F.col("_x").isNotNull())
+    references: dict = {}
+    for r in NU.exact_percentiles(train, "_x", by="_f", grid=1000).collect():
+        references.setdefault(r["_f"], []).append((r["p_idx"], r["value"], r["n"]))
+    fitted = {k: (NU.quantile_probs(v[0][2], 1000), [x for _, x, _ in sorted(v)]) for k, v in references.items()}
+    return Prepared(medians, fitted)
+
+
+def apply_prepared(rows: DataFrame, fold: str, splits: list[str], num_cols: list[str], fitted: Prepared) -> DataFrame:
+    """Impute and transform the rows of one fold; a column without any value
+    in its split becomes 0."""
+    out = {}
+    for c in num_cols:
+        fill = F.lit(None).cast("double")
+        for s in splits:
+            fill = F.when(F.col("split") == s, F.lit(fitted.medians.get("\x1f".join((fold, s, c))))).otherwise(fill)
+        x = F.coalesce(F.col(c).cast("double"), fill)
+        reference = fitted.references.get("\x1f".join((fold, c)))
+        out[c] = F.coalesce(NU.quantile_normal_expr(x, *reference) if reference else x, F.lit(0.0))
+    return rows.withColumns(out)
+
+
 def run_folds(
     features: DataFrame,
     k: int = 5,
     label_col: str = "domain1_score",
     id_col: str = "essay_id",
+    set_col: str = "essay_set",
     keyword_features: DataFrame | None = None,
     train_share: float = 1.0,
+    multiple: int | None = None,
     head: str = "linear",
     seed: int = 42,
 ) -> DataFrame:
-    """Per fold (D2 rotation) fit on train (optionally downsampled to
-    ``train_share``, D5), quantile-normalise numeric features (fitted on
-    train), score the test split; returns (fold, metric, value) for the test
-    splits plus a ``best_fold`` row (E15)."""
+    """For each essay set and fold (D2 rotation) impute (N1), downsample
+    the train split to ``train_share`` (D5) and pad it to a ``multiple`` (D6)
+    if asked, normalise numeric features by quantiles fitted on train (N4),
+    fit, and score the dev and the test split.  Returns (essay_set, fold,
+    split, metric, value), with the fold of the best test QWK (E15) of each
+    set as metric ``best_fold``."""
     num_cols = list(FEATURE_COLUMNS)
-    data = features.select(id_col, label_col, *num_cols).fillna(0.0, subset=num_cols)
-    vec_cols = []
+    data = features.select(id_col, set_col, F.col(label_col).cast("double").alias("label"), *num_cols).filter(
+        F.col(set_col).isNotNull() & F.col("label").isNotNull())
+    extra = []
     if keyword_features is not None:
-        # the keyword block stays one vector column (2*dim*k values)
-        kf = keyword_features.select(id_col, array_to_vector("keyword_features").alias("kw_vec"))
-        data = data.join(kf, id_col, "inner")
-        vec_cols = ["kw_vec"]
-    data = data.withColumn("label", F.col(label_col).cast("double"))
-    folds = D.rotate_folds(data.select(id_col), k, id_col)
-    data = data.checkpoint(eager=True)  # prepared once for all folds
-    results = []
-    for fold in range(k):
-        roles = folds.filter(F.col("fold") == fold)
-        part = data.join(roles, id_col)
+        # the keyword block stays one vector column (2 * dim * phrases of the set)
+        data = data.join(keyword_features.select(id_col, array_to_vector("keyword_features").alias("kw_vec")), id_col, "inner")
+        extra = ["kw_vec"]
+    roles = D.rotate_folds(data.select(id_col), k, id_col).withColumnRenamed("fold", "_fold")
+    rows = data.join(roles, id_col).withColumn("fold", F.concat_ws("/", set_col, F.concat(F.lit("fold_"), F.col("_fold"))))
+    rows = rows.drop("_fold").checkpoint()  # prepared once for all sets and folds
+    fitted = prepare(rows, num_cols)
+    scored = []
+    # one model per set and fold: a handful of names
+    for name, labels in sorted((r["fold"], r["n"]) for r in rows.filter(F.col("split") == "train").groupBy("fold").agg(
+            F.count_distinct("label").alias("n")).collect()):
+        part = apply_prepared(rows.filter(F.col("fold") == name), name, ["train", "dev", "test"], num_cols, fitted)
         train = part.filter(F.col("split") == "train")
-        test = part.filter(F.col("split") == "test")
         if train_share < 1.0:
             train = D.stratified_downsample(train, 1.0 - train_share, label="label", seed=seed, id_col=id_col)
-        model = MD.train_score_classifier(train, num_cols + vec_cols, "label", head=head, seed=seed)
-        pred = MD.predict(model, test, [id_col, "label"])
-        rep = M.benchmark_report(pred.withColumn("label", F.col("label").cast("int")), "label", "pred")
-        results.append(_long(rep, []).withColumn("fold", F.lit(f"fold_{fold}")))
-    out = results[0]
-    for r in results[1:]:
-        out = out.unionByName(r)
-    best = M.best_fold(out).select("fold", F.lit("best_fold").alias("metric"), "value")
-    return out.select("fold", "metric", "value").unionByName(best)
+        if multiple:
+            train = D.pad_to_multiple(train, multiple, id_col)
+        if labels < 2:
+            continue  # nothing to tell apart
+        model = MD.train_score_classifier(train, num_cols + extra, "label", head=head, seed=seed, max_iter=50)
+        held = part.filter(F.col("split") != "train")
+        scored.append(MD.predict(model, held, [F.col(set_col).alias("essay_set"), "fold", "split", F.col("label").cast("int").alias("label")]).drop("probability"))
+    if not scored:
+        return rows.sparkSession.createDataFrame([], "essay_set string, fold string, split string, metric string, value double")
+    pred = reduce(DataFrame.unionByName, scored)
+    by = ["essay_set", "fold", "split"]
+    out = _long(M.benchmark_report(pred, "label", "pred", by), by).withColumn("fold", F.element_at(F.split("fold", "/"), -1)).checkpoint()
+    place = Window.partitionBy("essay_set").orderBy(F.col("value").desc_nulls_last(), F.col("fold").desc())
+    best = out.filter((F.col("split") == "test") & (F.col("metric") == "eval_QWK")).withColumn("_r", F.row_number().over(place))
+    best = best.filter(F.col("_r") == 1).withColumn("metric", F.lit("best_fold")).drop("_r")
+    return out.unionByName(best)
 
 
 @dataclass
@@ -90,56 +152,65 @@ class RunConfig:
     output_dir: str | None = None  # when set: predictions (S8), metrics (S9), summary JSON
 
 
-def run_config(cfg: RunConfig, data: DataFrame | None = None, splits: dict | None = None) -> DataFrame:
-    """Folder mode (given train/val/test) or k-fold mode (D4 holdout then
-    D3 folds); per fold: encode categories on all splits, transform numeric
-    columns fitted on train, fit, score the validation set; returns
-    (fold, metric, value) and the E14 aggregate rows (fold = 'mean'/'stdev')."""
+def _runs(cfg: RunConfig, data: DataFrame | None, splits: dict | None) -> DataFrame:
+    """All rows of all runs with ``fold`` and ``split``: folder mode has one
+    run, k-fold mode the same held-out validation rows in every fold (D4)."""
     if cfg.mode == "folder":
-        folds = [("folder", splits["train"], splits.get("val") or splits["test"])]
-    else:
-        assigned = D.holdout_then_kfold(data, cfg.holdout_ratio, cfg.k, cfg.seed, cfg.id_col).persist()
-        folds = []
-        for f in range(cfg.k):
-            cv = assigned.filter(F.col("role") == "cv")
-            folds.append((f"fold_{f}", cv.filter(F.col("fold") != f), cv.filter(F.col("fold") == f)))
-    rows = []
-    for name, train, val in folds:
-        both = CT.fit_on_all_splits({"train": train, "val": val}, cfg.cat_cols, cfg.categorical_encode_type, cfg.id_col)
-        enc_cols = [c for c in both.columns if any(c.startswith(f"{x}_") for x in cfg.cat_cols)] if cfg.cat_cols else []
-        tr = both.filter(F.col("split") == "train")
-        va = both.filter(F.col("split") == "val")
-        fitted = NU.fit_numeric(tr, cfg.num_cols, cfg.numerical_transformer)
-        va = NU.apply_numeric(va, fitted)
-        tr = NU.apply_numeric(tr, fitted)
-        feats = enc_cols + cfg.num_cols
-        tr = tr.fillna(0.0, subset=feats)
-        va = va.fillna(0.0, subset=feats)
+        parts = [df.withColumn("split", F.lit(s)) for s, df in splits.items() if df is not None]
+        return reduce(lambda a, b: a.unionByName(b), parts).withColumn("fold", F.lit("folder"))
+    assigned = D.holdout_then_kfold(data, cfg.holdout_ratio, cfg.k, cfg.seed, cfg.id_col)
+    rows = assigned.withColumn("_f", F.explode(F.sequence(F.lit(0), F.lit(cfg.k - 1))))
+    split = F.when(F.col("role") == "val", "val").when(F.col("fold") == F.col("_f"), "test").otherwise("train")
+    return rows.withColumn("split", split).withColumn("fold", F.concat(F.lit("fold_"), F.col("_f"))).drop("role", "_f")
+
+
+def run_config(cfg: RunConfig, data: DataFrame | None = None, splits: dict | None = None) -> DataFrame:
+    """Encode categories on all splits, impute (N1) and transform numeric
+    columns fitted on train, fit per fold, score the validation and the test
+    split; returns (fold, split, metric, value) and the E14 aggregate rows
+    (fold = 'mean' / 'stdev').  With ``output_dir``, predictions and metrics
+    of each fold and split are written."""
+    runs = _runs(cfg, data, splits)
+    plain = set(runs.columns)
+    rows = CT.encode(runs, cfg.cat_cols, cfg.categorical_encode_type, cfg.id_col).checkpoint()
+    codes = [c for c in rows.columns if c not in plain]
+    feats = codes + cfg.num_cols
+    fitted = prepare(rows, cfg.num_cols, cfg.numerical_transformer)
+    held = ["val", "test"]
+    scored = []
+    for name in sorted(r["fold"] for r in rows.select("fold").distinct().collect()):
+        part = apply_prepared(rows.filter(F.col("fold") == name), name, ["train", *held], cfg.num_cols, fitted)
+        if cfg.numerical_transformer != "quantile_normal":
+            power = NU.fit_numeric(part.filter(F.col("split") == "train"), cfg.num_cols, cfg.numerical_transformer)
+            part = NU.apply_numeric(part, power)
+        part = part.fillna(0.0, subset=feats)
+        train, rest = part.filter(F.col("split") == "train"), part.filter(F.col("split").isin(held))
         if cfg.task == "regression":
-            model = MD.train_score_regressor(tr, feats, cfg.label_col)
-            pred = model.transform(va).select(
-                cfg.id_col, F.col("prediction").alias("pred"), F.col(cfg.label_col).alias("label")
-            )
-            rep = M.regression_metrics(pred)
-            pairs = F.array(*[F.struct(F.lit(f"eval_{c}").alias("metric"), F.col(c).alias("value")) for c in rep.columns])
+            model = MD.train_score_regressor(train, feats, cfg.label_col)
+            scored.append(model.transform(rest).select(
+                "fold", "split", cfg.id_col, F.col("prediction").alias("pred"), F.col(cfg.label_col).alias("label")))
         else:
-            model = MD.train_score_classifier(tr, feats, cfg.label_col, head=cfg.head, seed=cfg.seed)
-            pred = MD.predict(model, va, [cfg.id_col, F.col(cfg.label_col).cast("int").alias("label")])
-            rep = M.benchmark_report(pred, "label", "pred")
-            pairs = F.array(*[F.struct(F.lit(v).alias("metric"), F.col(k).alias("value")) for k, v in REPORT.items()])
-        fold_rows = rep.select(F.explode(pairs).alias("x")).select(F.lit(name).alias("fold"), "x.metric", "x.value")
-        if cfg.output_dir:
-            IO.write_predictions(pred, f"{cfg.output_dir}/{name}/predictions", cfg.task, cfg.id_col, "pred", "label")
-            IO.write_metrics(fold_rows, f"{cfg.output_dir}/{name}/metrics")
-        rows.append(fold_rows)
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    agg = M.aggregate_folds(out)
-    summary = agg.select(F.lit("mean").alias("fold"), "metric", F.col("mean").alias("value")).unionByName(
-        agg.select(F.lit("stdev").alias("fold"), "metric", F.col("stdev").alias("value"))
-    )
+            model = MD.train_score_classifier(train, feats, cfg.label_col, head=cfg.head, seed=cfg.seed)
+            scored.append(MD.predict(model, rest, ["fold", "split", cfg.id_col, F.col(cfg.label_col).cast("int").alias("label")]).drop("probability"))
+    pred = reduce(DataFrame.unionByName, scored).checkpoint()
+    by = ["fold", "split"]
+    if cfg.task == "regression":
+        rep = M.regression_metrics(pred, by=by)
+        pairs = F.array(*[F.struct(F.lit(f"eval_{c}").alias("metric"), F.col(c).alias("value")) for c in rep.columns if c not in by])
+        out = rep.select(*by, F.explode(pairs).alias("x")).select(*by, "x.metric", "x.value")
+    else:
+        out = _long(M.benchmark_report(pred, "label", "pred", by), by)
+    out = out.checkpoint()
+    agg = out.groupBy("split", "metric").agg(
+        F.avg("value").alias("mean"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("stdev"))
+    summary = reduce(DataFrame.unionByName, [
+        agg.select(F.lit(n).alias("fold"), "split", "metric", F.col(n).alias("value")) for n in ("mean", "stdev")])
     if cfg.output_dir:
-        named = summary.select(F.concat_ws("_", "fold", "metric").alias("metric"), "value")
+        for r in out.select(*by).distinct().collect():  # one folder per fold and split
+            mine = (F.col("fold") == r["fold"]) & (F.col("split") == r["split"])
+            place = f"{cfg.output_dir}/{r['fold']}/{r['split']}"
+            IO.write_predictions(pred.filter(mine), f"{place}/predictions", cfg.task, cfg.id_col, "pred", "label")
+            IO.write_metrics(out.filter(mine).select("metric", "value"), f"{place}/metrics")
+        named = summary.select(F.concat_ws("_", "fold", "split", "metric").alias("metric"), "value")
         IO.write_metrics(named, f"{cfg.output_dir}/summary", as_json=True)
     return out.unionByName(summary)

@@ -245,11 +245,11 @@ def pr_auc(df: DataFrame, score="score", label="label") -> DataFrame:
     return _curve(df, score, label).agg(F.sum("pr_part").alias("pr_auc"))
 
 
-def regression_metrics(df: DataFrame, pred="pred", label="label") -> DataFrame:
-    """Mse, rmse, mae."""
+def regression_metrics(df: DataFrame, pred="pred", label="label", by=()) -> DataFrame:
+    """Mse, rmse, mae (per group ``by``)."""
     err = F.col(pred) - F.col(label)
-    s = df.agg(F.avg(err * err).alias("mse"), F.avg(F.abs(err)).alias("mae"))
-    return s.select("mse", F.sqrt("mse").alias("rmse"), "mae")
+    s = df.groupBy(*by).agg(F.avg(err * err).alias("mse"), F.avg(F.abs(err)).alias("mae"))
+    return s.select(*by, "mse", F.sqrt("mse").alias("rmse"), "mae")
 
 
 def _zip_rows(*dfs: DataFrame, by=()) -> DataFrame:

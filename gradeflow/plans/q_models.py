@@ -12,13 +12,19 @@ from gradeflow.plans import bindings as B
 from gradeflow.plans.q_attention import inputs as attention_inputs
 from gradeflow.plans.q_features import word_lists
 from gradeflow.plans.registry import register
+from gradeflow.sources import io as IO
 
 FEATS = list(FT.FEATURE_COLUMNS)
 
 
-def scored_features(spark, d, vocab=None):
+def raw_features(spark, d, vocab=None):
+    """Features of the scored essays; missing values stay missing."""
     feats = FT.generate_features(B.scored(spark, d), word_lists(spark, d, vocab))
-    return feats.withColumn("label", F.col("domain1_score").cast("double")).fillna(0.0, subset=FEATS)
+    return feats.withColumn("label", F.col("domain1_score").cast("double"))
+
+
+def scored_features(spark, d, vocab=None):
+    return raw_features(spark, d, vocab).fillna(0.0, subset=FEATS)
 
 
 def _split(spark, d):
@@ -67,16 +73,26 @@ def x2(spark, d):
     # attention only for the essays that carry a score (the ones scored per fold)
     seqs = seqs.join(B.scored(spark, d).select("essay_id"), "essay_id", "left_semi")
     kf = keyword_features(keyword_attention(seqs, pseq, vocab, vectors, 64, 10000))
-    return X.run_folds(scored_features(spark, d, vocab), k=5, keyword_features=kf, train_share=1.0)
+    return X.run_folds(raw_features(spark, d, vocab), k=5, keyword_features=kf, train_share=1.0)
 
 
 def x3(spark, d):
-    feats = scored_features(spark, d).select("essay_id", "essay_set", "label", *FEATS)
-    cfg = X.RunConfig(
-        mode="kfold", task="classification", k=5, cat_cols=["essay_set"], num_cols=FEATS[:8], label_col="label"
-    )
+    feats = raw_features(spark, d).select("essay_id", "essay_set", "label", *FEATS)
+    cfg = X.RunConfig(mode="kfold", task="classification", k=5, cat_cols=["essay_set"], num_cols=FEATS, label_col="label")
     return X.run_config(cfg, data=feats)
 
 
+def x3_folder_regression(spark, d):
+    """Folder mode with a regression head: the splits of the first rotation."""
+    feats = raw_features(spark, d).select("essay_id", "essay_set", "label", *FEATS)
+    roles = D.rotate_folds(feats.select("essay_id")).filter(F.col("fold") == 0).drop("fold")
+    part = feats.join(roles, "essay_id").checkpoint()
+    splits = {name: part.filter(F.col("split") == role).drop("split") for name, role in (("train", "train"), ("val", "dev"), ("test", "test"))}
+    cfg = X.RunConfig(mode="folder", task="regression", cat_cols=["essay_set"], num_cols=FEATS, label_col="label",
+                      output_dir=IO.scratch_path(spark, "folder-run"))
+    return X.run_config(cfg, splits=splits)
+
+
 register("X2_run_folds")(x2)
 register("X3_run_folder_or_folds")(x3)
+register("X3_run_folder_regression")(x3_folder_regression)

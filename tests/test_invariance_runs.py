@@ -37,12 +37,39 @@ def test_run_config_folder_regression(spark):
     out_dir = IO.scratch_path(spark, "run")
     cfg = X.RunConfig(mode="folder", task="regression", cat_cols=["essay_set"], num_cols=["a", "b"],
                       numerical_transformer="yeo_johnson", output_dir=out_dir)
-    out = {(r["fold"], r["metric"]): r["value"] for r in X.run_config(cfg, splits=splits).collect()}
-    assert ("folder", "eval_mse") in out and out[("stdev", "eval_mse")] == 0.0
-    lines = [r["value"] for r in spark.read.text(f"{out_dir}/folder/predictions").collect()]
-    assert lines[0] == "index\tprediction" and len(lines) == 21
+    out = {(r["fold"], r["split"], r["metric"]): r["value"] for r in X.run_config(cfg, splits=splits).collect()}
+    for split in ("val", "test"):
+        assert ("folder", split, "eval_mse") in out and out[("stdev", split, "eval_mse")] == 0.0
+        lines = [r["value"] for r in spark.read.text(f"{out_dir}/folder/{split}/predictions").collect()]
+        assert lines[0] == "index\tprediction" and len(lines) == 21
     summary = json.loads(spark.read.text(f"{out_dir}/summary").first()["value"])
-    assert "mean_eval_mse" in summary
+    assert "mean_test_eval_mse" in summary
+
+
+def test_run_config_scores_holdout_and_folds(spark):
+    rows = [(i, "en" if i % 2 else "fr", float(i % 3) + (i % 7) / 10, None if i % 11 == 0 else float(i % 3), float(i % 3)) for i in range(150)]
+    df = spark.createDataFrame(rows, "essay_id long, essay_set string, a double, b double, label double")
+    cfg = X.RunConfig(k=3, cat_cols=["essay_set"], num_cols=["a", "b"])
+    out = X.run_config(cfg, data=df).collect()
+    assert len(out) == 3 * 2 * 5 + 2 * 2 * 5
+    acc = [r["value"] for r in out if r["metric"] == "eval_acc" and r["fold"].startswith("fold_")]
+    assert len(acc) == 6 and min(acc) >= 0.8 and sum(acc) / 6 > 0.9
+
+
+def test_preparation_imputes_by_split_and_normalises(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    rows = [("f0", "train" if i < 200 else "val", float(x)) for i, x in enumerate(np.exp(rng.normal(size=300)))]
+    rows += [("f0", "train", None), ("f0", "val", None)]
+    df = spark.createDataFrame(rows, "fold string, split string, a double")
+    fitted = X.prepare(df, ["a"])
+    for split in ("train", "val"):
+        assert abs(fitted.medians[f"f0\x1f{split}\x1fa"] - np.median([x for _, s, x in rows if s == split and x is not None])) < 1e-9
+    out = X.apply_prepared(df, "f0", ["train", "val"], ["a"], fitted)
+    train = np.array([r["a"] for r in out.filter("split = 'train'").collect()])
+    assert abs(np.median(train)) < 0.1 and 0.5 < train[np.abs(train) < 4].std() < 1.5
+    assert out.filter("a is null").count() == 0
 
 
 def test_metrics_json(spark):
