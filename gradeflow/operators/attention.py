@@ -59,6 +59,15 @@ class _Rubrics:
 
     def __init__(self, emb):
         self.emb, self.held = emb, {}
+        self.zero = ~emb.any(axis=1)  # words without a vector
+
+    def fold(self, words):
+        """Which of ``words`` to score: those with a vector and the first of
+        the others, as words without a vector all score the same."""
+        plain = np.flatnonzero(self.zero[words])
+        keep = np.ones(len(words), dtype=bool)
+        keep[plain[1:]] = False
+        return keep, plain
 
     def get(self, batch, i, set_col):
         name = (batch.column(set_col)[i].as_py(), batch.column("block")[i].as_py())
@@ -203,6 +212,10 @@ def keyword_attention(
                 out = np.zeros((len(key), width))
                 if fast and len(full):
                     words, counts = np.unique(seq, return_counts=True)
+                    keep, plain = rubrics.fold(words)
+                    if len(plain):
+                        counts[plain[0]] = counts[plain].sum()
+                    words, counts = words[keep], counts[keep]
                     out[full] = attend_words(emb[words], counts, stacked, starts, sizes, op, pool, merge)
                 elif not fast:
                     for p, x in enumerate(phrases):
@@ -266,6 +279,8 @@ def attention_top_words(
                 words, first = np.unique(seq, return_index=True)
                 order = np.argsort(first)
                 words, first = words[order], first[order]
+                keep, _ = rubrics.fold(words)
+                words, first = words[keep], first[keep]
                 best = first[np.argmax(_scores(emb[words], stacked, op), axis=1)]
                 m = len(best)
                 essay = np.full(m, batch.column(id_col)[i].as_py(), dtype="int64")
