@@ -39,6 +39,7 @@ gives an empty result.
 
 from __future__ import annotations
 
+import gc
 import math
 from itertools import combinations
 
@@ -348,6 +349,14 @@ def forest(classes: np.ndarray, packed: list[bytes], percent: int) -> tuple[np.n
     return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
 
 
+def release_shuffles(spark) -> None:
+    """Spark deletes the shuffle files of finished jobs once the driver has
+    collected the objects that stood for them; the scans leave three times the
+    input behind, so that is asked for here and not left to chance."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE,
                        percent: int = PERCENT, group_sets: int = GROUP_SETS, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
     """One row per row of ``docs``: ``id_col``, ``row_key`` (hash of id and text),
@@ -365,6 +374,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         reach = 100 * light // percent
         edges = edges.unionAll(light_links(little.filter(F.col("n") <= reach), light, percent))
     rooted = components(edges)
+    del edges
+    release_shuffles(docs.sparkSession)
     joined = classes.select("class", "rep").join(rooted, F.col("class") == F.col("node"), "left").withColumn(
         "root", F.coalesce("root", "class"))
     least = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
