@@ -115,8 +115,10 @@ def corpus_history(docs: DataFrame, rollup: Rollup) -> DataFrame:
         "doc_id", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"),
         F.when(F.length("text") > 0, F.md5("text")).alias("digest"), count_tokens(F.col("text"), old).alias("raw"),
         count_tokens(clean, old).alias("revised"), count_tokens(clean, new).alias("second")).checkpoint()
-    least = rows.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("first"))
-    marked = rows.join(least, "digest", "left").withColumn("copy", F.coalesce(F.col("doc_id") != F.col("first"), F.lit(False)))
+    # found again by digest and id, so the copies of one text are not one task
+    least = rows.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc_id")).withColumn("first", F.lit(True))
+    marked = rows.join(least, ["digest", "doc_id"], "left").withColumn(
+        "copy", F.col("digest").isNotNull() & F.col("doc_id").isNotNull() & F.col("first").isNull())
     state = lambda df, version, tokens: df.select("doc_id", "source", "lang", F.lit(version).alias("tokenizer_version"), F.col(tokens).alias("tokens"))
     none = state(rows, old, "raw").limit(0)
     rollup.commit("1-insert", signed_changes(none, state(rows, old, "raw")))
