@@ -121,13 +121,18 @@ def combine_text_only(df: DataFrame, text_vec: str = "mean_vec", out: str = "com
     return df.withColumn(out, F.col(text_vec).cast("array<double>"))
 
 
-def combine_concat(df: DataFrame, text_vec: str, cat_cols: list[str], num_cols: list[str], out="combined"):
-    """N14 (concat): m = x ++ cat ++ num."""
+def combine_concat(
+    df: DataFrame, text_vec: str, cat_cols: list[str], num_cols: list[str], out="combined", keyword_vec: str | None = None
+):
+    """N14 (concat): m = x ++ cat ++ num, and ++ keyword where ``keyword_vec`` is
+    given (a row without keyword vectors has an empty block)."""
     parts = [F.col(text_vec).cast("array<double>")]
     if cat_cols:
         parts.append(F.array(*[F.col(c).cast("double") for c in cat_cols]))
     if num_cols:
         parts.append(F.array(*[F.col(c).cast("double") for c in num_cols]))
+    if keyword_vec:
+        parts.append(F.coalesce(F.col(keyword_vec), F.array()).cast("array<double>"))
     return df.withColumn(out, F.concat(*parts))
 
 

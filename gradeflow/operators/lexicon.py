@@ -16,9 +16,14 @@ def extract_quotes(df: DataFrame, text_col="essay", out="quotes") -> DataFrame:
     return df.withColumn(out, T.quotes(T.normalize_quotes(text_col)))
 
 
-def quote_set(df: DataFrame, set_col="essay_set", text_col="essay") -> DataFrame:
+def quote_set(
+    df: DataFrame, set_col="essay_set", text_col="essay", only_score: dict | None = None, score_col="domain1_score"
+) -> DataFrame:
     """K2: distinct quotes per set, with the number of distinct quotes of the
-    set.  The count is a per-set aggregate joined back (sets are few)."""
+    set.  The count is a per-set aggregate joined back (sets are few).  A set
+    named in ``only_score`` takes the essays of that score alone."""
+    for name, score in (only_score or {}).items():
+        df = df.filter((F.col(set_col) != name) | (F.col(score_col) == score))
     q = df.select(set_col, F.explode(T.quotes(T.normalize_quotes(text_col))).alias("quote")).distinct()
     n = q.groupBy(set_col).agg(F.count(F.lit(1)).cast("long").alias("n_quotes"))
     return lookup_join(q, n, [set_col])

@@ -23,12 +23,19 @@ def hash_key(id_col: str, seed) -> F.Column:
 
 def apply_folds(df: DataFrame, fold_ids: DataFrame, k: int = 5, id_col: str = "essay_id") -> DataFrame:
     """Per fold, rows listed as dev/test keep that role, all others are
-    train.  Each row appears once per fold (k copies: the k-fold layout);
-    the role lookup is an equi-join on (fold, id)."""
-    per_fold = df.select(id_col, F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("fold"))
-    roles = fold_ids.select("fold", F.col("role"), F.col(id_col))
-    j = per_fold.join(roles, ["fold", id_col], "left")
-    return j.select("fold", F.coalesce("role", F.lit("train")).alias("split"), id_col)
+    train.  Each row appears once per fold (k copies: the k-fold layout).
+    A row meets the list of its roles in one join by id and is copied after it."""
+    roles = fold_ids.groupBy(id_col).agg(F.collect_list(F.struct(F.col("fold").cast("int").alias("fold"), F.col("role").alias("split"))).alias("_roles"))
+    held = F.coalesce("_roles", F.array().cast("array<struct<fold:int,split:string>>"))
+
+    def of_fold(i):
+        own = F.filter(held, lambda r: r["fold"] == i)
+        train = F.array(F.struct(i.alias("fold"), F.lit("train").alias("split")))
+        return F.when(F.size(own) > 0, own).otherwise(train)
+
+    per_fold = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), of_fold))
+    j = df.select(id_col).join(roles, id_col, "left").select(id_col, F.explode(per_fold).alias("_r"))
+    return j.select("_r.fold", "_r.split", id_col)
 
 
 def rotate_folds(df: DataFrame, k: int = 5, id_col: str = "essay_id") -> DataFrame:

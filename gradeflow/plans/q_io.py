@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gradeflow.functions.text import num_sentences, num_words
+from gradeflow.operators import clean as C
 from gradeflow.operators import metrics as M
 from gradeflow.operators import splits as D
 from gradeflow.plans import bindings as B
@@ -62,7 +63,7 @@ def s4(spark, d):
 register(
     "S4_read_word_vectors",
     S.with_(S.ESSAYS, S.PHRASES, S.VOCAB, S.VECTORS)
-    + "SELECT word, list_transform(vec, lambda x: round(CAST(x AS DOUBLE), 6)) AS vec FROM vectors",
+    + f"SELECT word, list_transform(vec, lambda x: {S.r6('x')}) AS vec FROM vectors",
 )(s4)
 
 
@@ -112,6 +113,39 @@ UNION ALL SELECT CAST(row_id AS VARCHAR) || chr(9) || CAST(list_position(logits,
 )(s8)
 
 
+_NAMES = [f"grade {i}" for i in range(10)]
+
+
+def s8_names(spark, d):
+    path = IO.scratch_path(spark, "predictions")
+    IO.write_predictions(C.map_label_names(lp(spark, d), _NAMES, "pred", "name"), path, "classification", "row_id", "name")
+    return spark.read.text(path)
+
+
+register(
+    "S8_write_predictions_names",
+    S.with_(S.LOGITS)
+    + """SELECT 'index' || chr(9) || 'prediction' AS value
+UNION ALL SELECT CAST(row_id AS VARCHAR) || chr(9) || 'grade ' || CAST(list_position(logits, list_max(logits)) - 1 AS VARCHAR) FROM logits""",
+)(s8_names)
+
+
+def s8_regression(spark, d):
+    """Eighths are exact in both engines, so three decimals need no rounding."""
+    path = IO.scratch_path(spark, "predictions")
+    docs = B.table(spark, d, "documents").join(B.table(spark, d, "labels"), "doc_id")
+    rows = docs.select("doc_id", (F.col("n_chars") / 8.0).alias("pred"), "quality")
+    IO.write_predictions(rows, path, "regression", "doc_id", "pred", "quality")
+    return spark.read.text(path)
+
+
+register(
+    "S8_write_predictions_regression",
+    """SELECT 'index' || chr(9) || 'prediction' AS value
+UNION ALL SELECT printf('%d	%.3f	%d', d.doc_id, d.n_chars / 8.0::DOUBLE, l.quality) FROM documents d JOIN labels l ON d.doc_id = l.doc_id""",
+)(s8_regression)
+
+
 def s9(spark, d):
     path = IO.scratch_path(spark, "metrics")
     agg = M.aggregate_folds(fold_metrics(spark, d)).select("metric", F.col("mean").alias("value"))
@@ -125,6 +159,20 @@ register(
 )(s9)
 
 
+def s9_json(spark, d):
+    path = IO.scratch_path(spark, "metrics")
+    agg = M.aggregate_folds(fold_metrics(spark, d)).select("metric", F.col("mean").alias("value"))
+    IO.write_metrics(agg, path, as_json=True)
+    back = spark.read.text(path).select(F.explode(F.from_json("value", "map<string,double>")).alias("metric", "value"))
+    return back.select("metric", F.round("value", 6).alias("value"))
+
+
+register(
+    "S9_write_metrics_json",
+    FOLD_SQL + " SELECT metric, round(avg(value), 6) AS value FROM fm GROUP BY metric",
+)(s9_json)
+
+
 def s10(spark, d):
     from gradeflow.plans.q_attention import keyword_attention_query
 

@@ -78,11 +78,41 @@ register(
   - logits[label + 1]), 6) AS cross_entropy FROM lp""",
 )(lambda spark, d: _r(M.cross_entropy(B.logits(spark, d))))
 
+# the binary form takes class 1 of two logits
+register(
+    "M6_softmax_class_1",
+    S.with_(S.LOGITS) + "SELECT row_id, round(exp(logits[2]) / (exp(logits[1]) + exp(logits[2])), 6) AS prob FROM logits",
+)(
+    lambda spark, d: B.logits(spark, d).select(
+        "row_id", F.round(F.element_at(M.softmax(F.slice("logits", 1, 2)), 2), 6).alias("prob"))
+)
+
+_WEIGHTS = [1.0 + i / 4 for i in range(10)]
+register(
+    "M7_weighted_cross_entropy",
+    LP + """, w AS (SELECT 1 + label / 4.0::DOUBLE AS w, list_max(logits) + ln(list_sum(list_transform(logits, lambda x: exp(x - list_max(logits)))))
+  - logits[label + 1] AS nll FROM lp)
+SELECT round(sum(w * nll) / sum(w), 6) AS cross_entropy FROM w""",
+)(lambda spark, d: _r(M.cross_entropy(B.logits(spark, d), weights=_WEIGHTS)))
+
+register("M7_mse_loss", S.with_(S.REGRESS) + "SELECT round(avg((pred - label) * (pred - label)), 3) AS mse_loss FROM regress")(
+    lambda spark, d: M.mse_loss(B.regress(spark, d)).select(F.round("mse_loss", 3).alias("mse_loss"))
+)
+
 # ---------------------------------------------------------------- E1, E6-E10, E13
 register("E1_confusion", LP + " SELECT label, pred, CAST(count(*) AS BIGINT) AS count FROM lp GROUP BY label, pred")(
     lambda spark, d: M.confusion(lp(spark, d))
 )
 
+register(
+    "E1_binary_confusion",
+    S.with_(S.BINARY)
+    + """SELECT CAST(count(*) FILTER (WHERE label = 0 AND score <= 0) AS BIGINT) AS tn,
+  CAST(count(*) FILTER (WHERE label = 0 AND score > 0) AS BIGINT) AS fp,
+  CAST(count(*) FILTER (WHERE label = 1 AND score <= 0) AS BIGINT) AS fn,
+  CAST(count(*) FILTER (WHERE label = 1 AND score > 0) AS BIGINT) AS tp FROM bin""",
+)(lambda spark, d: M.binary_confusion(bin_pred(spark, d)))
+
 register("E6_accuracy", LP + " SELECT round(avg(CAST(label = pred AS DOUBLE)), 6) AS acc FROM lp")(
     lambda spark, d: _r(M.accuracy(lp(spark, d)))
 )
@@ -167,6 +197,13 @@ SELECT {r6('roc_auc')} AS roc_auc, threshold, {r6('precision')} AS precision, {r
   {r6('f1')} AS f1, {r6('pr_auc')} AS pr_auc, tn, fp, fn, tp FROM roc, best, pra, cf""",
 )(lambda spark, d: _r(M.classification_report(bin_pred(spark, d))))
 
+# more than two labels: the multiclass branch
+register(
+    "E12_classification_report_multiclass",
+    LPS + f""" SELECT {r6('acc')} AS acc, {r6('f1_micro')} AS f1_micro, {r6('f1_macro')} AS f1_macro,
+  {r6('f1_weighted')} AS f1_weighted, {r6('mcc')} AS mcc FROM cs""",
+)(lambda spark, d: _r(M.classification_report(lp(spark, d))))
+
 # ---------------------------------------------------------------- folds
 FOLD_SQL = (
     S.with_(S.LOGITS)

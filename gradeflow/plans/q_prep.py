@@ -218,31 +218,60 @@ FROM scored s JOIN seqs q ON s.essay_id = q.essay_id, cats"""
 register("N13_assemble_row", _n13_sql())(_n13)
 
 
-def _n14(spark, d):
+def _n14_row(spark, d, keep_text_only=False, keywords=False):
     from gradeflow.plans.q_vocab import DIM
 
     e = B.texts(spark, d)
     vocab = B.corpus_vocab(spark, d)
     mv = V.mean_embedding(e, B.vectors_from(vocab, B.table(spark, d, "embeddings")), DIM)
-    j = e.join(mv, "essay_id").withColumn("num_words", num_words("essay"))
-    j = CT.one_hot(j, ["essay_set"])
-    cats = sorted(c for c in j.columns if c.startswith("essay_set_"))
-    out = CT.combine_concat(j, "mean_vec", cats, ["num_words"])
+    if keep_text_only:
+        out = CT.combine_text_only(mv)
+    else:
+        j = e.join(mv, "essay_id").withColumn("num_words", num_words("essay"))
+        j = CT.one_hot(j, ["essay_set"])
+        cats = sorted(c for c in j.columns if c.startswith("essay_set_"))
+        if keywords:
+            from gradeflow.operators.attention import keyword_attention, keyword_features
+            from gradeflow.plans.q_attention import CAP, inputs
+
+            att = keyword_attention(*inputs(spark, d, vocab), DIM, CAP)
+            j = j.join(keyword_features(att), "essay_id", "left")
+        out = CT.combine_concat(j, "mean_vec", cats, ["num_words"], keyword_vec="keyword_features" if keywords else None)
     return out.select("essay_id", F.transform("combined", lambda x: F.round(x, 6)).alias("combined"))
 
 
-register(
-    "N14_combine_concat",
-    S.with_(S.ESSAYS, S.PHRASES, S.VOCAB, S.VECTORS)
-    + f""", et AS (SELECT essay_id, unnest({S.keras_tokens('essay')}) AS word FROM essays),
+_MEAN_SQL = f"""et AS (SELECT essay_id, unnest({S.keras_tokens('essay')}) AS word FROM essays),
 nt AS (SELECT essay_id, count(*) AS n FROM et GROUP BY essay_id),
 ev AS (SELECT et.essay_id, unnest(x.vec) AS v, generate_subscripts(x.vec, 1) AS d FROM et JOIN vectors x ON et.word = x.word),
 sm AS (SELECT essay_id, d, sum(CAST(v AS DOUBLE)) AS s FROM ev GROUP BY essay_id, d),
 mv AS (SELECT sm.essay_id, list(sm.s / nt.n ORDER BY sm.d) AS mean_vec FROM sm JOIN nt ON sm.essay_id = nt.essay_id GROUP BY sm.essay_id),
 cats AS (SELECT list(DISTINCT essay_set ORDER BY essay_set) AS c FROM essays)
-SELECT e.essay_id, list_transform(list_concat(
-    coalesce(mv.mean_vec, list_resize(CAST([] AS DOUBLE[]), 64, 0.0)),
+"""
+_MEAN = "coalesce(mv.mean_vec, list_resize(CAST([] AS DOUBLE[]), 64, 0.0))"
+_BLOCKS = f"""list_concat({_MEAN},
     list_transform(cats.c, lambda v: CASE WHEN v = e.essay_set THEN 1.0 ELSE 0.0 END),
-    [CAST({S.num_words('e.essay')} AS DOUBLE)]), lambda y: round(y, 6)) AS combined
+    [CAST({S.num_words('e.essay')} AS DOUBLE)])"""
+_N14_CTES = S.with_(S.ESSAYS, S.PHRASES, S.VOCAB, S.VECTORS, _MEAN_SQL)
+
+register(
+    "N14_combine_concat",
+    _N14_CTES + f"""SELECT e.essay_id, list_transform({_BLOCKS}, lambda y: CASE WHEN round(y, 6) = 0 THEN 0.0 ELSE round(y, 6) END) AS combined
 FROM essays e LEFT JOIN mv ON e.essay_id = mv.essay_id, cats""",
-)(_n14)
+)(_n14_row)
+
+register(
+    "N14_combine_text_only",
+    _N14_CTES + f"""SELECT e.essay_id, list_transform({_MEAN}, lambda y: CASE WHEN round(y, 6) = 0 THEN 0.0 ELSE round(y, 6) END) AS combined
+FROM essays e LEFT JOIN mv ON e.essay_id = mv.essay_id""",
+)(lambda spark, d: _n14_row(spark, d, keep_text_only=True))
+
+
+def _n14_keywords_sql():
+    from gradeflow.plans.q_attention import _k7_sql
+
+    return _k7_sql().rstrip() + f""", {_MEAN_SQL}, kf AS (SELECT essay_id, flatten(list(f ORDER BY key_id)) AS kw FROM k7 GROUP BY essay_id)
+SELECT e.essay_id, list_concat(list_transform({_BLOCKS}, lambda y: CASE WHEN round(y, 6) = 0 THEN 0.0 ELSE round(y, 6) END), coalesce(kf.kw, CAST([] AS DOUBLE[]))) AS combined
+FROM essays e LEFT JOIN mv ON e.essay_id = mv.essay_id LEFT JOIN kf ON e.essay_id = kf.essay_id, cats"""
+
+
+register("N14_combine_concat_keywords", _n14_keywords_sql())(lambda spark, d: _n14_row(spark, d, keywords=True))

@@ -67,6 +67,15 @@ SELECT essay_id, domain1_score, 0 AS copy FROM r
 UNION ALL SELECT essay_id, domain1_score, 1 FROM r WHERE rn <= (32 - n % 32) % 32""",
 )(lambda spark, d: D.pad_to_multiple(B.scored(spark, d).select("essay_id", "domain1_score"), 32))
 
+# the list form cycles: a multiple above the number of rows repeats them several times
+register(
+    "D6_pad_to_multiple_list",
+    ES
+    + """, r AS (SELECT essay_id, domain1_score, row_number() OVER (ORDER BY essay_id) AS rn, count(*) OVER () AS n FROM scored),
+t AS (SELECT *, n + (4096 - n % 4096) % 4096 AS target FROM r)
+SELECT essay_id, domain1_score, CAST(unnest(range(0, CAST(floor((target - rn) / n::DOUBLE) AS BIGINT) + 1)) AS INTEGER) AS copy FROM t""",
+)(lambda spark, d: D.pad_to_multiple(B.scored(spark, d).select("essay_id", "domain1_score"), 4096, form="list"))
+
 PLAN = {2: (200, 2), 3: (300, 3)}
 register(
     "D7_oversample_by_class",

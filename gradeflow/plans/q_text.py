@@ -41,6 +41,12 @@ register(
     E + "SELECT essay_id, translate(essay, chr(147) || chr(148) || chr(133), '\"\"') AS essay FROM essays",
 )(lambda spark, d: C.normalize_quotes(B.texts(spark, d)).select("essay_id", "essay"))
 
+# the rule of the set that keeps its ellipses
+register(
+    "P6_normalize_quotes_keep_ellipsis",
+    E + "SELECT essay_id, translate(essay, chr(147) || chr(148), '\"\"') AS essay FROM essays",
+)(lambda spark, d: C.normalize_quotes(B.texts(spark, d), keep_ellipsis=True).select("essay_id", "essay"))
+
 register(
     "P7_combine_text_columns",
     E
@@ -133,6 +139,15 @@ SELECT q.essay_set, q.quote, n.n_quotes FROM q
 JOIN (SELECT essay_set, CAST(count(*) AS BIGINT) AS n_quotes FROM q GROUP BY essay_set) n ON q.essay_set = n.essay_set""",
 )(lambda spark, d: L.quote_set(B.texts(spark, d)).select("essay_set", "quote", "n_quotes"))
 
+# one set takes the quotes of its best essays only
+register(
+    "K2_quote_set_of_score",
+    E
+    + f""", q AS (SELECT DISTINCT essay_set, unnest({S.quotes(_NQ)}) AS quote FROM essays WHERE essay_set <> 'en' OR domain1_score = 3)
+SELECT q.essay_set, q.quote, n.n_quotes FROM q
+JOIN (SELECT essay_set, CAST(count(*) AS BIGINT) AS n_quotes FROM q GROUP BY essay_set) n ON q.essay_set = n.essay_set""",
+)(lambda spark, d: L.quote_set(B.essays(spark, d), only_score={"en": 3}).select("essay_set", "quote", "n_quotes"))
+
 register(
     "K3_phrase_union",
     EP + f"SELECT phrase FROM phrases UNION SELECT unnest({S.quotes(_NQ)}) AS phrase FROM essays",

@@ -143,7 +143,7 @@ register(
 nt AS (SELECT essay_id, count(*) AS n FROM et GROUP BY essay_id),
 ev AS (SELECT et.essay_id, unnest(x.vec) AS v, generate_subscripts(x.vec, 1) AS d FROM et JOIN vectors x ON et.word = x.word),
 sm AS (SELECT essay_id, d, sum(CAST(v AS DOUBLE)) AS s FROM ev GROUP BY essay_id, d),
-mv AS (SELECT sm.essay_id, list(round(sm.s / nt.n, 6) ORDER BY sm.d) AS mean_vec FROM sm JOIN nt ON sm.essay_id = nt.essay_id GROUP BY sm.essay_id)
+mv AS (SELECT sm.essay_id, list({S.r6('sm.s / nt.n')} ORDER BY sm.d) AS mean_vec FROM sm JOIN nt ON sm.essay_id = nt.essay_id GROUP BY sm.essay_id)
 SELECT e.essay_id, coalesce(mv.mean_vec, list_resize(CAST([] AS DOUBLE[]), {DIM}, 0.0)) AS mean_vec
 FROM essays e LEFT JOIN mv ON e.essay_id = mv.essay_id""",
 )(

@@ -164,7 +164,7 @@ def metric_lines(metrics: DataFrame) -> DataFrame:
 def write_metrics(metrics: DataFrame, path: str, as_json: bool = False) -> None:
     """``key = value`` lines, or one JSON object per run."""
     if as_json:
-        obj = metrics.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("metric", "value")))).alias("value"))
+        obj = metrics.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("metric", "value"))))).alias("value"))
         obj.write.mode("overwrite").text(path)
     else:
         metric_lines(metrics).write.mode("overwrite").text(path)
