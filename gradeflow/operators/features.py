@@ -2,21 +2,25 @@
 
 Row-local features are Column expressions evaluated in the scan stage.  The
 word-list features (parts of speech, spelling, Dale-Chall, difficult words)
-need lookups: tokens are exploded next to the scan, joined to the word
-tables (broadcast behind a size check, salted shuffle beyond it),
-pre-aggregated per document map-side, and joined back on the id - the one
-shuffle of the feature build.
+need lookups.  Word tables of a measured size are broadcast and an Arrow
+function counts the tokens of each text in place, so nothing is shuffled.
+Larger ones are joined: tokens are exploded next to the scan, joined with a
+salt, pre-aggregated per document map-side, and joined back on the id.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gradeflow.functions import patterns as P
 from gradeflow.functions import text as T
-from gradeflow.plans.joins import lookup_join
+from gradeflow.plans.joins import fits_broadcast, lookup_join
 
 FEATURE_COLUMNS = [
     "num_words", "num_sentences", "num_lemmas", "num_commas", "num_exclamation_marks",
@@ -72,15 +76,18 @@ def _need(x, name):
     return x
 
 
-def word_list_features(df: DataFrame, lists: WordLists, id_col="essay_id", text_col="essay") -> DataFrame:
-    """Per id: POS counts (F9-F13), spelling errors (F14), words outside the
-    easy list and difficult words (F18/F19 inputs)."""
+#: What the word lists give per text.
+COUNTS = [*POS_FEATURES, "num_spelling_errors", "_not_easy", "difficult_word_count"]
+
+
+def word_facts(lists: WordLists) -> DataFrame:
+    """One row per listed word: ``tags``, ``in_dict``, ``is_easy``, from a
+    union and one aggregation (no outer joins)."""
     lex = _need(lists.lexicon, "lexicon").select("word", "tag")
     dic = _need(lists.dictionary, "dictionary").select("word").distinct()
     easy = _need(lists.easy_words, "easy_words").select("word").distinct()
-    # one row per word from a union and one aggregation (no outer joins)
     none_s, none_b = F.lit(None).cast("string"), F.lit(None).cast("boolean")
-    facts = (
+    return (
         lex.select("word", F.col("tag"), none_b.alias("d"), none_b.alias("e"))
         .unionByName(dic.select("word", none_s.alias("tag"), F.lit(True).alias("d"), none_b.alias("e")))
         .unionByName(easy.select("word", none_s.alias("tag"), none_b.alias("d"), F.lit(True).alias("e")))
@@ -91,6 +98,64 @@ def word_list_features(df: DataFrame, lists: WordLists, id_col="essay_id", text_
             F.max("e").alias("is_easy"),
         )
     )
+
+
+def _counts_in_place(facts: DataFrame, text_col: str) -> Column:
+    """A struct of ``COUNTS`` for each text, from word facts that are small
+    enough to be broadcast."""
+    of_tag = [F.arrays_overlap("tags", F.array(*[F.lit(t) for t in tags])) for tags in POS_FEATURES.values()]
+    known = [*of_tag, F.col("in_dict"), F.col("is_easy")]
+    table = facts.filter(F.col("word").isNotNull()).select(
+        "word", *[F.coalesce(x, F.lit(False)).alias(f"f{i}") for i, x in enumerate(known)]).toArrow()
+    flags = np.zeros((table.num_rows + 1, len(known)), dtype=bool)  # the last row stands for words not listed
+    for i in range(len(known)):
+        flags[:-1, i] = table[f"f{i}"].to_numpy()
+    shared = facts.sparkSession.sparkContext.broadcast((table["word"].combine_chunks(), flags))
+    n_tags, pattern = len(of_tag), P.SYLLABLE
+
+    def look(lists):
+        words, flags = shared.value
+        coded = lists.flatten().dictionary_encode()
+        at = pc.fill_null(pc.index_in(coded.dictionary, value_set=words), len(words))
+        return coded.dictionary, flags[at.to_numpy()], coded.indices.to_numpy(), pc.list_parent_indices(lists).to_numpy()
+
+    @F.arrow_udf(", ".join(f"{c} long" for c in COUNTS))
+    def count(tokens: pa.Array, blank_tokens: pa.Array, letters: pa.Array) -> pa.Array:
+        n = len(tokens)
+        total = lambda row, wanted: pa.array(np.bincount(row[wanted], minlength=n).astype("int64"))
+
+        def once(row, code, size):
+            pairs = np.unique(row.astype("int64") * max(size, 1) + code)
+            return pairs // max(size, 1), pairs % max(size, 1)
+
+        _, fact, code, row = look(tokens)
+        out = [total(row, fact[code, i]) for i in range(n_tags)]
+        words, fact, code, row = look(blank_tokens)
+        row, code = once(row, code, len(words))
+        out.append(total(row, ~fact[code, n_tags]))
+        words, fact, code, row = look(letters)
+        hard = ~fact[:, n_tags + 1]
+        out.append(total(row, hard[code]))
+        hard &= pc.count_substring_regex(words, pattern).to_numpy() >= 2
+        row, code = once(row, code, len(words))
+        out.append(total(row, hard[code]))
+        return pa.StructArray.from_arrays(out, COUNTS)
+
+    low = F.lower(F.col(text_col))
+    return count(T.keras_tokens(text_col), T.ws_tokens(low), T.letter_words(low))
+
+
+def word_list_features(df: DataFrame, lists: WordLists, id_col="essay_id", text_col="essay") -> DataFrame:
+    """Per id: POS counts (F9-F13), spelling errors (F14), words outside the
+    easy list and difficult words (F18/F19 inputs)."""
+    facts = word_facts(lists)
+    if fits_broadcast(facts):
+        counted = df.select(id_col, _counts_in_place(facts, text_col).alias("_wl"))
+        return counted.select(id_col, *[F.col("_wl")[c].alias(c) for c in COUNTS])
+    return _joined_counts(df, facts, id_col, text_col)
+
+
+def _joined_counts(df: DataFrame, facts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     # kind 1: V1 tokens (every occurrence) for the tags; 2: distinct
     # lower-case blank tokens for spelling; 3: lower-case letter words (every
     # occurrence) for Dale-Chall; 4: distinct letter words for difficult
@@ -130,11 +195,12 @@ def word_list_features(df: DataFrame, lists: WordLists, id_col="essay_id", text_
 def generate_features(df: DataFrame, lists: WordLists, id_col="essay_id", text_col="essay") -> DataFrame:
     """the input row plus the 24 features in the reference's order."""
     base = row_features(df, text_col)
-    counts = word_list_features(df, lists, id_col, text_col)
-    j = base.join(counts, id_col, "left")
-    zero = ["num_nouns", "num_verbs", "num_adjectives", "num_adverbs", "num_conjunctions",
-            "num_spelling_errors", "_not_easy", "difficult_word_count"]
-    j = j.fillna(0, subset=zero)
+    facts = word_facts(lists)
+    if fits_broadcast(facts):
+        j = base.withColumn("_wl", _counts_in_place(facts, text_col))
+        j = j.withColumns({c: F.col("_wl")[c] for c in COUNTS})
+    else:
+        j = base.join(_joined_counts(df, facts, id_col, text_col), id_col, "left").fillna(0, subset=COUNTS)
     w = F.nullif(F.size("_words"), F.lit(0)).cast("double")
     d = 100 * F.col("_not_easy") / w
     j = j.withColumn(

@@ -75,3 +75,24 @@ def test_word_list_features(spark):
     # distinct words outside the easy list with >= 2 syllables: happy
     assert a["difficult_word_count"] == 1
     assert b["num_nouns"] == 0 and b["dale_chall_index"] is None
+
+
+def test_counts_in_place_match_the_joined_ones(spark):
+    texts = ["", None, "The cat, the CAT and a béautiful dog!", "cat cat cat", "?!...", "don't re-use it; It's fine", "x" * 5000, "the cat"]
+    df = spark.createDataFrame(list(enumerate(texts)), "essay_id long, essay string")
+    words = lambda *rows: spark.createDataFrame(list(rows), "word string")
+    lists = FT.WordLists(
+        spark.createDataFrame([("cat", "NOUN"), ("cat", "VERB"), ("dog", "PROPN"), ("and", "CCONJ"), (None, "NOUN")], "word string, tag string"),
+        words(("the",), ("cat",), ("it;",), ("the",)), words(("the",), ("a",), ("it",), (None,)))
+    got = {r["essay_id"]: tuple(r[c] for c in FT.COUNTS) for r in FT.word_list_features(df, lists).collect()}
+    want = {r["essay_id"]: tuple(r[c] for c in FT.COUNTS)
+            for r in FT._joined_counts(df, FT.word_facts(lists), "essay_id", "essay").collect()}
+    none = (0,) * len(FT.COUNTS)
+    assert got == {i: want.get(i, none) for i in range(len(texts))}
+    assert got[3] == (3, 3, 0, 0, 0, 0, 3, 0) and got[0] == got[1] == none
+    spark.conf.set("gradeflow.broadcast.maxBytes", "1")
+    try:
+        joined = FT.generate_features(df, lists).orderBy("essay_id").collect()
+    finally:
+        spark.conf.unset("gradeflow.broadcast.maxBytes")
+    assert joined == FT.generate_features(df, lists).orderBy("essay_id").collect()
