@@ -2,14 +2,16 @@
 exact round trips, and the contracts of the stages."""
 
 import io
+import re
 import uuid
+from collections import Counter
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gradeflow.llm import merkle, source_mix, token_rollup, warc
+from gradeflow.llm import merkle, quality, sentence_pieces, source_mix, token_rollup, warc
 from gradeflow.session import ensure_checkpoint_dir
 
 SF = "/root/testdata/sf0.001"
@@ -175,6 +177,66 @@ def test_pipeline_stages(spark):
     assert counts[2] <= before
 
 
+def brute_near_duplicates(rows):
+    """Ids that stay: the smallest of each group of linked sets; empty texts stay."""
+    word = re.compile(r"[^\x20\x09-\x0D]+")
+    lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    sets, holders, parent = {}, {}, {i: i for i in rows}
+    for i, text in rows.items():
+        w = word.findall((text or "").translate(lower))
+        sets[i] = {tuple(w[j:j + 5]) for j in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+        for s in sets[i]:
+            holders.setdefault(s, []).append(i)
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in rows:
+        for j, n in Counter(j for s in sets[i] for j in holders[s] if j < i).items():
+            if 100 * n >= 75 * (len(sets[i]) + len(sets[j]) - n):
+                a, b = sorted((top(i), top(j)))
+                parent[b] = a
+    return {i for i in rows if parent[i] == i}
+
+
+def brute_passages(rows, window=35):
+    """Texts without the words of windows that start more than once."""
+    word = re.compile(r"[^\x20\x09-\x0D]+")
+    words = {i: word.findall(t or "") for i, t in rows.items()}
+    seen = Counter(tuple(w[j:j + window]) for w in words.values() for j in range(len(w) - window + 1))
+    out = {}
+    for i, w in words.items():
+        gone = set()
+        for j in range(len(w) - window + 1):
+            if seen[tuple(w[j:j + window])] > 1:
+                gone.update(range(j, j + window))
+        out[i] = " ".join(x for j, x in enumerate(w) if j not in gone) if gone else rows[i]
+    return out
+
+
+def test_pipeline_matches_brute_force(spark):
+    """Each stage after the classifier by a plain loop or SQL over what it was given."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    kept = {r.doc_id: r.text for r in corpus_pipeline.keep_quality(spark, docs, SF).collect()}
+    assert set(kept) == {r.doc_id for r in quality.classify(docs, labels).filter("predicted = 1").collect()}
+    alone = brute_near_duplicates(kept)
+    texts = brute_passages({i: kept[i] for i in alone})
+    assert len(alone) < len(kept) and any(texts[i] != kept[i] for i in alone)
+    rest = {r.doc_id: (r.lang, r.source) for r in docs.collect()}
+    rows = spark.createDataFrame([(i, t, *rest[i], len(t or "")) for i, t in texts.items()], DOCS)
+    mixed, cols = duck(source_mix.oracle_sql(), documents=rows)
+    copies = {r[cols.index("doc_id")]: r[cols.index("copies")] for r in mixed}
+    want = Counter({(i, *rest[i], texts[i]): n for i, n in copies.items() if n})
+    out = corpus_pipeline.run(spark, SF).toArrow()
+    back = sentence_pieces.decode(out["piece_ids"], sentence_pieces.Pieces.load()).to_pylist()
+    got = Counter(zip(*(out[c].to_pylist() for c in ("doc_id", "lang", "source")), back))
+    assert got == want
+    assert out["n_pieces"].to_pylist() == [len(x) for x in out["piece_ids"].to_pylist()]
+
+
 def test_registry_has_the_eleven_queries():
     import __spark_entry__ as e
 
