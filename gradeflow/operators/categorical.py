@@ -145,9 +145,11 @@ def assemble_row(
     mask_col: str | None = None,
     text_col: str | None = None,
     extra: list[str] | None = None,
+    key_token_col: str | None = None,
+    key_mask_col: str | None = None,
 ) -> DataFrame:
     """The model-ready row; missing categorical/numeric parts become
-    empty arrays."""
+    empty arrays.  The keyword columns hold one padded sequence per phrase."""
     cat = F.array(*[F.col(c).cast("double") for c in cat_cols]) if cat_cols else F.array().cast("array<double>")
     num = F.array(*[F.col(c).cast("double") for c in num_cols]) if num_cols else F.array().cast("array<double>")
     cols = [F.col(label_col).alias("labels"), cat.alias("cat_feats"), num.alias("numerical_feats")]
@@ -155,6 +157,10 @@ def assemble_row(
         cols.append(F.col(token_col).alias("input_ids"))
     if mask_col:
         cols.append(F.col(mask_col).alias("attention_mask"))
+    if key_token_col:
+        cols.append(F.col(key_token_col).alias("key_input_ids"))
+    if key_mask_col:
+        cols.append(F.col(key_mask_col).alias("key_attention_mask"))
     if text_col:
         cols.append(F.col(text_col).alias("text"))
     return df.select(*(extra or []), *cols)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from itertools import count, takewhile
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     LinearSVC,
     LogisticRegression,
@@ -46,8 +46,9 @@ def train_score_classifier(
     max_iter: int = 100,
 ):
     """M1 (linear) / M2 (mlp): a fitted pipeline predicting ``prediction``
-    and ``probability`` from the feature columns."""
+    and ``probability`` from the feature columns, numbers or vectors."""
     scaler = StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True)
+    prepare = Pipeline(stages=[_assemble(feature_cols), scaler]).fit(train)
     if head == "linear":
         clf = LogisticRegression(
             featuresCol="features", labelCol=label_col, family="multinomial", maxIter=max_iter
@@ -57,14 +58,14 @@ def train_score_classifier(
     elif head == "mlp":
         if num_classes is None:
             num_classes = train.select(label_col).distinct().count()
-        n_in = len(feature_cols)
+        n_in = prepare.stages[-1].mean.size
         layers = [n_in, *hidden_layer_sizes(n_in, division, num_classes), num_classes]
         clf = MultilayerPerceptronClassifier(
             featuresCol="features", labelCol=label_col, layers=layers, seed=seed, maxIter=max_iter
         )
     else:
         raise ValueError(f"unknown head {head}")
-    return Pipeline(stages=[_assemble(feature_cols), scaler, clf]).fit(train)
+    return PipelineModel([*prepare.stages, clf.fit(prepare.transform(train))])
 
 
 def train_score_regressor(train: DataFrame, feature_cols: list[str], label_col: str = "label", max_iter: int = 100):

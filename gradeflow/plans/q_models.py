@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from gradeflow.operators import categorical as CT
 from gradeflow.operators import experiment as X
 from gradeflow.operators import features as FT
 from gradeflow.operators import models as MD
 from gradeflow.operators import splits as D
+from gradeflow.operators import vocab as V
 from gradeflow.plans import bindings as B
 from gradeflow.plans.q_attention import inputs as attention_inputs
 from gradeflow.plans.q_features import word_lists
+from gradeflow.plans.q_vocab import DIM
 from gradeflow.plans.registry import register
 from gradeflow.sources import io as IO
 
@@ -27,23 +31,36 @@ def scored_features(spark, d, vocab=None):
     return raw_features(spark, d, vocab).fillna(0.0, subset=FEATS)
 
 
+def model_rows(spark, d):
+    """N14 rows of the scored essays: mean vector, essay set and features."""
+    vocab = B.corpus_vocab(spark, d)
+    rows = scored_features(spark, d, vocab).drop("essay")
+    vectors = B.vectors_from(vocab, B.table(spark, d, "embeddings"))
+    mean = V.mean_embedding(B.scored(spark, d).select("essay_id", "essay"), vectors, DIM)
+    wide = CT.one_hot(rows.join(mean, "essay_id"), ["essay_set"])
+    sets = sorted(c for c in wide.columns if c.startswith("essay_set_"))
+    return CT.combine_concat(wide, "mean_vec", sets, FEATS).select("essay_id", "label", array_to_vector("combined").alias("row"))
+
+
 def _split(spark, d):
-    data = scored_features(spark, d)
+    data = model_rows(spark, d).checkpoint()  # the fits read it many times
     roles = D.rotate_folds(data.select("essay_id")).filter(F.col("fold") == 0)
     part = data.join(roles, "essay_id")
     return part.filter(F.col("split") != "test"), part.filter(F.col("split") == "test")
 
 
-def m1(spark, d):
+def _classify(spark, d, head):
     train, test = _split(spark, d)
-    model = MD.train_score_classifier(train, FEATS, "label", head="linear")
+    model = MD.train_score_classifier(train, ["row"], "label", head=head, seed=42)
     return MD.predict(model, test, ["essay_id", F.col("label").cast("int").alias("label")])
 
 
+def m1(spark, d):
+    return _classify(spark, d, "linear")
+
+
 def m2(spark, d):
-    train, test = _split(spark, d)
-    model = MD.train_score_classifier(train, FEATS, "label", head="mlp", seed=42)
-    return MD.predict(model, test, ["essay_id", F.col("label").cast("int").alias("label")])
+    return _classify(spark, d, "mlp")
 
 
 def m3(spark, d):

@@ -10,6 +10,7 @@ from gradeflow.operators import numeric as NU
 from gradeflow.operators import vocab as V
 from gradeflow.plans import bindings as B
 from gradeflow.plans import sql as S
+from gradeflow.plans.joins import lookup_join
 from gradeflow.plans.registry import register
 
 NUMK = ["l_orderkey", "l_linenumber", "split"]
@@ -218,6 +219,46 @@ FROM scored s JOIN seqs q ON s.essay_id = q.essay_id, cats"""
 register("N13_assemble_row", _n13_sql())(_n13)
 
 
+def _n13_keywords(spark, d):
+    """The row with the phrases of the essay's set, in key order."""
+    vocab = B.corpus_vocab(spark, d)
+    keys = V.texts_to_sequences(B.phrases(spark, d), vocab, id_col="key_id", text_col="phrase")
+    keys = V.token_mask(V.pad_sequences(keys, "seq"))
+    rubric = keys.groupBy("essay_set").agg(F.sort_array(F.collect_list(F.struct("key_id", "padded", "mask"))).alias("_k")).select(
+        "essay_set", F.col("_k.padded").alias("keys"), F.col("_k.mask").alias("key_masks"))
+    e = lookup_join(B.scored(spark, d), rubric, ["essay_set"], "left", salt_by=[F.col("essay_id")])
+    e = V.token_mask(V.pad_sequences(V.texts_to_sequences(e, vocab), "seq"))
+    return CT.assemble_row(e, "domain1_score", [], [], "padded", "mask", extra=["essay_id"], key_token_col="keys", key_mask_col="key_masks")
+
+
+def _n13_keywords_sql():
+    from gradeflow.plans.q_vocab import CAP, SEQ_SQL
+
+    mask = "lambda x: CASE WHEN x = 0 THEN 0 ELSE 1 END"
+    return (
+        S.with_(S.ESSAYS, S.SCORED, S.PHRASES, S.VOCAB)
+        + SEQ_SQL
+        + f""", kt AS (SELECT key_id, unnest(t) AS word, generate_subscripts(t, 1) AS pos
+  FROM (SELECT key_id, {S.keras_tokens('phrase')} AS t FROM phrases)),
+kq AS (SELECT kt.key_id, list(CAST(v."index" AS INTEGER) ORDER BY kt.pos) AS seq
+  FROM kt JOIN vocab v ON kt.word = v.word WHERE v."index" < {CAP} GROUP BY kt.key_id),
+kp AS (SELECT p.key_id, p.essay_set,
+  list_resize(coalesce(kq.seq, CAST([] AS INTEGER[])), (SELECT max(len(seq)) FROM kq), 0) AS padded
+  FROM phrases p LEFT JOIN kq ON p.key_id = kq.key_id),
+kr AS (SELECT essay_set, list(padded ORDER BY key_id) AS keys FROM kp GROUP BY essay_set),
+pe AS (SELECT s.essay_id, s.essay_set, s.domain1_score,
+  list_resize(q.seq, (SELECT max(len(x.seq)) FROM seqs x JOIN scored y ON x.essay_id = y.essay_id), 0) AS ids
+  FROM scored s JOIN seqs q ON s.essay_id = q.essay_id)
+SELECT pe.essay_id, domain1_score AS labels, CAST([] AS DOUBLE[]) AS cat_feats, CAST([] AS DOUBLE[]) AS numerical_feats,
+  ids AS input_ids, list_transform(ids, {mask}) AS attention_mask, keys AS key_input_ids,
+  list_transform(keys, lambda k: list_transform(k, {mask})) AS key_attention_mask
+FROM pe LEFT JOIN kr ON pe.essay_set = kr.essay_set"""
+    )
+
+
+register("N13_assemble_row_keywords", _n13_keywords_sql())(_n13_keywords)
+
+
 def _n14_row(spark, d, keep_text_only=False, keywords=False):
     from gradeflow.plans.q_vocab import DIM
 
