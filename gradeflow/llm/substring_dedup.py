@@ -89,7 +89,7 @@ class Segments:
         b = np.flatnonzero(last & inside)
         again = np.zeros(len(grams) + 1, dtype=np.int64)
         near = np.zeros(len(grams), dtype=bool)
-        for d in range(1, span):
+        for d in range(1, span + 1):  # occurrences of an anchor in one segment are at most ``span`` apart
             near[d:] |= grams[d:] == grams[:-d]
         np.cumsum(near, out=again[1:])
         self.a, self.b, self.anchor = a, b, low[a]

@@ -153,6 +153,18 @@ def test_random_texts_with_few_words(spark):
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=str) == brute_kept(rows, 10)
 
 
+@pytest.mark.parametrize("window,gram", [(35, 16), (12, 4), (10, 4), (6, 6), (5, 1)])
+def test_periods_of_every_length_in_one_document(spark, window, gram):
+    rows = []
+    for period in range(1, window + 2):
+        for repeats in (window // period + 1, window // period + 2, window // period + 4):
+            i = len(rows)
+            unit = [f"d{i}_{k}" for k in range(period)]
+            rows.append((i, " ".join([f"d{i}_a", *unit * repeats, f"d{i}_z"])))
+    got = S.kept_digests(frame(spark, rows), window=window, gram=gram, block_bytes=4000).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=str) == brute_kept(rows, window)
+
+
 def test_removal_keeps_columns_and_clean_texts(spark):
     shared = " ".join(f"s{i}" for i in range(50))
     rows = [(1, f"a  b\n{shared}"), (2, f"{shared} c"), (3, " clean \n text "), (4, None), (None, ""), (6, "Z " * 3)]
