@@ -15,11 +15,11 @@ words not seen share the rest.  The counts are asked for by blocks of documents
 (``blocks``) and grow with the corpus.
 
 *Training* is truncated backpropagation through time in numpy, with the state
-carried into the next window.  ``fit_share`` of the training texts (picked by a
-hash) fit the recurrent weights: each task fits a copy, and the copies are
-averaged with the number of their tokens as weights, ``rounds`` times.  A task
-makes at least ``LEAST_STEPS`` steps a round, over its last texts again if it
-has few.  The weights are a few thousand numbers, whatever the corpus.
+carried into the next window.  All training texts fit the recurrent weights:
+each task fits a copy, and the copies are averaged with the number of their
+tokens as weights, ``rounds`` times.  A task makes at least
+``LEAST_STEPS`` steps a round, over its last texts again if it has few.  The
+weights are a few thousand numbers, whatever the corpus.
 
 Cases.  Null text is empty: one token, the end.  Without training texts all
 counts are 0 and the weights stay as they start.  Rows with a null id are never
@@ -43,9 +43,8 @@ from gradeflow.session import ensure_checkpoint_dir
 
 HIDDEN = 24
 FOLDS, HELD_OUT = 7, 2
-FIT_SHARE = 1 / 4
 LEAST_STEPS = 200
-ROUNDS = 2
+ROUNDS = 1
 RATE = 0.01
 WINDOW = 32
 LANES = 64
@@ -87,7 +86,18 @@ def token_classes(words: Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sigmoid(x):
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+    """In place; where exp is infinite the result is 0."""
+    np.negative(x, out=x)
+    with np.errstate(over="ignore"):
+        np.exp(x, out=x)
+    x += 1
+    np.reciprocal(x, out=x)
+
+
+def _gate_inputs(x, inputs):
+    """Rows of ``x`` for each step, lanes in columns."""
+    turned = np.ascontiguousarray(x.T)
+    return [np.take(turned, row, axis=1) for row in inputs]
 
 
 class Network:
@@ -110,15 +120,29 @@ class Network:
             at += x.size
         return self
 
+    def cell(self, turned, h, a):
+        """One step with lanes in columns; ``a`` are the inputs of the gates.
+        Returns the new state, z, r, n and what the state adds to n."""
+        k = self.hidden
+        g = turned @ h
+        zr = a[: 2 * k] + g[: 2 * k]
+        _sigmoid(zr)
+        z, r, g = zr[:k], zr[k:], g[2 * k :]
+        n = r * g
+        n += a[2 * k :]
+        n *= 2  # tanh(x) = 2 sigmoid(2x) - 1, faster than numpy's
+        _sigmoid(n)
+        n *= 2
+        n -= 1
+        new = h - n
+        new *= z
+        new += n
+        return new, z, r, n, g
+
     def step(self, h, cls):
-        """One step; returns the new state and what the gradient needs."""
-        x, u, k = self.w[0], self.w[1], self.hidden
+        """One step with lanes in rows; returns the new state."""
         h = h * (cls != END)[:, None]  # a text starts from the zero state
-        a, g = x[cls], h @ u
-        zr = _sigmoid(a[:, : 2 * k] + g[:, : 2 * k])
-        z, r = zr[:, :k], zr[:, k:]
-        n = np.tanh(a[:, 2 * k :] + r * g[:, 2 * k :])
-        return n + z * (h - n), (h, z, r, n, g[:, 2 * k :])
+        return (self.cell(self.w[1].T, h.T, self.w[0][cls].T)[0].T,)
 
     def log_classes(self, h):
         s = h @ self.w[2] + self.w[3]
@@ -127,39 +151,53 @@ class Network:
         return s
 
     def gradients(self, h, inputs, targets):
-        """Loss, gradients of one window and the state after it."""
-        k, steps = self.hidden, []
-        states = np.empty((len(inputs), inputs.shape[1], k), dtype=np.float32)
-        for t, cls in enumerate(inputs):
-            h, kept = self.step(h, cls)
-            steps.append(kept)
-            states[t] = h
-        flat = states.reshape(-1, k)
-        logp = self.log_classes(flat)
+        """Loss, gradients of one window and the state after it.  A target
+        below 0 is padding and counts for nothing."""
+        x, u, o, b = self.w
+        k, (steps, lanes), kind = self.hidden, inputs.shape, x.dtype
+        turned, live = np.ascontiguousarray(u.T), (inputs != END).astype(kind)
+        a = _gate_inputs(x, inputs)
+        before, states, z, r, n, g = (np.empty((k, steps, lanes), dtype=kind) for _ in range(6))
+        last = h.T.astype(kind)
+        for t in range(steps):
+            old = before[:, t] = last * live[t]
+            last, z[:, t], r[:, t], n[:, t], g[:, t] = self.cell(turned, old, a[t])
+            states[:, t] = last
+        flat = states.reshape(k, -1)
+        d = o.T @ flat
+        d += b[:, None]
+        d -= d.max(axis=0)
         y = targets.ravel()
-        row = np.arange(len(y))
-        loss = -float(logp[row, y].mean())
-        d = np.exp(logp)
-        d[row, y] -= 1
-        d /= len(y)
-        grad_o, grad_b = flat.T @ d, d.sum(axis=0)
-        back = (d @ self.w[2].T).reshape(states.shape)
-        grad_u = np.zeros_like(self.w[1])
-        gates = np.empty((len(inputs), inputs.shape[1], 3 * k), dtype=np.float32)
-        dh = np.zeros_like(h)
-        for t in range(len(inputs) - 1, -1, -1):
-            before, z, r, n, g = steps[t]
-            dh = dh + back[t]
-            dz = dh * (before - n) * z * (1 - z)
-            dn = dh * (1 - z) * (1 - n * n)
-            dr = dn * g * r * (1 - r)
-            gates[t] = np.concatenate([dz, dr, dn], axis=1)
-            dg = np.concatenate([dz, dr, dn * r], axis=1)
-            grad_u += before.T @ dg
-            dh = (dh * z + dg @ self.w[1].T) * (inputs[t] != END)[:, None]
-        hot = np.zeros((CLASSES, inputs.size), dtype=np.float32)
+        at = np.flatnonzero(y >= 0)
+        picked = d[y[at], at]
+        np.exp(d, out=d)
+        total = d.sum(axis=0)
+        loss = float((np.log(total[at]) - picked).mean())
+        d /= total
+        d[y[at], at] -= 1
+        d *= ((y >= 0) / len(at)).astype(kind)
+        grad_o, grad_b = flat @ d.T, d.sum(axis=1)
+        back = (o @ d).reshape(states.shape)
+        to_z, to_n, to_r = (before - n) * z * (1 - z), (1 - z) * (1 - n * n), g * r * (1 - r)
+        gates = np.empty((3 * k, steps, lanes), dtype=kind)
+        sent = np.empty((3 * k, steps, lanes), dtype=kind)
+        dg = np.empty((3 * k, lanes), dtype=kind)
+        dh = np.zeros((k, lanes), dtype=kind)
+        for t in range(steps - 1, -1, -1):
+            dh += back[:, t]
+            dn = np.multiply(dh, to_n[:, t], out=gates[2 * k :, t])
+            np.multiply(dh, to_z[:, t], out=dg[:k])
+            np.multiply(dn, to_r[:, t], out=dg[k : 2 * k])
+            np.multiply(dn, r[:, t], out=dg[2 * k :])
+            sent[:, t] = dg
+            dh *= z[:, t]
+            dh += u @ dg
+            dh *= live[t]
+        gates[: 2 * k] = sent[: 2 * k]
+        hot = np.zeros((CLASSES, inputs.size), dtype=kind)
         hot[inputs.ravel(), np.arange(inputs.size)] = 1
-        return loss, [hot @ gates.reshape(-1, 3 * k), grad_u, grad_o, grad_b], h
+        grad_u = before.reshape(k, -1) @ sent.reshape(3 * k, -1).T
+        return loss, [hot @ gates.reshape(3 * k, -1).T, grad_u, grad_o, grad_b], last.T
 
     def fit(self, classes: np.ndarray, memory: dict, rate: float = RATE, window: int = WINDOW, lanes: int = LANES) -> float:
         """One pass over a stream of texts.  ``memory`` keeps the optimiser's
@@ -206,20 +244,28 @@ class Network:
         for col, lane in enumerate(order.tolist()):
             place[: length[lane], col] = np.concatenate([np.arange(bounds[d], bounds[d + 1]) for d in held[lane]])
         live = np.searchsorted(-length[order], -np.arange(length.max()), side="left")  # lanes that are longer than t
-        h = np.zeros((lanes, self.hidden), dtype=np.float32)
-        last = np.full(lanes, END)
+        turned, o = np.ascontiguousarray(self.w[1].T), np.ascontiguousarray(self.w[2].T)
+        h = np.zeros((self.hidden, lanes), dtype=np.float32)
+        last = np.full((1, lanes), END)
         for at in range(0, len(place), window):
-            rows = place[at : at + window]
-            states = np.zeros((len(rows), live[at], self.hidden), dtype=np.float32)
-            for t, row in enumerate(rows):
+            rows = place[at : at + window, : live[at]]
+            fine = rows >= 0
+            now = np.where(fine, classes[rows], END)
+            inputs = np.vstack([last[:, : live[at]], now[:-1]])
+            last = now[-1:]
+            a = _gate_inputs(self.w[0], inputs)
+            begin = (inputs != END).astype(np.float32)
+            states = np.zeros((self.hidden, *rows.shape), dtype=np.float32)
+            for t in range(len(rows)):
                 n = live[at + t]
-                h = self.step(h[:n], last[:n])[0]
-                states[t, :n] = h
-                last = classes[row[:n]]
-            fine = rows[:, : live[at]] >= 0
-            token = rows[:, : live[at]][fine]
-            logp = self.log_classes(states[fine])
-            out[token] = logp[np.arange(len(token)), classes[token]]
+                h = self.cell(turned, h[:, :n] * begin[t, :n], a[t][:, :n])[0]
+                states[:, t, :n] = h
+            s = o @ states.reshape(self.hidden, -1)
+            s += self.w[3][:, None]
+            s -= s.max(axis=0)
+            picked = s[now.ravel(), np.arange(now.size)]
+            np.exp(s, out=s)
+            out[rows[fine]] = (picked - np.log(s.sum(axis=0)))[fine.ravel()]
         return out
 
 
@@ -227,11 +273,10 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % FOLDS == HELD_OUT, F.lit(False))
 
 
-def fit_network(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = FIT_SHARE, rounds: int = ROUNDS,
-                hidden: int = HIDDEN, seed: int = 3) -> Network:
-    """Recurrent weights from ``share`` of the training texts."""
-    picked = docs.filter(~held_out(id_col) & F.col(text_col).isNotNull()
-                         & (F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < int(share * (1 << 20)))).select(F.col(text_col).alias("text"))
+def fit_network(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, hidden: int = HIDDEN,
+                seed: int = 3) -> Network:
+    """Recurrent weights from all training texts."""
+    training = docs.filter(~held_out(id_col)).select(F.col(text_col).cast("string").alias("text"))
     network = Network(hidden, seed)
     for r in range(rounds):
         start = network.flat()
@@ -258,7 +303,7 @@ def fit_network(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     w += np.frombuffer(x)
             yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([w.tobytes()], pa.binary())], ["n", "w"])
 
-        parts = picked.mapInArrow(train, "n long, w binary").repartition(4).mapInArrow(add, "n long, w binary").collect()
+        parts = training.mapInArrow(train, "n long, w binary").repartition(4).mapInArrow(add, "n long, w binary").collect()
         n = sum(p["n"] for p in parts)
         if n:
             network.load(sum(np.frombuffer(bytes(p["w"])) for p in parts) / n)
@@ -282,11 +327,11 @@ def _merge_counts(keys, counts, classes):
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES,
-                share: float = FIT_SHARE, rounds: int = ROUNDS, hidden: int = HIDDEN) -> DataFrame:
+                rounds: int = ROUNDS, hidden: int = HIDDEN) -> DataFrame:
     """Per row: id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``,
     ``base_score`` and ``score`` (log10 probabilities of the whole text)."""
     ensure_checkpoint_dir(docs.sparkSession)
-    network = fit_network(docs, id_col, text_col, share, rounds, hidden)
+    network = fit_network(docs, id_col, text_col, rounds, hidden)
     weights = network.flat()
     bits = B.shard_bits(docs)
     thin = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), held_out(id_col).alias("held_out"))

@@ -140,6 +140,25 @@ def test_scores_counts_and_gain(spark):
     assert gru_lm.score_texts(df.limit(0)).count() == 0
 
 
+def same_weights(got, want):
+    """Up to rounding, which grows with the steps."""
+    moved = np.linalg.norm(want.flat() - gru_lm.Network().flat())
+    return np.linalg.norm(got.flat() - want.flat()) < 0.05 * moved
+
+
+def test_weights_learn_from_all_training_texts(spark):
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 28))
+    texts = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([900, 30, 400, 1, 70, 250])] + [(6, ""), (7, None)]
+    train = [t for i, t in texts if zlib.crc32(str(i).encode()) % 7 != 2]
+    df = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    classes, memory = gru_lm.token_classes(Words(pa.array(train, pa.string())))[0], {}
+    want = gru_lm.Network()
+    while memory.get("t", 0) < gru_lm.LEAST_STEPS:
+        want.fit(classes, memory)
+    assert same_weights(gru_lm.fit_network(df, rounds=1), want)
+
+
 # operator 5
 
 def test_isotonic_is_monotone_and_keeps_the_mean():
