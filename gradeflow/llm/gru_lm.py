@@ -17,9 +17,9 @@ words not seen share the rest.  The counts are asked for by blocks of documents
 *Training* is truncated backpropagation through time in numpy, with the state
 carried into the next window.  All training texts fit the recurrent weights:
 each task fits a copy, and the copies are averaged with the number of their
-tokens as weights, ``rounds`` times.  A task makes at least
-``LEAST_STEPS`` steps a round, over its last texts again if it has few.  The
-weights are a few thousand numbers, whatever the corpus.
+tokens as weights, ``rounds`` times.  In a round a task makes whole passes over
+all tokens of all its texts, as few as give ``LEAST_STEPS`` steps.  The weights
+are a few thousand numbers, whatever the corpus.
 
 Cases.  Null text is empty: one token, the end.  Without training texts all
 counts are 0 and the weights stay as they start.  Rows with a null id are never
@@ -200,14 +200,17 @@ class Network:
         return loss, [hot @ gates.reshape(3 * k, -1).T, grad_u, grad_o, grad_b], last.T
 
     def fit(self, classes: np.ndarray, memory: dict, rate: float = RATE, window: int = WINDOW, lanes: int = LANES) -> float:
-        """One pass over a stream of texts.  ``memory`` keeps the optimiser's
-        averages from one call to the next.  Returns the mean loss."""
-        lanes = max(1, min(lanes, len(classes) // window))
-        n = len(classes) // lanes
-        if n < 2:
+        """One pass over a stream of texts, all tokens of it: the last lanes are
+        padded.  ``memory`` keeps the optimiser's averages from one call to the
+        next.  Returns the mean loss."""
+        if not len(classes):
             return float("nan")
-        grid = classes[: n * lanes].reshape(lanes, n).T
-        inputs = np.vstack([np.full((1, lanes), END), grid[:-1]])
+        lanes = max(1, min(lanes, len(classes) // window))
+        n = -(-len(classes) // lanes)
+        grid = np.full(n * lanes, -1, dtype=np.int64)
+        grid[: len(classes)] = classes
+        grid = grid.reshape(lanes, n).T
+        inputs = np.vstack([np.full((1, lanes), END), np.where(grid[:-1] < 0, END, grid[:-1])])
         h = np.zeros((lanes, self.hidden), dtype=np.float32)
         losses = []
         for at in range(0, n, window):
@@ -282,16 +285,18 @@ def fit_network(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         start = network.flat()
 
         def train(batches, start=start, rate=RATE / (1 + 2 * r)):
-            own, memory, tokens = Network(hidden, seed).load(start), {}, 0
+            own, memory, tokens, again = Network(hidden, seed).load(start), {}, 0, []
             for batch in (part for whole in batches for part in slices(whole, "text")):
                 classes, _ = token_classes(Words(batch.column("text")))
                 own.fit(classes, memory, rate)
                 tokens += len(classes)
-            while tokens and memory.get("t", 0) < LEAST_STEPS:
-                before = memory.get("t", 0)
-                own.fit(classes, memory, rate)
-                if memory.get("t", 0) == before:
-                    break
+                if memory["t"] < LEAST_STEPS:  # else one pass is enough
+                    again.append(classes.astype(np.uint8))
+                else:
+                    again = []
+            while tokens and memory["t"] < LEAST_STEPS:
+                for classes in again:
+                    own.fit(classes, memory, rate)
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64()), pa.array([(own.flat() * tokens).tobytes()], pa.binary())], ["n", "w"])
 

@@ -159,6 +159,29 @@ def test_weights_learn_from_all_training_texts(spark):
     assert same_weights(gru_lm.fit_network(df, rounds=1), want)
 
 
+def test_every_pass_goes_over_all_slices(spark):
+    texts = [" ".join(f"{c}{i:060d}{c}" for i in range(20_000)) + " " for c in "ab"]  # a slice each
+    assert len(list(slices(pa.RecordBatch.from_arrays([pa.array(texts)], ["text"]), "text"))) == 2
+    want, memory = gru_lm.Network(), {}
+    while memory.get("t", 0) < gru_lm.LEAST_STEPS:
+        for t in texts:
+            want.fit(gru_lm.token_classes(Words(pa.array([t])))[0], memory)
+    ids = [i for i in range(9) if zlib.crc32(str(i).encode()) % 7 != 2]
+    df = spark.createDataFrame([(i, t) for i, t in zip(ids, texts)], "doc_id long, text string").coalesce(1)
+    assert same_weights(gru_lm.fit_network(df, rounds=1), want)
+
+
+@pytest.mark.parametrize("size", [1, 31, 2048 + 63, 5000])
+def test_a_pass_learns_the_last_tokens_too(size):
+    classes = np.random.default_rng(size).integers(0, gru_lm.END, size)
+    other = classes.copy()
+    other[-1] = (other[-1] + 1) % gru_lm.END
+    fitted = [gru_lm.Network() for _ in range(2)]
+    for net, c in zip(fitted, (classes, other)):
+        net.fit(c, {})
+    assert not np.allclose(fitted[0].flat(), fitted[1].flat(), atol=1e-6)
+
+
 # operator 5
 
 def test_isotonic_is_monotone_and_keeps_the_mean():
