@@ -1,9 +1,9 @@
-"""Operator 4, substring dedup: relative Lempel-Ziv parsing.
+"""Operator 4, substring dedup: exact repeats from an anchored window index.
 
-The reference is the whole corpus, indexed in blocks (the shards of an index
-keyed by content).  Every document is factored against every block that can
-hold a match of at least ``window`` words, and factors that long become
-duplicate spans.
+The index covers the whole corpus in shards keyed by content.  It stands in for
+a relative Lempel-Ziv parse: no factor with a source position is made, but a
+word is found to be a duplicate just when a match of at least ``window`` words
+covers it.
 
 *Anchors.*  Of the ``window - gram + 1`` word n-grams in a window the one with
 the smallest hash is its anchor.  Equal windows have equal anchors, so a match
@@ -11,17 +11,16 @@ lies in the block of its anchor and other blocks need not be asked.
 Consecutive windows with one anchor form a segment, a word range of at most
 ``2 * window - gram`` words unless the text is periodic.
 
-*Greedy factors.*  A block indexes the distinct segments under each anchor.
-A segment that occurs twice is a match as a whole; the parse takes it and goes
-on with the next segment, so a factor grows over all consecutive segments
-that match.
+*Whole segments.*  A shard indexes the distinct segments under each anchor.
+A segment that occurs twice is a match as a whole, so a span grows over all
+consecutive segments that match.
 
-*Factor boundaries.*  Where a factor ends the segment as a whole occurs only
+*Ends of matches.*  Where a match ends the segment as a whole occurs only
 once but its anchor occurs elsewhere too; its matching windows are found by
 asking for each window by itself.  The same holds for periodic text, where a
 window may recur inside its own segment.
 
-A span may run over factors with different sources.  The result is exact for
+A span may run over matches with different sources.  The result is exact for
 64-bit hashes: a word is in a span if and only if a window that covers it also
 starts somewhere else.
 
