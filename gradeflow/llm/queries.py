@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeflow.llm import gru_lm, hnsw, merkle, quality, sentence_pieces, source_mix, token_rollup, warc
+from gradeflow.llm import fill_middle, gru_lm, hnsw, merkle, quality, sentence_pieces, source_mix, token_rollup, url_cascade, warc
 from gradeflow.llm.jaccard_join import jaccard_components
 from gradeflow.llm.substring_dedup import kept_digests
 from gradeflow.session import ensure_checkpoint_dir
@@ -89,3 +89,16 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_gru_lm")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gru_lm.score_texts(table(spark, sf_dir, "documents"))
+
+
+@query("op11_url_cascade", url_cascade.SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_cascade.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), url_cascade.rule_table(spark, url_cascade.RULES))
+
+
+@query("op12_fill_middle", fill_middle.SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = lambda c: F.sha2(c, 256)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output").alias("output_sha256"),
+                      digest(fill_middle.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
