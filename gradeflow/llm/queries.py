@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeflow.llm import fill_middle, gru_lm, hnsw, merkle, quality, sentence_pieces, source_mix, token_rollup, url_cascade, warc
+from gradeflow.llm import fill_middle, gru_lm, hnsw, merkle, quality, sentence_pieces, source_mix, token_rollup, url_cascade, vector_codes, warc
 from gradeflow.llm.jaccard_join import jaccard_components
 from gradeflow.llm.substring_dedup import kept_digests
 from gradeflow.session import ensure_checkpoint_dir
@@ -102,3 +102,9 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = lambda c: F.sha2(c, 256)
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output").alias("output_sha256"),
                       digest(fill_middle.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+@query("op13_vector_codes", vector_codes.oracle_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, _ = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return vector_codes.with_label_error(codes).select("vec_id", "code", "error", "label_error", "codebooks_sha256")

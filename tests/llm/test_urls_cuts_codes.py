@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gradeflow.llm import fill_middle, url_cascade
+from gradeflow.llm import fill_middle, url_cascade, vector_codes
 
 UNIT = re.compile(r"[A-Za-z]+|[^A-Za-z]")
 
@@ -125,3 +125,79 @@ def test_cuts_at_every_unit_and_block_size():
         for k in range(max(map(len, want)) + 1):
             at = np.array([min(k, len(w)) for w in want])
             assert units.points_before(at).tolist() == [len("".join(w[:c])) for w, c in zip(want, at)]
+
+
+# operator 13
+
+def lloyd_loop(rows, parts, entries, rounds):
+    """Codes, errors and codebooks by trying every entry for every part."""
+    kept = [r for r in rows if r[1] and None not in r[1] and np.isfinite(np.array(r[1], float)).all() and len(r[1]) % parts == 0]
+    out, digests = [], {}
+    for length in sorted({len(r[1]) for r in kept}):
+        mine = sorted((r for r in kept if len(r[1]) == length), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        v = [[int(np.floor(1024 * float(np.float32(x)))) for x in r[1]] for r in mine]
+        w = length // parts
+        books = [[x[p * w : p * w + w] for x in v[:entries]] for p in range(parts)]
+        for last in [False] * rounds + [True]:
+            far = [[[sum((a - b) ** 2 for a, b in zip(x[p * w : p * w + w], c)) for c in books[p]] for p in range(parts)] for x in v]
+            code = [[d.index(min(d)) for d in x] for x in far]
+            if not last:
+                for p in range(parts):
+                    for e in range(len(books[p])):
+                        held = [x[p * w : p * w + w] for x, c in zip(v, code) if c[p] == e]
+                        if held:
+                            books[p][e] = [sum(c) // len(held) for c in zip(*held)]
+        digests[length] = hashlib.sha256(",".join(str(x) for b in books for c in b for x in c).encode()).hexdigest()
+        out += [(r[0], r[2], "".join(f"{c:02x}" for c in cs), sum(map(min, f)), digests[length]) for r, cs, f in zip(mine, code, far)]
+    return out
+
+
+def vectors(n, length, seed=0):
+    rng = np.random.default_rng(seed)
+    middle = rng.normal(size=(6, length))
+    return (middle[rng.integers(0, 6, n)] + rng.normal(scale=0.1, size=(n, length))).astype(np.float32).tolist()
+
+
+@pytest.mark.parametrize("partitions,block_rows", [(1, 2048), (7, 16)])
+def test_codes_match_a_loop(spark, partitions, block_rows):
+    rows = [(i, v, i % 3) for i, v in enumerate(vectors(150, 8))] + [(500 + i, v, None) for i, v in enumerate(vectors(9, 4))]
+    rows += [(3, rows[3][1], 1)] * 40 + [(None, rows[5][1], 2), (7, rows[20][1], 2), (601, [0.5] * 8, 9), (602, [0.5] * 8, 9)]
+    rows += [(900, None, 1), (901, [], 1), (902, [1.0] * 6, 1), (903, [float("nan")] * 8, 1), (904, [1.0, None] * 4, 1), (905, [float("inf")] * 8, 1)]
+    table = spark.createDataFrame([(*r, "x", 2) for r in rows], "vec_id long, embedding array<float>, label int, code string, error int").repartition(partitions)
+    want = lloyd_loop(rows, 4, 16, 3)
+    codes, books = vector_codes.compress(table, entries=16, rounds=3, block_rows=block_rows)
+    got = vector_codes.with_label_error(codes).collect()
+    assert sorted(books) == [4, 8]
+    assert sorted(str((r.vec_id, r.code, r.error, r.codebooks_sha256)) for r in got) == sorted(str((w[0], *w[2:])) for w in want)
+    total = {}
+    for w in want:
+        total[w[1]] = total.get(w[1], 0) + w[3]
+    assert all(r.label_error == total[int(r.label) if r.label is not None else None] for r in got)
+
+
+def test_codes_of_empty_and_huge(spark):
+    table = spark.createDataFrame([(1, [1e30] * 8, 1)], "vec_id long, embedding array<double>, label int")
+    assert vector_codes.with_label_error(vector_codes.compress(table.limit(0))[0]).count() == 0
+    with pytest.raises(Exception, match="would not fit a long"):
+        vector_codes.compress(table)
+
+
+@pytest.mark.parametrize("k,n,spread", [(1, 5, 1000), (5, 1, 1000), (16, 700, 2000), (37, 900, 3), (256, 2048, 300)])
+def test_joint_descent_is_exact(k, n, spread):
+    rng = np.random.default_rng(k)
+    centre = rng.integers(-spread, spread, (12, 6))
+    points = centre[rng.integers(0, 12, n)] + rng.integers(-spread // 50 - 1, spread // 50 + 2, (n, 6))
+    entries = points[rng.integers(0, n, k)] + rng.integers(-1, 2, (k, 6))
+    batch = vector_codes._pack(list(range(n)), [None] * n, points, 1)
+    tree = vector_codes._unpack({c: batch.column(c)[0].as_py() for c in batch.schema.names}, 1, 6)[0]
+    codes = np.empty(len(tree["points"]), dtype=np.int64)
+    sums, counts, whole = vector_codes.assign(tree, vector_codes.Book(entries), codes)
+    far = ((points[:, None] - entries[None]) ** 2).sum(axis=2)
+    want = far.argmin(axis=1)
+    got = np.empty(n, dtype=np.int64)
+    got[tree["place"][tree["real"]]] = codes[tree["real"]]
+    assert (got == want).all()
+    assert (counts == np.bincount(want, minlength=k)).all()
+    assert (sums == np.stack([points[want == e].sum(axis=0) for e in range(k)])).all()
+    if k == 16:
+        assert whole > 0  # cached sums settled whole nodes
