@@ -53,7 +53,7 @@ ENTRIES = 256
 ROUNDS = 4
 LEAF = 16
 BLOCK_ROWS = 2048
-PAIR_BYTES = 8 << 20
+PAIRS = 1 << 16  # distances worked out at a time
 
 BLOCK = "ids array<long>, labels array<string>, place binary, points binary, lows binary, highs binary, sums binary, counts binary"
 CODES = "vec_id long, label string, code string, error long"
@@ -125,15 +125,26 @@ def _first(node: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
 
 
+def _narrow(low: np.ndarray, high: np.ndarray, width: int) -> type:
+    """The smallest integers that hold every squared distance in this range."""
+    reach = max(int(high.max()) - int(low.min()), 1)
+    return np.int32 if width * reach * reach < 1 << 31 else np.int64
+
+
 def _prune(node, entry, low, high, e_low, e_high):
-    """The pairs whose boxes may hold a part and its nearest entry."""
-    apart, across = np.empty(len(node), dtype=np.int64), np.empty(len(node), dtype=np.int64)
-    step = max(1, PAIR_BYTES // (8 * low.shape[1]))
-    for s in range(0, len(node), step):
-        a, b = node[s : s + step], entry[s : s + step]
-        up, down = e_high[b] - low[a], high[a] - e_low[b]
-        gap, reach = np.maximum(np.maximum(-up, -down), 0), np.maximum(up, down)
-        apart[s : s + step], across[s : s + step] = (gap * gap).sum(axis=1), (reach * reach).sum(axis=1)
+    """The pairs whose boxes may hold a part and its nearest entry.  Boxes are
+    (component, node)."""
+    apart, across = np.empty(len(node), dtype=low.dtype), np.empty(len(node), dtype=low.dtype)
+    for s in range(0, len(node), PAIRS):
+        part = slice(s, s + PAIRS)
+        near, far = np.zeros(len(node[part]), dtype=low.dtype), np.zeros(len(node[part]), dtype=low.dtype)
+        for d in range(len(low)):
+            up, down = e_high[d, entry[part]] - low[d, node[part]], high[d, node[part]] - e_low[d, entry[part]]
+            gap = np.minimum(np.minimum(up, down), 0)
+            reach = np.maximum(up, down)
+            near += gap * gap
+            far += reach * reach
+        apart[part], across[part] = near, far
     first = _first(node)
     bound = np.repeat(np.minimum.reduceat(across, first), np.diff(np.r_[first, len(node)]))
     left = apart <= bound
@@ -141,20 +152,25 @@ def _prune(node, entry, low, high, e_low, e_high):
 
 
 def _leaves(points, node, entry, size, entries) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(places, nearest entries) for leaves and the entries left for each."""
+    """(places, nearest entries) for leaves and the entries left for each;
+    ``points`` is (component, place) and ``entries`` (component, entry)."""
     first = _first(node)
     ends = np.r_[first[1:], len(node)]
-    step = max(1, PAIR_BYTES // (8 * size * points.shape[1]))
+    step = max(1, PAIRS // size)
     i = 0
     while i < len(first):
         j = max(i + 1, int(np.searchsorted(ends, first[i] + step, side="right")))
         a, b = first[i], ends[j - 1]
         at = node[first[i:j], None] * size + np.arange(size)
-        diff = points[node[a:b, None] * size + np.arange(size)] - entries[entry[a:b], None]
-        far = (diff * diff).sum(axis=2)
+        place = node[a:b]
+        far = np.zeros((b - a, size), dtype=points.dtype)
+        for x, c in zip(points, entries):
+            diff = x.reshape(-1, size)[place] - c[entry[a:b], None]
+            diff *= diff
+            far += diff
         runs, many = first[i:j] - a, ends[i:j] - first[i:j]
         best = np.repeat(np.minimum.reduceat(far, runs, axis=0), many, axis=0)
-        winner = np.minimum.reduceat(np.where(far == best, entry[a:b, None], len(entries)), runs, axis=0)
+        winner = np.minimum.reduceat(np.where(far == best, entry[a:b, None], entries.shape[1]), runs, axis=0)
         yield at.ravel(), winner.ravel()
         i = j
 
@@ -167,6 +183,9 @@ def assign(tree: dict, book: Book, codes: np.ndarray | None = None):
     levels = len(count).bit_length() - 1
     size = len(points) >> levels
     sums, counts = np.zeros_like(book.entries), np.zeros(len(book.entries), dtype=np.int64)
+    kind = _narrow(np.minimum(low[0], book.low[0]), np.maximum(high[0], book.high[0]), low.shape[1])
+    turned = lambda x: np.ascontiguousarray(x.T, dtype=kind)
+    low, high, e_low, e_high = map(turned, (low, high, book.low, book.high))
     node = entry = np.zeros(1, dtype=np.int64)  # numbers inside their levels; pairs are ordered by node
     level = e_level = whole = 0
     while len(node):
@@ -201,9 +220,9 @@ def assign(tree: dict, book: Book, codes: np.ndarray | None = None):
             node, entry = node[fine], entry[fine]
         if len(node):
             box, e_box = slice((1 << level) - 1, (2 << level) - 1), slice((1 << e_level) - 1, (2 << e_level) - 1)
-            node, entry = _prune(node, entry, low[box], high[box], book.low[e_box], book.high[e_box])
+            node, entry = _prune(node, entry, low[:, box], high[:, box], e_low[:, e_box], e_high[:, e_box])
     if len(node):
-        for at, winner in _leaves(points, node, book.entry[entry], size, book.entries):
+        for at, winner in _leaves(turned(points), node, book.entry[entry], size, turned(book.entries)):
             if codes is not None:
                 codes[at] = winner
             at, winner = at[real[at]], winner[real[at]]
