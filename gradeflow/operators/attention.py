@@ -9,17 +9,23 @@ key).  Words without a vector are zero vectors and take part in the
 softmax; an answer or phrase with no token gives a zero vector.
 
 Plan: a rubric belongs to an essay set.  Its phrases are packed into blocks
-of ``BLOCK_PHRASES`` token-id lists, and an answer meets the blocks of its own
-set by an equi-join (a table of measured size is broadcast, a larger one
-salted).  Answers travel as their capped token-id sequence (V3), never as
-vectors; the vector table has at most ``num_words`` rows.  In the tasks, one
-product per (answer, block) scores the answer's *distinct* words, with their
-counts as weights, so memory follows the distinct words of one answer and the
-words of one block.
+of token-id lists, and an answer meets the blocks of its own set by an
+equi-join (a table of measured size is broadcast, a larger one salted).
+Answers travel as their capped token-id sequence (V3), never as vectors; the
+vector table has at most ``num_words`` rows.
+
+Scores depend on a pair of words alone, so a task works out one ``ScoreTable``
+for each block it meets: the scores of every word with a vector (and of one
+word without) against every distinct word of the block's phrases.  A block
+holds so many phrase words that its table stays under ``TABLE_BYTES``.  What an
+answer adds is sparse: the table's rows of its distinct words, weighted with
+their counts, in a few small products.
 """
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -28,7 +34,9 @@ from pyspark.sql import functions as F
 from gradeflow.plans.joins import lookup_join
 
 MASK_FLOOR = np.sqrt(1e-7)
-BLOCK_PHRASES = 16
+TABLE_BYTES = 16 << 20  # one of the (words x phrase words) arrays of a block
+HELD_TABLES = 4
+WIDEST_RANGE = 600.0  # scores further apart than this share no common shift of exp
 ROWS_PER_BATCH = 20_000  # output rows per Arrow batch
 
 
@@ -41,48 +49,161 @@ def vector_matrix(vocab: DataFrame, vectors: DataFrame, dim: int, num_words: int
     return mat
 
 
-def phrase_blocks(phrase_seqs: DataFrame, set_col: str = "essay_set") -> DataFrame:
-    """``phrase_seqs`` (set, key_id, seq) as (set, block, rubric): up to
-    ``BLOCK_PHRASES`` phrases of one set in key order."""
-    place = F.row_number().over(Window.partitionBy(set_col).orderBy("key_id")) - 1
-    placed = phrase_seqs.select(set_col, "key_id", "seq").withColumn("block", F.floor(place / BLOCK_PHRASES).cast("int"))
+def block_tokens(words: int) -> int:
+    """Phrase tokens a block may hold for a table over ``words`` words."""
+    return max(64, TABLE_BYTES // (8 * max(1, words)))
+
+
+def phrase_blocks(phrase_seqs: DataFrame, tokens: int, set_col: str = "essay_set") -> DataFrame:
+    """``phrase_seqs`` (set, key_id, seq) as (set, block, rubric): phrases of
+    one set in key order, about ``tokens`` token ids a block (a longer phrase is
+    a block of its own)."""
+    ahead = Window.partitionBy(set_col).orderBy("key_id").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.size("seq").cast("long")).over(ahead), F.lit(0))
+    placed = phrase_seqs.select(set_col, "key_id", "seq").withColumn("block", F.floor(before / tokens).cast("int"))
     return placed.groupBy(set_col, "block").agg(F.sort_array(F.collect_list(F.struct("key_id", "seq"))).alias("rubric"))
 
 
-def _with_blocks(answer_seqs: DataFrame, phrase_seqs: DataFrame, id_col: str, set_col: str) -> DataFrame:
+def _with_blocks(answer_seqs: DataFrame, phrase_seqs: DataFrame, words: int, id_col: str, set_col: str) -> DataFrame:
     answers = answer_seqs.select(id_col, set_col, "seq")
-    return lookup_join(answers, phrase_blocks(phrase_seqs, set_col), [set_col], "inner", salt_by=[F.col(id_col)])
-
-
-class _Rubrics:
-    """Decoded phrase blocks of one task, kept by set and block."""
-
-    def __init__(self, emb):
-        self.emb, self.held = emb, {}
-        self.zero = ~emb.any(axis=1)  # words without a vector
-
-    def fold(self, words):
-        """Which of ``words`` to score: those with a vector and the first of
-        the others, as words without a vector all score the same."""
-        plain = np.flatnonzero(self.zero[words])
-        keep = np.ones(len(words), dtype=bool)
-        keep[plain[1:]] = False
-        return keep, plain
-
-    def get(self, batch, i, set_col):
-        name = (batch.column(set_col)[i].as_py(), batch.column("block")[i].as_py())
-        if name not in self.held:
-            if len(self.held) >= 64:
-                self.held.clear()
-            rows = batch.column("rubric")[i].as_py()
-            keys = np.array([r["key_id"] for r in rows], dtype="int64")
-            ids = [np.asarray(r["seq"] or [], dtype="int64") for r in rows]
-            full = np.array([j for j, x in enumerate(ids) if len(x)], dtype="int64")
-            sizes = np.array([len(ids[j]) for j in full], dtype="int64")
-            starts = np.cumsum(sizes) - sizes
-            stacked = self.emb[np.concatenate([ids[j] for j in full])] if len(full) else None
-            self.held[name] = (keys, ids, full, stacked, starts, sizes)
-        return self.held[name]
+    blocks = phrase_blocks(phrase_seqs, block_tokens(words), set_col)
+    return lookup_join(answers, blocks, [set_col], "inner", salt_by=[F.col(id_col)])
+
+
+class Words:
+    """The words that differ in their scores: those with a vector, in id order,
+    and as the last row one word that stands for all without."""
+
+    def __init__(self, emb: np.ndarray):
+        has = emb.any(axis=1)
+        self.emb = emb
+        self.vec = np.vstack([emb[has], np.zeros((1, emb.shape[1]))])
+        self.row = np.full(len(emb), has.sum(), dtype="int64")
+        self.row[has] = np.arange(has.sum())
+
+    def counted(self, seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of a sequence's distinct words and their counts."""
+        n = np.bincount(self.row[seq], minlength=0)
+        rows = np.flatnonzero(n)
+        return rows, n[rows].astype("float64")
+
+    def first(self, seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of a sequence's distinct words and their first places."""
+        rows, at = np.unique(self.row[seq], return_index=True)
+        return rows, at
+
+
+class ScoreTable:
+    """All scores of one block of phrases.  ``z`` is (words, distinct phrase
+    words); ``count`` tells how often each phrase holds each of the latter."""
+
+    def __init__(self, words: Words, rubric: list, op: str):
+        self.words, self.op = words, op
+        self.keys = np.array([r["key_id"] for r in rubric], dtype="int64")
+        self.ids = [np.asarray(r["seq"] or [], dtype="int64") for r in rubric]
+        self.size = np.array([len(x) for x in self.ids], dtype="int64")
+        flat = np.concatenate(self.ids) if len(self.ids) else np.empty(0, "int64")
+        self.key_words, place = np.unique(flat, return_inverse=True)
+        self.place = np.split(place, np.cumsum(self.size)[:-1])  # each phrase's columns of ``z``
+        self.vec = words.emb[self.key_words]
+        self.z = _scores(self.vec, words.vec, op) if len(flat) else np.zeros((len(words.vec), 0))
+        self.count = np.zeros((len(self.ids), len(self.key_words)))
+        np.add.at(self.count, (np.repeat(np.arange(len(self.ids)), self.size), place), 1.0)
+
+    @cached_property
+    def weight(self) -> np.ndarray | None:
+        """``exp`` of the scores under one shift, or None where their range is
+        too wide for that."""
+        if not self.z.size or self.z.max() - self.z.min() > WIDEST_RANGE:
+            return None
+        return np.exp(self.z - self.z.max())
+
+    @cached_property
+    def per_phrase(self) -> np.ndarray:
+        """(words, phrases): one over the sum of the weights of a phrase's words."""
+        total = self.weight @ self.count.T
+        return np.divide(1.0, total, out=np.zeros_like(total), where=total > 0)
+
+    def attend(self, seq: np.ndarray, pool: str, merge: str) -> np.ndarray:
+        """``f`` of all phrases for one answer (mean or sum pooling, no beta)."""
+        n, dim = len(self.ids), self.vec.shape[1]
+        rows, c = self.words.counted(seq)
+        if not len(rows) or not self.z.size:
+            u = v = np.zeros((n, dim))
+        elif self.weight is None:
+            plain = self.words.emb
+            return np.array([attend(plain[seq], plain[x], self.op, pool, merge)[0] for x in self.ids])
+        else:
+            e = self.weight[rows]  # (answer words, phrase words)
+            over_answer = c @ e
+            share = self.count / over_answer
+            if pool == "mean":
+                share = share / np.maximum(self.size, 1)[:, None]
+            u = ((share @ e.T) * c) @ self.words.vec[rows]
+            over_phrase = self.per_phrase[rows] * (c / c.sum() if pool == "mean" else c)[:, None]
+            v = ((over_phrase.T @ e) * self.count) @ self.vec
+        if merge == "concat":
+            return np.concatenate([u, v], axis=1)
+        if merge == "mean":
+            return (u + v) / 2
+        return u if merge == "ans" else v
+
+    @cached_property
+    def order(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each phrase word the words by falling score, and whether a word
+        shares its score with the next or the one before."""
+        order = np.argsort(-self.z, axis=0, kind="stable").T.copy()
+        score = np.take_along_axis(self.z.T, order, axis=1)
+        same = score[:, 1:] == score[:, :-1]
+        tied = np.zeros(order.shape, dtype=bool)
+        tied[:, 1:] |= same
+        tied[:, :-1] |= same
+        return order, tied
+
+    @cached_property
+    def flat(self) -> np.ndarray:
+        """Phrase words (those without a vector) to which all words score alike."""
+        return self.z.max(axis=0) == self.z.min(axis=0)
+
+    def best(self, seq: np.ndarray) -> np.ndarray:
+        """For each distinct phrase word the first place of the answer's word
+        with the highest score.  Each phrase word goes down its own order of
+        the words and stops at the first that the answer holds."""
+        rows, first = self.words.first(seq)
+        place = np.full(len(self.words.vec), -1, dtype="int64")
+        place[rows] = first
+        order, tied = self.order
+        out = np.where(self.flat, first.min(), -1)
+        open_, start, width = np.flatnonzero(~self.flat), 0, 16
+        while len(open_):
+            at = place[order[open_, start : start + width]]
+            hit = at >= 0
+            where = hit.argmax(axis=1)
+            found = hit[np.arange(len(open_)), where]
+            done, w = open_[found], where[found]
+            out[done] = at[found, w]
+            for i in done[tied[done, start + w]]:
+                column = self.z[rows, i]
+                out[i] = first[column == column.max()].min()
+            open_, start, width = open_[~found], start + width, width * 4
+        return out
+
+
+class _Tables:
+    """The tables of the blocks that a task met last."""
+
+    def __init__(self, emb: np.ndarray, op: str):
+        self.words, self.op, self.held = Words(emb), op, {}
+
+    def rows(self, batch, set_col: str):
+        """(table, row number) of a batch's rows, block after block."""
+        names = list(zip(batch.column(set_col).to_pylist(), batch.column("block").to_pylist()))
+        for i in sorted(range(len(names)), key=lambda i: names[i]):
+            if names[i] not in self.held:
+                if len(self.held) >= HELD_TABLES:
+                    del self.held[next(iter(self.held))]
+                self.held[names[i]] = ScoreTable(self.words, batch.column("rubric")[i].as_py(), self.op)
+            yield self.held[names[i]], i
 
 
 def _sequence(batch, i):
@@ -144,35 +265,6 @@ def attend(A, K, op="dp", pool="mean", merge="concat", beta=False):
     return f, z
 
 
-def attend_words(A, counts, K_all, starts, sizes, op="dp", pool="mean", merge="concat"):
-    """``attend`` for every phrase of a block at once (mean/sum pooling, no
-    beta).  ``A`` has a row per distinct answer word, ``counts`` how often it
-    occurs; ``K_all`` stacks the non-empty phrases.  Returns (n_phrases, width)."""
-    n = counts.sum()
-    if n == 0:
-        u = v = np.zeros((len(starts), K_all.shape[1]))
-    else:
-        z = _scores(A, K_all, op)  # (key words, distinct words)
-        row_max = z.max(axis=1, keepdims=True)
-        e = np.exp(z - row_max)  # the one exp over the scores
-        weighted = e * counts
-        U = (weighted / weighted.sum(axis=1, keepdims=True)) @ A
-        # block softmax over key words: re-shift each row to its block max
-        block_max = np.maximum.reduceat(row_max[:, 0], starts)
-        e = e * np.exp(row_max[:, 0] - np.repeat(block_max, sizes))[:, None]
-        w = e / np.repeat(np.add.reduceat(e, starts, axis=0), sizes, axis=0)
-        u = np.add.reduceat(U, starts, axis=0)
-        v = np.add.reduceat((w @ counts)[:, None] * K_all, starts, axis=0)
-        if pool == "mean":
-            u = u / sizes[:, None]
-            v = v / n
-    if merge == "concat":
-        return np.concatenate([u, v], axis=1)
-    if merge == "mean":
-        return (u + v) / 2
-    return u if merge == "ans" else v
-
-
 def keyword_attention(
     answer_seqs: DataFrame,
     phrase_seqs: DataFrame,
@@ -186,15 +278,20 @@ def keyword_attention(
     beta: bool = False,
     id_col: str = "essay_id",
     set_col: str = "essay_set",
+    decimals: int | None = None,
 ) -> DataFrame:
-    """K7: one row per answer and phrase of its set, with the merged vector ``f``."""
-    shared = answer_seqs.sparkSession.sparkContext.broadcast(vector_matrix(vocab, vectors, dim, num_words))
+    """K7: one row per answer and phrase of its set, with the merged vector
+    ``f``, rounded to ``decimals`` places where that is given."""
+    matrix = vector_matrix(vocab, vectors, dim, num_words)
+    shared = answer_seqs.sparkSession.sparkContext.broadcast(matrix)
     fast = pool in ("mean", "sum") and not beta
     width = (2 if merge == "concat" else 1) * dim
     batch_rows = ROWS_PER_BATCH
 
     def emit(ids, keys, blocks):
         flat = np.concatenate([x.reshape(-1) for x in blocks])
+        if decimals is not None:
+            flat = np.round(flat, decimals) + 0.0  # no negative zero
         sizes = [len(k) for k in keys]
         offsets = pa.array(np.arange(0, sum(sizes) * width + 1, width, dtype="int32"))
         return pa.RecordBatch.from_arrays(
@@ -202,35 +299,27 @@ def keyword_attention(
              pa.ListArray.from_arrays(offsets, pa.array(flat))], names=[id_col, "key_id", "f"])
 
     def run(batches):
+        tables = _Tables(shared.value, op)
         emb = shared.value
-        rubrics = _Rubrics(emb)
         ids, keys, blocks, n = [], [], [], 0
         for batch in batches:
-            for i in range(batch.num_rows):
-                key, phrases, full, stacked, starts, sizes = rubrics.get(batch, i, set_col)
+            for table, i in tables.rows(batch, set_col):
                 seq = _sequence(batch, i)
-                out = np.zeros((len(key), width))
-                if fast and len(full):
-                    words, counts = np.unique(seq, return_counts=True)
-                    keep, plain = rubrics.fold(words)
-                    if len(plain):
-                        counts[plain[0]] = counts[plain].sum()
-                    words, counts = words[keep], counts[keep]
-                    out[full] = attend_words(emb[words], counts, stacked, starts, sizes, op, pool, merge)
-                elif not fast:
-                    for p, x in enumerate(phrases):
-                        out[p] = attend(emb[seq], emb[x], op, pool, merge, beta)[0]
+                if fast:
+                    out = table.attend(seq, pool, merge)
+                else:
+                    out = np.array([attend(emb[seq], emb[x], op, pool, merge, beta)[0] for x in table.ids]).reshape(len(table.ids), width)
                 ids.append(batch.column(id_col)[i].as_py())
-                keys.append(key)
+                keys.append(table.keys)
                 blocks.append(out)
-                n += len(key)
+                n += len(table.keys)
                 if n >= batch_rows:
                     yield emit(ids, keys, blocks)
                     ids, keys, blocks, n = [], [], [], 0
         if n:
             yield emit(ids, keys, blocks)
 
-    joined = _with_blocks(answer_seqs, phrase_seqs, id_col, set_col)
+    joined = _with_blocks(answer_seqs, phrase_seqs, len(np.flatnonzero(matrix.any(axis=1))) + 1, id_col, set_col)
     return joined.mapInArrow(run, f"{id_col} long, key_id long, f array<double>")
 
 
@@ -255,7 +344,8 @@ def attention_top_words(
     """K9: per answer, phrase of its set and key-word position, the answer
     position the key word attends to most (lowest position on ties) and its
     word id."""
-    shared = answer_seqs.sparkSession.sparkContext.broadcast(vector_matrix(vocab, vectors, dim, num_words))
+    matrix = vector_matrix(vocab, vectors, dim, num_words)
+    shared = answer_seqs.sparkSession.sparkContext.broadcast(matrix)
     names = [id_col, "key_id", "kpos", "apos", "word_id"]
     types = ["int64", "int64", "int32", "int32", "int32"]
     batch_rows = ROWS_PER_BATCH
@@ -265,26 +355,18 @@ def attention_top_words(
         return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
 
     def run(batches):
-        emb = shared.value
-        rubrics = _Rubrics(emb)
+        tables = _Tables(shared.value, op)
         parts, n = [], 0
         for batch in batches:
-            for i in range(batch.num_rows):
-                key, _, full, stacked, starts, sizes = rubrics.get(batch, i, set_col)
+            for table, i in tables.rows(batch, set_col):
                 seq = _sequence(batch, i)
-                if not len(seq) or not len(full):
+                if not len(seq) or not table.size.any():
                     continue
-                # distinct words in order of first position: repeated words
-                # then tie exactly and the first maximum is the lowest position
-                words, first = np.unique(seq, return_index=True)
-                order = np.argsort(first)
-                words, first = words[order], first[order]
-                keep, _ = rubrics.fold(words)
-                words, first = words[keep], first[keep]
-                best = first[np.argmax(_scores(emb[words], stacked, op), axis=1)]
+                best = table.best(seq)[np.concatenate(table.place)]
                 m = len(best)
                 essay = np.full(m, batch.column(id_col)[i].as_py(), dtype="int64")
-                parts.append((essay, np.repeat(key[full], sizes), np.arange(m) - np.repeat(starts, sizes), best, seq[best]))
+                starts = np.cumsum(table.size) - table.size
+                parts.append((essay, np.repeat(table.keys, table.size), np.arange(m) - np.repeat(starts, table.size), best, seq[best]))
                 n += m
                 if n >= batch_rows:
                     yield emit(parts)
@@ -292,5 +374,5 @@ def attention_top_words(
         if parts:
             yield emit(parts)
 
-    joined = _with_blocks(answer_seqs, phrase_seqs, id_col, set_col)
+    joined = _with_blocks(answer_seqs, phrase_seqs, len(np.flatnonzero(matrix.any(axis=1))) + 1, id_col, set_col)
     return joined.mapInArrow(run, f"{id_col} long, key_id long, kpos int, apos int, word_id int")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeflow.functions import patterns as P
 from gradeflow.functions.text import keras_tokens, num_sentences
-from gradeflow.plans.joins import lookup_join
+from gradeflow.plans.joins import fits_broadcast, lookup_join
 from gradeflow.plans.rank import global_rank
 
 
@@ -16,12 +19,31 @@ def tokenize(df: DataFrame, text_col: str = "essay", out: str = "tokens") -> Dat
     return df.withColumn(out, keras_tokens(text_col))
 
 
-def _token_rows(df: DataFrame, id_col: str, text_col: str, src: int) -> DataFrame:
-    return df.select(
-        F.lit(src).alias("src"),
-        F.col(id_col).cast("long").alias("tid"),
-        F.posexplode(keras_tokens(text_col)).alias("pos", "word"),
-    )
+def _counted_words(df: DataFrame, id_col: str, text_col: str, src: int) -> DataFrame:
+    """Per Arrow batch of texts one row for each distinct word: its count and its
+    first place (id, then position; a null id comes first)."""
+
+    def count(batches):
+        for batch in batches:
+            lists, ids = batch.column("tokens"), batch.column("tid")
+            coded = lists.flatten().dictionary_encode()
+            code, row = coded.indices.to_numpy(), pc.list_parent_indices(lists).to_numpy()
+            n = len(coded.dictionary)
+            if not n:
+                continue
+            start = np.searchsorted(row, np.arange(len(lists)))
+            rank = np.empty(len(lists), dtype=np.int64)
+            rank[pc.array_sort_indices(ids, null_placement="at_start").to_numpy()] = np.arange(len(lists))
+            # the texts of a batch in id order, their tokens in text order
+            order = np.argsort(rank[row], kind="stable")
+            _, first = np.unique(code[order], return_index=True)
+            at = order[first]
+            yield pa.RecordBatch.from_arrays(
+                [coded.dictionary, pa.array(np.bincount(code, minlength=n)), pa.array(np.full(n, src, dtype=np.int32)),
+                 ids.take(pa.array(row[at])), pa.array((at - start[row[at]]).astype(np.int32))], ["word", "n", "src", "tid", "pos"])
+
+    toks = df.select(F.col(id_col).cast("long").alias("tid"), keras_tokens(text_col).alias("tokens"))
+    return toks.mapInArrow(count, "word string, n long, src int, tid long, pos int")
 
 
 def fit_vocab(
@@ -35,16 +57,15 @@ def fit_vocab(
     """V2: ``(word, count, index)``; index 1.. by count desc, ties by first
     appearance (corpus in id order, then the extra texts in id order).
 
-    The count is a map-side partial aggregate, so a word present in a third
-    of all rows costs one row per input partition in the shuffle; the index
-    is a distributed global rank (no single-task window).
+    Words are counted batch by batch where the texts are read, so the
+    aggregation gets one row per distinct word and batch, and a word present in
+    a third of all rows costs no more; the index is a distributed global rank
+    (no single-task window).
     """
-    toks = _token_rows(corpus, id_col, text_col, 0)
+    counted = _counted_words(corpus, id_col, text_col, 0)
     if extra is not None:
-        toks = toks.unionByName(_token_rows(extra, extra_id_col, extra_text_col, 1))
-    agg = toks.groupBy("word").agg(
-        F.count(F.lit(1)).alias("count"), F.min(F.struct("src", "tid", "pos")).alias("first")
-    )
+        counted = counted.unionByName(_counted_words(extra, extra_id_col, extra_text_col, 1))
+    agg = counted.groupBy("word").agg(F.sum("n").alias("count"), F.min(F.struct("src", "tid", "pos")).alias("first"))
     agg = agg.select("word", "count", "first.src", "first.tid", "first.pos")
     ranked = global_rank(agg, [F.col("count").desc(), F.col("src"), F.col("tid"), F.col("pos")], name="index")
     return ranked.select("word", F.col("count").cast("long").alias("count"), "index")
@@ -60,13 +81,38 @@ def texts_to_sequences(
 ) -> DataFrame:
     """V3: token ids in text order; unknown words and ids >= num_words dropped.
 
-    Tokens are exploded next to the scan, joined to the (capped, hence
-    bounded) vocabulary, and regrouped per id; the partial collect runs
-    map-side, so the shuffle carries one row per document per partition.
+    A vocabulary of a measured size is broadcast and looked up in place, so the
+    texts stay where they were read.  For a larger one the tokens are exploded
+    next to the scan, joined to it and regrouped per id; the partial collect
+    runs map-side, so the shuffle carries one row per document per partition.
     """
     voc = vocab.select("word", F.col("index").cast("int").alias("wid"))
     if num_words is not None:
         voc = voc.filter(F.col("wid") < num_words)
+    if fits_broadcast(voc):
+        return df.withColumn(out, _ids_in_place(voc, keras_tokens(text_col)))
+    return _joined_sequences(df, voc, id_col, text_col, out)
+
+
+def _ids_in_place(voc: DataFrame, tokens: Column) -> Column:
+    """The ids of an array of words, from a vocabulary small enough to be
+    broadcast.  A null array has no ids."""
+    table = voc.filter(F.col("word").isNotNull()).toArrow()
+    shared = voc.sparkSession.sparkContext.broadcast((table["word"].combine_chunks(), table["wid"].to_numpy()))
+
+    @F.arrow_udf("array<int>")
+    def ids(lists: pa.Array) -> pa.Array:
+        words, wid = shared.value
+        coded = lists.flatten().dictionary_encode()
+        place = pc.index_in(coded.dictionary, value_set=words).fill_null(-1).to_numpy()[coded.indices.to_numpy()]
+        row, known = pc.list_parent_indices(lists).to_numpy(), place >= 0
+        ends = np.cumsum(np.bincount(row[known], minlength=len(lists)))
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype("int32")), pa.array(wid[place[known]], pa.int32()))
+
+    return ids(tokens)
+
+
+def _joined_sequences(df: DataFrame, voc: DataFrame, id_col: str, text_col: str, out: str) -> DataFrame:
     toks = df.select(F.col(id_col), F.posexplode(keras_tokens(text_col)).alias("pos", "word"))
     hit = lookup_join(toks, voc, ["word"], "inner", salt_by=[F.col(id_col), F.col("pos")])
     seqs = hit.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("pos", "wid"))).alias("_s"))

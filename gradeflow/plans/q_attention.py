@@ -39,8 +39,7 @@ def inputs(spark, d, vocab=None):
 
 def keyword_attention_query(spark, d):
     seqs, pseq, vocab, vectors = inputs(spark, d)
-    att = A.keyword_attention(seqs, pseq, vocab, vectors, DIM, CAP)
-    return att.select("essay_id", "key_id", F.transform("f", lambda x: F.round(x, 6)).alias("f"))
+    return A.keyword_attention(seqs, pseq, vocab, vectors, DIM, CAP, decimals=6)
 
 
 def _k7_sql():
@@ -99,8 +98,7 @@ register("K7_keyword_attention", K7_SQL)(keyword_attention_query)
 
 def keyword_features_query(spark, d):
     seqs, pseq, vocab, vectors = inputs(spark, d)
-    feats = A.keyword_features(A.keyword_attention(seqs, pseq, vocab, vectors, DIM, CAP))
-    return feats.select("essay_id", F.transform("keyword_features", lambda x: F.round(x, 6)).alias("keyword_features"))
+    return A.keyword_features(A.keyword_attention(seqs, pseq, vocab, vectors, DIM, CAP, decimals=6))
 
 
 register("K8_keyword_features", K8_SQL)(keyword_features_query)
@@ -126,12 +124,21 @@ cand AS (
   UNION ALL
   SELECT es.essay_id, NULL AS wid, min(es.apos) AS apos FROM es LEFT JOIN vv ON es.wid = vv.wid
   WHERE vv.wid IS NULL GROUP BY es.essay_id),
-pairs AS (
-  SELECT c.essay_id, p.key_id, p.kpos, c.apos,
-         CASE WHEN kv.vec IS NULL OR av.vec IS NULL THEN 0.0 ELSE list_dot_product(kv.vec, av.vec) END AS z
-  FROM cand c JOIN essays e ON c.essay_id = e.essay_id JOIN phrases ph ON e.essay_set = ph.essay_set
-  JOIN pt p ON p.key_id = ph.key_id LEFT JOIN vv kv ON p.wid = kv.wid LEFT JOIN vv av ON c.wid = av.wid),
-best AS (SELECT essay_id, key_id, kpos, first(apos ORDER BY z DESC, apos) AS apos FROM pairs GROUP BY essay_id, key_id, kpos)
+pw AS (SELECT DISTINCT ph.essay_set, p.wid FROM pt p JOIN phrases ph ON p.key_id = ph.key_id),
+sc AS MATERIALIZED (
+  SELECT k.wid AS kwid, a.wid AS awid, list_dot_product(kv.vec, a.vec) AS z
+  FROM (SELECT DISTINCT wid FROM pw) k JOIN vv kv ON k.wid = kv.wid, vv a),
+scored AS (
+  SELECT c.essay_id, w.wid AS kwid, c.apos, coalesce(sc.z, 0.0) AS z
+  FROM cand c JOIN essays e ON c.essay_id = e.essay_id JOIN pw w ON e.essay_set = w.essay_set
+  LEFT JOIN sc ON sc.kwid = w.wid AND sc.awid = c.wid),
+top AS (SELECT essay_id, kwid, max(z) AS z FROM scored GROUP BY essay_id, kwid),
+one AS (SELECT s.essay_id, s.kwid, min(s.apos) AS apos FROM scored s JOIN top t ON s.essay_id = t.essay_id AND s.kwid = t.kwid AND s.z = t.z
+  GROUP BY s.essay_id, s.kwid),
+best AS (
+  SELECT o.essay_id, p.key_id, p.kpos, o.apos
+  FROM one o JOIN essays e ON o.essay_id = e.essay_id JOIN phrases ph ON e.essay_set = ph.essay_set
+  JOIN pt p ON p.key_id = ph.key_id AND p.wid = o.kwid)
 SELECT b.essay_id, b.key_id, b.kpos, b.apos, es.wid AS word_id, v.word
 FROM best b JOIN es ON b.essay_id = es.essay_id AND b.apos = es.apos
 LEFT JOIN vocab v ON es.wid = v."index\""""
