@@ -120,12 +120,19 @@ register("N4_quantile_normal", _N4_SQL)(
 )
 
 # ---------------------------------------------------------------- N6-N11
+# The categories of the two order columns.  A column list that
+# follows the data cannot be a view, so the SQL writes the columns out.
+PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+STATUSES = ("F", "O", "P")
+
+
+def _flags(col, values, name=str):
+    return ", ".join(f"""CASE WHEN {col} = '{v}' THEN 1 ELSE 0 END AS "{col}_{name(v)}\"""" for v in values)
+
+
 register(
     "N6_one_hot",
-    WC
-    + """SELECT o_orderkey, COLUMNS(* EXCLUDE o_orderkey) FROM (
-  SELECT * FROM (PIVOT (SELECT o_orderkey, 'o_orderpriority_' || o_orderpriority AS k, 1 AS one FROM cat)
-                 ON k USING coalesce(max(one), 0) GROUP BY o_orderkey))""",
+    WC + f"SELECT o_orderkey, {_flags('o_orderpriority', PRIORITIES)} FROM cat",
 )(lambda spark, d: CT.one_hot(B.cat(spark, d).select("o_orderkey", "o_orderpriority"), ["o_orderpriority"]))
 
 register(
@@ -143,10 +150,12 @@ register(
     WC
     + """, b AS (SELECT o_orderkey, CASE WHEN u = (SELECT u FROM (SELECT CASE WHEN o_orderpriority = '1-URGENT' THEN 'yes' ELSE 'no' END AS u, o_orderkey FROM cat)
       GROUP BY u ORDER BY min(o_orderkey) LIMIT 1 OFFSET 1) THEN 1 ELSE 0 END AS urgent_binary
-  FROM (SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 'yes' ELSE 'no' END AS u FROM cat)),
-k AS (SELECT o_orderkey, 'o_orderpriority_' || replace(replace(lower(o_orderpriority), ', ', '_'), ' ', '_') AS k, 1 AS one FROM cat
-      UNION ALL SELECT o_orderkey, 'o_orderstatus_' || lower(o_orderstatus), 1 FROM cat)
-SELECT * FROM b JOIN (PIVOT k ON k USING coalesce(max(one), 0) GROUP BY o_orderkey) p USING (o_orderkey)""",
+  FROM (SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 'yes' ELSE 'no' END AS u FROM cat))
+SELECT o_orderkey, urgent_binary, """
+    + _flags("o_orderpriority", PRIORITIES, lambda v: v.lower().replace(", ", "_").replace(" ", "_"))
+    + ", "
+    + _flags("o_orderstatus", STATUSES, str.lower)
+    + " FROM b JOIN cat USING (o_orderkey)",
 )(
     lambda spark, d: CT.binary_encode(
         B.cat(spark, d).select(
@@ -170,9 +179,7 @@ def _n11(spark, d):
 register(
     "N11_fit_on_all_splits",
     WC
-    + """SELECT o_orderkey, split, COLUMNS(* EXCLUDE (o_orderkey, split)) FROM (
-  PIVOT (SELECT o_orderkey, split, 'o_orderstatus_' || o_orderstatus AS k, 1 AS one FROM cat)
-  ON k USING coalesce(max(one), 0) GROUP BY o_orderkey, split)""",
+    + f"SELECT o_orderkey, split, {_flags('o_orderstatus', STATUSES)} FROM cat",
 )(_n11)
 
 register(
