@@ -110,15 +110,20 @@ def readability_parts(text) -> dict[str, Column]:
 
 def readability_from_parts() -> dict[str, Column]:
     """Formulas over the columns of :func:`readability_parts`."""
-    words, syl, s = F.col("_words"), F.col("_syl"), F.col("_s").cast("double")
-    w = F.nullif(F.size(words), F.lit(0)).cast("double")
-    c = F.length(F.array_join(words, "")).cast("double")
-    y = F.aggregate(syl, F.lit(0).cast("long"), lambda acc, x: acc + x)
-    h = F.size(F.filter(syl, lambda x: x >= 3)).cast("double")
+    words, syl = F.col("_words"), F.col("_syl")
     first = F.slice(syl, 1, 100)
-    easy100 = F.size(F.filter(first, lambda x: x < 3))
-    hard100 = F.size(F.filter(first, lambda x: x >= 3))
-    r = (easy100 + 3 * hard100) / F.col("_s100")
+    return readability_formulas(
+        F.size(words), F.col("_s").cast("double"), F.length(F.array_join(words, "")),
+        F.aggregate(syl, F.lit(0).cast("long"), lambda acc, x: acc + x), F.size(F.filter(syl, lambda x: x >= 3)),
+        F.size(F.filter(first, lambda x: x < 3)), F.size(F.filter(first, lambda x: x >= 3)), F.col("_s100"))
+
+
+def readability_formulas(n_words, s, n_letters, y, n_hard, easy100, hard100, s100) -> dict[str, Column]:
+    """The indices from the number of words, sentences, letters, syllables and
+    words of three syllables or more, and the Linsear parts."""
+    w = F.nullif(n_words, F.lit(0)).cast("double")
+    c, h = n_letters.cast("double"), n_hard.cast("double")
+    r = (easy100 + 3 * hard100) / s100
     return {
         "automated_readability_index": 4.71 * c / w + 0.5 * w / s - 21.43,
         "coleman_liau_index": 0.0588 * (100 * c / w) - 0.296 * (100 * s / w) - 15.8,

@@ -1,9 +1,10 @@
 """Block B: the 24 essay features.
 
-Row-local features are Column expressions evaluated in the scan stage.  The
+Each row-local feature is a Column expression evaluated in the scan stage.  The
 word-list features (parts of speech, spelling, Dale-Chall, difficult words)
 need lookups.  Word tables of a measured size are broadcast and an Arrow
-function counts the tokens of each text in place, so nothing is shuffled.
+function counts the tokens of each text in place, so nothing is shuffled; the
+full build takes all other counts from the same scan of the text.
 Larger ones are joined: tokens are exploded next to the scan, joined with a
 salt, pre-aggregated per document map-side, and joined back on the id.
 """
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeflow.functions import patterns as P
+from gradeflow.functions import scan
 from gradeflow.functions import text as T
 from gradeflow.plans.joins import fits_broadcast, lookup_join
 
@@ -80,77 +82,89 @@ def _need(x, name):
 COUNTS = [*POS_FEATURES, "num_spelling_errors", "_not_easy", "difficult_word_count"]
 
 
+IN_DICT, IS_EASY = len(POS_FEATURES), len(POS_FEATURES) + 1
+
+
 def word_facts(lists: WordLists) -> DataFrame:
-    """One row per listed word: ``tags``, ``in_dict``, ``is_easy``, from a
-    union and one aggregation (no outer joins)."""
-    lex = _need(lists.lexicon, "lexicon").select("word", "tag")
-    dic = _need(lists.dictionary, "dictionary").select("word").distinct()
-    easy = _need(lists.easy_words, "easy_words").select("word").distinct()
-    none_s, none_b = F.lit(None).cast("string"), F.lit(None).cast("boolean")
-    return (
-        lex.select("word", F.col("tag"), none_b.alias("d"), none_b.alias("e"))
-        .unionByName(dic.select("word", none_s.alias("tag"), F.lit(True).alias("d"), none_b.alias("e")))
-        .unionByName(easy.select("word", none_s.alias("tag"), none_b.alias("d"), F.lit(True).alias("e")))
-        .groupBy("word")
-        .agg(
-            F.collect_set("tag").alias("tags"),
-            F.max("d").alias("in_dict"),
-            F.max("e").alias("is_easy"),
-        )
-    )
-
-
-def _counts_in_place(facts: DataFrame, text_col: str) -> Column:
-    """A struct of ``COUNTS`` for each text, from word facts that are small
-    enough to be broadcast."""
-    of_tag = [F.arrays_overlap("tags", F.array(*[F.lit(t) for t in tags])) for tags in POS_FEATURES.values()]
-    known = [*of_tag, F.col("in_dict"), F.col("is_easy")]
-    table = facts.filter(F.col("word").isNotNull()).select(
-        "word", *[F.coalesce(x, F.lit(False)).alias(f"f{i}") for i, x in enumerate(known)]).toArrow()
-    flags = np.zeros((table.num_rows + 1, len(known)), dtype=bool)  # the last row stands for words not listed
-    for i in range(len(known)):
-        flags[:-1, i] = table[f"f{i}"].to_numpy()
-    shared = facts.sparkSession.sparkContext.broadcast((table["word"].combine_chunks(), flags))
-    n_tags, pattern = len(of_tag), P.SYLLABLE
-
-    def look(lists):
+    """One row per listed word with ``bits``: bit i for the tags of feature i of
+    ``POS_FEATURES``, then one for the dictionary and one for the easy words.
+    A union and one aggregation, no outer joins."""
+    of_tag = F.lit(0)
+    for i, tags in enumerate(POS_FEATURES.values()):
+        of_tag = F.when(F.col("tag").isin(*tags), F.lit(1 << i)).otherwise(of_tag)
+    lex = _need(lists.lexicon, "lexicon").select("word", of_tag.alias("bits"))
+    dic = _need(lists.dictionary, "dictionary").select("word", F.lit(1 << IN_DICT).alias("bits"))
+    easy = _need(lists.easy_words, "easy_words").select("word", F.lit(1 << IS_EASY).alias("bits"))
+    listed = lex.unionByName(dic).unionByName(easy).filter(F.col("word").isNotNull())
+    return listed.groupBy("word").agg(F.bit_or("bits").alias("bits"))
+
+
+def _scan_column(facts: DataFrame | None, text_col: str, counts: list[str]) -> Column:
+    """A struct of ``counts`` for each text, from one scan of the texts and,
+    given word facts that are small enough to be broadcast, of their words."""
+    n_tags, pattern = len(POS_FEATURES), P.SYLLABLE
+    shared = None
+    if facts is not None:
+        table = facts.toArrow()
+        bits = np.r_[table["bits"].to_numpy(), 0]  # the last one stands for words not listed
+        flags = (bits[:, None] >> np.arange(IS_EASY + 1) & 1).astype(bool)
+        shared = facts.sparkSession.sparkContext.broadcast((table["word"].combine_chunks().cast(pa.large_string()), flags))
+    stop = pa.array([w for w in P.english_stop_words() if w.isalpha()], pa.large_string())
+
+    def of_lists(low: pa.Array) -> list[np.ndarray]:
+        n = len(low)
+        lists = scan.streams(low)
+        coded = pa.concat_arrays([words for words, _ in lists]).dictionary_encode()
+        code = coded.indices.to_numpy()
+        ends = np.cumsum([len(words) for words, _ in lists])
+        keras, blank, letters = np.split(code, ends[:-1])
+        rows = [row for _, row in lists]
+        size = max(len(coded.dictionary), 1)
+        total = lambda row, wanted: np.bincount(row[wanted], minlength=n)
+
+        def once(row, code):
+            pairs = np.unique(row * size + code)
+            return pairs // size, pairs % size
+
+        stops = total(rows[2], pc.is_in(coded.dictionary, value_set=stop).to_numpy(zero_copy_only=False)[letters])
+        if shared is None:
+            return [stops]
         words, flags = shared.value
-        coded = lists.flatten().dictionary_encode()
-        at = pc.fill_null(pc.index_in(coded.dictionary, value_set=words), len(words))
-        return coded.dictionary, flags[at.to_numpy()], coded.indices.to_numpy(), pc.list_parent_indices(lists).to_numpy()
-
-    @F.arrow_udf(", ".join(f"{c} long" for c in COUNTS))
-    def count(tokens: pa.Array, blank_tokens: pa.Array, letters: pa.Array) -> pa.Array:
-        n = len(tokens)
-        total = lambda row, wanted: pa.array(np.bincount(row[wanted], minlength=n).astype("int64"))
-
-        def once(row, code, size):
-            pairs = np.unique(row.astype("int64") * max(size, 1) + code)
-            return pairs // max(size, 1), pairs % max(size, 1)
-
-        _, fact, code, row = look(tokens)
-        out = [total(row, fact[code, i]) for i in range(n_tags)]
-        words, fact, code, row = look(blank_tokens)
-        row, code = once(row, code, len(words))
-        out.append(total(row, ~fact[code, n_tags]))
-        words, fact, code, row = look(letters)
-        hard = ~fact[:, n_tags + 1]
+        fact = flags[pc.index_in(coded.dictionary, value_set=words).fill_null(len(words)).to_numpy()]
+        out = [total(rows[0], fact[keras, i]) for i in range(n_tags)]
+        row, code = once(rows[1], blank)
+        out.append(total(row, ~fact[code, IN_DICT]))
+        hard = ~fact[:, IS_EASY]
+        out.append(total(rows[2], hard[letters]))
+        hard &= pc.count_substring_regex(coded.dictionary, pattern).to_numpy() >= 2
+        row, code = once(rows[2], letters)
         out.append(total(row, hard[code]))
-        hard &= pc.count_substring_regex(words, pattern).to_numpy() >= 2
-        row, code = once(row, code, len(words))
-        out.append(total(row, hard[code]))
-        return pa.StructArray.from_arrays(out, COUNTS)
+        return [stops, *out]
 
-    low = F.lower(F.col(text_col))
-    return count(T.keras_tokens(text_col), T.ws_tokens(low), T.letter_words(low))
+    names = ["num_stopwords", *(COUNTS if facts is not None else [])]
+    whole = any(c in scan.TEXT_COUNTS for c in counts)
+
+    @F.arrow_udf(", ".join(f"{c} long" for c in counts))
+    def count(text: pa.Array, low: pa.Array) -> pa.Array:
+        done = []
+        for at, n in scan.slices(text):
+            got = dict(zip(names, of_lists(low.slice(at, n))))
+            if whole:
+                got.update(zip(scan.TEXT_COUNTS, scan.text_counts(text.slice(at, n))))
+            done.append(np.stack([got[c] for c in counts]))
+        held = np.concatenate(done, axis=1) if done else np.zeros((len(counts), 0), dtype=np.int64)
+        return pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in held], counts)
+
+    return count(F.col(text_col), F.lower(F.col(text_col)))
 
 
 def word_list_features(df: DataFrame, lists: WordLists, id_col="essay_id", text_col="essay") -> DataFrame:
     """Per id: POS counts (F9-F13), spelling errors (F14), words outside the
     easy list and difficult words (F18/F19 inputs)."""
-    facts = word_facts(lists)
+    facts = word_facts(lists).persist()  # measured, then sent
     if fits_broadcast(facts):
-        counted = df.select(id_col, _counts_in_place(facts, text_col).alias("_wl"))
+        counted = df.select(id_col, _scan_column(facts, text_col, COUNTS).alias("_wl"))
+        facts.unpersist()
         return counted.select(id_col, *[F.col("_wl")[c].alias(c) for c in COUNTS])
     return _joined_counts(df, facts, id_col, text_col)
 
@@ -181,31 +195,40 @@ def _joined_counts(df: DataFrame, facts: DataFrame, id_col: str, text_col: str)
     ).select(id_col, "t.kind", "t.word")
     j = lookup_join(toks, facts, ["word"], "left", salt_by=[F.col(id_col), F.col("word")])
     kind = F.col("kind")
-    easy_flag = F.coalesce(F.col("is_easy"), F.lit(False))
-    aggs = {
-        name: F.count_if((kind == 1) & F.arrays_overlap(F.col("tags"), F.array(*[F.lit(t) for t in tags])))
-        for name, tags in POS_FEATURES.items()
-    }
-    aggs["num_spelling_errors"] = F.count_if((kind == 2) & F.col("in_dict").isNull())
+    has = lambda i: F.coalesce(F.getbit("bits", F.lit(i)) == 1, F.lit(False))
+    easy_flag = has(IS_EASY)
+    aggs = {name: F.count_if((kind == 1) & has(i)) for i, name in enumerate(POS_FEATURES)}
+    aggs["num_spelling_errors"] = F.count_if((kind == 2) & ~has(IN_DICT))
     aggs["_not_easy"] = F.count_if((kind == 3) & ~easy_flag)
     aggs["difficult_word_count"] = F.count_if((kind == 4) & ~easy_flag & (T.syllables(F.col("word")) >= 2))
     return j.groupBy(id_col).agg(*[v.cast("long").alias(k) for k, v in aggs.items()])
 
 
 def generate_features(df: DataFrame, lists: WordLists, id_col="essay_id", text_col="essay") -> DataFrame:
-    """the input row plus the 24 features in the reference's order."""
-    base = row_features(df, text_col)
-    facts = word_facts(lists)
-    if fits_broadcast(facts):
-        j = base.withColumn("_wl", _counts_in_place(facts, text_col))
-        j = j.withColumns({c: F.col("_wl")[c] for c in COUNTS})
-    else:
-        j = base.join(_joined_counts(df, facts, id_col, text_col), id_col, "left").fillna(0, subset=COUNTS)
-    w = F.nullif(F.size("_words"), F.lit(0)).cast("double")
+    """the input row plus the 24 features in the reference's order.
+
+    One scan of the texts gives all counts (``functions/scan.py``), and the
+    formulas are built on them.  Word lists beyond the broadcast bound are joined
+    instead; the rest stays in the scan."""
+    facts = word_facts(lists).persist()  # measured, then sent
+    small = fits_broadcast(facts)
+    counts = [*scan.TEXT_COUNTS, "num_stopwords", *(COUNTS if small else [])]
+    j = df.withColumn("_n", _scan_column(facts if small else None, text_col, counts))
+    if small:
+        facts.unpersist()
+    # a null text has no counts but one sentence and no listed words, as in ``row_features``
+    known = F.col(text_col).isNotNull()
+    j = j.select(*df.columns, *[(F.col("_n")[c] if c in (*COUNTS, "num_sentences") else F.when(known, F.col("_n")[c])).alias(c) for c in counts])
+    if not small:
+        j = j.join(_joined_counts(df, facts, id_col, text_col), id_col, "left").fillna(0, subset=COUNTS)
+    words, sentences = F.col("num_words").cast("double"), F.col("num_sentences")
+    j = j.withColumns({
+        "average_word_length": F.try_divide(F.col("_word_chars").cast("double"), words),
+        "average_sentence_length": F.try_divide(words, sentences),
+        **T.readability_formulas(F.col("_w"), sentences.cast("double"), F.col("_c"), F.col("_y"), F.col("_h"),
+                                 F.col("_easy100"), F.col("_hard100"), F.col("_s100")),
+    })
+    w = F.nullif(F.col("_w"), F.lit(0)).cast("double")
     d = 100 * F.col("_not_easy") / w
-    j = j.withColumn(
-        "dale_chall_index",
-        0.1579 * d + 0.0496 * w / F.col("_s") + F.when(d > 5, F.lit(3.6365)).otherwise(F.lit(0.0)),
-    )
-    keep = [c for c in df.columns]
-    return j.select(*keep, *FEATURE_COLUMNS)
+    j = j.withColumn("dale_chall_index", 0.1579 * d + 0.0496 * w / sentences + F.when(d > 5, F.lit(3.6365)).otherwise(F.lit(0.0)))
+    return j.select(*df.columns, *FEATURE_COLUMNS)
