@@ -1,13 +1,14 @@
-"""Experiment composition (X2, X3): the per-fold loop of the reference as a
-driver loop over Spark jobs.  Preparation runs once for all folds on a
-table keyed by (fold, split); only the model fit is per fold."""
+"""Experiment composition (X2, X3).  Preparation runs once for all folds on a
+table keyed by (fold, split).  X2 fits the models of all sets and folds
+together; X3, whose heads are Spark ML models, fits fold after fold."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.ml.functions import array_to_vector
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,8 +16,11 @@ from gradeflow.operators import categorical as CT
 from gradeflow.operators import metrics as M
 from gradeflow.operators import models as MD
 from gradeflow.operators import numeric as NU
+from gradeflow.operators import shared_fit as SF
 from gradeflow.operators import splits as D
 from gradeflow.operators.features import FEATURE_COLUMNS
+from gradeflow.plans.joins import lookup_join
+from gradeflow.plans.rank import global_rank
 from gradeflow.sources import io as IO
 
 REPORT = {"acc": "eval_acc", "f1": "eval_f1", "acc_and_f1": "eval_acc_and_f1", "mcc": "eval_mcc", "qwk": "eval_QWK"}
@@ -76,6 +80,66 @@ def apply_prepared(rows: DataFrame, fold: str, splits: list[str], num_cols: list
     return rows.withColumns(out)
 
 
+def prepared_arrays(rows: DataFrame, num_cols: list[str], fitted: Prepared) -> DataFrame:
+    """``rows`` with ``narrow``, the imputed and transformed columns of each
+    row's fold and split (0 where a split has no value at all).  The fitted
+    numbers are a median per fold, split and column and at most 1000 references
+    per fold and column."""
+    shared = rows.sparkSession.sparkContext.broadcast((fitted.medians, fitted.references))
+
+    @F.arrow_udf("array<double>")
+    def fill(fold: pa.Array, split: pa.Array, cells: pa.Array) -> pa.Array:
+        medians, references = shared.value
+        x = cells.flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(len(fold), -1).copy()
+        names = np.array([f"{f}\x1f{s}" for f, s in zip(fold.to_pylist(), split.to_pylist())], dtype=object)
+        for name in set(names.tolist()):
+            mine = np.flatnonzero(names == name)
+            for i, c in enumerate(num_cols):
+                v = x[mine, i]
+                v[np.isnan(v)] = medians.get(f"{name}\x1f{c}", np.nan)
+                reference = references.get(f"{name.rsplit(chr(31), 1)[0]}\x1f{c}")
+                some = ~np.isnan(v)
+                if reference and some.any():
+                    v[some] = NU.np_quantile_normal(v[some], *reference)
+                x[mine, i] = np.where(some, v, 0.0)
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, max(x.shape[1], 1), dtype="int32")), pa.array(x.ravel()))
+
+    cells = F.array(*[F.col(c).cast("double") for c in num_cols])
+    return rows.withColumn("narrow", fill(F.col("fold"), F.col("split"), cells))
+
+
+def train_weights(rows: DataFrame, share: float, multiple: int | None, seed: int, id_col: str) -> DataFrame:
+    """``rows`` (fold, split, label, id) with ``weight``, how often a row counts
+    in its fold's fit: 0 if it is held out or dropped to keep ``share`` of the
+    train rows (D5), 2 if it is repeated to reach a ``multiple`` (D6, table form).
+    All folds are ranked in one pass."""
+    train = rows.filter(F.col("split") == "train")
+    kept = train
+    if share < 1.0:
+        counts: dict = {}
+        for r in train.groupBy("fold", "label").count().collect():  # a row per fold and class
+            counts.setdefault(r["fold"], {})[r["label"]] = r["count"]
+        quota = {_cell(f, c): n for f, held in counts.items() for c, n in D.drop_quotas(held, 1.0 - share).items()}
+        named = train.withColumn("_cell", _key("fold", F.col("label").cast("string")))
+        ranked = D._rank_in_class(named, "_cell", id_col, seed)
+        table = rows.sparkSession.createDataFrame(list(quota.items()), "_cell string, _quota long")
+        kept = lookup_join(ranked, table, ["_cell"]).filter(F.col("_pos") > F.col("_quota"))
+    kept = kept.select("fold", id_col)
+    if multiple:
+        ranked = global_rank(kept, [F.col("fold"), F.col(id_col)], name="_r")
+        sizes = ranked.groupBy("fold").agg(F.min("_r").alias("_start"), F.count(F.lit(1)).alias("_n"))
+        missing = F.pmod(F.lit(multiple) - F.pmod("_n", F.lit(multiple)), F.lit(multiple))
+        copies = F.when(F.col("_r") - F.col("_start") < missing, 2.0).otherwise(1.0)
+        kept = lookup_join(ranked, sizes, ["fold"]).select("fold", id_col, copies.alias("weight"))
+    else:
+        kept = kept.withColumn("weight", F.lit(1.0))
+    return rows.join(kept, ["fold", id_col], "left").fillna(0.0, subset=["weight"])
+
+
+def _cell(fold, label):
+    return f"{fold}\x1f{label}"
+
+
 def run_folds(
     features: DataFrame,
     k: int = 5,
@@ -85,45 +149,37 @@ def run_folds(
     keyword_features: DataFrame | None = None,
     train_share: float = 1.0,
     multiple: int | None = None,
-    head: str = "linear",
     seed: int = 42,
+    max_passes: int = 50,
 ) -> DataFrame:
     """For each essay set and fold (D2 rotation) impute (N1), downsample
     the train split to ``train_share`` (D5) and pad it to a ``multiple`` (D6)
     if asked, normalise numeric features by quantiles fitted on train (N4),
-    fit, and score the dev and the test split.  Returns (essay_set, fold,
-    split, metric, value), with the fold of the best test QWK (E15) of each
-    set as metric ``best_fold``."""
+    fit, and score the dev and the test split.  The linear heads of all sets and
+    folds are fitted together (``shared_fit``).  Returns (essay_set, fold, split,
+    metric, value), with the fold of the best test QWK (E15) of each set as
+    metric ``best_fold``.  Labels are whole numbers from 0."""
     num_cols = list(FEATURE_COLUMNS)
-    data = features.select(id_col, set_col, F.col(label_col).cast("double").alias("label"), *num_cols).filter(
+    data = features.select(id_col, F.col(set_col).alias("name"), F.col(label_col).cast("int").alias("label"), *num_cols).filter(
         F.col(set_col).isNotNull() & F.col("label").isNotNull())
-    extra = []
+    wide = data.select(id_col).withColumn("wide", F.array().cast("array<double>"))
     if keyword_features is not None:
-        # the keyword block stays one vector column (2 * dim * phrases of the set)
-        data = data.join(keyword_features.select(id_col, array_to_vector("keyword_features").alias("kw_vec")), id_col, "inner")
-        extra = ["kw_vec"]
+        # the keyword block stays one array (2 * dim * phrases of the set), stored once an essay
+        wide = data.select(id_col).join(keyword_features.select(id_col, F.col("keyword_features").alias("wide")), id_col)
+        data = data.join(wide.select(id_col), id_col, "left_semi")
     roles = D.rotate_folds(data.select(id_col), k, id_col).withColumnRenamed("fold", "_fold")
-    rows = data.join(roles, id_col).withColumn("fold", F.concat_ws("/", set_col, F.concat(F.lit("fold_"), F.col("_fold"))))
+    rows = data.join(roles, id_col).withColumn("fold", F.concat_ws("/", "name", F.concat(F.lit("fold_"), F.col("_fold"))))
     rows = rows.drop("_fold").checkpoint()  # prepared once for all sets and folds
-    fitted = prepare(rows, num_cols)
-    scored = []
-    # one model per set and fold: a handful of names
-    for name, labels in sorted((r["fold"], r["n"]) for r in rows.filter(F.col("split") == "train").groupBy("fold").agg(
-            F.count_distinct("label").alias("n")).collect()):
-        part = apply_prepared(rows.filter(F.col("fold") == name), name, ["train", "dev", "test"], num_cols, fitted)
-        train = part.filter(F.col("split") == "train")
-        if train_share < 1.0:
-            train = D.stratified_downsample(train, 1.0 - train_share, label="label", seed=seed, id_col=id_col)
-        if multiple:
-            train = D.pad_to_multiple(train, multiple, id_col)
-        if labels < 2:
-            continue  # nothing to tell apart
-        model = MD.train_score_classifier(train, num_cols + extra, "label", head=head, seed=seed, max_iter=50)
-        held = part.filter(F.col("split") != "train")
-        scored.append(MD.predict(model, held, [F.col(set_col).alias("essay_set"), "fold", "split", F.col("label").cast("int").alias("label")]).drop("probability"))
-    if not scored:
-        return rows.sparkSession.createDataFrame([], "essay_set string, fold string, split string, metric string, value double")
-    pred = reduce(DataFrame.unionByName, scored)
+    schema = "essay_set string, fold string, split string, metric string, value double"
+    top = rows.agg(F.max("label").alias("m")).first()["m"]
+    if top is None:
+        return rows.sparkSession.createDataFrame([], schema)
+    ready = train_weights(prepared_arrays(rows, num_cols, prepare(rows, num_cols)), train_share, multiple, seed, id_col)
+    per_fold = F.struct("fold", "split", "weight", "narrow")
+    essays = ready.groupBy(id_col, "name", "label").agg(F.collect_list(per_fold).alias("folds")).join(wide, id_col)
+    blocks = SF.build_blocks(essays, len(num_cols))
+    fit = SF.fit_all(blocks, len(num_cols), top + 1, max_passes)
+    pred = SF.predict_held_out(blocks, len(num_cols), fit).withColumnRenamed("name", "essay_set")
     by = ["essay_set", "fold", "split"]
     out = _long(M.benchmark_report(pred, "label", "pred", by), by).withColumn("fold", F.element_at(F.split("fold", "/"), -1)).checkpoint()
     place = Window.partitionBy("essay_set").orderBy(F.col("value").desc_nulls_last(), F.col("fold").desc())

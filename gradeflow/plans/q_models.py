@@ -82,15 +82,22 @@ register("M3_train_score_regressor")(m3)
 register("M4_select_features_rfe")(m4)
 
 
-def x2(spark, d):
-    vocab = B.corpus_vocab(spark, d)  # fitted once, shared by the word lists and the attention
-    seqs, pseq, vocab, vectors = attention_inputs(spark, d, vocab)
-    from gradeflow.operators.attention import keyword_attention, keyword_features
+def x2(share=1.0, keywords=True):
+    """One of the four kinds of runs; each covers all essay sets."""
 
-    # attention only for the essays that carry a score (the ones scored per fold)
-    seqs = seqs.join(B.scored(spark, d).select("essay_id"), "essay_id", "left_semi")
-    kf = keyword_features(keyword_attention(seqs, pseq, vocab, vectors, 64, 10000))
-    return X.run_folds(raw_features(spark, d, vocab), k=5, keyword_features=kf, train_share=1.0)
+    def run(spark, d):
+        vocab = B.corpus_vocab(spark, d)  # fitted once, shared by the word lists and the attention
+        features, kf = raw_features(spark, d, vocab), None
+        if keywords:
+            from gradeflow.operators.attention import keyword_attention, keyword_features
+
+            seqs, pseq, vocab, vectors = attention_inputs(spark, d, vocab)
+            # attention only for the essays that carry a score (the ones scored per fold)
+            seqs = seqs.join(B.scored(spark, d).select("essay_id"), "essay_id", "left_semi")
+            kf = keyword_features(keyword_attention(seqs, pseq, vocab, vectors, 64, 10000))
+        return X.run_folds(features, k=5, keyword_features=kf, train_share=share, multiple=32)
+
+    return run
 
 
 def x3(spark, d):
@@ -110,6 +117,9 @@ def x3_folder_regression(spark, d):
     return X.run_config(cfg, splits=splits)
 
 
-register("X2_run_folds")(x2)
+register("X2_run_folds")(x2())
+register("X2_run_folds_half")(x2(0.5))
+register("X2_run_folds_no_keywords")(x2(1.0, False))
+register("X2_run_folds_half_no_keywords")(x2(0.5, False))
 register("X3_run_folder_or_folds")(x3)
 register("X3_run_folder_regression")(x3_folder_regression)
