@@ -10,10 +10,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gradeflow.operators import attention as A
+from gradeflow.operators import attention_store as AS
 from gradeflow.operators import vocab as V
 from gradeflow.plans import bindings as B
 from gradeflow.plans import sql as S
 from gradeflow.plans.registry import register
+from gradeflow.sources import io as IO
 
 CAP, DIM = 10000, 64
 
@@ -144,3 +146,35 @@ FROM best b JOIN es ON b.essay_id = es.essay_id AND b.apos = es.apos
 LEFT JOIN vocab v ON es.wid = v."index\""""
 
 register("K9_attention_top_words", K9_SQL)(top_words_query)
+
+
+def attention_weights_query(spark, d):
+    """S10 with all weights: written as factors, restored and summed up for each
+    essay and phrase."""
+    path = IO.scratch_path(spark, "attention_weights")
+    AS.write_attention_weights(*inputs(spark, d), path, DIM, CAP)
+    sums = AS.attention_sums(spark, path)
+    return sums.select("essay_id", "key_id", "n_key", "n_words", *[F.round(c, 6).alias(c) for c in ("z", "z_ans", "z_key", "beta_ans", "beta_key")])
+
+
+_FLOOR = "sqrt(1e-7::DOUBLE)"
+S10_WEIGHTS_SQL = _k7_sql().split("beta AS (SELECT zs.essay_id")[0].rstrip().rstrip(",") + f""",
+norm AS (SELECT wid, greatest(sqrt(list_dot_product(vec, vec)), {_FLOOR}) AS nrm FROM vv),
+cz AS (
+  SELECT zs.*, zs.z / greatest(coalesce(nk.nrm, {_FLOOR}), {_FLOOR}) / coalesce(na.nrm, {_FLOOR}) AS cs
+  FROM zs JOIN pt ON zs.key_id = pt.key_id AND zs.kpos = pt.kpos LEFT JOIN norm nk ON pt.wid = nk.wid LEFT JOIN norm na ON zs.wid = na.wid),
+gi AS (SELECT essay_id, key_id, sum(g) AS beta_ans FROM (
+  SELECT essay_id, key_id, kpos, 1 / (1 + exp(-5 * max(cs))) AS g FROM cz GROUP BY essay_id, key_id, kpos) GROUP BY essay_id, key_id),
+gw AS (SELECT essay_id, key_id, sum(c * g) AS beta_key FROM (
+  SELECT essay_id, key_id, wid, c, 1 / (1 + exp(-5 * max(cs))) AS g FROM cz GROUP BY essay_id, key_id, wid, c) GROUP BY essay_id, key_id),
+zz AS (SELECT essay_id, key_id, sum(c * z) AS z, sum(c * (an / c / ad) * (an / c / ad)) AS z_ans, sum(c * (gn / gd) * (gn / gd)) AS z_key
+  FROM zs GROUP BY essay_id, key_id)
+SELECT e.essay_id, k.key_id, CAST(coalesce(m.m, 0) AS INTEGER) AS n_key, CAST(coalesce(ne.n, 0) AS INTEGER) AS n_words,
+  {", ".join(S.r6(f"coalesce({c}, 0.0)") + f" AS {c.split('.')[1]}" for c in ("zz.z", "zz.z_ans", "zz.z_key", "gi.beta_ans", "gw.beta_key"))}
+FROM essays e JOIN phrases k ON e.essay_set = k.essay_set
+LEFT JOIN psize m ON m.key_id = k.key_id LEFT JOIN ne ON ne.essay_id = e.essay_id
+LEFT JOIN zz ON zz.essay_id = e.essay_id AND zz.key_id = k.key_id
+LEFT JOIN gi ON gi.essay_id = e.essay_id AND gi.key_id = k.key_id
+LEFT JOIN gw ON gw.essay_id = e.essay_id AND gw.key_id = k.key_id"""
+
+register("S10_write_attention_weights", S10_WEIGHTS_SQL)(attention_weights_query)
