@@ -1,10 +1,10 @@
 """Numeric preparation: median imputation, power transforms, quantile-normal
 transform, batch normalisation (N1-N4, N12).
 
-Exact order statistics (medians, percentiles) come from the distributed
-global rank: values are range-partitioned and numbered, and only the rows at
-the wanted positions are picked by an equi-join on the rank.  Spark's exact
-``percentile`` keeps a value->count map per group, unbounded for a
+Exact order statistics (medians, percentiles) come from a few histogram passes
+over the bits of the values; for very many groups from the distributed global
+rank, where only the rows at the wanted positions are picked by an equi-join.
+Spark's exact ``percentile`` keeps a value->count map per group, unbounded for a
 continuous column at scale.
 """
 
@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeflow.plans.joins import lookup_join
+from gradeflow.plans.radix import radix_positions
 from gradeflow.plans.rank import global_running_sum
 
 # ---------------------------------------------------------------- order statistics
@@ -34,6 +35,38 @@ def exact_percentiles(
 
     Returns ``(by?, p_idx, value, n)``: one row per group and probability.
 
+    A few histogram passes over the bits of the values find them where they are
+    (``plans/radix.py``).  With more groups and probabilities than the driver
+    should hold the values are ranked instead.
+    """
+    key = F.coalesce(F.concat(F.lit("="), F.col(by).cast("string")), F.lit("")) if by else F.lit("")
+    values = df.filter(F.col(col).isNotNull()).select(key.alias("g"), F.col(col).cast("double").alias("v")).persist()
+    want = (lambda n: [i / max(1, min(grid, n) - 1) for i in range(min(grid, n))]) if grid is not None else (lambda n: probs)
+
+    def places(n):
+        at = np.asarray(want(n), dtype="float64") * (n - 1)
+        return np.r_[np.floor(at), np.ceil(at)].astype("int64")
+
+    found = radix_positions(values, places)
+    values.unpersist()
+    if found is None:
+        return ranked_percentiles(df, col, probs, by, grid)
+    rows = []
+    for group, (n, at, held) in found.items():
+        p = np.asarray(want(n), dtype="float64") * (n - 1)
+        low, high = (held[np.searchsorted(at, f(p).astype("int64"))] for f in (np.floor, np.ceil))
+        value = low + (p - np.floor(p)) * (high - low)
+        rows += [(group[1:] if group else None, i, float(v), n) for i, v in enumerate(value)]
+    out = df.sparkSession.createDataFrame(rows, "g string, p_idx int, value double, n long")
+    keys = [F.col("g").cast(df.schema[by].dataType).alias(by)] if by else []
+    return out.select(*keys, "p_idx", "value", "n")
+
+
+def ranked_percentiles(
+    df: DataFrame, col: str, probs: list[float] | None = None, by: str | None = None, grid: int | None = None
+) -> DataFrame:
+    """``exact_percentiles`` by a global rank, for any number of groups.
+
     Values are counted first, so a value held by a third of all rows is one
     row; the distinct values (unique order keys, so range partitioning can
     split them evenly) get distributed running counts, i.e. each covers the
@@ -91,25 +124,30 @@ def exact_percentiles(
     return out.select(*keys, F.col("p_idx").cast("int").alias("p_idx"), value.alias("value"), F.col("_n").alias("n"))
 
 
-def medians(df: DataFrame, col: str, by: str | None = None) -> DataFrame:
-    return exact_percentiles(df, col, [0.5], by).drop("p_idx", "n").withColumnRenamed("value", f"_med_{col}")
+def medians(df: DataFrame, cols: list[str], by: str | None = None) -> DataFrame:
+    """``_med_<column>`` of each column, a row per group (or one row), all
+    columns in the same passes."""
+    named = F.explode(F.array(*[F.struct(F.lit(str(i)).alias("c"), F.col(c).cast("double").alias("x")) for i, c in enumerate(cols)]))
+    group = F.col(by).cast("string") if by else F.lit("")
+    cells = df.filter(F.col(by).isNotNull() if by else F.lit(True)).select(group.alias("_g"), named.alias("_s"))
+    found = exact_percentiles(cells.select(F.concat_ws(":", "_s.c", "_g").alias("_k"), F.col("_s.x").alias("_x")), "_x", [0.5], by="_k")
+    parts = found.select(F.split("_k", ":", 2).alias("_p"), "value").select(F.col("_p")[0].alias("_c"), F.col("_p")[1].alias("_g"), "value")
+    wide = parts.groupBy("_g").agg(*[F.max(F.when(F.col("_c") == str(i), F.col("value"))).alias(f"_med_{c}") for i, c in enumerate(cols)])
+    return wide.withColumn(by, F.col("_g").cast(df.schema[by].dataType)).drop("_g") if by else wide.drop("_g")
 
 
 def impute_median(df: DataFrame, cols: list[str], by: str | None = "split") -> DataFrame:
     """Cast to double; null -> exact median of the same split (each split
     its own, as the reference does)."""
-    out = df
-    for c in cols:
-        med = medians(df, c, by)
-        if by:
-            # one row per split: a proven-small broadcast
-            out = lookup_join(out, med, [by], "left")
-            fill = F.col(f"_med_{c}")
-        else:
-            got = med.first()
-            fill = F.lit(got[f"_med_{c}"] if got else None).cast("double")
-        out = out.withColumn(c, F.coalesce(F.col(c).cast("double"), fill)).drop(f"_med_{c}")
-    return out
+    med = medians(df, cols, by)
+    if by:
+        out = lookup_join(df, med, [by], "left")
+        filled = {c: F.coalesce(F.col(c).cast("double"), F.col(f"_med_{c}")) for c in cols}
+    else:
+        got = med.first()
+        out = df
+        filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(got[f"_med_{c}"] if got else None).cast("double")) for c in cols}
+    return out.withColumns(filled).select(*df.columns)
 
 
 # ---------------------------------------------------------------- power transforms
