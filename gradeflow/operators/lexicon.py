@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradeflow.functions import text as T
+from gradeflow.operators import ngrams as NG
 from gradeflow.plans.joins import lookup_join
 
 
@@ -49,23 +50,17 @@ def lexicon_count(
     return out.select(id_col, *[F.coalesce(F.col(t), F.lit(0)).cast("long").alias(t) for t in tags])
 
 
-def _doc_ngrams(df, id_col, text_col, n_values):
-    """Blank-joined n-grams of the V1 tokens for each n (Spark ML's NGram
-    transformer: JVM code, no per-position lambda)."""
-    toks = df.select(F.col(id_col), T.keras_tokens(text_col).alias("t"))
-    cols = []
-    for n in n_values:
-        if n == 1:
-            cols.append(F.col("t"))
-            continue
-        toks = NGram(n=n, inputCol="t", outputCol=f"_g{n}").transform(toks)
-        cols.append(F.col(f"_g{n}"))
-    return toks.select(id_col, F.explode(F.concat(*cols)).alias("ngram"))
-
-
 def top_ngrams_tfidf(df: DataFrame, n_max: int = 3, k: int = 30, id_col="essay_id", text_col="essay") -> DataFrame:
     """K5: n-grams (1..n_max) by summed tf-idf, the k best;
-    idf = ln((1+N)/(1+df)) + 1, score = idf * total count.
+    idf = ln((1+N)/(1+df)) + 1, score = idf * total count.  Summaries with an
+    error bound choose the candidates, which are then counted exactly; where
+    even these are too many, all n-grams are counted."""
+    best = NG.top_ngrams(df, n_max, k, text_col)
+    return best if best is not None else count_all_ngrams(df, n_max, k, id_col, text_col)
+
+
+def count_all_ngrams(df: DataFrame, n_max: int = 3, k: int = 30, id_col="essay_id", text_col="essay") -> DataFrame:
+    """K5 by one aggregation of all n-grams.
 
     A document is one row, so it emits its n-grams with a mark on the first
     of each; one aggregation by n-gram then has both counts, and the number
@@ -86,28 +81,11 @@ def top_ngrams_tfidf(df: DataFrame, n_max: int = 3, k: int = 30, id_col="essay_i
     return scored.orderBy(F.col("score").desc(), F.col("ngram")).limit(k)
 
 
-HEAD_TOKENS = 4
-
-
 def phrase_presence(
     df: DataFrame, phrases: DataFrame, id_col="essay_id", text_col="essay", key_col="key_id", phrase_col="phrase", set_col="essay_set"
 ) -> DataFrame:
-    """K6: (essay, phrase of its set) pairs where the phrase's tokens occur
-    contiguously in the essay's tokens (sparse 0/1: absent pairs are 0).
-
-    The n-grams of at most ``HEAD_TOKENS`` tokens that begin a phrase are
-    equi-joined with the essays' n-grams; only the essays that have one are
-    then searched for the whole phrase.
-    """
-    toks = T.keras_tokens(phrase_col)
-    ph = phrases.select(
-        key_col, F.col(set_col).alias("_set"), F.array_join(toks, " ").alias("_whole"), F.size(toks).alias("_n"),
-        F.array_join(F.slice(toks, 1, HEAD_TOKENS), " ").alias("ngram"),
-    ).filter(F.col("_n") > 0)
-    grams = _doc_ngrams(df, id_col, text_col, range(1, HEAD_TOKENS + 1))
-    hit = lookup_join(grams, ph.drop("_n"), ["ngram"], "inner", salt_by=[F.col(id_col)])
-    hit = hit.select(id_col, key_col, "_set", "_whole").distinct()
-    spaced = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
-    text = df.select(id_col, set_col, spaced(F.array_join(T.keras_tokens(text_col), " ")).alias("_text"))
-    found = hit.join(text, id_col).filter((F.col(set_col) == F.col("_set")) & F.col("_text").contains(spaced(F.col("_whole"))))
-    return found.select(id_col, key_col).distinct().withColumn("present", F.lit(1))
+    """K6: for every essay and phrase of its set 1 where the phrase's tokens
+    occur contiguously in the essay's tokens, else 0 (a phrase without tokens
+    occurs nowhere).  The texts stay where they were read."""
+    ph = phrases.select(F.col(key_col).cast("long").alias("key_id"), F.col(set_col), T.keras_tokens(phrase_col).alias("tokens"))
+    return NG.presence(df, ph, id_col, text_col, set_col).withColumnRenamed("key_id", key_col)

@@ -197,10 +197,10 @@ _PH_TOK = S.keras_tokens("phrase")
 register(
     "K6_phrase_presence",
     EP
-    + f""", ph AS (SELECT key_id, essay_set, array_to_string({_PH_TOK}, ' ') AS ngram FROM phrases WHERE len({_PH_TOK}) > 0),
+    + f""", ph AS (SELECT key_id, essay_set, array_to_string({_PH_TOK}, ' ') AS ngram FROM phrases),
 et AS (SELECT essay_id, essay_set, array_to_string({S.keras_tokens('essay')}, ' ') AS t FROM essays)
-SELECT DISTINCT essay_id, key_id, 1 AS present FROM et JOIN ph ON et.essay_set = ph.essay_set
-WHERE contains(' ' || t || ' ', ' ' || ngram || ' ')""",
+SELECT essay_id, key_id, CASE WHEN ngram <> '' AND contains(' ' || t || ' ', ' ' || ngram || ' ') THEN 1 ELSE 0 END AS present
+FROM et JOIN ph ON et.essay_set = ph.essay_set""",
 )(lambda spark, d: L.phrase_presence(B.texts(spark, d), B.phrases(spark, d)))
 
 
