@@ -15,11 +15,11 @@ words not seen share the rest.  The counts are asked for by blocks of documents
 (``blocks``) and grow with the corpus.
 
 *Training* is truncated backpropagation through time in numpy, with the state
-carried into the next window.  All training texts fit the recurrent weights:
-each task fits a copy, and the copies are averaged with the number of their
-tokens as weights, ``rounds`` times.  In a round a task makes whole passes over
-all tokens of all its texts, as few as give ``LEAST_STEPS`` steps.  The weights
-are a few thousand numbers, whatever the corpus.
+carried into the next window.  All training texts fit the recurrent weights: each block
+of documents fits a copy in one pass over all tokens of all its texts, and the
+copies are averaged with the number of their tokens as weights, ``rounds`` times.
+Blocks are dealt by ids and the total size, so the weights do not depend on how
+the input is partitioned.  They are a few thousand numbers, whatever the corpus.
 
 Cases.  Null text is empty: one token, the end.  Without training texts all
 counts are 0 and the weights stay as they start.  Rows with a null id are never
@@ -31,9 +31,11 @@ read.  An empty table gives an empty result.
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +45,6 @@ from gradeflow.session import ensure_checkpoint_dir
 
 HIDDEN = 24
 FOLDS, HELD_OUT = 7, 2
-LEAST_STEPS = 200
 ROUNDS = 1
 RATE = 0.01
 WINDOW = 32
@@ -276,29 +277,26 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % FOLDS == HELD_OUT, F.lit(False))
 
 
-def fit_network(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, hidden: int = HIDDEN,
-                seed: int = 3) -> Network:
-    """Recurrent weights from all training texts."""
-    training = docs.filter(~held_out(id_col)).select(F.col(text_col).cast("string").alias("text"))
+def fit_network(dealt: DataFrame, rounds: int = ROUNDS, hidden: int = HIDDEN, seed: int = 3) -> Network:
+    """Recurrent weights from all training texts of ``dealt``, the blocks of
+    ``score_texts`` (block, id, text, held_out).  In a round every block makes one
+    pass over its texts, in the order of ids, from the weights of the round
+    before; the weights of the blocks are averaged by their tokens.  Blocks
+    follow the ids and the total size, so the result does not depend on how
+    the input is partitioned."""
     network = Network(hidden, seed)
     for r in range(rounds):
-        start = network.flat()
-
-        def train(batches, start=start, rate=RATE / (1 + 2 * r)):
-            own, memory, tokens, again = Network(hidden, seed).load(start), {}, 0, []
-            for batch in (part for whole in batches for part in slices(whole, "text")):
-                classes, _ = token_classes(Words(batch.column("text")))
-                own.fit(classes, memory, rate)
-                tokens += len(classes)
-                if memory["t"] < LEAST_STEPS:  # else one pass is enough
-                    again.append(classes.astype(np.uint8))
-                else:
-                    again = []
-            while tokens and memory["t"] < LEAST_STEPS:
-                for classes in again:
+        start, rate = network.flat(), RATE / (1 + 2 * r)
+
+        def train(table):
+            table = table.filter(pc.invert(table["held_out"])).sort_by([("id", "ascending"), ("text", "ascending")])
+            own, memory, tokens = Network(hidden, seed).load(start), {}, 0
+            for batch in table.combine_chunks().to_batches():
+                for part in slices(batch, "text"):
+                    classes, _ = token_classes(Words(part.column("text")))
                     own.fit(classes, memory, rate)
-            if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64()), pa.array([(own.flat() * tokens).tobytes()], pa.binary())], ["n", "w"])
+                    tokens += len(classes)
+            return pa.table([pa.array([tokens], pa.int64()), pa.array([(own.flat() * tokens).tobytes()], pa.binary())], names=["n", "w"])
 
         def add(batches):
             n, w = 0, np.zeros(len(start))
@@ -308,7 +306,9 @@ def fit_network(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     w += np.frombuffer(x)
             yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([w.tobytes()], pa.binary())], ["n", "w"])
 
-        parts = training.mapInArrow(train, "n long, w binary").repartition(4).mapInArrow(add, "n long, w binary").collect()
+        # added up in each task, then in a few, then here
+        trained = dealt.groupBy("block").applyInArrow(train, "n long, w binary").mapInArrow(add, "n long, w binary")
+        parts = trained.repartition(math.ceil(math.sqrt(B.partitions(dealt)))).mapInArrow(add, "n long, w binary").collect()
         n = sum(p["n"] for p in parts)
         if n:
             network.load(sum(np.frombuffer(bytes(p["w"])) for p in parts) / n)
@@ -321,13 +321,13 @@ def _merge_counts(keys, counts, classes):
     cls, _ = B.joined(classes, np.uint8)
     order = np.argsort(key, kind="stable")
     starts = B.group_starts(key[order])
-    out, tally = np.empty(len(order), dtype=np.int32), np.zeros((2, CLASSES), dtype=np.int64)
+    out, tally = np.empty(len(order), dtype=np.int64), np.zeros((2, CLASSES), dtype=np.int64)
     if len(order):
         total = np.add.reduceat(count[order].astype(np.int64), starts)
         kind = cls[order][starts]
         tally[0] = np.bincount(kind, weights=total, minlength=CLASSES).astype(np.int64)
         tally[1] = np.bincount(kind[total > 0], minlength=CLASSES)
-        out[order] = np.repeat(np.minimum(total, 2**31 - 1), np.diff(np.r_[starts, len(order)]))
+        out[order] = np.repeat(total, np.diff(np.r_[starts, len(order)]))
     return [*B.split(out, bounds), tally]
 
 
@@ -336,11 +336,10 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Per row: id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``,
     ``base_score`` and ``score`` (log10 probabilities of the whole text)."""
     ensure_checkpoint_dir(docs.sparkSession)
-    network = fit_network(docs, id_col, text_col, rounds, hidden)
-    weights = network.flat()
     bits = B.shard_bits(docs)
     thin = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), held_out(id_col).alias("held_out"))
     dealt = B.blocked(thin, "text", ["id", "text"], block_bytes)
+    weights = fit_network(dealt, rounds, hidden).flat()
 
     def distinct(table):
         words = Words(table["text"], lower=True)
@@ -374,7 +373,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if not table.num_rows:
             return pa.table([table["id"], table["held_out"]] + [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())], names=names)
         words, keys, _, place = distinct(table)
-        seen = np.frombuffer(got.get(1, b""), dtype=np.int32)[place]
+        seen = np.frombuffer(got.get(1, b""), dtype=np.int64)[place]
         classes, bounds = token_classes(words)
         log_count = np.log10(seen + 1.0)
         at = np.arange(len(words.doc)) + words.doc

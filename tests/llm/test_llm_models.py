@@ -146,29 +146,56 @@ def same_weights(got, want):
     return np.linalg.norm(got.flat() - want.flat()) < 0.05 * moved
 
 
+def dealt(spark, texts, block=0):
+    rows = [(block if isinstance(block, int) else block(i), i, t, zlib.crc32(str(i).encode()) % 7 == 2) for i, t in texts]
+    return spark.createDataFrame(rows, "block int, id long, text string, held_out boolean")
+
+
 def test_weights_learn_from_all_training_texts(spark):
     rng = np.random.default_rng(8)
     word = lambda: "".join(rng.choice(list("abcdefgh"), 28))
     texts = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([900, 30, 400, 1, 70, 250])] + [(6, ""), (7, None)]
     train = [t for i, t in texts if zlib.crc32(str(i).encode()) % 7 != 2]
-    df = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
     classes, memory = gru_lm.token_classes(Words(pa.array(train, pa.string())))[0], {}
     want = gru_lm.Network()
-    while memory.get("t", 0) < gru_lm.LEAST_STEPS:
-        want.fit(classes, memory)
-    assert same_weights(gru_lm.fit_network(df, rounds=1), want)
+    want.fit(classes, memory)
+    assert same_weights(gru_lm.fit_network(dealt(spark, texts[::-1]), rounds=1), want)
 
 
-def test_every_pass_goes_over_all_slices(spark):
+def test_a_pass_goes_over_all_slices(spark):
     texts = [" ".join(f"{c}{i:060d}{c}" for i in range(20_000)) + " " for c in "ab"]  # a slice each
     assert len(list(slices(pa.RecordBatch.from_arrays([pa.array(texts)], ["text"]), "text"))) == 2
     want, memory = gru_lm.Network(), {}
-    while memory.get("t", 0) < gru_lm.LEAST_STEPS:
-        for t in texts:
-            want.fit(gru_lm.token_classes(Words(pa.array([t])))[0], memory)
+    for t in texts:
+        want.fit(gru_lm.token_classes(Words(pa.array([t])))[0], memory)
     ids = [i for i in range(9) if zlib.crc32(str(i).encode()) % 7 != 2]
-    df = spark.createDataFrame([(i, t) for i, t in zip(ids, texts)], "doc_id long, text string").coalesce(1)
-    assert same_weights(gru_lm.fit_network(df, rounds=1), want)
+    assert same_weights(gru_lm.fit_network(dealt(spark, list(zip(ids, texts))), rounds=1), want)
+
+
+def test_blocks_are_averaged_by_their_tokens(spark):
+    texts = [(i, f"word{i % 5} " * (40 + 7 * i)) for i in range(12) if zlib.crc32(str(i).encode()) % 7 != 2]
+    total, sums = 0, 0.0
+    for k in range(3):
+        own = gru_lm.Network()
+        classes = gru_lm.token_classes(Words(pa.array([t for i, t in texts if i % 3 == k], pa.string())))[0]
+        own.fit(classes, {})
+        total, sums = total + len(classes), sums + own.flat() * len(classes)
+    want = gru_lm.Network().load(sums / total)
+    assert same_weights(gru_lm.fit_network(dealt(spark, texts, lambda i: i % 3), rounds=1), want)
+
+
+def test_scores_do_not_depend_on_the_partitions(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    one, many = ({r.doc_id: r for r in gru_lm.score_texts(docs.repartition(n), block_bytes=100_000).collect()} for n in (1, 16))
+    assert set(one) == set(many)
+    assert all(abs(one[i].score - many[i].score) < 1e-6 * max(1, abs(one[i].score)) and one[i].base_score == pytest.approx(many[i].base_score) for i in one)
+
+
+def test_counts_beyond_32_bits():
+    key, count, cls = (np.array([7], t).tobytes() for t in (np.uint64, np.int32, np.uint8))
+    most = np.array([2**31 - 1], np.int32).tobytes()
+    first, second, tally = gru_lm._merge_counts([key, key], [most, most], [cls, cls])
+    assert first.tolist() == second.tolist() == [2**32 - 2] and tally[0].sum() == 2**32 - 2
 
 
 @pytest.mark.parametrize("size", [1, 31, 2048 + 63, 5000])
@@ -216,6 +243,24 @@ def test_quality_on_held_out_rows_and_cases(spark):
     assert kept.columns == both.columns
     assert kept.count() == sum(r.predicted for r in rows)
     assert {r.score for r in quality.classify(docs, labels.limit(0)).limit(20).collect()} == {0.5}
+    unclear = labels.select("doc_id", F.col("quality").cast("double").alias("quality")).unionAll(spark.createDataFrame([(1, float("nan"))], "doc_id long, quality double"))
+    same = {r.doc_id: r.score for r in quality.classify(docs, unclear).collect()}
+    plain = {r.doc_id: r.score for r in quality.classify(docs, labels).collect()}
+    assert same == pytest.approx(plain)
+
+
+def test_normal_equations_and_features_against_numpy(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.fit(docs.repartition(5), labels)
+    truth = {r.doc_id: float(r.quality) for r in labels.collect() if r.quality is not None and zlib.crc32(str(r.doc_id).encode()) % 5}
+    rows = [(r.text, truth[r.doc_id]) for r in docs.collect() if r.doc_id in truth]
+    x, y = quality.statistics(pa.array([t for t, _ in rows], pa.string())), np.array([v for _, v in rows])
+    assert np.allclose(model.mean, x.mean(axis=0)) and np.allclose(model.scale, np.maximum(x.std(axis=0), 1e-6))
+    z = model.features(x)
+    assert np.allclose(z[:, :-1] if np.allclose(z[:, -1], 1) else z[:, 1:], np.sqrt(2 / quality.WIDTH) * np.cos(np.clip((x - model.mean) / model.scale, -5, 5) @ model.project + model.shift))
+    want = np.linalg.solve(z.T @ z + quality.RIDGE * len(y) * np.eye(z.shape[1]), z.T @ y)
+    assert np.allclose(model.weight, want, atol=1e-6 * np.abs(want).max())
     assert quality.classify(docs.limit(0), labels).count() == 0
 
 
