@@ -117,27 +117,28 @@ def held_out(id_col: str, folds: int = FOLDS) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == 0, F.lit(False))
 
 
-def _statistics_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    thin = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-
+def _statistics_rows(labelled: DataFrame) -> DataFrame:
+    """``y`` and the statistics of the texts."""
     def run(batches):
         for batch in (part for whole in batches for part in slices(whole, "text")):
             x = statistics(batch.column("text"))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), *[pa.array(x[:, i]) for i in range(x.shape[1])]], ["id", *STATISTICS])
+                [batch.column("y"), *[pa.array(x[:, i]) for i in range(x.shape[1])]], ["y", *STATISTICS])
 
-    return thin.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, " + ", ".join(f"{s} double" for s in STATISTICS))
+    return labelled.select("y", "text").mapInArrow(run, "y double, " + ", ".join(f"{s} double" for s in STATISTICS))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
         max_train: int = MAX_TRAIN, width: int = WIDTH, bandwidth: float = BANDWIDTH, ridge: float = RIDGE, seed: int = 5) -> Model:
     """Fit on the labelled rows outside the held-out fold."""
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y")).filter(
-        F.col("y").isNotNull() & F.col("id").isNotNull() & ~held_out("id"))
+        F.col("y").isNotNull() & ~F.isnan("y") & F.col("id").isNotNull() & ~held_out("id"))
     n = marked.count()
     if n > max_train:
         marked = marked.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * max_train / n))
-    train = _statistics_rows(docs, id_col, text_col).join(marked, "id").drop("id").checkpoint()
+    # at most about ``max_train`` rows, so they can meet the texts before anything is computed
+    labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(marked), "id")
+    train = _statistics_rows(labelled).checkpoint()
     shape = train.agg(F.count("*").alias("n"), F.avg("y").alias("y"), *[F.avg(s).alias(f"m_{s}") for s in STATISTICS],
                       *[F.stddev_pop(s).alias(f"s_{s}") for s in STATISTICS]).first()
     rng = np.random.default_rng(seed)
