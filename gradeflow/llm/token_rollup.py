@@ -17,6 +17,8 @@ empty deltas, and no committed batch gives empty totals.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,19 +87,24 @@ class Rollup:
 
     def totals(self) -> DataFrame:
         base, covered = self._base()
-        names = [n for n in self._names() if n.startswith("batch-") and n.removeprefix("batch-") not in covered]
+        return self._sum(base, [n for n in self._names() if n.startswith("batch-") and n.removeprefix("batch-") not in covered])
+
+    def _sum(self, base: str | None, names: list[str]) -> DataFrame:
         paths = [f"{self.root}/{n}" for n in ([base] if base else []) + names]
         rows = self.spark.read.schema(SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMA)
         total = rows.groupBy(*GROUP).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
         return total.filter((F.col("documents") != 0) | (F.col("tokens") != 0))
 
     def compact(self) -> None:
-        """Write the sum of all deltas as one; older ones are not read again."""
-        names = self.committed()
-        number = len([n for n in self._names() if n.startswith("base-")])
-        listed = self.spark.createDataFrame([(n,) for n in names], "value string")
-        listed.write.mode("overwrite").text(f"{self.root}/covers-{number:09d}")
-        self.totals().write.mode("overwrite").parquet(f"{self.root}/base-{number:09d}")
+        """Write the sum of all deltas listed now as one; these are not read
+        again.  Batches committed meanwhile stay beside it, and each of two
+        compactions at once has a name and a list of its own."""
+        base, covered = self._base()
+        names = [n for n in self._names() if n.startswith("batch-") and n.removeprefix("batch-") not in covered]
+        number = f"{len([n for n in self._names() if n.startswith('base-')]):09d}-{uuid.uuid4().hex}"
+        listed = self.spark.createDataFrame([(n,) for n in sorted(covered | {n.removeprefix("batch-") for n in names})], "value string")
+        listed.write.mode("overwrite").text(f"{self.root}/covers-{number}")
+        self._sum(base, names).write.mode("overwrite").parquet(f"{self.root}/base-{number}")
 
 
 def without_repeated_lines(text):
