@@ -277,41 +277,54 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % FOLDS == HELD_OUT, F.lit(False))
 
 
-def fit_network(dealt: DataFrame, rounds: int = ROUNDS, hidden: int = HIDDEN, seed: int = 3) -> Network:
+def _round(dealt: DataFrame, start: np.ndarray, rate: float, hidden: int, seed: int) -> DataFrame:
+    """(n, w): the tokens of each task and the sum of its blocks' weights, each
+    times its tokens, after one pass of every block from the weights ``start``."""
+
+    def train(table):
+        table = table.filter(pc.invert(table["held_out"])).sort_by([("id", "ascending"), ("text", "ascending")])
+        own, memory, tokens = Network(hidden, seed).load(start), {}, 0
+        for batch in table.combine_chunks().to_batches():
+            for part in slices(batch, "text"):
+                classes, _ = token_classes(Words(part.column("text")))
+                own.fit(classes, memory, rate)
+                tokens += len(classes)
+        return pa.table([pa.array([tokens], pa.int64()), pa.array([(own.flat() * tokens).tobytes()], pa.binary())], names=["n", "w"])
+
+    return dealt.groupBy("block").applyInArrow(train, "n long, w binary").mapInArrow(_added, "n long, w binary")
+
+
+def _added(batches):
+    n, w = 0, 0.0
+    for batch in batches:
+        n += sum(batch.column("n").to_pylist())
+        for x in batch.column("w").to_pylist():
+            w = w + np.frombuffer(x)
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([w.tobytes()], pa.binary())], ["n", "w"])
+
+
+def _average(trained: DataFrame, network: Network) -> Network:
+    """``network`` with the mean of the weights: added up in a few tasks, then here."""
+    few = math.ceil(math.sqrt(B.partitions(trained)))
+    parts = trained.repartition(few).mapInArrow(_added, "n long, w binary").collect()
+    n = sum(p["n"] for p in parts)
+    return network.load(sum(np.frombuffer(bytes(p["w"])) for p in parts) / n) if n else network
+
+
+def fit_network(dealt: DataFrame, rounds: int = ROUNDS, hidden: int = HIDDEN, seed: int = 3, done: DataFrame | None = None) -> Network:
     """Recurrent weights from all training texts of ``dealt``, the blocks of
     ``score_texts`` (block, id, text, held_out).  In a round every block makes one
     pass over its texts, in the order of ids, from the weights of the round
     before; the weights of the blocks are averaged by their tokens.  Blocks
     follow the ids and the total size, so the result does not depend on how
-    the input is partitioned."""
+    the input is partitioned.  ``done`` is the first round, if it was worked out
+    already."""
     network = Network(hidden, seed)
     for r in range(rounds):
-        start, rate = network.flat(), RATE / (1 + 2 * r)
-
-        def train(table):
-            table = table.filter(pc.invert(table["held_out"])).sort_by([("id", "ascending"), ("text", "ascending")])
-            own, memory, tokens = Network(hidden, seed).load(start), {}, 0
-            for batch in table.combine_chunks().to_batches():
-                for part in slices(batch, "text"):
-                    classes, _ = token_classes(Words(part.column("text")))
-                    own.fit(classes, memory, rate)
-                    tokens += len(classes)
-            return pa.table([pa.array([tokens], pa.int64()), pa.array([(own.flat() * tokens).tobytes()], pa.binary())], names=["n", "w"])
-
-        def add(batches):
-            n, w = 0, np.zeros(len(start))
-            for batch in batches:
-                n += sum(batch.column("n").to_pylist())
-                for x in batch.column("w").to_pylist():
-                    w += np.frombuffer(x)
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([w.tobytes()], pa.binary())], ["n", "w"])
-
-        # added up in each task, then in a few, then here
-        trained = dealt.groupBy("block").applyInArrow(train, "n long, w binary").mapInArrow(add, "n long, w binary")
-        parts = trained.repartition(math.ceil(math.sqrt(B.partitions(dealt)))).mapInArrow(add, "n long, w binary").collect()
-        n = sum(p["n"] for p in parts)
-        if n:
-            network.load(sum(np.frombuffer(bytes(p["w"])) for p in parts) / n)
+        if r or done is None:
+            done = _round(dealt, network.flat(), RATE / (1 + 2 * r), hidden, seed)
+        network = _average(done, network)
     return network
 
 
@@ -339,7 +352,6 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     bits = B.shard_bits(docs)
     thin = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), held_out(id_col).alias("held_out"))
     dealt = B.blocked(thin, "text", ["id", "text"], block_bytes)
-    weights = fit_network(dealt, rounds, hidden).flat()
 
     def distinct(table):
         words = Words(table["text"], lower=True)
@@ -352,7 +364,12 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         count = np.bincount(place[train], minlength=len(keys)).astype(np.int32)
         return B.ask_rows(block, 1, bits, keys, count, word_classes(words)[first].astype(np.uint8))
 
-    counts = B.ask(dealt, send, _merge_counts, summary=True).checkpoint()
+    # the first round of the fit shares the shuffle of the counts; its rows are block -2
+    first = _round(dealt, Network(hidden).flat(), RATE, hidden, 3)
+    trained = first.select(F.lit(-2).cast("long").alias("block"), F.col("n").alias("shard"), F.lit(0).alias("kind"), F.col("w").alias("answer"))
+    counts = B.ask(dealt, send, _merge_counts, summary=True).unionByName(trained).checkpoint()
+    done = counts.filter(F.col("block") == -2).select(F.col("shard").alias("n"), F.col("answer").alias("w"))
+    weights = fit_network(dealt, rounds, hidden, done=done).flat()
 
     def total(batches):
         tally = np.zeros(2 * CLASSES, dtype=np.int64)
