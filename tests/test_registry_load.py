@@ -48,3 +48,10 @@ def test_registry_loads_without_files(tmp_path):
 def test_arrow_functions_run_from_another_folder(tmp_path):
     out = _run(RUN, tmp_path)
     assert "RAN" in out.stdout, out.stderr[-2000:]
+
+
+def test_test_files_have_names_of_their_own():
+    from pathlib import Path
+
+    names = [p.name for p in Path(__file__).parent.rglob("test_*.py")]
+    assert len(names) == len(set(names))
