@@ -1,8 +1,11 @@
 """Splits, sampling, augmentation.
 
 Every random choice is a pinned hash order ``md5(id || ':' || seed), id``.
-Orders over a whole table or over one class use the distributed global rank
-(a class may hold a third of all rows), never an unpartitioned window.
+Splits cut that order at a few places (``plans/cuts.py``): counts by digest prefix
+find the key at each cut, and a row compares its own key with it, so nothing is
+sorted or shuffled, however large a class is.  Where no key says where to cut (very
+many folds or classes, or ids that repeat across a cut) the distributed global rank
+numbers the rows; the result follows the same order.
 """
 
 from __future__ import annotations
@@ -11,8 +14,10 @@ import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gradeflow.functions.text import ws_tokens
+from gradeflow.plans.cuts import at_or_after, hash_cuts
 from gradeflow.plans.joins import lookup_join
 from gradeflow.plans.rank import global_ntile, global_rank
 
@@ -51,17 +56,64 @@ def rotate_folds(df: DataFrame, k: int = 5, id_col: str = "essay_id") -> DataFra
     return rows.select("fold", role.alias("split"), id_col)
 
 
+def _tile_starts(n: int, k: int) -> list[int]:
+    """Where tiles 1 to k - 1 of n rows start: SQL's ntile(k)."""
+    q, m = divmod(n, k)
+    return [j * q + min(j, m) for j in range(1, k)]
+
+
+def _cuts_before(cuts: dict, places: list[int], id_col: str) -> F.Column:
+    """How many of ``places`` are at or before the row; ``_h`` is its digest.
+    A place behind the last row has no cut."""
+    out = F.lit(0)
+    for p in places:
+        if p in cuts:
+            out = out + at_or_after(F.col("_h"), id_col, cuts[p]).cast("int")
+    return out
+
+
 def kfold_split(df: DataFrame, k: int = 5, seed=42, id_col: str = "essay_id") -> DataFrame:
     """D3: k folds in hash order; sizes differ by at most 1, the first n mod k
     larger (SQL ntile)."""
-    t = global_ntile(df, [hash_key(id_col, seed), F.col(id_col)], k, name="_tile")
-    return t.withColumn("fold", F.col("_tile") - 1).drop("_tile")
+    starts = {}
+
+    def positions(counts):
+        starts["all"] = _tile_starts(counts[""], k)
+        return {"": starts["all"]}
+
+    cuts = hash_cuts(df, hash_key(id_col, seed), id_col, positions)
+    if cuts is None:
+        t = global_ntile(df, [hash_key(id_col, seed), F.col(id_col)], k, name="_tile")
+        return t.withColumn("fold", F.col("_tile") - 1).drop("_tile")
+    keyed = df.withColumn("_h", hash_key(id_col, seed))
+    return keyed.withColumn("fold", _cuts_before(cuts.get("", {}), starts["all"], id_col)).drop("_h")
 
 
 def holdout_then_kfold(df: DataFrame, ratio: float = 0.2, k: int = 5, seed=42, id_col="essay_id") -> DataFrame:
     """The first ceil(ratio*n) rows in hash order are a fixed validation
     set; the rest get k folds (ntile in the same order).  ``fold`` is null
     for the validation rows."""
+    places = {}
+
+    def positions(counts):
+        n = counts[""]
+        n_val = math.ceil(n * ratio)
+        places["val"], places["folds"] = n_val, [n_val + s for s in _tile_starts(n - n_val, k)]
+        return {"": [n_val, *places["folds"]]}
+
+    cuts = hash_cuts(df, hash_key(id_col, seed), id_col, positions)
+    if cuts is None:
+        return _ranked_holdout(df, ratio, k, seed, id_col)
+    cuts = cuts.get("", {})
+    keyed = df.withColumn("_h", hash_key(id_col, seed)).withColumn("_cv", _cuts_before(cuts, [places["val"]], id_col) == 1)
+    return keyed.select(
+        *df.columns,
+        F.when(F.col("_cv"), "cv").otherwise("val").alias("role"),
+        F.when(F.col("_cv"), _cuts_before(cuts, places["folds"], id_col)).alias("fold"),
+    )
+
+
+def _ranked_holdout(df, ratio, k, seed, id_col):
     r = global_rank(df, [hash_key(id_col, seed), F.col(id_col)], name="_r", with_total=True)
     n_val = F.ceil(F.col("_r_n") * F.lit(ratio))
     n, rr = F.col("_r_n") - n_val, F.col("_r") - n_val
@@ -98,30 +150,66 @@ def drop_quotas(counts: dict, p: float) -> dict:
     return quota
 
 
+def _first_in_class(df: DataFrame, wanted, label: str, id_col: str, seed):
+    """Mark ``_first``: the row is among the first rows of its class in hash order,
+    as many as ``wanted(counts)`` says (a class that it leaves out has none)."""
+    amounts = {}
+
+    def positions(counts):
+        amounts.update({c: (int(n), counts[c]) for c, n in wanted(counts).items() if c in counts})
+        return {c: [n] for c, (n, size) in amounts.items() if 0 < n < size}
+
+    cuts = hash_cuts(df, hash_key(id_col, seed), id_col, positions, label)
+    if cuts is None:
+        counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}  # one row per class
+        table = df.sparkSession.createDataFrame(
+            [(c, int(n)) for c, n in wanted(counts).items()], T.StructType([df.schema[label], T.StructField("_amount", T.LongType())]))
+        ranked = lookup_join(_rank_in_class(df, label, id_col, seed), table, [label], "left")
+        return ranked.withColumn("_first", F.coalesce(F.col("_pos") <= F.col("_amount"), F.lit(False))).select(*df.columns, "_first")
+    first = F.lit(False)
+    for c, (n, size) in amounts.items():
+        mine = F.col(label).eqNullSafe(F.lit(c))
+        if n >= size:
+            first = first | mine
+        elif n > 0:
+            first = first | (mine & ~at_or_after(F.col("_h"), id_col, cuts[c][n]))
+    return df.withColumn("_h", hash_key(id_col, seed)).withColumn("_first", first).drop("_h")
+
+
 def stratified_downsample(df: DataFrame, p: float, label: str = "domain1_score", seed=42, id_col="essay_id"):
     """Drop a stratified share ``p`` (keep 1-p); per-class quotas by
-    largest remainder, the dropped rows are the first in hash order."""
-    counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}  # one row per class
-    quota = drop_quotas(counts, p)
-    q = F.create_map(*[x for c, v in quota.items() for x in (F.lit(c), F.lit(v))])
-    ranked = _rank_in_class(df, label, id_col, seed)
-    return ranked.filter(F.col("_pos") > F.element_at(q, F.col(label))).select(*df.columns)
+    largest remainder, the dropped rows are the first in hash order.  Rows
+    without a label belong to no class and go."""
+    named = df.filter(F.col(label).isNotNull())
+    return _first_in_class(named, lambda counts: drop_quotas(counts, p), label, id_col, seed).filter(~F.col("_first")).drop("_first")
+
+
+def _lowest(df: DataFrame, n: int, id_col: str) -> DataFrame:
+    """The ``n`` rows of the lowest ids (null first).  The ids alone show where
+    they end, so that whole rows of a few files are read and ordered."""
+    if n == 0:
+        return df.limit(0)
+    low = df.select(F.col(id_col).alias("i")).orderBy("i").limit(n)
+    cut = low.agg(F.max("i").alias("i")).first()["i"]
+    up_to = F.col(id_col).isNull() if cut is None else F.col(id_col).isNull() | (F.col(id_col) <= F.lit(cut))
+    return df.filter(up_to).orderBy(id_col).limit(n)
 
 
 def pad_to_multiple(df: DataFrame, multiple: int = 32, id_col="essay_id", form: str = "table") -> DataFrame:
     """Repeat rows from the start (lowest ids) until the count is a
     multiple.  ``table``: append at most n rows once; ``list``: cycle.
     Adds ``copy`` (0 = original)."""
-    r = global_rank(df, [F.col(id_col)], name="_r", with_total=True)
-    n = F.col("_r_n")
-    missing = F.pmod(F.lit(multiple) - F.pmod(n, F.lit(multiple)), F.lit(multiple))
+    n = df.count()
+    missing = -n % multiple
     if form == "table":
-        copies = F.when(F.col("_r") <= missing, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    else:
-        target = n + missing
-        # copy j of row r sits at position r + j*n, kept while <= target
-        copies = F.sequence(F.lit(0), F.floor((target - F.col("_r")) / n).cast("int"))
-    return r.select(*df.columns, F.explode(copies).alias("copy"))
+        rows = df.withColumn("copy", F.lit(0))
+        return rows.unionByName(_lowest(df, min(n, missing), id_col).withColumn("copy", F.lit(1)))
+    if n == 0:
+        return df.withColumn("copy", F.lit(0))
+    # whole rounds for every row, and one more copy of the first rows: fewer than ``multiple``
+    rounds, more = divmod(n + missing, n)
+    rows = df.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))) if rounds > 1 else F.lit(0))
+    return rows.unionByName(_lowest(df, more, id_col).withColumn("copy", F.lit(rounds)))
 
 
 def oversample_by_class(
@@ -130,10 +218,9 @@ def oversample_by_class(
     """Per class in ``plan`` ({class: (amount, multiplier)}), take
     ``amount`` rows in hash order and emit ``multiplier`` variants of each
     with applied=1, length=0; append to the input (variant 0)."""
-    ranked = _rank_in_class(df.filter(F.col(label).isin(list(plan))), label, id_col, seed)
-    amount = F.create_map(*[x for c, (a, _) in plan.items() for x in (F.lit(c), F.lit(a))])
+    chosen = df.filter(F.col(label).isin(list(plan)))
     mult = F.create_map(*[x for c, (_, m) in plan.items() for x in (F.lit(c), F.lit(m))])
-    picked = ranked.filter(F.col("_pos") <= F.element_at(amount, F.col(label)))
+    picked = _first_in_class(chosen, lambda counts: {c: a for c, (a, _) in plan.items()}, label, id_col, seed).filter("_first")
     extra = picked.select(
         *df.columns,
         F.explode(F.sequence(F.lit(1), F.element_at(mult, F.col(label)))).alias("variant"),

@@ -1,8 +1,12 @@
 """Fold properties: disjoint tests, cover, sizes within 1, padding."""
 
+import hashlib
+
+import pytest
 from pyspark.sql import functions as F
 
 from gradeflow.operators import splits as D
+from gradeflow.plans import cuts
 
 
 def test_rotate_folds_disjoint_cover(spark):
@@ -45,3 +49,70 @@ def test_oversample(spark):
     out = D.oversample_by_class(df, {1: (3, 2)})
     assert out.count() == 10 + 3 * 2
     assert out.filter(F.col("variant") > 0).agg(F.min("applied"), F.max("length")).first() == (1, 0)
+
+
+def _order(rows, seed=42):
+    return sorted(rows, key=lambda i: (hashlib.md5(f"{i}:{seed}".encode()).hexdigest(), i))
+
+
+@pytest.mark.parametrize("n,k", [(0, 5), (3, 5), (1, 1), (103, 5), (4000, 7)])
+def test_kfold_is_the_ntile_of_the_hash_order(spark, n, k):
+    df = spark.range(0, n).toDF("essay_id")
+    got = {r["essay_id"]: r["fold"] for r in D.kfold_split(df, k).collect()}
+    order, (q, m) = _order(range(n)), divmod(n, k)
+    want = {}
+    for fold in range(k):
+        size = q + (fold < m)
+        want.update({i: fold for i in order[:size]})
+        order = order[size:]
+    assert got == want
+
+
+def test_cuts_go_deeper_until_few_rows_are_left(spark, monkeypatch):
+    monkeypatch.setattr(cuts, "READ_ROWS", 3)
+    monkeypatch.setattr(cuts, "HELD_ROWS", 16)
+    monkeypatch.setattr(cuts, "FIRST_DIGITS", 1)
+    ids = list(range(0, 6000, 2))
+    df = spark.createDataFrame([(i,) for i in ids], "essay_id long")
+    found = cuts.hash_cuts(df, D.hash_key("essay_id", 42), "essay_id", lambda n: {"": [0, 1, 777, n[""] - 1, n[""]]})
+    order = _order(ids)
+    assert {p: c[1] for p, c in found[""].items()} == {p: order[p] for p in (0, 1, 777, len(ids) - 1)}
+
+
+def test_cuts_without_sorting(spark):
+    plan = D.kfold_split(spark.range(0, 50).toDF("essay_id"), 5)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
+
+
+def test_ids_repeated_across_a_cut_are_numbered(spark):
+    df = spark.createDataFrame([(7,)] * 30 + [(i,) for i in range(100, 110)] + [(None,)] * 3, "essay_id long")
+    out = D.kfold_split(df, 4).groupBy("fold").count().collect()
+    assert sorted((r["fold"], r["count"]) for r in out) == [(0, 11), (1, 11), (2, 11), (3, 10)]
+    # nulls come first in the hash order
+    held = D.holdout_then_kfold(df, 3 / 43, 2).filter("role = 'val'").collect()
+    assert [r["essay_id"] for r in held] == [None] * 3
+
+
+@pytest.mark.parametrize("most", [64, 1])
+def test_class_quotas_by_hash_order(spark, monkeypatch, most):
+    """The same rows by cuts and, where the classes are too many, by numbers."""
+    monkeypatch.setattr(cuts, "MOST_CUTS", most)
+    rows = [(i, i % 3 if i % 10 else None) for i in range(200)]
+    df = spark.createDataFrame(rows, "essay_id long, domain1_score int")
+    of = {c: _order([i for i, s in rows if s == c]) for c in range(3)}
+    quota = D.drop_quotas({c: len(v) for c, v in of.items()}, 0.3)
+    kept = {r["essay_id"] for r in D.stratified_downsample(df, 0.3).collect()}
+    assert kept == {i for c, v in of.items() for i in v[quota[c]:]}
+    more = D.oversample_by_class(df, {1: (5, 2), 2: (1000, 1), 9: (4, 4)}).filter("variant > 0").collect()
+    assert sorted((r["essay_id"], r["variant"]) for r in more) == sorted(
+        [(i, v) for i in of[1][:5] for v in (1, 2)] + [(i, 1) for i in of[2]])
+
+
+def test_padding_takes_the_lowest_ids(spark):
+    df = spark.createDataFrame([(i, "t") for i in (9, 4, 7, None, 1)], "essay_id long, essay string")
+    copies = lambda out: sorted(((r["essay_id"], r["copy"]) for r in out.collect() if r["copy"]), key=str)
+    assert copies(D.pad_to_multiple(df, 4)) == sorted([(None, 1), (1, 1), (4, 1)], key=str)
+    assert copies(D.pad_to_multiple(df, 12, form="list")) == sorted(
+        [(i, 1) for i in (9, 4, 7, None, 1)] + [(None, 2), (1, 2)], key=str)
+    assert D.pad_to_multiple(df.limit(0), 4, form="list").count() == 0
+    assert D.pad_to_multiple(df, 5).count() == 5
