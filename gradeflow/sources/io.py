@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gradeflow.session import ensure_checkpoint_dir
+from gradeflow.sources.records import ENCODINGS, read_records
 
 ESSAY_SCHEMA = T.StructType(
     [
@@ -46,7 +47,11 @@ def read_essays(
     spark: SparkSession, path: str, sep: str = "\t", encoding: str = "ISO-8859-1", schema: T.StructType = ESSAY_SCHEMA
 ) -> DataFrame:
     """Delimited essays with a header and an explicit schema (no
-    inference at scale); TSV Latin-1 by default, CSV UTF-8 on request."""
+    inference at scale); TSV Latin-1 by default, CSV UTF-8 on request.  Files are
+    read by byte ranges though quoted fields may hold line breaks; in other
+    encodings than ``records.ENCODINGS`` a file is one task."""
+    if encoding.upper() in ENCODINGS:
+        return read_records(spark, path, schema, sep, encoding)
     return spark.read.schema(schema).options(**_CSV).option("sep", sep).option("encoding", encoding).csv(path)
 
 
@@ -144,16 +149,10 @@ def prediction_lines(
 
 
 def write_predictions(df: DataFrame, path: str, task: str, index_col: str, pred_col: str, label_col=None) -> None:
-    """One text file set with a header line ``index\\tprediction``."""
-    spark = df.sparkSession
-    header = spark.createDataFrame([("index\tprediction", 0, None)], "value string, _o int, _i long")
-    body = prediction_lines(
-        df.withColumn("_i", F.col(index_col).cast("long")), task, index_col, pred_col, label_col, keep=("_i",)
-    )
-    body = body.withColumn("_o", F.lit(1))
-    # sorted by (header first, index): the index spreads the range sort
-    # evenly, the header lands in the first file
-    header.unionByName(body).orderBy("_o", "_i").drop("_o", "_i").write.mode("overwrite").text(path)
+    """One text file set with a header line ``index\\tprediction``, which is the
+    first file; the rows follow in the order of ``df``'s partitions, unsorted."""
+    header = df.sparkSession.createDataFrame([("index\tprediction",)], "value string").coalesce(1)
+    header.union(prediction_lines(df, task, index_col, pred_col, label_col)).write.mode("overwrite").text(path)
 
 
 def metric_lines(metrics: DataFrame) -> DataFrame:
