@@ -124,30 +124,61 @@ class ScoreTable:
         total = self.weight @ self.count.T
         return np.divide(1.0, total, out=np.zeros_like(total), where=total > 0)
 
-    def attend(self, seq: np.ndarray, pool: str, merge: str) -> np.ndarray:
-        """``f`` of all phrases for one answer (mean or sum pooling, no beta)."""
+    @cached_property
+    def cosine(self) -> np.ndarray:
+        return self.z if self.op == "cos" else _scores(self.vec, self.words.vec, "cos")
+
+    @cached_property
+    def phrase_gate(self) -> np.ndarray:
+        """(words, phrases): the gate of a word by its nearest word of a phrase."""
+        out = np.zeros((len(self.words.vec), len(self.ids)))
+        for p, place in enumerate(self.place):
+            if len(place):
+                out[:, p] = _gate(self.cosine[:, place].max(axis=1))
+        return out
+
+    def attend(self, seq: np.ndarray, pool: str, merge: str, beta: bool = False) -> np.ndarray:
+        """``f`` of all phrases for one answer, from the distinct words of both."""
         n, dim = len(self.ids), self.vec.shape[1]
         rows, c = self.words.counted(seq)
         if not len(rows) or not self.z.size:
             u = v = np.zeros((n, dim))
         elif self.weight is None:
             plain = self.words.emb
-            return np.array([attend(plain[seq], plain[x], self.op, pool, merge)[0] for x in self.ids])
+            return np.array([attend(plain[seq], plain[x], self.op, pool, merge, beta)[0] for x in self.ids])
         else:
             e = self.weight[rows]  # (answer words, phrase words)
-            over_answer = c @ e
-            share = self.count / over_answer
-            if pool == "mean":
-                share = share / np.maximum(self.size, 1)[:, None]
-            u = ((share @ e.T) * c) @ self.words.vec[rows]
-            over_phrase = self.per_phrase[rows] * (c / c.sum() if pool == "mean" else c)[:, None]
-            v = ((over_phrase.T @ e) * self.count) @ self.vec
+            toward_answer = 1.0 / (c @ e)  # of each phrase word
+            toward_phrase = self.per_phrase[rows]
+            if beta:
+                toward_answer = toward_answer * _gate(self.cosine[rows].max(axis=0))
+                toward_phrase = toward_phrase * self.phrase_gate[rows]
+            if pool == "max":
+                u, v = self._greatest(e, toward_answer, toward_phrase, rows, c)
+            else:
+                share = self.count * toward_answer
+                if pool == "mean":
+                    share = share / np.maximum(self.size, 1)[:, None]
+                u = ((share @ e.T) * c) @ self.words.vec[rows]
+                over_phrase = toward_phrase * (c / c.sum() if pool == "mean" else c)[:, None]
+                v = ((over_phrase.T @ e) * self.count) @ self.vec
         if merge == "concat":
             return np.concatenate([u, v], axis=1)
         if merge == "mean":
             return (u + v) / 2
         return u if merge == "ans" else v
 
+    def _greatest(self, e, toward_answer, toward_phrase, rows, c):
+        """Max pooling: what each phrase word sees is worked out once and shared by
+        the phrases that hold the word."""
+        seen = (e * toward_answer * c[:, None]).T @ self.words.vec[rows]  # (phrase words, dim)
+        u, v = np.zeros((2, len(self.ids), self.vec.shape[1]))
+        for p, place in enumerate(self.place):
+            if len(place):
+                u[p] = seen[place].max(axis=0)
+                v[p] = ((e[:, place] * toward_phrase[:, p, None]) @ self.vec[place]).max(axis=0)
+        return u, v
+
     @cached_property
     def order(self) -> tuple[np.ndarray, np.ndarray]:
         """For each phrase word the words by falling score, and whether a word
@@ -222,6 +253,10 @@ def _scores(A, K, op):
     return z
 
 
+def _gate(nearest):
+    return 1 / (1 + np.exp(-5 * nearest))
+
+
 def _softmax(x, axis):
     m = x.max(axis=axis, keepdims=True)
     e = np.exp(x - m)
@@ -251,8 +286,8 @@ def attend(A, K, op="dp", pool="mean", merge="concat", beta=False):
     V = _softmax(z, axis=0).T @ K  # answer word j attends over key words
     if beta:
         c = _scores(A, K, "cos")
-        U = U * (1 / (1 + np.exp(-5 * c.max(axis=1))))[:, None]
-        V = V * (1 / (1 + np.exp(-5 * c.max(axis=0))))[:, None]
+        U = U * _gate(c.max(axis=1))[:, None]
+        V = V * _gate(c.max(axis=0))[:, None]
     u, v = _pool(U, pool), _pool(V, pool)
     if merge == "concat":
         f = np.concatenate([u, v])
@@ -284,7 +319,6 @@ def keyword_attention(
     ``f``, rounded to ``decimals`` places where that is given."""
     matrix = vector_matrix(vocab, vectors, dim, num_words)
     shared = answer_seqs.sparkSession.sparkContext.broadcast(matrix)
-    fast = pool in ("mean", "sum") and not beta
     width = (2 if merge == "concat" else 1) * dim
     batch_rows = ROWS_PER_BATCH
 
@@ -300,15 +334,11 @@ def keyword_attention(
 
     def run(batches):
         tables = _Tables(shared.value, op)
-        emb = shared.value
         ids, keys, blocks, n = [], [], [], 0
         for batch in batches:
             for table, i in tables.rows(batch, set_col):
                 seq = _sequence(batch, i)
-                if fast:
-                    out = table.attend(seq, pool, merge)
-                else:
-                    out = np.array([attend(emb[seq], emb[x], op, pool, merge, beta)[0] for x in table.ids]).reshape(len(table.ids), width)
+                out = table.attend(seq, pool, merge, beta)
                 ids.append(batch.column(id_col)[i].as_py())
                 keys.append(table.keys)
                 blocks.append(out)

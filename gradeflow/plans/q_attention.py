@@ -44,8 +44,9 @@ def keyword_attention_query(spark, d):
     return A.keyword_attention(seqs, pseq, vocab, vectors, DIM, CAP, decimals=6)
 
 
-def _k7_sql():
-    """dp / mean / concat attention from distinct words.  With c_w the count
+def _k7_sql(score="{z}", over_key="/ ps.m", over_words="/ ne.n", gate="1.0::DOUBLE", merged=None):
+    """Attention from distinct words, dp / mean / concat unless said otherwise: ``score``
+    of a product, the divisors of the pooling, the ``gate`` by the best score, the merge.  With c_w the count
     of word w in the essay, u = sum_w beta_w a_w with beta_w = mean over key
     words i of the softmax weight c_w e^{z_iw} / sum_w' c_w' e^{z_iw'}, and
     v = sum_i delta_i k_i with delta_i = sum_w c_w softmax_i(z_iw) / n.
@@ -53,6 +54,8 @@ def _k7_sql():
     dims = range(1, DIM + 1)
     u_vec = ", ".join(f"sum(b.b * av.vec[{d}])" for d in dims)
     v_vec = ", ".join(f"sum(dl.dlt * coalesce(p.kvec[{d}], 0.0))" for d in dims)
+    product = score.format(z="list_dot_product(p.kvec, av.vec)")
+    merged = merged or "list_concat({u}, {v})"
     zeros = f"list_resize(CAST([] AS DOUBLE[]), {DIM}, 0.0)"
     return S.with_(S.ESSAYS, S.PHRASES, S.VOCAB, S.VECTORS) + f""", vv AS (
   SELECT CAST(v."index" AS INTEGER) AS wid, list_transform(x.vec, lambda y: CAST(y AS DOUBLE)) AS vec
@@ -69,22 +72,22 @@ pk AS (SELECT pt.key_id, ph.essay_set, pt.kpos, vv.vec AS kvec FROM pt JOIN phra
 psize AS (SELECT key_id, count(*) AS m FROM pt GROUP BY key_id),
 z AS (
   SELECT c.essay_id, p.key_id, p.kpos, c.wid, c.c,
-         CASE WHEN p.kvec IS NULL OR av.vec IS NULL THEN 0.0 ELSE list_dot_product(p.kvec, av.vec) END AS z
+         CASE WHEN p.kvec IS NULL OR av.vec IS NULL THEN 0.0 ELSE {product} END AS z
   FROM cand c JOIN essays e ON c.essay_id = e.essay_id JOIN pk p ON e.essay_set = p.essay_set LEFT JOIN vv av ON c.wid = av.wid),
 zm AS (SELECT *, max(z) OVER (PARTITION BY essay_id, key_id, kpos) AS mi,
                  max(z) OVER (PARTITION BY essay_id, key_id, wid) AS mw FROM z),
 ze AS (SELECT *, c * exp(z - mi) AS an, exp(z - mw) AS gn FROM zm),
 zs AS (SELECT *, sum(an) OVER (PARTITION BY essay_id, key_id, kpos) AS ad,
                  sum(gn) OVER (PARTITION BY essay_id, key_id, wid) AS gd FROM ze),
-beta AS (SELECT zs.essay_id, zs.key_id, zs.wid, sum(an / ad) / ps.m AS b
+beta AS (SELECT zs.essay_id, zs.key_id, zs.wid, sum(an / ad * {gate.format(z='mi')}) {over_key} AS b
   FROM zs JOIN psize ps ON zs.key_id = ps.key_id WHERE zs.wid >= 0 GROUP BY zs.essay_id, zs.key_id, zs.wid, ps.m),
-delta AS (SELECT zs.essay_id, zs.key_id, zs.kpos, sum(zs.c * gn / gd) / ne.n AS dlt
+delta AS (SELECT zs.essay_id, zs.key_id, zs.kpos, sum(zs.c * gn / gd * {gate.format(z='mw')}) {over_words} AS dlt
   FROM zs JOIN ne ON zs.essay_id = ne.essay_id GROUP BY zs.essay_id, zs.key_id, zs.kpos, ne.n),
 u AS (SELECT b.essay_id, b.key_id, [{u_vec}] AS u FROM beta b JOIN vv av ON b.wid = av.wid GROUP BY b.essay_id, b.key_id),
 v AS (SELECT dl.essay_id, dl.key_id, [{v_vec}] AS v
   FROM delta dl JOIN pk p ON dl.key_id = p.key_id AND dl.kpos = p.kpos GROUP BY dl.essay_id, dl.key_id),
 k7 AS (SELECT e.essay_id, k.key_id,
-  list_transform(list_concat(coalesce(u.u, {zeros}), coalesce(v.v, {zeros})),
+  list_transform({merged.format(u=f'coalesce(u.u, {zeros})', v=f'coalesce(v.v, {zeros})')},
                  lambda x: CASE WHEN round(x, 6) = 0 THEN 0.0 ELSE round(x, 6) END) AS f
 FROM essays e JOIN phrases k ON e.essay_set = k.essay_set
 LEFT JOIN u ON u.essay_id = e.essay_id AND u.key_id = k.key_id
@@ -98,6 +101,29 @@ K8_SQL = _k7_sql() + "SELECT essay_id, flatten(list(f ORDER BY key_id)) AS keywo
 register("K7_keyword_attention", K7_SQL)(keyword_attention_query)
 
 
+def with_options(**options):
+    def query(spark, d):
+        return A.keyword_attention(*inputs(spark, d), DIM, CAP, decimals=6, **options)
+
+    return query
+
+
+_NORM = "greatest(sqrt(list_dot_product({0}, {0})), sqrt(1e-7::DOUBLE))"
+register(
+    "K7_keyword_attention_cos_gate",
+    _k7_sql(f"{{z}} / {_NORM.format('p.kvec')} / {_NORM.format('av.vec')}", gate="(1 / (1 + exp(-5 * {z})))") + "SELECT essay_id, key_id, f FROM k7",
+)(with_options(op="cos", beta=True))
+
+register(
+    "K7_keyword_attention_sdp_sum",
+    _k7_sql(f"{{z}} / sqrt({DIM}::DOUBLE)", "", "", merged=f"list_transform(range(1, {DIM + 1}), lambda i: (({{u}})[i] + ({{v}})[i]) / 2)")
+    + "SELECT essay_id, key_id, f FROM k7",
+)(with_options(op="sdp", pool="sum", merge="mean"))
+
+# max pooling needs the vector that every phrase word sees, of every essay: too much for the SQL
+register("K7_keyword_attention_max")(with_options(pool="max", beta=True))
+
+
 def keyword_features_query(spark, d):
     seqs, pseq, vocab, vectors = inputs(spark, d)
     return A.keyword_features(A.keyword_attention(seqs, pseq, vocab, vectors, DIM, CAP, decimals=6))

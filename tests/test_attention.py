@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from gradeflow.operators import attention as A
@@ -73,3 +74,24 @@ def test_attention_options_loop_path(spark):
         for eid, seq in [(1, [1, 2, 3]), (2, [4])]:
             want, _ = A.attend(E[seq], E[[2, 4]], op, pool, merge, beta)
             assert np.allclose(got[eid], want), (op, pool, merge, beta, eid)
+
+
+@pytest.mark.parametrize("op", ["dp", "sdp", "cos"])
+def test_all_options_equal_the_loop(op):
+    """Gate and max pooling on shared tables: repeated words, words without a vector,
+    empty answers and phrases, and scores too far apart for one shift."""
+    rng = np.random.default_rng(5)
+    for scale in (1.0, 60.0):
+        E = np.zeros((30, 4))
+        E[1:20] = rng.normal(size=(19, 4)) * scale
+        phrases = [[2, 4, 2], [], [25, 7], [25], list(range(1, 30)), [4]]
+        table = A.ScoreTable(A.Words(E), [{"key_id": i, "seq": p} for i, p in enumerate(phrases)], op)
+        for seq in ([1, 2, 2, 28, 5], [28], [], list(range(1, 28)) * 2):
+            seq = np.array(seq, dtype="int64")
+            for pool in ("mean", "sum", "max"):
+                for merge in ("concat", "mean", "ans", "key"):
+                    for beta in (False, True):
+                        got = table.attend(seq, pool, merge, beta)
+                        for p, f in zip(phrases, got):
+                            want, _ = A.attend(E[seq], E[np.array(p, dtype="int64")], op, pool, merge, beta)
+                            assert np.allclose(f, want, atol=1e-9), (op, scale, pool, merge, beta, p, seq)
