@@ -49,9 +49,10 @@ class Quotes:
         """For each line whether it starts inside, and whether the last one ends so."""
         out = np.empty(len(lines), dtype=bool)
         done = 0
-        for i in np.flatnonzero(pc.match_substring(lines, b'"').to_numpy(zero_copy_only=False)):
+        quoted = pc.match_substring(lines, b'"')
+        for i, line in zip(np.flatnonzero(quoted.to_numpy(zero_copy_only=False)), lines.filter(quoted).to_pylist()):
             out[done : i + 1] = inside
-            inside = self.after(lines[i].as_py(), inside)
+            inside = self.after(line, inside)
             done = i + 1
         out[done:] = inside
         return out, inside
@@ -66,6 +67,15 @@ def _runs(batch):
         yield files.dictionary[code[a]].as_py(), int(starts[a]), batch.column("line").slice(a, int(b - a))
 
 
+def _joined(lines: pa.Array, cuts: np.ndarray) -> pa.Array:
+    """The records that begin at ``cuts`` (the first at 0), each with its line ends:
+    one buffer of all lines under the offsets of the records."""
+    ended = pc.binary_join_element_wise(lines, b"", b"\n")
+    ends = np.frombuffer(ended.buffers()[1], dtype="int32")[ended.offset : ended.offset + len(ended) + 1]
+    offsets = np.ascontiguousarray(np.r_[ends[cuts], ends[-1]], dtype="int32")
+    return pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(offsets), ended.buffers()[2]])
+
+
 def _effects(lines: DataFrame, sep: bytes) -> list:
     """Of each range, for a reader that enters it outside and one inside: is it
     inside at the end, and is the last record open there begun in this range."""
@@ -117,21 +127,20 @@ def _records(lines: DataFrame, sep: bytes, known, crossing: bool) -> DataFrame:
         entries, fragments = known.value
         at, inside, owner, open_lines, first = None, False, None, [], False
 
-        def batch_of(found):
-            mine = [r[:5] for r in found if r[5] == crossing]
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in mine], k) for i, k in enumerate(kinds)], names)
+        def batch_of(owner, header, records):
+            n = len(records)
+            return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(at[0]), n), pa.repeat(pa.scalar(owner, pa.int64()), n),
+                                               pa.repeat(pa.scalar(at[1], pa.int64()), n), pa.array(header, pa.bool_()), records], names)
 
-        def record(cut):
-            """The open record; ``cut``: the range ends inside of it."""
-            mine = at[1] if owner is None else owner
-            return at[0], mine, at[1], first, b"\n".join(open_lines), cut or owner is not None
+        def open_record(cut):
+            """The lines held; ``cut``: the range ends inside of the record."""
+            if open_lines and (cut or owner is not None) == crossing:
+                yield batch_of(at[1] if owner is None else owner, [first], pa.array([b"\n".join(open_lines)], pa.binary()))
 
         for batch in batches:
             for file, start, part in _runs(batch):
                 if (file, start) != at:
-                    if open_lines:
-                        yield batch_of([record(inside)])
+                    yield from open_record(inside)
                     if (file, start) not in entries:
                         raise RuntimeError(f"the byte ranges of {file} changed between two passes")
                     at, owner, open_lines = (file, start), entries[file, start], []
@@ -139,22 +148,26 @@ def _records(lines: DataFrame, sep: bytes, known, crossing: bool) -> DataFrame:
                 if crossing and at not in fragments:
                     continue
                 begins, inside = quotes.starts(part, inside)
-                rows = part.to_pylist()
                 cuts = np.flatnonzero(~begins)
                 if not len(cuts):
-                    open_lines += rows
+                    open_lines += part.to_pylist()
                     continue
-                open_lines += rows[: cuts[0]]
-                found = []
-                for a, b in zip(cuts, [*cuts[1:], None]):
-                    if open_lines:
-                        found.append(record(False))
-                        first = first and found[-1][4] in (b"", b"\r")  # empty lines stand before the names
-                        owner = None
-                    open_lines = rows[a:b]
-                yield batch_of(found)
-        if open_lines:
-            yield batch_of([record(inside)])
+                open_lines += part.slice(0, cuts[0]).to_pylist()
+                yield from open_record(False)
+                if open_lines:
+                    first, owner = first and open_lines in ([b""], [b"\r"]), None
+                if len(cuts) > 1 and (first or not crossing):
+                    records = _joined(part.slice(cuts[0], cuts[-1] - cuts[0]), cuts[:-1] - cuts[0])
+                    header, names_at = np.zeros(len(records), dtype=bool), 0
+                    if first:  # empty lines may stand before the names
+                        while names_at < len(records) and records[names_at].as_py() in (b"\n", b"\r\n"):
+                            names_at += 1
+                        header[: names_at + 1] = True
+                        first = names_at == len(records)
+                    if not crossing:
+                        yield batch_of(at[1], header, records)
+                open_lines = part.slice(cuts[-1]).to_pylist()
+        yield from open_record(inside)
 
     return lines.mapInArrow(run, "file string, owner long, start long, header boolean, record binary")
 
@@ -186,8 +199,11 @@ def read_records(
     if header:
         records = records.filter(~F.col("header"))
     text = F.make_valid_utf8(F.col("record").cast("string")) if encoding.upper() == "UTF-8" else F.decode("record", encoding)
-    text = F.regexp_replace(text, "\r\\z", "")
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
     options = {"sep": sep, "quote": '"', "escape": '"', "multiLine": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
-    parsed = records.select(text.alias("t")).filter(F.col("t") != "").select(F.from_csv("t", columns, options).alias("r"))
+    # a record ends as its lines do, or bare at the end of a range
+    t = F.col("t")
+    cut = F.when(t.endswith("\r\n"), 2).when(t.endswith("\n") | t.endswith("\r"), 1).otherwise(0)
+    texts = records.select(text.alias("t")).select(F.left(t, F.length(t) - cut).alias("t")).filter(t != "")
+    parsed = texts.select(F.from_csv("t", columns, options).alias("r"))
     return parsed.select("r.*")

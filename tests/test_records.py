@@ -70,6 +70,12 @@ def test_latin1_and_a_quoted_header(spark, small_ranges):
     assert ours == theirs == [(1, "caf\xe9\n\x93hi\x94", 3), (2, None, None)]
 
 
+def test_empty_lines_before_the_names(spark):
+    path = _write(spark, "lead", [b"\n\r\nid,text,n\n1,a,2\n\n3,b,4", b"\nid,text,n"])
+    assert sorted(map(tuple, read_records(spark, path, SCHEMA, ",").collect())) == [(1, "a", 2), (3, "b", 4)]
+    assert read_records(spark, path, SCHEMA, ",", header=False).count() == 4
+
+
 def test_a_file_is_many_tasks(spark, small_ranges):
     text = "id,text,n\n" + "".join(f'{i},"one\ntwo ""{i}""",{i}\n' for i in range(3000))
     path = _write(spark, "tasks", [text.encode()])
