@@ -51,3 +51,12 @@ def test_imputation_of_several_columns(spark):
     assert sorted(got, key=str) == sorted(want, key=str)
     whole = NU.impute_median(df, ["a"], by=None).collect()
     assert all(r["a"] is not None for r in whole)
+
+
+def test_groups_share_the_columns_of_a_pass(spark):
+    """What a pass brings to the driver is held once, not once for each group."""
+    values = spark.createDataFrame([(str(i % 40), float(i)) for i in range(4000)], "g string, v double")
+    found = radix._pass(values, 0, radix.FIRST_BITS, None)
+    for k in range(1, 5):
+        held = {id(row[k].base): row[k].base.nbytes for row in found}
+        assert len(held) == 1 and sum(held.values()) == sum(row[k].nbytes for row in found)
