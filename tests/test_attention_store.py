@@ -47,3 +47,19 @@ def test_weights_are_restored(spark):
     sums = {(r["essay_id"], r["key_id"]): r for r in AS.attention_sums(spark, path).collect()}
     r = got[(1, 10)]
     assert np.isclose(sums[(1, 10)]["z"], sum(c * x for row in r["z"] for c, x in zip(r["counts"], row)))
+
+
+def test_a_block_travels_once_not_with_every_essay(spark, monkeypatch):
+    vocab = spark.createDataFrame([(f"w{i}", 1, i) for i in range(1, 5)], "word string, count long, index long")
+    vectors = spark.createDataFrame([(f"w{i}", [float(i), 1.0]) for i in range(1, 4)], "word string, vec array<double>")
+    answers = spark.createDataFrame([(i, "x", [1 + i % 4, 2]) for i in range(40)], "essay_id long, essay_set string, seq array<int>")
+    keys = spark.createDataFrame([(1, "x", [2, 3])], "key_id long, essay_set string, seq array<int>")
+    path = IO.scratch_path(spark, "weights")
+    AS.write_attention_weights(answers, keys, vocab, vectors, path, 2, 10)
+    want = sorted(map(tuple, AS.attention_sums(spark, path).collect()))
+    assert len(want) == 40
+    for held, copies in ((16_000, 1), (15, 3)):
+        monkeypatch.setattr(AS, "ESSAYS_PER_COPY", held)
+        rows, _ = AS._pairs(spark, path, None, None)
+        assert rows.filter("b is not null").count() == copies and rows.count() == 40 + copies
+        assert sorted(map(tuple, AS.attention_sums(spark, path).collect())) == want
