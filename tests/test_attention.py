@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,3 +96,28 @@ def test_all_options_equal_the_loop(op):
                         for p, f in zip(phrases, got):
                             want, _ = A.attend(E[seq], E[np.array(p, dtype="int64")], op, pool, merge, beta)
                             assert np.allclose(f, want, atol=1e-9), (op, scale, pool, merge, beta, p, seq)
+
+
+def test_a_table_serves_the_answers_of_many_batches(spark, monkeypatch):
+    """Tables are built once for the answers that wait, not again in every batch; blocks
+    beyond the broadcast bound give the same rows."""
+    built = []
+    monkeypatch.setattr(A.ScoreTable, "__init__", lambda self, *a, f=A.ScoreTable.__init__: (built.append(1), f(self, *a))[1])
+    emb = np.random.default_rng(0).normal(size=(9, 3))
+    schema = pa.schema([("essay_id", pa.int64()), ("essay_set", pa.string()), ("seq", pa.list_(pa.int32()))])
+    batches = [pa.RecordBatch.from_pylist([{"essay_id": 10 * b + i, "essay_set": "xyn"[i], "seq": [1 + i, 2]} for i in range(3)], schema=schema) for b in range(5)]
+    blocks = {s: [(k, [{"key_id": k, "seq": [1, 2 + k]}]) for k in range(4)] for s in "xy"}
+    met = [(b, i) for _, _, b, i, _ in A._Tables(emb, "dp").answers(batches, "essay_id", "essay_set", blocks)]
+    assert len(built) == 8 and sorted(met) == sorted((k, 10 * b + i) for k in range(4) for b in range(5) for i in range(2))
+    vocab = spark.createDataFrame([(f"w{i}", 1, i) for i in range(1, 9)], "word string, count long, index long")
+    vectors = spark.createDataFrame([(f"w{i}", emb[i].tolist()) for i in range(1, 7)], "word string, vec array<double>")
+    answers = spark.createDataFrame([(i, "x" if i % 2 else None, [1 + i % 8, 2]) for i in range(12)], "essay_id long, essay_set string, seq array<int>")
+    keys = spark.createDataFrame([(1, "x", [2, 3]), (2, None, [4]), (3, "x", [])], "key_id long, essay_set string, seq array<int>")
+    out = []
+    for bound in ("1000000", "1"):
+        spark.conf.set("gradeflow.broadcast.maxBytes", bound)
+        try:
+            out.append(sorted(map(str, A.keyword_attention(answers, keys, vocab, vectors, 3, 10, pool="max", decimals=6).collect())))
+        finally:
+            spark.conf.unset("gradeflow.broadcast.maxBytes")
+    assert out[0] == out[1] and len(out[0]) == 12
