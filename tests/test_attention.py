@@ -121,3 +121,35 @@ def test_a_table_serves_the_answers_of_many_batches(spark, monkeypatch):
         finally:
             spark.conf.unset("gradeflow.broadcast.maxBytes")
     assert out[0] == out[1] and len(out[0]) == 12
+
+
+def test_answer_features_equal_the_joined_vectors(spark, monkeypatch):
+    """Vectors of an answer are put together where its token ids are: same numbers as from K7's
+    rows, for repeated ids, sets without a rubric and any cut into batches, and none is shuffled."""
+    rng = np.random.default_rng(3)
+    vocab = spark.createDataFrame([(f"w{i}", 1, i) for i in range(1, 9)], "word string, count long, index long")
+    vectors = spark.createDataFrame([(f"w{i}", rng.normal(size=3).tolist()) for i in range(1, 7)], "word string, vec array<double>")
+    answers = [(i, "xyn"[i % 3], [1 + i % 8, 2] * (i % 4)) for i in range(40)] + [(7, "x", [5]), (7, "x", [3, 5]), (8, None, [1]), (9, "y", None)]
+    answers = spark.createDataFrame(answers, "essay_id long, essay_set string, seq array<int>")
+    keys = [(k, "xy"[k % 2], [1 + k % 7, 3, 8][: k % 4]) for k in range(9)] + [(4, "x", [2])]
+    keys = spark.createDataFrame(keys, "key_id long, essay_set string, seq array<int>")
+    monkeypatch.setattr(A, "block_tokens", lambda words: 4)  # many blocks a set
+    args = (answers, keys, vocab, vectors, 3, 10)
+    want = {r["essay_id"]: r["keyword_features"] for r in A.keyword_features(A.keyword_attention(*args, decimals=6)).collect()}
+    rows = spark.createDataFrame([(i, f"r{i}") for i in range(45)] + [(7, "again"), (None, "none")], "essay_id long, name string")
+    for feature_bytes, batch_bytes in ((128 << 20, 16 << 20), (1000, 300), (1, 1)):
+        monkeypatch.setattr(A, "FEATURE_BYTES", feature_bytes)
+        monkeypatch.setattr(A, "BATCH_BYTES", batch_bytes)
+        alone = A.answer_features(*args, decimals=6)
+        assert {r["essay_id"]: r["keyword_features"] for r in alone.collect()} == want and alone.count() == len(want)
+        beside = A.answer_features(*args, decimals=6, rows=rows)
+        assert beside.columns == ["essay_id", "name", "keyword_features"]
+        got = beside.collect()
+        assert sorted(map(str, got)) == sorted(str(r) for r in rows.join(spark.createDataFrame(list(want.items()), "essay_id long, keyword_features array<double>"), "essay_id", "left").collect())
+    plan = alone._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.split("MapInArrow")[0].replace("AdaptiveSparkPlan", "")
+    spark.conf.set("gradeflow.broadcast.maxBytes", "1")
+    try:
+        assert {r["essay_id"]: r["keyword_features"] for r in A.answer_features(*args, decimals=6).collect()} == want
+    finally:
+        spark.conf.unset("gradeflow.broadcast.maxBytes")
