@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gradeflow.operators import attention as A
+from gradeflow.sources import io as IO
 
 
 def _brute(a, k, d):
@@ -153,3 +154,13 @@ def test_answer_features_equal_the_joined_vectors(spark, monkeypatch):
         assert {r["essay_id"]: r["keyword_features"] for r in A.answer_features(*args, decimals=6).collect()} == want
     finally:
         spark.conf.unset("gradeflow.broadcast.maxBytes")
+
+
+def test_written_attention_keeps_a_dictionary_of_rounded_numbers(spark, tmp_path):
+    number = lambda i: F.round(F.pmod(F.xxhash64("id", i), F.lit(140_000)) / 1e6, 6)
+    att = spark.range(8000).coalesce(1).select(F.col("id").alias("essay_id"), F.lit(1).cast("long").alias("key_id"), F.transform(F.sequence(F.lit(1), F.lit(100)), number).alias("f"))
+    IO.write_attention(att, str(tmp_path / "kept"))
+    att.write.parquet(str(tmp_path / "plain"))
+    size = {x: sum(p.stat().st_size for p in (tmp_path / x).glob("*.parquet")) for x in ("kept", "plain")}
+    assert size["kept"] < 0.6 * size["plain"]
+    assert spark.read.parquet(str(tmp_path / "kept")).exceptAll(att).count() == 0
