@@ -1,8 +1,11 @@
 """Order statistics from bit histograms against sorting."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 
+from gradeflow.operators import experiment as X
 from gradeflow.operators import numeric as NU
 from gradeflow.plans import radix
 
@@ -60,3 +63,31 @@ def test_groups_share_the_columns_of_a_pass(spark):
     for k in range(1, 5):
         held = {id(row[k].base): row[k].base.nbytes for row in found}
         assert len(held) == 1 and sum(held.values()) == sum(row[k].nbytes for row in found)
+
+
+@pytest.mark.parametrize("held", [1 << 20, 64])
+def test_references_reach_the_driver_as_arrays(spark, monkeypatch, held):
+    """A thousand references of a fold and column are one array, not a thousand rows."""
+    monkeypatch.setattr(radix, "HELD_ROWS", held)
+    rng = np.random.default_rng(1)
+    cols = [f"c{i}" for i in range(8)]
+    x = rng.normal(size=(2400, len(cols)))
+    x[::50, 0] = np.nan
+    rows = [(["f", "g"][i % 2], "dev" if i % 20 == 2 else "train", *[None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, f"fold string, split string, {', '.join(c + ' double' for c in cols)}")
+    names = np.array([[r[0], r[1]] for r in rows])
+    tracemalloc.start()
+    fitted = X.prepare(df, cols)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(fitted.medians) == 3 * len(cols) and len(fitted.references) == 2 * len(cols)
+    for fold in ("f", "g"):
+        mine = (names[:, 0] == fold) & (names[:, 1] == "train")
+        for i, c in enumerate(cols):
+            want = np.where(np.isnan(x[mine, i]), np.nanmedian(x[mine, i]), x[mine, i])
+            assert fitted.medians[f"{fold}\x1ftrain\x1f{c}"] == pytest.approx(np.nanmedian(x[mine, i]), rel=1e-12)
+            probs, values = fitted.references[f"{fold}\x1f{c}"]
+            assert len(values) == 1000 and np.allclose(values, np.quantile(want, probs), rtol=1e-12)
+    assert most < 3 << 20
+    nothing = X.prepare(df.limit(0), cols)
+    assert nothing.medians == {} and nothing.references == {}
