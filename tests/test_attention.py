@@ -164,3 +164,25 @@ def test_written_attention_keeps_a_dictionary_of_rounded_numbers(spark, tmp_path
     size = {x: sum(p.stat().st_size for p in (tmp_path / x).glob("*.parquet")) for x in ("kept", "plain")}
     assert size["kept"] < 0.6 * size["plain"]
     assert spark.read.parquet(str(tmp_path / "kept")).exceptAll(att).count() == 0
+
+
+def test_top_words_look_their_words_up_in_place(spark, tmp_path):
+    """K9's many rows are not shuffled for their words, however small the bound of Spark's own broadcasts."""
+    from gradeflow.plans.q_attention import top_words_query
+
+    d = str(tmp_path)
+    spark.createDataFrame([(i, "de", f"aa bb w{i} cc") for i in range(8)], "doc_id long, lang string, text string").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(0, "bb dd"), (4, "aa w3 ee")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    vectors = np.random.default_rng(4).normal(size=(13, 64)).tolist()
+    spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>").write.parquet(f"{d}/embeddings.parquet")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = top_words_query(spark, d)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan.split("MapInArrow")[0]
+        rows = out.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(rows) == 8 * 5 and all(r["word"] == ["aa", "bb", f"w{r['essay_id']}", "cc"][r["apos"]] for r in rows)
+    assert out.columns == ["word_id", "essay_id", "key_id", "kpos", "apos", "word"]
