@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gradeflow.operators import attention as A
+from gradeflow.session import DICTIONARY_BYTES, keep_dictionaries
 from gradeflow.sources import io as IO
 
 
@@ -186,3 +187,22 @@ def test_top_words_look_their_words_up_in_place(spark, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert len(rows) == 8 * 5 and all(r["word"] == ["aa", "bb", f"w{r['essay_id']}", "cc"][r["apos"]] for r in rows)
     assert out.columns == ["word_id", "essay_id", "key_id", "kpos", "apos", "word"]
+
+
+def test_rounded_vectors_are_stored_by_a_dictionary(spark, tmp_path):
+    """Parquet's writer keeps a dictionary of K7's numbers, unless the session names a size."""
+    key = "parquet.dictionary.page.size"
+    number = lambda i: F.round(F.pmod(F.xxhash64("id", i), F.lit(140_000)) / 1e6, 6)
+    att = spark.range(8000).coalesce(1).select("id", F.transform(F.sequence(F.lit(1), F.lit(100)), number).alias("f"))
+    size, before = {}, spark.conf.get(key, None)
+    for named in (str(1 << 20), None):
+        spark.conf.unset(key) if named is None else spark.conf.set(key, named)
+        try:
+            keep_dictionaries(spark)
+            assert spark.conf.get(key) == (named or str(DICTIONARY_BYTES))
+            att.write.parquet(str(tmp_path / f"x{named}"))
+        finally:
+            spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        size[named] = sum(p.stat().st_size for p in (tmp_path / f"x{named}").glob("*.parquet"))
+    assert size[None] < 0.6 * size[str(1 << 20)]
+    assert spark.read.parquet(str(tmp_path / "xNone")).exceptAll(att).count() == 0
