@@ -116,3 +116,28 @@ def test_padding_takes_the_lowest_ids(spark):
         [(i, 1) for i in (9, 4, 7, None, 1)] + [(None, 2), (1, 2)], key=str)
     assert D.pad_to_multiple(df.limit(0), 4, form="list").count() == 0
     assert D.pad_to_multiple(df, 5).count() == 5
+
+
+def test_synonyms_by_chunks(spark):
+    """Repeated ids are taken together, rows without an id or a text get an empty one, the place
+    counts, whatever the blanks and the number of chunks; tokens are not shuffled one by one."""
+    texts = [(1, "The  CAT sat\ton the mat", "a"), (2, None, "b"), (3, "  ", "c"), (4, "cat " * 40, "d"), (5, "x cat y", "e"), (5, "cat b", "f"),
+             (5, None, "g"), (None, "cat the", "h"), (6, "İcat ΣΑΣ caté　cat", "i"), (7, "dog", "j")]
+    df = spark.createDataFrame(texts, "essay_id long, essay string, note string")
+    syn = spark.createDataFrame([("cat", "lynx"), ("cat", "ounce"), ("the", "a"), ("dog", None), (None, "x"), ("σας", "s"), ("mat", "rug")], "word string, synonym string")
+    table = {"cat": "lynx", "the": "a", "σας": "s", "mat": "rug"}
+
+    def pick(i, pos, token):
+        digest = hashlib.md5(f"{i}:1:{pos}".encode()).hexdigest()
+        return table[token.lower()] if token.lower() in table and int(digest[:8], 16) % 10 < 3 else token
+
+    want = []
+    for i, _, note in texts:
+        tokens = [(pos, pick(i, pos, t)) for j, text, _ in texts if j == i and i is not None for pos, t in enumerate((text or "").split())]
+        want.append((i, note, " ".join(t for _, t in sorted(tokens))))
+    for chunk_bytes in (1 << 20, 10):
+        out = D.synonym_substitute(df, syn, chunk_bytes=chunk_bytes)
+        assert out.columns == ["essay_id", "note", "essay"]
+        assert sorted(map(tuple, out.collect()), key=lambda r: r[1]) == want
+    assert any("lynx" in x for _, _, x in want) and "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert D.synonym_substitute(df.limit(0), syn).count() == 0
