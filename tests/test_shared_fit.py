@@ -90,3 +90,35 @@ def test_run_folds_with_and_without_keywords(spark):
         assert len(out) == 2 * 3 * 2 * 5 + 2
         acc = [r["value"] for r in out if r["metric"] == "eval_acc"]
         assert sum(acc) / len(acc) > least
+
+
+def test_keyword_vectors_are_made_at_the_blocks(spark):
+    """X2 over a ``KeywordBlock`` gives what it gives over the joined vectors, also beside
+    essays without a phrase, and shuffles no vector."""
+    from gradeflow.operators import attention as A
+
+    rng = np.random.default_rng(6)
+    cols = ", ".join(f"{c} double" for c in FEATURE_COLUMNS)
+    rows = [(i, "xyn"[i % 3], i % 2, *[float(rng.normal() + i % 2) for _ in FEATURE_COLUMNS]) for i in range(240)]
+    df = spark.createDataFrame(rows, f"essay_id long, essay_set string, domain1_score int, {cols}")
+    vocab = spark.createDataFrame([(f"w{i}", 1, i) for i in range(1, 9)], "word string, count long, index long")
+    vectors = spark.createDataFrame([(f"w{i}", rng.normal(size=3).tolist()) for i in range(1, 7)], "word string, vec array<double>")
+    seqs = spark.createDataFrame([(i, "xyn"[i % 3], [1 + i % 8, 2 + i % 5]) for i in range(0, 235)], "essay_id long, essay_set string, seq array<int>")
+    keys = spark.createDataFrame([(k, "xy"[k % 2], [1 + k % 7, 3]) for k in range(5)], "key_id long, essay_set string, seq array<int>")
+    args = (seqs, keys, vocab, vectors, 3, 10)
+    block = A.keyword_block(*args)
+    assert {r["essay_id"] for r in block.ids.collect()} == {i for i in range(235) if i % 3 < 2}
+    out = [sorted(map(str, X.run_folds(df, k=3, keyword_features=kf, train_share=0.5, multiple=8).collect()))
+           for kf in (A.keyword_features(A.keyword_attention(*args)), block)]
+    assert out[0] == out[1] and len(out[0]) == 2 * 3 * 2 * 5 + 2
+    plan = block.beside(df.select("essay_id"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.split("MapInArrow")[0].replace("AdaptiveSparkPlan", "")
+
+
+def test_a_pass_sends_no_more_sums_than_cores(spark):
+    cores = spark.sparkContext.defaultParallelism
+    blocks = SF.build_blocks(_rows(spark).repartition(3 * cores), 2)
+    assert blocks.rdd.getNumPartitions() > cores and SF._by_core(blocks).rdd.getNumPartitions() == cores
+    count = lambda b: np.array([float(len(b["labels"]))])
+    got = {k: v[0] for k, v in SF._summed(blocks, 2, count).items()}
+    assert got == {r["name"]: r["count"] for r in _rows(spark).groupBy("name").count().collect()}
