@@ -63,3 +63,21 @@ def test_a_block_travels_once_not_with_every_essay(spark, monkeypatch):
         rows, _ = AS._pairs(spark, path, None, None)
         assert rows.filter("b is not null").count() == copies and rows.count() == 40 + copies
         assert sorted(map(tuple, AS.attention_sums(spark, path).collect())) == want
+
+
+def test_gates_are_summed_before_the_essays_travel(spark):
+    """The sums equal those of the restored gates, also of essays and phrases without a token; the
+    gates themselves are not shuffled."""
+    rng = np.random.default_rng(2)
+    vocab = spark.createDataFrame([(f"w{i}", 1, i) for i in range(1, 9)], "word string, count long, index long")
+    vectors = spark.createDataFrame([(f"w{i}", rng.normal(size=3).tolist()) for i in range(1, 7)], "word string, vec array<double>")
+    answers = spark.createDataFrame([(i, "xy"[i % 2], [1 + i % 8, 2] * (i % 3)) for i in range(12)], "essay_id long, essay_set string, seq array<int>")
+    keys = spark.createDataFrame([(1, "x", [2, 3, 2]), (2, "x", []), (3, "y", [7]), (4, "x", [5, 1])], "key_id long, essay_set string, seq array<int>")
+    path = IO.scratch_path(spark, "weights")
+    AS.write_attention_weights(answers, keys, vocab, vectors, path, 3, 10)
+    want = {(r["essay_id"], r["key_id"]): (len(r["beta_ans"]), sum(r["beta_ans"])) for r in AS.read_attention(spark, path).collect()}
+    got = {(r["essay_id"], r["key_id"]): (r["n_key"], r["beta_ans"]) for r in AS.attention_sums(spark, path).collect()}
+    assert set(got) == set(want) and len(got) == 6 * 3 + 6
+    assert all(got[k][0] == n and np.isclose(got[k][1], total) for k, (n, total) in want.items())
+    rows, _ = AS._pairs(spark, path, None, None, gates=False)
+    assert "gate_ans" not in rows.columns and "gate_sums" in rows.columns
