@@ -297,10 +297,11 @@ def nearest(queries: DataFrame, index: DataFrame, id_col: str, vec_col: str, k:
                          pa.array([part["id"].to_numpy().tobytes()], pa.binary())], names=["dim", "asked", "asked_ids"])
 
     packed = dealt.groupBy("dim", "block").applyInArrow(pack, "dim int, asked binary, asked_ids binary")
-    # each block asks every shard; a pair meets its shard by both keys, so the pairs are spread over all tasks
+    # each block asks every shard; a pair meets its shard by both keys, so the pairs are spread over all tasks.
+    # Spark's estimate leaves out that a block is repeated for every shard, so without the hint it sends the pairs through the driver
     last = index.agg(F.max("shard").alias("s")).first()["s"]
     every = F.sequence(F.lit(0).cast("long"), F.lit(last if last is not None else 0).cast("long"))
-    pairs = packed.withColumn("shard", F.explode(every)).join(index, ["dim", "shard"])
+    pairs = packed.withColumn("shard", F.explode(every)).hint("merge").join(index, ["dim", "shard"])
 
     def run(batches):
         for batch in batches:

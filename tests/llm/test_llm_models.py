@@ -321,3 +321,16 @@ def test_round_trip_of_odd_texts_in_spark(spark, pieces):
     assert back.columns == ["doc_id", "text", "ids", "decoded", "piece_ids", "again"]
     assert {r.doc_id: r.again for r in back.collect()} == {i: t for i, t, _, _ in rows}
     assert P.encode_documents(df.limit(0), pieces).count() == 0
+
+
+def test_hnsw_pairs_never_pass_the_driver(spark):
+    """Blocks are small, blocks times shards are not: their join is never a broadcast."""
+    rows = [(i, np.random.default_rng(i).normal(size=4).tolist()) for i in range(60)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = hnsw.self_search(table, every=5, k=3, shard_rows=8)
+    assert out.count() == 12 * 3
+    index = hnsw.build_index(table, "vec_id", "embedding", 4, 8)
+    found = hnsw.nearest(table, index, "vec_id", "embedding", 3)
+    assert len(found.collect()) == 60 * 3
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
